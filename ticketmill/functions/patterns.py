@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 # Branches tried one after the other before a range check halves them.
-FAN_OUT = 8
+FAN_OUT = 16
 
 
 def _literal(char: str) -> str:

@@ -12,6 +12,7 @@ Protected phrases cut the text first and stay whole; ambiguity rules replace a p
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
@@ -38,55 +39,86 @@ def longest_tokens(text: Column, words: Iterable[str], keep_punctuation: bool =
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _at_each_position(text: Column, pattern: str) -> Column:
+def in_run(char: str) -> bool:
+    """Whether ``RUN`` matches the character."""
+    latin = "LATIN" in unicodedata.name(char, "") or char in "\u00aa\u00ba"
+    return char in "0123456789" or latin or unicodedata.category(char).startswith("M")
+
+
+def alone_patterns(keep_punctuation: bool) -> tuple[str, str]:
+    """A whole run from its start, and a character that is not part of a run."""
+    return f"(?<!{RUN}){RUN}+", f"(?!{RUN}){single_class(keep_punctuation)}"
+
+
+def at_each_position(text: Column, pattern: str) -> Column:
     """What ``pattern`` matches at each code point of ``text``, '' where it does not."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=({pattern}|)).{{1}}"), F.lit(1))
 
 
 def finest_tokens(text: Column, words: Iterable[str], keep_punctuation: bool = False) -> Column:
-    """All dictionary words, runs and uncovered characters."""
-    layers = prefix_layers(words)
-    reach = max((len(w) for layer in layers for w in layer), default=0)
-    alone = f"(?<!{RUN}){RUN}+|(?!{RUN}){single_class(keep_punctuation)}"
-    arrays = [_at_each_position(text, word_pattern(layer)).alias(f"w{d}") for d, layer in enumerate(layers)]
-    names = [f"w{d}" for d in reversed(range(len(layers)))]
-    arrays.append(_at_each_position(text, alone).alias("alone"))
+    """All dictionary words, runs and uncovered characters.
+
+    The words at a position form a chain of prefixes, so one pattern per prefix depth finds them all.
+    """
+    listed = sorted({w for w in words if w})
+    layers = [word_pattern(layer) for layer in reversed(prefix_layers(listed))]
+    run, single = alone_patterns(keep_punctuation)
+    if all(in_run(c) for w in listed for c in w):
+        return _finest_in_runs(text, layers, word_pattern(listed), run, single)
+    return _finest_anywhere(text, layers, max(map(len, listed)), f"{run}|{single}")
+
+
+def _finest_in_runs(text: Column, layers: list[str], word: str, run: str, single: str) -> Column:
+    """For dictionaries of run characters only: no word reaches beyond its run or covers another character.
+
+    One pass replaces each position where something starts by what starts there, longest first; lookaheads read
+    the overlapping words. A run that is itself a word is left to the words.
+    """
+    groups = [f"(?!(?<!{RUN}){word}(?!{RUN})){run}", *layers, single]
+    starts = f"{word}|{run[:-1]}|{single}"
+    pattern = "(?s)" + "".join(f"(?=({g})?)" for g in groups) + f".(?:(?!{starts}).)*+"
+    found = MARK.join(f"${n}" for n in range(1, len(groups) + 1)) + MARK
+    listing = F.regexp_replace(F.translate(text, MARK, " "), F.lit(pattern), F.lit(found))
+    return F.regexp_extract_all(listing, F.lit(f"[^{MARK}]+"), F.lit(0))
+
+
+def _finest_anywhere(text: Column, layers: list[str], longest: int, alone: str) -> Column:
+    """For any dictionary: arrays aligned with the characters say what starts there and how far words reach."""
+    names = [f"w{n}" for n in range(len(layers))]
+    arrays = [at_each_position(text, p).alias(n) for n, p in zip(names, layers)]
+    nothing = F.array().cast("array<string>")
+
+    def reach(span: Column) -> Column:
+        return F.greatest(F.lit(0), *[F.length(span[n]) for n in names])
 
     def emitted(spans: Column, lengths: Column) -> Column:
         def covered(i: Column) -> Column:
-            if reach < 2:
+            if longest < 2:
                 return F.lit(False)
             return F.exists(
-                F.sequence(F.lit(1), F.lit(reach - 1)),
+                F.sequence(F.lit(1), F.lit(longest - 1)),
                 lambda back: (i >= back) & (F.get(lengths, i - back) > back),
             )
 
         def at(span: Column, i: Column) -> Column:
-            nothing = F.array().cast("array<string>")
             own = span["alone"]
             is_run = own.rlike(f"^{RUN}")
-            found = F.filter(F.array(*[span[n] for n in names], own), lambda t: t != "")
-            longest_first = F.array_sort(F.array_distinct(found), lambda a, b: F.length(b) - F.length(a))
-            no_word = F.get(lengths, i) == 0
+            found = F.filter(F.array(*[span[n] for n in names]), lambda t: t != "")
+            with_run = F.array_sort(
+                F.array_distinct(F.array_append(found, own)), lambda a, b: F.length(b) - F.length(a)
+            )
             return (
-                F.when(no_word & (own == ""), nothing)
-                .when(no_word & is_run, F.array(own))
-                .when(no_word, F.when(covered(i), nothing).otherwise(F.array(own)))
-                .when(is_run, longest_first)
-                .otherwise(F.filter(F.array(*[span[n] for n in names]), lambda t: t != ""))
+                F.when(F.get(lengths, i) > 0, F.when(is_run, with_run).otherwise(found))
+                .when(own == "", nothing)
+                .when(is_run | ~covered(i), F.array(own))
+                .otherwise(nothing)
             )
 
         return F.flatten(F.transform(spans, at))
 
-    if not layers:
-        return F.filter(_at_each_position(text, alone), lambda t: t != "")
-
-    def longest(span: Column) -> Column:
-        return F.greatest(*[F.length(span[n]) for n in names]) if len(names) > 1 else F.length(span[names[0]])
-
     return let(
-        F.arrays_zip(*arrays),
-        lambda spans: let(F.transform(spans, longest), lambda lengths: emitted(spans, lengths)),
+        F.arrays_zip(*arrays, at_each_position(text, alone).alias("alone")),
+        lambda spans: let(F.transform(spans, reach), lambda lengths: emitted(spans, lengths)),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PUNCTUATION = r"^[\p{P}\p{S}]+$"
@@ -20,6 +20,21 @@ def whitespace_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
 
 
+def exploded(df: DataFrame, keep: list[str], items: Column, value: str) -> DataFrame:
+    """One row per element of ``items``: its position ``pos`` and the element as ``value``.
+
+    The plain generators make the optimizer add a filter on the size of the array, which computes an expensive
+    array once more, below any repartitioning. The outer ones do not; rows without elements are dropped after.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias("pos", value))
+    return rows.where(F.col("pos").isNotNull())
+
+
+def inlined(df: DataFrame, keep: list[str], structs: Column, key: str) -> DataFrame:
+    """One row per struct, its fields as columns; ``key`` is a field that is never null. See :func:`exploded`."""
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(key).isNotNull())
+
+
 def without_words(tokens: Column, words: Iterable[str]) -> Column:
     """Drop tokens that equal a listed word. The list becomes a hash set inside the expression."""
     listed = sorted(set(words))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.functions.tokens import first_positions, joined
+from ticketmill.functions.tokens import first_positions, inlined, joined
 from ticketmill.operators.numbering import first_seen_index, number_rows
+from ticketmill.session import cut_lineage, join_lookup
 
 
 def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
@@ -18,11 +19,11 @@ def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
 def drop_singleton_classes(df: DataFrame, group: str) -> DataFrame:
     """Keep the rows whose class has at least two rows.
 
-    The class table is left unhinted: adaptive execution broadcasts it when its measured size allows, and splits
-    the hot classes of a sort-merge join when not.
+    The class table is computed once from the class column alone. Small enough, it is broadcast and the wide rows
+    stay where they are; otherwise adaptive execution splits the hot classes of the join.
     """
     kept = class_frequency(df.where(F.col(group).isNotNull()), group, min_rows=2).select(group)
-    return df.join(kept, group, "left_semi")
+    return join_lookup(df, cut_lineage(kept), group, "left_semi")
 
 
 def modulo_split(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
@@ -54,8 +55,8 @@ def vocab_index(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
     Each document sends a word once, with its first position.
     """
-    firsts = df.select(id_col, F.inline(first_positions(tokens)))
-    return first_seen_index(firsts, "word", [id_col, "pos"]).select("word", "idx")
+    firsts = inlined(df, [id_col], first_positions(tokens), "pos")
+    return first_seen_index(firsts, "word", id_col, "pos").select("word", "idx")
 
 
 def distinct_doc_index(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -64,7 +65,7 @@ def distinct_doc_index(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     Texts are compared by SHA-256 digest so that the shuffle moves 32 bytes a document.
     """
     digests = df.select(F.col(id_col), F.unhex(F.sha2(joined(tokens), 256)).alias("digest"))
-    return first_seen_index(digests, "digest", [id_col]).select(id_col, "idx")
+    return first_seen_index(digests, "digest", id_col).select(id_col, "idx")
 
 
 def corpus_profile(df: DataFrame, group: str, text: str, tokens: Column) -> DataFrame:
@@ -82,11 +83,8 @@ def corpus_profile(df: DataFrame, group: str, text: str, tokens: Column) -> Data
         item("text", F.sha2(F.col("joined"), 256), F.length("joined")),
     )
     words = F.transform(F.array_distinct("tokens"), lambda w: item("word", w, F.length(w)))
-    items = (
-        df.select(group, text, tokens.alias("tokens"))
-        .withColumn("joined", joined(F.col("tokens")))
-        .select(F.inline(F.concat(own, words)))
-    )
+    rows = df.select(group, text, tokens.alias("tokens")).withColumn("joined", joined(F.col("tokens")))
+    items = inlined(rows, [], F.concat(own, words), "kind")
     per_value = items.groupBy("kind", "value").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     return per_value.groupBy("kind").agg(
         F.count("*").alias("n_distinct"),

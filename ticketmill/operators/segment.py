@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.functions.segmentation import segment_tokens
-from ticketmill.functions.tokens import without_words
+from ticketmill.functions.tokens import exploded, without_words
 from ticketmill.operators.spans import segment_by_join
-from ticketmill.session import join_lookup
+from ticketmill.session import cut_lineage, join_lookup
 
 # Words held inside one expression; longer lists are joined. The driver sees at most this many plus one.
-IN_ROW_WORDS = 20_000
+IN_ROW_WORDS = 50_000
 
 
 def listed_words(words: DataFrame | Iterable[str], limit: int = IN_ROW_WORDS) -> list[str] | None:
@@ -55,21 +55,20 @@ def remove_words(
 ) -> DataFrame:
     """Drop listed tokens (exact, case-sensitive), keeping order and repeats.
 
-    Lists beyond ``limit`` are matched on the distinct words of each row, and only the words to drop travel back.
+    Lists beyond ``limit`` are joined with the tokens. The rows are partitioned by ``id_col`` first, so a
+    broadcast list needs no shuffle of single tokens.
     """
     listed = listed_words(stop, limit)
     if listed is not None:
         return df.withColumn(tokens_col, without_words(F.col(tokens_col), listed))
-    seen = df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("word"))
-    dropped = (
-        join_lookup(seen, stop.select("word").distinct(), "word", "left_semi")
+    single = exploded(df.repartition(id_col), [id_col], F.col(tokens_col), "word")
+    kept = (
+        join_lookup(single, cut_lineage(stop.select("word").distinct()), "word", "left_anti")
         .groupBy(id_col)
-        .agg(F.collect_list("word").alias("dropped"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "word")))["word"].alias(tokens_col))
     )
-    kept = F.when(F.col("dropped").isNull(), F.col(tokens_col)).otherwise(
-        F.filter(tokens_col, lambda t: ~F.array_contains(F.col("dropped"), t))
-    )
-    return df.join(dropped, id_col, "left").withColumn(tokens_col, kept).drop("dropped")
+    empty = F.array().cast("array<string>")
+    return df.drop(tokens_col).join(kept, id_col, "left").withColumn(tokens_col, F.coalesce(tokens_col, empty))
 
 
 def stop_natures(dictionary: DataFrame, natures: Iterable[str] = ("w", "nr")) -> DataFrame:

@@ -12,9 +12,15 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketmill.functions.segmentation import RUN, _at_each_position, around_protected, single_class
-from ticketmill.functions.tokens import let
-from ticketmill.session import join_lookup
+from ticketmill.functions.segmentation import (
+    RUN,
+    alone_patterns,
+    around_protected,
+    at_each_position,
+    single_class,
+)
+from ticketmill.functions.tokens import exploded, let
+from ticketmill.session import cut_lineage, join_lookup
 
 # Private-use characters that mark a word of length n in the text as chr(FIRST_MARK + n).
 FIRST_MARK, LAST_MARK = 0xE000, 0xF8FF
@@ -28,39 +34,33 @@ def _parts(df: DataFrame, id_col: str, text_col: str, protected, rules) -> DataF
     text = F.regexp_replace(text, F.lit(f"{ANY_MARK}|{CUT}"), F.lit(" "))
     pieces = around_protected(text, protected, rules, lambda part: F.array(F.concat(F.lit(CUT), part)))
     open_part = F.col("piece").startswith(CUT)
-    return (
-        df.select(F.col(id_col).alias("id"), F.col(text_col))
-        .repartition("id")
-        .select("id", F.posexplode(pieces).alias("part_no", "piece"))
-        .select(
-            "id",
-            "part_no",
-            F.when(open_part, F.expr("substring(piece, 2)")).alias("part"),
-            F.when(~open_part, F.col("piece")).alias("fixed"),
-        )
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id")
+    return exploded(texts, ["id"], pieces, "piece").select(
+        "id",
+        F.col("pos").alias("part_no"),
+        F.when(open_part, F.expr("substring(piece, 2)")).alias("part"),
+        F.when(~open_part, F.col("piece")).alias("fixed"),
     )
 
 
 def _hits(parts: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
     """Dictionary words found in the parts: ``id, part_no, pos, len, word``."""
-    windows = _at_each_position(F.col("part"), f".{{1,{max(lengths)}}}")
+    windows = at_each_position(F.col("part"), f".{{1,{max(lengths)}}}")
     candidate = F.array(
         *[F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in lengths]
     )
     found = (
-        parts.where(F.col("part").isNotNull())
-        .select("id", "part_no", F.posexplode(windows).alias("pos", "window"))
-        .select("id", "part_no", "pos", F.explode(candidate).alias("word"))
+        exploded(parts, ["id", "part_no"], windows, "window")
+        .select("id", "part_no", "pos", F.explode_outer(candidate).alias("word"))
         .where(F.col("word").isNotNull())
     )
     return join_lookup(found, words, "word", "inner").withColumn("len", F.length("word"))
 
 
 def _finest(parts: DataFrame, hits: DataFrame, keep_punctuation: bool) -> DataFrame:
-    alone = f"(?<!{RUN}){RUN}+|(?!{RUN}){single_class(keep_punctuation)}"
+    alone = "|".join(alone_patterns(keep_punctuation))
     others = (
-        parts.where(F.col("part").isNotNull())
-        .select("id", "part_no", F.posexplode(_at_each_position(F.col("part"), alone)).alias("pos", "word"))
+        exploded(parts, ["id", "part_no"], at_each_position(F.col("part"), alone), "word")
         .where(F.col("word") != "")
         .select("id", "part_no", "pos", F.length("word").alias("len"), "word", F.lit(1).alias("kind"))
     )
@@ -137,7 +137,7 @@ def segment_by_join(
     keep_punctuation: bool = False,
 ) -> DataFrame:
     """Add the token array ``out_col``; ``id_col`` must identify the rows of ``df``."""
-    listed = words.select("word").where(F.length("word") > 0).distinct()
+    listed = cut_lineage(words.select("word").where(F.length("word") > 0).distinct())
     lengths = sorted(r[0] for r in listed.select(F.length("word")).distinct().collect())
     if not lengths or lengths[-1] > LAST_MARK - FIRST_MARK:
         raise ValueError(f"dictionary words must have 1..{LAST_MARK - FIRST_MARK} characters")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ticketmill.config import ForestParams, PrepConfig, TrainConfig
 from ticketmill.functions.tokens import (
+    exploded,
+    inlined,
     joined,
     token_counts,
     whitespace_tokens,
@@ -60,7 +61,7 @@ def tokenize(spark, sf_dir):
 
 
 def term_frequency(spark, sf_dir):
-    return tokenized(spark, sf_dir).select("doc_id", F.inline(token_counts(F.col("tokens"))))
+    return inlined(tokenized(spark, sf_dir), ["doc_id"], token_counts(F.col("tokens")), "n")
 
 
 def tf_total(spark, sf_dir):
@@ -73,7 +74,7 @@ def tf_total(spark, sf_dir):
 
 def hashing_tf(spark, sf_dir):
     vectors = hashed_tf(tokenized(spark, sf_dir), "tokens", 6900)
-    return vectors.select("doc_id", F.inline(sparse_entries("features")))
+    return inlined(vectors, ["doc_id"], sparse_entries("features"), "bucket")
 
 
 def stopword_removal(spark, sf_dir):
@@ -81,7 +82,7 @@ def stopword_removal(spark, sf_dir):
 
 
 def stopword_table_removal(spark, sf_dir):
-    stop = table(spark, sf_dir, "benchmark").select(F.explode(whitespace_tokens(F.col("text"))).alias("word"))
+    stop = exploded(table(spark, sf_dir, "benchmark"), [], whitespace_tokens(F.col("text")), "word")
     return counted(remove_words(tokenized(spark, sf_dir), "tokens", stop, limit=0))
 
 
@@ -200,23 +201,29 @@ def eval_per_class(spark, sf_dir):
 # Models
 
 
-@cache
-def _split(app_id: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Prepared documents of one application, segmented once and split by the hash of their id."""
-    spark = SparkSession.getActiveSession()
-    prepared = stored(corpus.hash_split(prepared_texts(spark, sf_dir), "doc_id", 0.8), "prepared")
-    return prepared.where("part = 'train'"), prepared.where("part = 'test'")
+# Results that several queries of one application share: (application, folder, name) -> value.
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make(spark, sf_dir)
+    return _made[key]
 
 
 def split_texts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return _split(spark.sparkContext.applicationId, sf_dir)
+    """Prepared documents, segmented once and split by the hash of their id."""
 
+    def make(spark, sf_dir):
+        return stored(corpus.hash_split(prepared_texts(spark, sf_dir), "doc_id", 0.8), "prepared")
+
+    prepared = once(spark, sf_dir, "prepared", make)
+    return prepared.where("part = 'train'"), prepared.where("part = 'test'")
 
-@cache
-def _trained(app_id: str, sf_dir: str) -> str:
-    """Path of the text forest that one application trained on a folder."""
-    spark = SparkSession.getActiveSession()
-    train_rows, test_rows = _split(app_id, sf_dir)
+
+def train_forest(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Run the train job; the path of its model and its accuracy table."""
     config = TrainConfig(
         job_id=JOB,
         model_dir=shared_path(spark, "models"),
@@ -225,26 +232,16 @@ def _trained(app_id: str, sf_dir: str) -> str:
         fit_partitions=spark.sparkContext.defaultParallelism,
         forest=FOREST,
     )
-    train(train_rows, test_rows, config)
-    return config.model_path
+    return config.model_path, train(*split_texts(spark, sf_dir), config).accuracy
 
 
 def trained_forest(spark, sf_dir) -> PipelineModel:
-    return load_pipeline_model(_trained(spark.sparkContext.applicationId, sf_dir))
+    return load_pipeline_model(once(spark, sf_dir, "forest", train_forest)[0])
 
 
 def forest_text(spark, sf_dir):
     """Train job on the documents; the accuracy table it writes."""
-    train_rows, test_rows = split_texts(spark, sf_dir)
-    config = TrainConfig(
-        job_id=JOB,
-        model_dir=shared_path(spark, "models"),
-        output_dir=shared_path(spark, "tables"),
-        num_features=NUM_FEATURES,
-        fit_partitions=spark.sparkContext.defaultParallelism,
-        forest=FOREST,
-    )
-    return train(train_rows, test_rows, config).accuracy
+    return once(spark, sf_dir, "forest", train_forest)[1]
 
 
 def evaluated_predictions(spark, sf_dir):
@@ -259,8 +256,10 @@ def score_batch(spark, sf_dir):
 
 def score_stream(spark, sf_dir):
     """The documents as a file stream, segmented and scored in one pass."""
-    schema = table(spark, sf_dir, "documents").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    documents = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    few_splits = documents.rdd.getNumPartitions() < 2 * cores
+    rows = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     out = shared_path(spark, "stream")
     prep = PrepConfig(group_col="", text_col="text")
     query = stream_scores(
@@ -271,6 +270,7 @@ def score_stream(spark, sf_dir):
         f"{out}/progress",
         keep=("doc_id",),
         prepare=lambda df: prepare_text(df, Lexicon(WORDS, STOP_WORDS), prep),
+        partitions=2 * cores if few_splits else None,
     )
     query.awaitTermination()
     return spark.read.parquet(f"{out}/scored")
@@ -321,27 +321,27 @@ def forest_binary(spark, sf_dir):
     return evaluate.test_error(model.transform(rows.where("part = 'test'")))
 
 
-@cache
-def _logistic(app_id: str, sf_dir: str) -> PipelineModel:
-    spark = SparkSession.getActiveSession()
+def judged_texts(spark, sf_dir) -> DataFrame:
     quality = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    rows = texts(spark, sf_dir).join(quality, "doc_id")
-    return models.text_pipeline(NUM_FEATURES).fit(stored(rows.select("text", "label"), "judged"))
+    return stored(texts(spark, sf_dir).join(quality, "doc_id"), "judged")
+
+
+def fit_logistic(spark, sf_dir) -> PipelineModel:
+    rows = once(spark, sf_dir, "judged", judged_texts)
+    return models.text_pipeline(NUM_FEATURES).fit(rows.select("text", "label"))
 
 
 def logreg_text(spark, sf_dir):
     """Logistic regression on the labelled documents, applied to all of them."""
-    quality = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    rows = stored(texts(spark, sf_dir).join(quality, "doc_id"), "judged")
-    model = models.text_pipeline(NUM_FEATURES).fit(rows.select("text", "label"))
-    return model.transform(rows).select(
+    rows = once(spark, sf_dir, "judged", judged_texts)
+    return once(spark, sf_dir, "logistic", fit_logistic).transform(rows).select(
         "doc_id", "label", vector_to_array("probability").alias("probability"), "prediction"
     )
 
 
 def score_unlabelled(spark, sf_dir):
     turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-    return scored_unlabelled(_logistic(spark.sparkContext.applicationId, sf_dir), turns, ["conv_id", "turn"])
+    return scored_unlabelled(once(spark, sf_dir, "logistic", fit_logistic), turns, ["conv_id", "turn"])
 
 
 # Streams

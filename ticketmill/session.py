@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# A side of a join is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 200_000
+# A side of a join is broadcast only after it was measured and found within both bounds.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,11 +64,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(2 * cores)
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df``, reading at most ``max_rows`` + 1 rows."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    rows, used = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and used <= max_bytes
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table, broadcasting it only when its counted size is within ``max_rows``.
+    """Join a lookup table, broadcasting it only when its measured size is within bounds.
 
-    Beyond the bound it stays a plain equi-join, where adaptive execution splits skewed keys.
+    Beyond them it stays a plain equi-join, where adaptive execution splits skewed keys. The lookup is read once
+    more for the measurement, so a computed one should be stored first.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(lookup, max_rows):
         lookup = F.broadcast(lookup)
     return df.join(lookup, on, how)

@@ -20,11 +20,15 @@ def score_stream(
     keep: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     once: bool = True,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Append scored rows to a Parquet table, exactly once; stateless, so any rate of input runs without shuffle.
 
-    ``rows`` is any streaming source. ``once`` works off what is there and stops.
+    ``rows`` is any streaming source. ``once`` works off what is there and stops. ``partitions`` spreads the rows
+    of a source with too few splits.
     """
+    if partitions:
+        rows = rows.repartition(partitions)
     writer = (
         scored_rows(model, prepare(rows), job_id, keep)
         .writeStream.format("parquet")
