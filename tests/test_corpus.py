@@ -26,6 +26,14 @@ def test_numbers_with_a_third_of_rows_on_one_value(spark):
     assert [r["n"] for r in sorted(rows, key=lambda r: (r["k"], r["id"]))] == list(range(900))
 
 
+@pytest.mark.parametrize("max_rows", [100, 0])
+def test_singleton_classes_go_on_both_plans(spark, max_rows):
+    rows = [(i, "hot") for i in range(40)] + [(100, "one"), (101, "two"), (102, "two"), (103, None)]
+    df = spark.createDataFrame(rows, "doc_id long, group string").repartition(5)
+    kept = corpus.drop_singleton_classes(df, "group", "doc_id", max_rows).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(40), 101, 102]
+
+
 def test_dropped_rows_use_up_numbers(spark, tickets):
     rows = corpus.modulo_split(tickets, "doc_id", "group", 5).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 5, 6, 8, 9, 10]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.functions.tokens import first_positions, inlined, joined
 from ticketmill.operators.numbering import first_seen_index, number_rows
-from ticketmill.session import cut_lineage, join_lookup
+from ticketmill.session import BROADCAST_ROWS, cut_lineage, fits_broadcast, join_lookup
 
 
 def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
@@ -16,14 +16,21 @@ def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
     return counts.where(F.col("n") >= min_rows) if min_rows > 1 else counts
 
 
-def drop_singleton_classes(df: DataFrame, group: str) -> DataFrame:
-    """Keep the rows whose class has at least two rows.
+def drop_singleton_classes(
+    df: DataFrame, group: str, id_col: str = "doc_id", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Keep the rows whose class has at least two rows; rows without class go too.
 
-    The class table is computed once from the class column alone. Small enough, it is broadcast and the wide rows
-    stay where they are; otherwise adaptive execution splits the hot classes of the join.
+    The class table is computed once from the id and class columns. Small enough, it is broadcast and the wide rows
+    stay where they are. Otherwise the rows to drop, one per singleton class, are joined by their unique id: joining
+    by class would send a hot class to one task.
     """
-    kept = class_frequency(df.where(F.col(group).isNotNull()), group, min_rows=2).select(group)
-    return join_lookup(df, cut_lineage(kept), group, "left_semi")
+    known = df.where(F.col(group).isNotNull())
+    classes = cut_lineage(known.groupBy(group).agg(F.count("*").alias("n"), F.min(id_col).alias(id_col)))
+    kept = classes.where("n > 1").select(group)
+    if fits_broadcast(kept, max_rows):
+        return known.join(F.broadcast(kept), group, "left_semi")
+    return join_lookup(known, classes.where("n = 1").select(id_col), id_col, "left_anti", max_rows)
 
 
 def modulo_split(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
@@ -33,7 +40,7 @@ def modulo_split(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
     """
     numbered = number_rows(df.select(id_col, group), [F.col(id_col)], "row_num")
     part = F.when(F.col("row_num") % mod == 0, "test").otherwise("train")
-    return drop_singleton_classes(numbered, group).withColumn("part", part)
+    return drop_singleton_classes(numbered, group, id_col).withColumn("part", part)
 
 
 def hash_bucket(key: Column, buckets: int) -> Column:

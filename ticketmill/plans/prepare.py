@@ -58,5 +58,5 @@ def prepare(df: DataFrame, lexicon: Lexicon, config: PrepConfig) -> tuple[DataFr
     """
     parts = modulo_split(df, config.id_col, config.group_col, config.mod).select(config.id_col, "part")
     kept = usable(df, config).join(parts, config.id_col)
-    table = stored(prepare_text(kept, lexicon, config, keep=("part",)), "prepared")
+    table = stored(prepare_text(kept, lexicon, config, keep=("part",)), "prepared", "part")
     return table.where("part = 'train'").drop("part"), table.where("part = 'test'").drop("part")

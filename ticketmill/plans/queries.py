@@ -216,7 +216,7 @@ def split_texts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Prepared documents, segmented once and split by the hash of their id."""
 
     def make(spark, sf_dir):
-        return stored(corpus.hash_split(prepared_texts(spark, sf_dir), "doc_id", 0.8), "prepared")
+        return stored(corpus.hash_split(prepared_texts(spark, sf_dir), "doc_id", 0.8), "prepared", "part")
 
     prepared = once(spark, sf_dir, "prepared", make)
     return prepared.where("part = 'train'"), prepared.where("part = 'test'")
@@ -354,7 +354,9 @@ def windowed_counts(spark, sf_dir):
     counts = windows.windowed_counts(rows.select("ts", "event_type"), "ts", "event_type", "1 hour", "1 day")
     out = shared_path(spark, "windows")
     windows.write_updates(counts, f"{out}/updates", f"{out}/progress").awaitTermination()
-    return windows.latest(spark.read.parquet(f"{out}/updates"), ["window_start", "event_type"])
+    counts = windows.latest(spark.read.parquet(f"{out}/updates"), ["window_start", "event_type"])
+    # The event times carry no zone, so neither do the windows.
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

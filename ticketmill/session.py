@@ -46,10 +46,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`cut_lineage`, as a Parquet table: for wide rows that later steps read by column."""
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Like :func:`cut_lineage`, as a Parquet table: for wide rows that later steps read by column or partition."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
