@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketmill.functions.segmentation import segment_tokens
 from ticketmill.functions.tokens import exploded, without_words
 from ticketmill.operators.spans import segment_by_join
-from ticketmill.session import cut_lineage, join_lookup
+from ticketmill.session import by_key, cut_lineage, join_lookup
 
 # Words held inside one expression; longer lists are joined. The driver sees at most this many plus one.
 IN_ROW_WORDS = 50_000
@@ -61,7 +61,7 @@ def remove_words(
     listed = listed_words(stop, limit)
     if listed is not None:
         return df.withColumn(tokens_col, without_words(F.col(tokens_col), listed))
-    single = exploded(df.repartition(id_col), [id_col], F.col(tokens_col), "word")
+    single = exploded(by_key(df, id_col), [id_col], F.col(tokens_col), "word")
     kept = (
         join_lookup(single, cut_lineage(stop.select("word").distinct()), "word", "left_anti")
         .groupBy(id_col)

@@ -20,12 +20,13 @@ from ticketmill.functions.segmentation import (
     single_class,
 )
 from ticketmill.functions.tokens import exploded, let
-from ticketmill.session import cut_lineage, join_lookup
+from ticketmill.session import by_key, cut_lineage, join_lookup
 
 # Private-use characters that mark a word of length n in the text as chr(FIRST_MARK + n).
 FIRST_MARK, LAST_MARK = 0xE000, 0xF8FF
 ANY_MARK = "[\\x{e000}-\\x{f8ff}]"
 CUT = "\u0002"
+START = 4
 
 
 def _parts(df: DataFrame, id_col: str, text_col: str, protected, rules) -> DataFrame:
@@ -34,7 +35,7 @@ def _parts(df: DataFrame, id_col: str, text_col: str, protected, rules) -> DataF
     text = F.regexp_replace(text, F.lit(f"{ANY_MARK}|{CUT}"), F.lit(" "))
     pieces = around_protected(text, protected, rules, lambda part: F.array(F.concat(F.lit(CUT), part)))
     open_part = F.col("piece").startswith(CUT)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id")
+    texts = by_key(df.select(F.col(id_col).alias("id"), F.col(text_col)), "id")
     return exploded(texts, ["id"], pieces, "piece").select(
         "id",
         F.col("pos").alias("part_no"),
@@ -44,17 +45,27 @@ def _parts(df: DataFrame, id_col: str, text_col: str, protected, rules) -> DataF
 
 
 def _hits(parts: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
-    """Dictionary words found in the parts: ``id, part_no, pos, len, word``."""
-    windows = at_each_position(F.col("part"), f".{{1,{max(lengths)}}}")
-    candidate = F.array(
-        *[F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in lengths]
+    """Dictionary words found in the parts: ``id, part_no, pos, len, word``.
+
+    A first join on the first ``START`` characters (the whole of shorter words) says which lengths can occur at a
+    position, so that only those are looked up.
+    """
+    starts = cut_lineage(
+        words.groupBy(F.substring("word", 1, START).alias("start")).agg(
+            F.collect_set(F.length("word")).alias("lengths")
+        )
     )
+    windows = at_each_position(F.col("part"), f".{{1,{lengths[-1]}}}")
+    sizes = sorted({min(n, START) for n in lengths})
+    start = F.explode(F.array(*[F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in sizes]))
+    placed = exploded(parts, ["id", "part_no"], windows, "window").select("*", start.alias("start"))
     found = (
-        exploded(parts, ["id", "part_no"], windows, "window")
-        .select("id", "part_no", "pos", F.explode_outer(candidate).alias("word"))
-        .where(F.col("word").isNotNull())
+        join_lookup(placed, starts, "start", "inner")
+        .select("id", "part_no", "pos", "window", F.explode("lengths").alias("len"))
+        .where(F.length("window") >= F.col("len"))
+        .select("id", "part_no", "pos", "len", F.expr("substring(window, 1, len)").alias("word"))
     )
-    return join_lookup(found, words, "word", "inner").withColumn("len", F.length("word"))
+    return join_lookup(found, words, "word", "inner")
 
 
 def _finest(parts: DataFrame, hits: DataFrame, keep_punctuation: bool) -> DataFrame:
@@ -102,22 +113,26 @@ def _marked(part: Column, hits: Column) -> Column:
 
 def _longest(parts: DataFrame, hits: DataFrame, lengths: list[int], keep_punctuation: bool) -> DataFrame:
     best = hits.groupBy("id", "part_no", "pos").agg(F.max("len").alias("len"))
-    per_part = best.groupBy("id", "part_no").agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("hits"))
+    # The part travels as one more row: a join of parts and hits would shuffle both by part.
+    per_part = (
+        parts.unionByName(best, allowMissingColumns=True)
+        .groupBy("id", "part_no")
+        .agg(
+            F.max("part").alias("part"),
+            F.max("fixed").alias("fixed"),
+            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "len")))).alias("hits"),
+        )
+    )
     marks = F.array(*[F.lit(chr(FIRST_MARK + n)) for n in range(max(lengths) + 1)])
     char = f"(?:{ANY_MARK}?[^\\x{{e000}}-\\x{{f8ff}}])"
     word = "|".join(f"{chr(FIRST_MARK + n)}[^\\x{{e000}}-\\x{{f8ff}}]{char}{{{n - 1}}}" for n in lengths)
     # A run goes on over marks inside it; a mark at its start would have been taken as a word.
     run = f"{RUN}(?:{ANY_MARK}?{RUN})*"
     alone = f"(?!{ANY_MARK}){single_class(keep_punctuation)}"
-    no_hits = F.array().cast("array<struct<pos:int,len:int>>")
-    tokens = F.transform(
-        F.regexp_extract_all(
-            _marked(F.col("part"), F.coalesce(F.col("hits"), no_hits)), F.lit(f"{word}|{run}|{alone}"), F.lit(0)
-        ),
-        lambda t: F.regexp_replace(t, F.lit(ANY_MARK), F.lit("")),
-    )
-    done = parts.join(per_part, ["id", "part_no"], "left").withColumn("marks", marks)
-    done = done.select(
+    found = F.regexp_extract_all(_marked(F.col("part"), F.col("hits")), F.lit(f"{word}|{run}|{alone}"), F.lit(0))
+    unmarked = F.regexp_replace(F.array_join(found, CUT), F.lit(f"{ANY_MARK}+"), F.lit(""))
+    tokens = F.regexp_extract_all(unmarked, F.lit(f"[^{CUT}]+"), F.lit(0))
+    done = per_part.withColumn("marks", marks).select(
         "id", "part_no", F.when(F.col("fixed").isNotNull(), F.array("fixed")).otherwise(tokens).alias("tokens")
     )
     return done.groupBy("id").agg(

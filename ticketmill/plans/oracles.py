@@ -40,16 +40,21 @@ def _joined(tokens_sql: str) -> str:
 _RULE_PARTS = "CASE " + " ".join(f"WHEN p = '{k}' THEN [{_list(v)}]" for k, v in RULES.items()) + " ELSE [p] END"
 
 # Every dictionary word at every position, runs of Latin letters and digits, and uncovered letters.
-_SPANS = f"""
+_LITERAL_WORDS = f"SELECT unnest([{_list(WORDS)}]) AS word"
+_TABLE_WORDS = f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{RUN}+')) AS word FROM benchmark"
+
+
+def _spans(words: str) -> str:
+    return f"""
+    words AS ({words}),
     chars AS (
         SELECT doc_id, unnest(list) AS c, generate_subscripts(list, 1) AS pos
         FROM (SELECT doc_id, string_split(lower(text), '') AS list FROM documents)),
     ahead AS (
         SELECT *, regexp_matches(c, '{RUN}') AS in_run,
                string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY pos
-                                       ROWS BETWEEN CURRENT ROW AND {max(map(len, WORDS)) - 1} FOLLOWING) AS win
+                                       ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS win
         FROM chars),
-    words AS (SELECT unnest([{_list(WORDS)}]) AS word),
     hits AS (
         SELECT doc_id, pos, length(word) AS len, word AS tok
         FROM ahead JOIN words ON win[1] = word[1] AND starts_with(win, word)),
@@ -64,6 +69,14 @@ _SPANS = f"""
         WHERE NOT in_run AND regexp_matches(c, '{LETTER}')),
     spans AS (FROM hits UNION FROM runs UNION FROM alone)"""
 
+
+def _all_matches(words: str) -> str:
+    return f"""
+    WITH {_spans(words)}
+    SELECT doc_id, count(tok) AS n_tokens, coalesce(string_agg(tok, ' ' ORDER BY pos, -len), '') AS text
+    FROM documents LEFT JOIN (SELECT doc_id, pos, len, tok FROM spans) USING (doc_id) GROUP BY doc_id"""
+
+
 _INDEX = """
     SELECT {column} AS "group", count(*) AS n,
            (row_number() OVER (ORDER BY count(*) DESC, {column}) - 1)::DOUBLE AS label
@@ -102,12 +115,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "segment_protected": _joined(_around(PROTECTED, "[p]")),
         "segment_ambiguity": _joined(_around([*PROTECTED, *RULES], _RULE_PARTS)),
-        "segment_all_matches": f"""
-            WITH {_SPANS}
-            SELECT doc_id, count(tok) AS n_tokens, coalesce(string_agg(tok, ' ' ORDER BY pos, -len), '') AS text
-            FROM documents LEFT JOIN (SELECT doc_id, pos, len, tok FROM spans) USING (doc_id) GROUP BY doc_id""",
+        "segment_all_matches": _all_matches(_LITERAL_WORDS),
+        "segment_all_matches_join": _all_matches(_TABLE_WORDS),
+        "segment_max_match_join": _joined(f"""
+            SELECT doc_id, regexp_extract_all(lower(text), p.pattern) AS tokens
+            FROM documents, (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) || '|{RUN}+|{LETTER}'
+                                    AS pattern FROM ({_TABLE_WORDS})) p"""),
         "prepare_text": f"""
-            WITH {_SPANS}
+            WITH {_spans(_LITERAL_WORDS)}
             SELECT doc_id, any_value(lang) AS "group",
                    coalesce(string_agg(tok, ' ' ORDER BY pos, -len), '') AS text, any_value(text) AS orgtext
             FROM documents

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.config import ForestParams, PrepConfig, TrainConfig
+from ticketmill.functions.segmentation import RUN
 from ticketmill.functions.tokens import (
     exploded,
     inlined,
@@ -100,6 +101,20 @@ def segment_all_matches(spark, sf_dir):
     return counted(segment(texts(spark, sf_dir), "text", "tokens", WORDS, "finest"))
 
 
+def table_words(spark, sf_dir) -> DataFrame:
+    """A dictionary that grows with the data: the words of the benchmark passages."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(f"{RUN}+"), F.lit(0))
+    return exploded(table(spark, sf_dir, "benchmark"), [], runs, "word").select("word").distinct()
+
+
+def segment_max_match_join(spark, sf_dir):
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", table_words(spark, sf_dir), "longest", limit=0))
+
+
+def segment_all_matches_join(spark, sf_dir):
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", table_words(spark, sf_dir), "finest", limit=0))
+
+
 def segment_protected(spark, sf_dir):
     return counted(segment(texts(spark, sf_dir), "text", "tokens", WORDS, "longest", protected=PROTECTED))
 
@@ -370,6 +385,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drop_by_nature": drop_by_nature,
         "segment_max_match": segment_max_match,
         "segment_all_matches": segment_all_matches,
+        "segment_max_match_join": segment_max_match_join,
+        "segment_all_matches_join": segment_all_matches_join,
         "segment_protected": segment_protected,
         "segment_ambiguity": segment_ambiguity,
         "prepare_text": prepared_texts,

@@ -64,6 +64,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(2 * cores)
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition for row work that multiplies the data.
+
+    The number of partitions is given: adaptive execution would merge them by the size before that work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure ``df``, reading at most ``max_rows`` + 1 rows."""
     size = F.octet_length(F.to_json(F.struct("*")))
