@@ -1,6 +1,5 @@
 """Class filter, numbering, splits, indices, profile."""
 
-import duckdb
 import pytest
 from conftest import TICKETS, WORDS
 from pyspark.ml.feature import StringIndexer

@@ -92,7 +92,11 @@ def test_refit_gives_the_same_trees(spark, trained, prepared, tmp_path):
     config, result = trained
     again = TrainConfig("8", f"{tmp_path}/m", f"{tmp_path}/t", num_features=256, forest=SMALL, fit_partitions=2)
     other = train(prepared.repartition(5), prepared, again)
-    assert other.model.stages[-1].toDebugString.split("\n", 1)[1] == result.model.stages[-1].toDebugString.split("\n", 1)[1]
+
+    def trees(model):
+        return model.stages[-1].toDebugString.split("\n", 1)[1]
+
+    assert trees(other.model) == trees(result.model)
 
 
 def test_declared_classes_are_checked(spark, prepared, tmp_path):
@@ -143,7 +147,8 @@ def test_logistic_pipeline_saves_fits_and_scores(spark, tmp_path):
 
 def test_numeric_forest_decodes_labels(spark):
     rows = [(float(i % 7), float(i % 2) * 9, float(i % 3), 1.0, float(i % 2)) for i in range(60)]
-    df = assemble(spark.createDataFrame(rows, "f0 double, f1 double, f2 double, f3 double, label double"), ["f0", "f1", "f2", "f3"])
+    df = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, f3 double, label double")
+    df = assemble(df, ["f0", "f1", "f2", "f3"])
     scored = models.fit_numeric_forest(df, "label").transform(df)
     assert scored.where("cast(predicted_label as double) = label").count() == 60
     binary = models.fit_small_forest(df)
@@ -186,7 +191,8 @@ def test_windows_over_several_batches(spark, tmp_path):
         " if(id % 3 = 0, 'hot', concat('k', id % 5)) as kind from range(60)"
     )
     events.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/in")
-    rows = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    reader = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1)
+    rows = reader.parquet(f"{tmp_path}/in")
     counts = windowed_counts(rows, "ts", "kind", "1 hour", "1 day")
     write_updates(counts, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     got = latest(spark.read.parquet(f"{tmp_path}/out"), ["window_start", "kind"]).collect()

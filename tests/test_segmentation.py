@@ -108,6 +108,16 @@ def test_null_empty_and_control_text(spark):
             assert [r["tokens"] for r in rows] == [[], [], ["a", "b"], ["𠀀", "安装"]]
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("mode", ["finest", "longest"])
+def test_case_and_reserved_characters(spark, mode, limit):
+    words = word_table(spark, ["HP打印", "安装"])
+    text = "hp打印\ue005安装\u0002Hp打印 ON"
+    tokens = one(spark, text, words, mode, limit=limit, protected=["On"], keep_punctuation=True)
+    word = ["hp打印", "hp"] if mode == "finest" else ["hp打印"]
+    assert tokens == [*word, "安装", *word, "on"]
+
+
 def test_pattern_prefers_the_longest_word():
     words = ["a", "ab", "abc", "b.c", "".join(map(chr, range(0x4E00, 0x4E20)))]
     words += [chr(c) + "x" for c in range(0x5000, 0x5040)]

@@ -66,7 +66,8 @@ def test_dictionary_and_rules(spark, tmp_path):
         '        <td id="LC1" class="line">王小和\t王小\tnr\t和\tc</td>\n</tr>\n天气预报\t天气\tn\t预报\tn \n<p>none</p>\n',
         encoding="utf-8",
     )
-    rules = {r["phrase"]: [(p["word"], p["nature"]) for p in r["parts"]] for r in text.read_rules(spark, str(page)).collect()}
+    rows = text.read_rules(spark, str(page)).collect()
+    rules = {r["phrase"]: [(p["word"], p["nature"]) for p in r["parts"]] for r in rows}
     assert rules == {"王小和": [("王小", "nr"), ("和", "c")], "天气预报": [("天气", "n"), ("预报", "n")]}
     lexicon = make_lexicon(rules=text.read_rules(spark, str(page)))
     assert lexicon.rules["王小和"] == ["王小", "和"]

@@ -25,10 +25,17 @@ RUN = r"[\p{IsLatin}\p{M}0-9]"
 LETTER = r"[\p{L}\p{N}]"
 VISIBLE = r"[^\s\p{Z}]"
 MARK = "\u0001"
+# Characters that the plans use as marks; in texts they count as spaces.
+RESERVED = r"[\x{1}\x{2}\x{e000}-\x{f8ff}]"
 
 MODES = ("finest", "longest")
 
 
+def normalized(text: Column) -> Column:
+    """Lower case, '' for null, no reserved characters."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(RESERVED), F.lit(" "))
+
+
 def single_class(keep_punctuation: bool) -> str:
     return VISIBLE if keep_punctuation else LETTER
 
@@ -78,7 +85,7 @@ def _finest_in_runs(text: Column, layers: list[str], word: str, run: str, single
     starts = f"{word}|{run[:-1]}|{single}"
     pattern = "(?s)" + "".join(f"(?=({g})?)" for g in groups) + f".(?:(?!{starts}).)*+"
     found = MARK.join(f"${n}" for n in range(1, len(groups) + 1)) + MARK
-    listing = F.regexp_replace(F.translate(text, MARK, " "), F.lit(pattern), F.lit(found))
+    listing = F.regexp_replace(text, F.lit(pattern), F.lit(found))
     return F.regexp_extract_all(listing, F.lit(f"[^{MARK}]+"), F.lit(0))
 
 
@@ -132,8 +139,7 @@ def around_protected(
     kept = sorted({*phrases, *rules} - {""})
     if not kept:
         return inner(text)
-    clean = F.translate(text, MARK, " ")
-    marked = F.regexp_replace(clean, F.lit(f"({word_pattern(kept)})"), F.lit(f"{MARK}$1{MARK}"))
+    marked = F.regexp_replace(text, F.lit(f"({word_pattern(kept)})"), F.lit(f"{MARK}$1{MARK}"))
     whole = F.array
     if rules:
         table = F.create_map(
@@ -156,14 +162,14 @@ def segment_tokens(
     rules: Mapping[str, list[str]] | None = None,
     keep_punctuation: bool = False,
 ) -> Column:
-    """Token array of the lower-cased ``text``; null text gives no tokens."""
+    """Token array of the lower-cased ``text``; null text gives no tokens. Words match without regard to case."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     split = finest_tokens if mode == "finest" else longest_tokens
-    listed = sorted(set(words))
+    listed = sorted({w.lower() for w in words})
     return around_protected(
-        F.lower(F.coalesce(text, F.lit(""))),
-        protected,
-        rules or {},
+        normalized(text),
+        [p.lower() for p in protected],
+        {k.lower(): parts for k, parts in (rules or {}).items()},
         lambda part: split(part, listed, keep_punctuation),
     )

@@ -17,6 +17,7 @@ from ticketmill.functions.segmentation import (
     alone_patterns,
     around_protected,
     at_each_position,
+    normalized,
     single_class,
 )
 from ticketmill.functions.tokens import exploded, let
@@ -31,9 +32,11 @@ START = 4
 
 def _parts(df: DataFrame, id_col: str, text_col: str, protected, rules) -> DataFrame:
     """One row per stretch of text: ``fixed`` tokens (protected phrases, rule parts) or a ``part`` to segment."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    text = F.regexp_replace(text, F.lit(f"{ANY_MARK}|{CUT}"), F.lit(" "))
-    pieces = around_protected(text, protected, rules, lambda part: F.array(F.concat(F.lit(CUT), part)))
+    phrases = [p.lower() for p in protected]
+    lower_rules = {k.lower(): parts for k, parts in rules.items()}
+    pieces = around_protected(
+        normalized(F.col(text_col)), phrases, lower_rules, lambda part: F.array(F.concat(F.lit(CUT), part))
+    )
     open_part = F.col("piece").startswith(CUT)
     texts = by_key(df.select(F.col(id_col).alias("id"), F.col(text_col)), "id")
     return exploded(texts, ["id"], pieces, "piece").select(
@@ -152,7 +155,7 @@ def segment_by_join(
     keep_punctuation: bool = False,
 ) -> DataFrame:
     """Add the token array ``out_col``; ``id_col`` must identify the rows of ``df``."""
-    listed = cut_lineage(words.select("word").where(F.length("word") > 0).distinct())
+    listed = cut_lineage(words.select(F.lower("word").alias("word")).where(F.length("word") > 0).distinct())
     lengths = sorted(r[0] for r in listed.select(F.length("word")).distinct().collect())
     if not lengths or lengths[-1] > LAST_MARK - FIRST_MARK:
         raise ValueError(f"dictionary words must have 1..{LAST_MARK - FIRST_MARK} characters")
