@@ -86,6 +86,8 @@ def test_in_row_counts_and_positions(spark):
     assert [(e["word"], e["n"]) for e in rows[0]["c"]] == [("a", 1), ("b", 2), ("c", 2)]
     assert [(e["word"], e["pos"]) for e in rows[0]["f"]] == [("a", 1), ("b", 0), ("c", 3)]
     assert rows[1]["c"] == rows[2]["c"] == rows[1]["f"] == []
+    marks = spark.createDataFrame([("-- a, ... ,b +=! 。c。 " + "-" * 50_000,)], "t string")
+    assert marks.select(whitespace_tokens(F.col("t"), keep_punctuation=False)).first()[0] == ["a,", ",b", "。c。"]
 
 
 def test_vocabulary_and_documents_by_first_occurrence(spark):

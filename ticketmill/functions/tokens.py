@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PUNCTUATION = r"^[\p{P}\p{S}]+$"
+PUNCTUATION = r"[\p{P}\p{S}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,9 +15,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def whitespace_tokens(text: Column) -> Column:
-    """Lower-case tokens between runs of whitespace; no empty tokens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
+def whitespace_tokens(text: Column, keep_punctuation: bool = True) -> Column:
+    """Lower-case tokens between runs of whitespace; no empty tokens, on request none that is all punctuation."""
+    pattern = r"\S+" if keep_punctuation else rf"(?<!\S){PUNCTUATION}*+\S+"
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def exploded(df: DataFrame, keep: list[str], items: Column, value: str) -> DataFrame:
@@ -43,10 +44,6 @@ def without_words(tokens: Column, words: Iterable[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(listed))
 
 
-def without_punctuation(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~t.rlike(PUNCTUATION))
-
-
 def joined(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 

@@ -17,7 +17,6 @@ from ticketmill.functions.tokens import (
     joined,
     token_counts,
     whitespace_tokens,
-    without_punctuation,
 )
 from ticketmill.operators import corpus, evaluate, labels, models
 from ticketmill.operators.features import array_features, hashed_tf, sparse_entries
@@ -46,8 +45,9 @@ def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
-def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
+def tokenized(spark: SparkSession, sf_dir: str, keep_punctuation: bool = True) -> DataFrame:
+    tokens = whitespace_tokens(F.col("text"), keep_punctuation)
+    return texts(spark, sf_dir).select("doc_id", tokens.alias("tokens"))
 
 
 def counted(df: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def stopword_table_removal(spark, sf_dir):
 
 def drop_by_nature(spark, sf_dir):
     dictionary = spark.createDataFrame(NATURES, "word string, nature string")
-    kept = remove_words(tokenized(spark, sf_dir), "tokens", stop_natures(dictionary))
-    return counted(kept.withColumn("tokens", without_punctuation(F.col("tokens"))))
+    rows = tokenized(spark, sf_dir, keep_punctuation=False)
+    return counted(remove_words(rows, "tokens", stop_natures(dictionary)))
 
 
 def segment_max_match(spark, sf_dir):
