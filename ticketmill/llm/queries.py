@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketmill.llm import bpe, language
 from ticketmill.llm.decontaminate import find_contamination, is_contaminated
 from ticketmill.llm.url_filter import match_rules
 
@@ -29,6 +31,18 @@ def hash_remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = hash_remainder(4) == 2
+    model = language.fit(documents.filter(~held_out))
+    return language.predict(documents.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(documents, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
