@@ -1,7 +1,7 @@
 """Text scores by prediction by partial matching over bytes, beside a unigram baseline over words.
 
-The trie of byte contexts (up to five bytes) holds what followed each of them in the training texts. A symbol unseen in the longest
-context escapes to the next shorter one (escape method C), where symbols already ruled out are excluded; the last resort
+The trie of byte contexts (up to six bytes) holds what followed each of them in the training texts. A symbol unseen in the longest
+context escapes to the next shorter one (escape method D), where symbols already ruled out are excluded; the last resort
 is a uniform choice. The counts are pretrained, so the distribution after each context of the model is worked out once, and a document's code
 length is a sum of table entries.
 """
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ticketmill.llm.rows import prepare_session, slabs, store, text_bytes
 
-ORDER = 5
+ORDER = 6
 #: Stands before and after a text; no UTF-8 text has this byte.
 EDGE = 0xFF
 #: A context is in the model if it makes up this share of all places: at most 1 / share contexts of an order are kept.
-CONTEXT_SHARE = 1 / 50_000
+CONTEXT_SHARE = 1 / 100_000
 #: Tokens with at least this share of all are looked up in a broadcast table (at most 1 / share of them), the rest in a join.
 HOT_SHARE = 1 / 2_000_000
 #: Distinct tokens and grams that a task counts before it sends what it has.
@@ -133,16 +133,26 @@ def count_grams(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Trie:
-    """For each order from 0: its contexts, sorted, and the counts of the 256 symbols after each."""
+    """For each order from 0: its contexts, sorted, and what followed each: where its symbols begin, the symbols, their counts."""
 
     contexts: list[np.ndarray]
+    begins: list[np.ndarray]
+    symbols: list[np.ndarray]
     counts: list[np.ndarray]
 
+    def rows(self, order: int, at: np.ndarray) -> np.ndarray:
+        """Counts of the 256 symbols, a row for each of the given contexts."""
+        begin, length = self.begins[order][at], np.diff(self.begins[order])[at]
+        index = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+        out = np.zeros((len(at), 256))
+        out[np.repeat(np.arange(len(at)), length), self.symbols[order][index]] = self.counts[order][index]
+        return out
+
 
 def build_trie(grams: DataFrame) -> Trie:
     """Gather the model's contexts from the counts of all grams; its size is bounded by the context share."""
     total = grams.agg(F.sum("n")).first()[0] or 0
-    contexts, counts = [], []
+    trie = Trie([], [], [], [])
     for order in range(ORDER + 1):
         mask = (1 << 8 * order) - 1
         rows = grams.select(F.shiftright("gram", 8).bitwiseAND(F.lit(mask)).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
@@ -150,12 +160,13 @@ def build_trie(grams: DataFrame) -> Trie:
         frequent = rows.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= F.lit(total * CONTEXT_SHARE)).select("context")
         found = by_symbol.join(F.broadcast(frequent), "context").toArrow()  # both within 1 / share contexts
         of, symbol, n = (found[c].to_numpy() for c in ("context", "symbol", "n"))
-        listed = np.unique(of)
-        table = np.zeros((len(listed), 256))
-        table[np.searchsorted(listed, of), symbol] = n
-        contexts.append(listed.astype(np.int64))
-        counts.append(table)
-    return Trie(contexts, counts)
+        by = np.lexsort([symbol, of])
+        listed, begins = np.unique(of[by], return_index=True)
+        trie.contexts.append(listed.astype(np.int64))
+        trie.begins.append(np.append(begins, len(of)))
+        trie.symbols.append(symbol[by].astype(np.uint8))
+        trie.counts.append(n[by])
+    return trie
 
 
 def distributions(chain: list[np.ndarray]) -> np.ndarray:
@@ -167,11 +178,11 @@ def distributions(chain: list[np.ndarray]) -> np.ndarray:
         seen = open_counts > 0
         total, kinds = open_counts.sum(axis=1), seen.sum(axis=1)
         excluded = excluded | seen
-        # Method C: the escape counts once for each symbol seen; none is left to escape to when all are ruled out.
-        escape = np.where(excluded.all(axis=1), 0, kinds)
-        share = left / np.where(total > 0, total + escape, 1)
-        out += open_counts * share[:, None]
-        left = np.where(total > 0, escape * share, left)
+        # Method D: each symbol seen gives half a count to the escape, unless no symbol is left to escape to.
+        given = np.where(excluded.all(axis=1), 0.0, 0.5)
+        share = left / np.where(total > 0, total, 1)
+        out += np.where(seen, open_counts - given[:, None], 0.0) * share[:, None]
+        left = np.where(total > 0, given * kinds * share, left)
     rest = ~excluded
     return out + np.where(rest, (left / np.maximum(rest.sum(axis=1), 1))[:, None], 0.0)
 
@@ -183,7 +194,7 @@ class Coder:
     """
 
     def __init__(self, trie: Trie):
-        empty = trie.counts[0] if len(trie.counts[0]) else np.zeros((1, 256))
+        empty = trie.rows(0, np.zeros(1, int)) if len(trie.contexts[0]) else np.zeros((1, 256))
         known = np.flatnonzero(empty[0])
         self.width = len(known) + 1
         self.column = np.full(256, len(known), np.int64)
@@ -196,10 +207,10 @@ class Coder:
             listed = trie.contexts[order]
             for i in range(0, len(listed), 2048):
                 some = listed[i : i + 2048]
-                chain = [trie.counts[order][i : i + 2048]]
+                chain = [trie.rows(order, i + np.arange(len(some)))]
                 for shorter in range(order - 1, 0, -1):
                     at = np.searchsorted(trie.contexts[shorter], some & ((1 << 8 * shorter) - 1))
-                    chain.append(trie.counts[shorter][at])  # a suffix is at least as frequent, so it is in the model
+                    chain.append(trie.rows(shorter, at))  # a suffix is at least as frequent, so it is in the model
                 chain.append(np.repeat(empty, len(some), axis=0))
                 tables.append(np.log10(distributions(chain))[:, kept])
             rows.append(done + np.arange(len(listed)))
