@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, fingerprints, language, pii, ppm
+from ticketmill.llm import bpe, fingerprints, language, pii, ppm, repeats
 from ticketmill.llm.decontaminate import find_contamination, is_contaminated
 from ticketmill.llm.url_filter import match_rules
 
@@ -63,6 +63,10 @@ def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"), hash_remainder(7) == 2)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(documents, pii.fit(documents)).drop("text")
