@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, fingerprints, language, pii, ppm, repeats
+from ticketmill.llm import bpe, fingerprints, language, order_minhash, pii, ppm, repeats
 from ticketmill.llm.decontaminate import find_contamination, is_contaminated
 from ticketmill.llm.url_filter import match_rules
 
@@ -35,6 +35,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "stays")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = hash_remainder(4) == 2
