@@ -11,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import prepare_session, store, text_hash
+from ticketmill.llm.rows import join_by_row, prepare_session, store, text_hash
 from ticketmill.session import join_lookup
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIZE = 13
 
 
 def words(text: str = "text") -> Column:
     """Words of a text: A-Z lower-cased, runs of letters, digits and non-ASCII characters; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(F.regexp_replace(lowered, NO_WORD, " "), " "), "")
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -119,5 +120,4 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = SI
     """The documents that are not contaminated, with their columns."""
     found = find_contamination(documents, benchmark, size)
     bad = found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id", "th").distinct()
-    keyed = documents.withColumn("_th", text_hash())
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_th"] == bad["th"]), "left_anti").drop("_th")
+    return join_by_row(documents, bad, "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.llm.components import components
 from ticketmill.llm.fingerprints import CACHE_BYTES
-from ticketmill.llm.rows import map_batches, prepare_session, slabs, store, text_bytes, text_hash
+from ticketmill.llm.rows import fresh, join_by_row, map_batches, prepare_session, slabs, store, text_bytes, text_hash
 from ticketmill.llm.shingles import mix, random_words, shingle_hashes, word_hashes
 
 #: Hash functions; a pair whose shingles' similarity is j agrees in about j * j of them.
@@ -246,10 +246,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
 def drop_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, with its columns."""
     found = store(near_duplicates(documents, similarity), "classes")
-    kept = found.groupBy("doc_id", "th").agg(F.max("stays").alias("stays"), F.count("*").alias("k")).filter("stays").withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    keyed = documents.withColumn("_own", text_hash())
-    joined = keyed.join(kept.select("_id", "_th", "k"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")))
-    once = joined.filter("k = 1")
-    # Rows equal in id and text: one of them.
-    several = joined.filter("k > 1").dropDuplicates(["doc_id", "_own"])
-    return once.unionByName(several).select(*documents.columns)
+    times = fresh(documents, "times")
+    kept = found.groupBy("doc_id", "th").agg(F.max("stays").alias("stays"), F.count("*").alias(times)).filter("stays").drop("stays")
+    joined = join_by_row(documents, kept, "inner")
+    # Rows equal in id and text, and so in all that the operator looks at: one of them.
+    several = joined.filter(F.col(times) > 1).dropDuplicates(["doc_id", "text"])
+    return joined.filter(F.col(times) == 1).unionByName(several).select(*documents.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, fingerprints, language, order_minhash, pii, ppm, repeats
+from ticketmill.llm import bpe, fingerprints, language, line_dedup, order_minhash, pii, ppm, repeats
 from ticketmill.llm.decontaminate import find_contamination, is_contaminated
 from ticketmill.llm.url_filter import match_rules
 
@@ -63,6 +63,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_common_lines(documents).select("doc_id", "n_lines", "n_removed", "earlier", "text")
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"), hash_remainder(7) == 2)
 

@@ -45,9 +45,21 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of the row keys (doc_id, th)."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_by_row(documents: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join ``found`` (doc_id, th, ...) to the rows it is about; its other columns must not clash. The keys of ``found`` go."""
+    own, found_id, found_th = (fresh(documents, c) for c in ("own_th", "found_id", "found_th"))
+    keyed = documents.withColumn(own, text_hash())
+    named = found.withColumnsRenamed({"doc_id": found_id, "th": found_th})
+    condition = keyed["doc_id"].eqNullSafe(named[found_id]) & (keyed[own] == named[found_th])
+    return keyed.join(named, condition, how).drop(own, found_id, found_th)
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
