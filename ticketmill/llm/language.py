@@ -186,6 +186,6 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return map_batches(documents, run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
-def is_rejected(lang_pred: Column, score: Column, least: float = 0.5) -> Column:
-    """No language, or none that has half of the confidence."""
+def is_rejected(lang_pred: Column, score: Column, least: float = 0.3) -> Column:
+    """No language, or none that stands out: a single unknown word may still have one."""
     return (lang_pred == UNDETERMINED) | (score < least)

@@ -19,7 +19,7 @@ def _aside(documents: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]
 
 
 def identify_language(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the documents' own languages; documents without a language go, and those of which no language has half of the confidence."""
+    """Learn from the documents' own languages; documents without a language go, and those for which none stands out."""
     columns = documents.columns
     model = language.fit(documents)
     renamed, back = _aside(documents, "lang_pred", "score")
