@@ -21,6 +21,7 @@ from ticketmill.llm.components import components
 from ticketmill.llm.fingerprints import CACHE_BYTES
 from ticketmill.llm.rows import fresh, join_by_row, map_batches, prepare_session, slabs, store, text_bytes, text_hash
 from ticketmill.llm.shingles import mix, random_words, shingle_hashes, word_hashes
+from ticketmill.session import join_lookup
 
 #: Hash functions; a pair whose shingles' similarity is j agrees in about j * j of them.
 SKETCHES = 24
@@ -218,7 +219,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
 
     # Only texts in some pair move from here on.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    words = store(read.select("rid", "words").join(wanted, "rid").withColumnRenamed("rid", "node"), "words")
+    words = store(join_lookup(read.select("rid", "words"), store(wanted, "wanted"), "rid", "inner").withColumnRenamed("rid", "node"), "words")
     best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     links = store(_verify(best, words, similarity), "links")
     label = components(links)
