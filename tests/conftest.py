@@ -28,21 +28,21 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-# Synthetic tickets: label and text.
+# Invented tickets of a bicycle workshop: label and text.
 TICKETS = [
-    ("打印问题", "打印机不能打印，驱动安装不上"),
-    ("打印问题", "打印机重启后报错"),
-    ("打印问题", "hp1020 打印机子坏了"),
-    ("传真问题", "传真 发不出去"),
-    ("传真问题", "不能传真，重启也不行"),
-    ("驱动问题", "驱动安装不上重启hp1020"),
-    ("网络问题", "网络超时"),
-    ("传真问题", "传真机卡纸"),
-    ("打印问题", "打印质量差"),
-    ("驱动问题", "驱动下载找不到"),
+    ("骑行问题", "骑行具不能骑行，刹车调整不上"),
+    ("骑行问题", "骑行具更换后异响"),
+    ("骑行问题", "bk1020 骑行具子旧了"),
+    ("链条问题", "链条 转不起来"),
+    ("链条问题", "不能链条，更换也不行"),
+    ("刹车问题", "刹车调整不上更换bk1020"),
+    ("灯光问题", "灯光闪烁"),
+    ("链条问题", "链条具生锈"),
+    ("骑行问题", "骑行速度慢"),
+    ("刹车问题", "刹车订购寻不到"),
 ]
 
-WORDS = ["安装", "驱动", "驱动安装", "重启", "安装不上", "打印", "打印机", "机子", "传真", "不能", "网络", "超时"]
+WORDS = ["调整", "刹车", "刹车调整", "更换", "调整不上", "骑行", "骑行具", "具子", "链条", "不能", "灯光", "闪烁"]
 
 
 @pytest.fixture(scope="session")

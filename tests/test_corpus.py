@@ -27,10 +27,21 @@ def test_numbers_with_a_third_of_rows_on_one_value(spark):
 
 @pytest.mark.parametrize("max_rows", [100, 0])
 def test_singleton_classes_go_on_both_plans(spark, max_rows):
-    rows = [(i, "hot") for i in range(40)] + [(100, "one"), (101, "two"), (102, "two"), (103, None)]
+    """Repeated and null ids change nothing: rows stay or go by their class alone."""
+    rows = [(i, "hot") for i in range(40)] + [(100, "one"), (101, "two"), (102, "two"), (103, None), (100, "hot"), (None, "two"), (None, "three")]
     df = spark.createDataFrame(rows, "doc_id long, group string").repartition(5)
-    kept = corpus.drop_singleton_classes(df, "group", "doc_id", max_rows).collect()
-    assert sorted(r["doc_id"] for r in kept) == [*range(40), 101, 102]
+    kept = corpus.drop_singleton_classes(df, "group", "doc_id", max_rows)
+    assert kept.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [*range(40), 101, 102, 100, None]))
+
+
+def test_numbers_with_and_without_gaps_in_the_ids(spark):
+    rows = [(i, "a" if i % 2 else "b", "t") for i in range(30)]
+    for ids in (lambda i: i, lambda i: i + 7, lambda i: 3 * i, lambda i: i * i):
+        df = spark.createDataFrame([(ids(i), g, t) for i, g, t in rows], "doc_id long, group string, t string").repartition(4)
+        split = corpus.with_parts(df, "doc_id", "group", 4).orderBy("doc_id").collect()
+        assert [r["row_num"] for r in split] == list(range(1, 31))
+        assert [r["part"] == "test" for r in split] == [n % 4 == 0 for n in range(1, 31)]
 
 
 def test_dropped_rows_use_up_numbers(spark, tickets):
@@ -43,7 +54,7 @@ def test_dropped_rows_use_up_numbers(spark, tickets):
 def test_lookup_joins_agree_with_and_without_broadcast(spark, tickets, max_rows):
     index = labels.label_index(tickets, "group", "j")
     lookup = index.select("group", "label")
-    assert fits_broadcast(lookup, 4) and not fits_broadcast(lookup, 3)
+    assert fits_broadcast(lookup, 4) and not fits_broadcast(lookup, 3) and not fits_broadcast(lookup, 4, 10)
     joined = join_lookup(tickets, lookup, "group", "left", max_rows)
     assert joined.where("label = 0").count() == 4
 
@@ -101,16 +112,26 @@ def test_vocabulary_and_documents_by_first_occurrence(spark):
 
 def test_prepare_splits_kept_rows_once(spark, tickets):
     config = PrepConfig(mod=5, mode="longest")
-    lexicon = make_lexicon(WORDS, ["不"], ["安装不上"])
+    lexicon = make_lexicon(WORDS, ["不"], ["调整不上"])
     for df in (tickets, tickets.repartition(6)):
         train, test = prepare(df, lexicon, config)
         assert sorted(r["doc_id"] for r in train.collect()) == [1, 2, 3, 4, 6, 8, 9]
         assert sorted(r["doc_id"] for r in test.collect()) == [5, 10]
         assert train.columns == ["doc_id", "group", "text", "orgtext"]
-        assert train.where("doc_id = 6").first()["text"] == "驱动 安装不上 重启 hp1020"
+        assert train.where("doc_id = 6").first()["text"] == "刹车 调整不上 更换 bk1020"
         assert not any("不" in r["text"].split(" ") for r in train.union(test).collect())
 
 
+def test_prepare_drops_words_by_nature(spark, tickets):
+    dictionary = spark.createDataFrame([(w, "nr" if w == "链条" else None) for w in WORDS] + [("，", "w")], "word string, nature string")
+    config = PrepConfig(mod=100, mode="longest", keep_punctuation=True)
+    rules = spark.createDataFrame([("骑行具", [("骑行", "v"), ("具", "nr")])], "phrase string, parts array<struct<word:string,nature:string>>")
+    for stop in (["不"], spark.createDataFrame([("不",)], "word string")):
+        train, _ = prepare(tickets, make_lexicon(dictionary, stop, rules=rules), config)
+        words = {w for r in train.collect() for w in r["text"].split(" ")}
+        assert not words & {"链条", "，", "不", "骑行具"} and {"骑行", "刹车调整"} <= words
+
+
 def test_prepare_counts_unusable_rows(spark):
     from ticketmill.plans.prepare import dropped_rows
 
@@ -130,4 +151,4 @@ def test_profile_counts(spark, tickets):
     assert counts["class"]["n_chars"] == sum(len(g) + len(t) for g, t in TICKETS)
     assert counts["word"]["n_distinct"] == result["vocabulary"].count()
     assert counts["text"]["n_distinct"] == result["documents"].count() == 10
-    assert {r["group"] for r in result["classes"].collect()} == {"打印问题", "传真问题", "驱动问题"}
+    assert {r["group"] for r in result["classes"].collect()} == {"骑行问题", "链条问题", "刹车问题"}

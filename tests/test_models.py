@@ -1,7 +1,11 @@
 """Train, save, load, score, evaluate; batch and stream."""
 
+import os
+import subprocess
+import sys
+
 import pytest
-from conftest import TICKETS, WORDS
+from conftest import DATA, TICKETS, WORDS
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF
@@ -10,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ticketmill import PrepConfig, ScoreConfig, TrainConfig, prepare_text, score, train
 from ticketmill.config import ForestParams
-from ticketmill.operators import evaluate, models
+from ticketmill.operators import evaluate, labels, models
 from ticketmill.operators.features import array_features, assemble, hashed_tf, sparse_entries
 from ticketmill.plans.lexicon import Lexicon
 from ticketmill.plans.score import scored_unlabelled
+from ticketmill.session import shared_dir
 from ticketmill.sinks.tables import save_stage
 from ticketmill.sources import saved
 from ticketmill.streaming.score import score_stream
@@ -53,6 +58,51 @@ def test_settings_reach_the_forest(trained):
     assert forest.getSeed() == 1234
 
 
+def test_a_job_that_runs_again_replaces_its_rows(spark, prepared, tmp_path):
+    config = TrainConfig("3", f"{tmp_path}/m", f"{tmp_path}/t", num_features=64, forest=SMALL)
+    before = os.listdir(shared_dir(spark) + f"/ticketmill/{spark.sparkContext.applicationId}")
+    for _ in range(2):
+        train(prepared, prepared, config)
+    assert os.listdir(shared_dir(spark) + f"/ticketmill/{spark.sparkContext.applicationId}") == before
+    index = saved.load_label_index(spark, f"{config.output_dir}/label_index", "3")
+    coded = labels.encode(prepared.select("doc_id", "group"), index, "group")
+    assert labels.decode(coded, index, "label", "name").count() == len(TICKETS)
+    assert saved.load_job_table(spark, f"{config.output_dir}/evaluated_predictions", "3").count() == len(TICKETS)
+    train(prepared, prepared, TrainConfig("4", f"{tmp_path}/m", f"{tmp_path}/t", num_features=64, forest=SMALL))
+    assert saved.load_label_index(spark, f"{config.output_dir}/label_index", "3").count() == 4
+
+
+def test_missing_labels_are_misses(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (0.0, None), (0.0, 1.0)], "label double, prediction double")
+    right, wrong = evaluate.accuracy(df).first(), evaluate.test_error(df).first()
+    assert (right["n_correct"], wrong["n_wrong"]) == (1, 3) and right["accuracy"] + wrong["test_error"] == 1
+    assert evaluate.misclassified(df).count() == 3
+
+
+REPEATED = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from ticketmill.plans import queries
+spark = (
+    SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+    .config("spark.checkpoint.dir", sys.argv[2]).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+)
+rows = queries.forest_numeric(spark, sys.argv[3]).collect() + queries.forest_binary(spark, sys.argv[3]).collect()
+print("ROWS", hashlib.md5(str(sorted(map(str, rows))).encode()).hexdigest())
+"""
+
+
+def test_numeric_forests_are_the_same_in_two_processes(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import hashlib" + REPEATED
+    found = {
+        subprocess.run([sys.executable, "-c", code, root, str(tmp_path), DATA], capture_output=True, text=True, timeout=300).stdout
+        for _ in range(2)
+    }
+    assert len(found) == 1 and found.pop().startswith("ROWS")
+
+
 def test_model_path_carries_the_job(trained):
     config, _ = trained
     assert config.model_path.endswith("job_id=7")
@@ -111,15 +161,19 @@ def test_forest_saves_and_reports(spark, trained, tmp_path):
     save_stage(forest, f"{tmp_path}/forest")
     again = saved.load_forest(f"{tmp_path}/forest")
     assert isinstance(again, RandomForestClassificationModel)
-    report = models.tree_report(again, spark).collect()
-    assert len(report) == 5 and all(r["n_nodes"] >= 1 and r["depth"] <= 4 for r in report)
-    importance = models.feature_report(again, spark).agg(F.sum("importance")).first()[0]
-    assert importance == pytest.approx(1)
+    report = {r["tree"]: r for r in models.tree_report(spark, f"{tmp_path}/forest").collect()}
+    trees = dict(enumerate(zip(again.trees, again.treeWeights)))
+    assert {i: (r["depth"], r["n_nodes"], r["weight"]) for i, r in report.items()} == {
+        i: (t.depth, t.numNodes, w) for i, (t, w) in trees.items()
+    }
+    importance = {r["feature"]: r["importance"] for r in models.feature_report(spark, f"{tmp_path}/forest").collect()}
+    known = again.featureImportances
+    assert importance == pytest.approx({int(i): v for i, v in zip(known.indices, known.values)})
 
 
 def test_hashing_goldens(spark):
     # Buckets of HashingTF with 6900 features.
-    known = {"spark": 1086, "传真": 5776, "abcd": 5500, "打印机": 1662, "x": 822}
+    known = {"spark": 1086, "abcd": 5500, "x": 822}
     df = spark.createDataFrame([([w, w],) for w in known], "words array<string>")
     rows = hashed_tf(df, "words", 6900).select("words", F.inline(sparse_entries("features"))).collect()
     assert {r["words"][0]: (r["bucket"], r["tf"]) for r in rows} == {w: (b, 2.0) for w, b in known.items()}
@@ -127,7 +181,7 @@ def test_hashing_goldens(spark):
 
 
 def test_logistic_pipeline_saves_fits_and_scores(spark, tmp_path):
-    rows = [(0, "a b c d e spark", 1.0), (1, "b d", 0.0), (2, "spark f g h", 1.0), (3, "hadoop mapreduce", 0.0)]
+    rows = [(0, "red bell and light", 1.0), (1, "old rim", 0.0), (2, "light pump spoke", 1.0), (3, "saddle post", 0.0)]
     data = spark.createDataFrame(rows, "id long, text string, label double")
     pipeline = models.text_pipeline()
     save_stage(pipeline, f"{tmp_path}/unfit")
@@ -135,7 +189,7 @@ def test_logistic_pipeline_saves_fits_and_scores(spark, tmp_path):
     save_stage(model, f"{tmp_path}/fit")
     save_stage(model, f"{tmp_path}/fit")
     test = spark.createDataFrame(
-        [(4, "spark i j k"), (5, "l m n"), (6, "mapreduce spark"), (7, "apache hadoop")], "id long, text string"
+        [(4, "light frame"), (5, "chain"), (6, "saddle light"), (7, "post rim")], "id long, text string"
     )
     scored = scored_unlabelled(saved.load_pipeline_model(f"{tmp_path}/fit"), test, ["id"]).orderBy("id").collect()
     assert [r["id"] for r in scored] == [4, 5, 6, 7] and scored[3]["prediction"] == 0.0
@@ -149,9 +203,15 @@ def test_numeric_forest_decodes_labels(spark):
     rows = [(float(i % 7), float(i % 2) * 9, float(i % 3), 1.0, float(i % 2)) for i in range(60)]
     df = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, f3 double, label double")
     df = assemble(df, ["f0", "f1", "f2", "f3"])
-    scored = models.fit_numeric_forest(df, "label").transform(df)
+    df = df.withColumn("id", F.monotonically_increasing_id())
+    scored = models.fit_numeric_forest(df, "label", "id").transform(df)
     assert scored.where("cast(predicted_label as double) = label").count() == 60
-    binary = models.fit_small_forest(df)
+    assert evaluate.test_error(scored, "indexed_label").first()["n_wrong"] == 0
+    rare = df.withColumn("label", F.when(F.col("id") == df.agg(F.max("id")).first()[0], 7.0).otherwise(F.col("label")))
+    part = rare.where("label < 7")
+    scored = models.fit_numeric_forest(part, "label", "id", rare).transform(rare)
+    assert evaluate.test_error(scored, "indexed_label").first()["n_wrong"] == 1
+    binary = models.fit_small_forest(df, "id")
     assert binary.getNumTrees == 3
     assert evaluate.test_error(binary.transform(df)).first()["test_error"] == 0.0
 

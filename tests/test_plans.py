@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry_points
-from ticketmill.session import CHECKPOINT_KEY, shared_dir, spread
+from ticketmill.session import CHECKPOINT_KEY, fits_broadcast, shared_dir, spread
 
 QUERIES = entry_points.queries()
 # Queries that return a lazy plan over the tables; the others store results on the way.
@@ -45,6 +45,25 @@ def test_scans_read_only_needed_columns(spark, name, columns):
         assert {f.split(":")[0] for f in fields.split(",")} == columns
 
 
+def test_preparation_moves_no_text(spark):
+    plan = plan_of(QUERIES["prepare_split"](spark, DATA))
+    # A small input is spread once below the plan; nothing else carries a text.
+    for line in plan.splitlines():
+        if "Exchange" in line and "RoundRobinPartitioning" not in line:
+            assert "Broadcast" in line or "text" not in line, line
+    assert "SortMergeJoin" not in plan
+
+
+def test_lookups_are_measured_in_partial_sums(spark, monkeypatch):
+    """No task counts the rows of all others: what meets in one partition is a sum from each."""
+    df = spark.range(100)
+    plans = []
+    first = type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: (plans.append(plan_of(self)), first(self))[1])
+    fits_broadcast(df)
+    assert "Limit" not in plans[0] and "partial_count" in plans[0]
+
+
 def test_generated_rows_add_no_filter_below_the_spread(spark):
     """A filter on the array's size would compute the tokens once more in the scan stage."""
     assert "size(regexp_extract_all" not in plan_of(QUERIES["term_frequency"](spark, DATA))

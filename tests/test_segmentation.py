@@ -1,17 +1,24 @@
 """Segmentation against goldens, brute force and its own second plan."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from ticketmill.functions.patterns import prefix_layers, word_pattern
+from ticketmill.functions.patterns import forks, prefix_layers, word_pattern
 from ticketmill.functions.segmentation import in_run
 from ticketmill.operators.segment import remove_words, segment, stop_natures
 
-GOLDEN_WORDS = ["安装", "驱动", "驱动安装", "重启", "安装不上"]
-TEXT = "驱动安装不上重启hp1020"
+GOLDEN_WORDS = ["调整", "刹车", "刹车调整", "更换", "调整不上"]
+TEXT = "刹车调整不上更换bk1020"
+
+
+# The plans: one expression, words held by the workers, words joined with positions.
+PLANS = [{"limit": 1000}, {"limit": 0}, {"limit": 0, "held_rows": 0}]
 
 
 def one(spark, text, words, mode, **options):
@@ -53,44 +60,45 @@ def brute_longest(text, words, keep=False):
     return out
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_goldens(spark, limit):
+@pytest.mark.parametrize("plan", PLANS)
+def test_goldens(spark, plan):
     words = word_table(spark, GOLDEN_WORDS)
-    assert one(spark, TEXT, words, "longest", limit=limit) == ["驱动安装", "不", "上", "重启", "hp1020"]
-    assert one(spark, TEXT, words, "longest", limit=limit, protected=["安装不上"]) == [
-        "驱动", "安装不上", "重启", "hp1020",
+    assert one(spark, TEXT, words, "longest", **plan) == ["刹车调整", "不", "上", "更换", "bk1020"]
+    assert one(spark, TEXT, words, "longest", **plan, protected=["调整不上"]) == [
+        "刹车", "调整不上", "更换", "bk1020",
     ]
-    assert one(spark, TEXT, words, "finest", limit=limit) == [
-        "驱动安装", "驱动", "安装不上", "安装", "重启", "hp1020",
+    assert one(spark, TEXT, words, "finest", **plan) == [
+        "刹车调整", "刹车", "调整不上", "调整", "更换", "bk1020",
     ]
 
 
-@pytest.mark.parametrize("alphabet", ["安装驱动打印机上hpé3 。x", "hpé3x 。"])
+@pytest.mark.parametrize("alphabet", ["调整刹车骑行具上bké3 。x", "bké3x 。"])
 @pytest.mark.parametrize("keep", [False, True])
 def test_random_texts_match_brute_force(spark, alphabet, keep):
     rng = random.Random(7)
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     letters = alphabet.replace(" ", "")
     words = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 2, 3, 4]))) for _ in range(30)})
-    if "安" not in alphabet:
+    if "调" not in alphabet:
         words = [w for w in words if all(map(in_run, w))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").repartition(3).cache()
     for mode, brute in (("finest", brute_finest), ("longest", brute_longest)):
-        for limit in (1000, 0):
+        for plan in PLANS:
             result = segment(
-                df, "t", "tokens", word_table(spark, words), mode, keep_punctuation=keep, limit=limit
+                df, "t", "tokens", word_table(spark, words), mode, keep_punctuation=keep, **plan
             ).collect()
             assert len(result) == len(texts)
             for row in result:
-                assert row["tokens"] == brute(row["t"], words, keep), (mode, limit, row["t"], words)
+                assert row["tokens"] == brute(row["t"], words, keep), (mode, plan, row["t"], words)
 
 
 @pytest.mark.parametrize("mode", ["finest", "longest"])
-@pytest.mark.parametrize("limit", [100, 0])
-def test_rules_replace_phrases(spark, mode, limit):
-    words = word_table(spark, ["和尚", "确定"])
-    tokens = one(spark, "大和尚的确定不", words, mode, limit=limit, rules={"的确定不": ["的确", "定", "不"]})
-    assert tokens == ["大", "和尚", "的确", "定", "不"]
+@pytest.mark.parametrize("plan", PLANS)
+def test_rules_replace_phrases(spark, mode, plan):
+    words = word_table(spark, ["车铃", "新车"])
+    tokens = one(spark, "红车铃买新车铃", words, mode, **plan, rules={"新车铃": ["新", "车铃"], "x": []}, protected=["买"])
+    assert tokens == ["红", "车铃", "买", "新", "车铃"]
+    assert one(spark, "车铃x车铃", words, mode, **plan, rules={"x": []}) == ["车铃", "车铃"]
 
 
 def test_longest_tokens_give_back_the_text(spark, tickets):
@@ -100,22 +108,66 @@ def test_longest_tokens_give_back_the_text(spark, tickets):
 
 
 def test_null_empty_and_control_text(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "a\u0001b"), (4, "𠀀安装")], "doc_id long, t string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a\u0001b"), (4, "𠀀调整")], "doc_id long, t string")
     for mode in ("finest", "longest"):
-        for limit in (100, 0):
-            words = word_table(spark, ["安装", "ab"])
-            rows = segment(df, "t", "tokens", words, mode, protected=["zz"], limit=limit).orderBy("doc_id").collect()
-            assert [r["tokens"] for r in rows] == [[], [], ["a", "b"], ["𠀀", "安装"]]
+        for plan in PLANS:
+            words = word_table(spark, ["调整", "ab"])
+            rows = segment(df, "t", "tokens", words, mode, protected=["zz"], **plan).orderBy("doc_id").collect()
+            assert [r["tokens"] for r in rows] == [[], [], ["a", "b"], ["𠀀", "调整"]]
 
 
-@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("mode", ["finest", "longest"])
-def test_case_and_reserved_characters(spark, mode, limit):
-    words = word_table(spark, ["HP打印", "安装"])
-    text = "hp打印\ue005安装\u0002Hp打印 ON"
-    tokens = one(spark, text, words, mode, limit=limit, protected=["On"], keep_punctuation=True)
-    word = ["hp打印", "hp"] if mode == "finest" else ["hp打印"]
-    assert tokens == [*word, "安装", *word, "on"]
+def test_case_and_private_characters(spark, mode, plan):
+    """Characters for private use and control characters are text like any other."""
+    words = word_table(spark, ["BK骑行", "调整", "骑\ue123行", "\ue005", "\u0001\u0002"])
+    text = "bk骑行\ue005调整\u0002Bk骑行 ON骑\ue123行\u0001\u0002"
+    tokens = one(spark, text, words, mode, **plan, protected=["On"], keep_punctuation=True)
+    word = ["bk骑行", "bk"] if mode == "finest" else ["bk骑行"]
+    assert tokens == [*word, "\ue005", "调整", "\u0002", *word, "on", "骑\ue123行", "\u0001\u0002"]
+    assert one(spark, text, words, mode, **plan)[:2] == word[:2] if mode == "finest" else True
+
+
+@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("mode", ["finest", "longest"])
+def test_long_words_and_long_texts(spark, mode, plan):
+    rng = random.Random(5)
+    long_word = "".join(rng.choice("调整刹车ab") for _ in range(10_000))
+    words = [long_word, long_word[:40], "刹车"]
+    text = "调" + long_word + " " + long_word[:60] + "整整"
+    assert one(spark, text, word_table(spark, words), mode, keep_punctuation=True, **plan) == (
+        brute_finest if mode == "finest" else brute_longest
+    )(text, words, True)
+    prefixes = ["a" * n for n in range(1, 300)]
+    assert one(spark, "a" * 120, word_table(spark, prefixes), mode, **plan) == (
+        brute_finest if mode == "finest" else brute_longest
+    )("a" * 120, prefixes)
+
+
+LONG_RUN = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from ticketmill.operators.segment import segment
+spark = (
+    SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+    .config("spark.checkpoint.dir", sys.argv[2]).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+)
+df = spark.createDataFrame([(1, "k" * 1_000_000), (2, "kb" * 500 + "刹车" * 500)], "doc_id long, t string")
+words = spark.createDataFrame([("刹车",), ("kq",), ("x",)], "word string")
+for plan in ({"limit": 100}, {"limit": 0}, {"limit": 0, "held_rows": 0}):
+    for mode in ("longest", "finest"):
+        rows = segment(df, "t", "tokens", words, mode, protected=["zz"], **plan).select("doc_id", F.size("tokens").alias("n")).collect()
+        assert {r.doc_id: r.n for r in rows} == {1: 1, 2: 501}, (plan, mode, rows)
+print("all plans done")
+"""
+
+
+def test_a_million_letters_in_a_fresh_jvm(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", LONG_RUN, root, str(tmp_path)], capture_output=True, text=True, timeout=600)
+    assert "all plans done" in done.stdout, done.stderr[-2000:]
 
 
 def test_pattern_prefers_the_longest_word():
@@ -126,19 +178,22 @@ def test_pattern_prefers_the_longest_word():
         assert re.match(pattern, word + "!").group() == word
     assert re.match(pattern, "bxc") is None
     assert [sorted(x) for x in prefix_layers(["a", "ab", "abc", "b"])] == [["a", "b"], ["ab"], ["abc"]]
+    assert re.match(word_pattern(["y" * 20_000, "z"]), "y" * 20_000)
+    assert forks(["a" * n for n in range(1, 50)]) == 48 and forks(["abc", "abd", "x", "y"]) == 1
 
 
 @pytest.mark.parametrize("limit", [100, 0])
 def test_stop_words_keep_order_repeats_and_case(spark, limit):
     df = spark.createDataFrame([(1, ["b", "a", "b", "A", "c"]), (2, ["a"]), (3, [])], "doc_id long, t array<string>")
     stop = word_table(spark, ["a", "c", "a"])
-    rows = remove_words(df, "t", stop, limit=limit).orderBy("doc_id").collect()
+    rows = remove_words(df.withColumn("kept", F.col("doc_id") + 1), "t", stop, limit=limit).orderBy("doc_id").collect()
     assert [r["t"] for r in rows] == [["b", "b", "A"], [], []]
+    assert [r["kept"] for r in rows] == [2, 3, 4] and rows[0].__fields__ == ["doc_id", "t", "kept"]
 
 
 def test_natures_to_drop(spark):
-    dictionary = spark.createDataFrame([("，", "w"), ("张三", "nr"), ("打印", "n")], "word string, nature string")
-    assert sorted(r[0] for r in stop_natures(dictionary).collect()) == sorted(["，", "张三"])
+    dictionary = spark.createDataFrame([("，", "w"), ("林七", "nr"), ("骑行", "n")], "word string, nature string")
+    assert sorted(r[0] for r in stop_natures(dictionary).collect()) == sorted(["，", "林七"])
 
 
 def test_in_row_plan_has_no_shuffle(spark, tickets):
@@ -156,7 +211,7 @@ def test_split_tokens_do_not_depend_on_partitions(spark, tickets):
 
 def test_hot_word_texts(spark):
     """One text of a single repeated word: linear work, exact result."""
-    df = spark.createDataFrame([(1, "安装" * 30_000)], "doc_id long, t string")
+    df = spark.createDataFrame([(1, "调整" * 30_000)], "doc_id long, t string")
     for mode in ("finest", "longest"):
-        size = segment(df, "t", "tokens", ["安装", "装安"], mode).select(F.size("tokens")).first()[0]
+        size = segment(df, "t", "tokens", ["调整", "整调"], mode).select(F.size("tokens")).first()[0]
         assert size == (59_999 if mode == "finest" else 30_000)

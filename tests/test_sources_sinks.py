@@ -37,13 +37,29 @@ def test_file_order_numbers(spark, tmp_path):
     assert [r["group"] for r in rows][:2] == ["GROUP", TICKETS[0][0]]
 
 
+def test_file_order_numbers_over_many_splits(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("\n".join(f"c,{k} {i:04d} {'x' * (k * 7)}" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        numbered = text.read_numbered_tickets(spark, str(tmp_path), header=False)
+        rows = numbered.orderBy("doc_id").collect()
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["doc_id"] for r in rows] == list(range(1, 6001))
+    assert [r["orgtext"][:6] for r in rows] == [f"{k} {i:04d}" for k in range(3) for i in range(2000)]
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
 def test_word_lists(spark, tmp_path):
     utf8 = tmp_path / "w.txt"
     utf8.write_bytes("\ufeff？\r\n、\r\n啊\r\n\r\n啊\r\n 末 ".encode())
     assert sorted(r[0] for r in text.read_words(spark, str(utf8)).collect()) == sorted(["？", "、", "啊", "末"])
     gbk = tmp_path / "g.txt"
-    gbk.write_bytes('硒鼓\r\n"墨,盒\r\n'.encode("GBK"))
-    assert sorted(r[0] for r in text.read_words(spark, str(gbk), "GBK").collect()) == sorted(["硒鼓", '"墨,盒'])
+    gbk.write_bytes('轮毂\r\n"油,壶\r\n'.encode("GBK"))
+    assert sorted(r[0] for r in text.read_words(spark, str(gbk), "GBK").collect()) == sorted(["轮毂", '"油,壶'])
     protected = text.read_protected(spark, str(utf8)).first()
     assert (protected["nature"], protected["priority"]) == ("n", 1)
 
@@ -57,27 +73,36 @@ def test_missing_files(spark, tmp_path):
 
 def test_dictionary_and_rules(spark, tmp_path):
     plain = tmp_path / "d.txt"
-    plain.write_text("打印机\tn\n张三\tnr\n重启\n", encoding="utf-8")
+    plain.write_text("骑行具\tn\n林七\tnr\n更换\n", encoding="utf-8")
     natures = {r["word"]: r["nature"] for r in text.read_dictionary(spark, str(plain)).collect()}
-    assert natures == {"打印机": "n", "张三": "nr", "重启": None}
+    assert natures == {"骑行具": "n", "林七": "nr", "更换": None}
     page = tmp_path / "a.dic"
     page.write_text(
         '<tr>\n  <td id="L1" class="num"></td>\n'
-        '        <td id="LC1" class="line">王小和\t王小\tnr\t和\tc</td>\n</tr>\n天气预报\t天气\tn\t预报\tn \n<p>none</p>\n',
+        '        <td id="LC1" class="line">红车铃\t红\ta\t车铃\tn</td>\n</tr>\n周七来\t周七\tnr\t来\tv \n<p>none</p>\n'
+        "周七来\t周\tq\t七\tm\t来\tv\n",
         encoding="utf-8",
     )
     rows = text.read_rules(spark, str(page)).collect()
     rules = {r["phrase"]: [(p["word"], p["nature"]) for p in r["parts"]] for r in rows}
-    assert rules == {"王小和": [("王小", "nr"), ("和", "c")], "天气预报": [("天气", "n"), ("预报", "n")]}
+    # Of two rules for a phrase, the one with fewer parts.
+    assert rules == {"红车铃": [("红", "a"), ("车铃", "n")], "周七来": [("周七", "nr"), ("来", "v")]}
     lexicon = make_lexicon(rules=text.read_rules(spark, str(page)))
-    assert lexicon.rules["王小和"] == ["王小", "和"]
+    # A part that is a person's name is dropped.
+    assert lexicon.rules == {"红车铃": ["红", "车铃"], "周七来": ["来"]}
+    gbk = tmp_path / "g.dic"
+    gbk.write_bytes("红车铃\t红\ta\t车铃\tn\n".encode("GBK"))
+    assert text.read_rules(spark, str(gbk), "GBK").first()["phrase"] == "红车铃"
+    missing = str(tmp_path / "none.dic")
+    for reader in (text.read_rules, text.read_dictionary, text.read_protected):
+        assert reader(spark, missing, optional=True).count() == 0
 
 
 def test_numeric_files(spark, tmp_path):
     good = tmp_path / "n.csv"
-    good.write_text("3.5,8.25,-2.5,-0.5,0\n-1,2,3,4,1\n")
+    good.write_text("11,0.25,7,-40,1\n-1,2,3,4,0\n")
     assert [tuple(r) for r in numeric.read_numeric(spark, str(good)).collect()] == [
-        (3.5, 8.25, -2.5, -0.5, 0.0), (-1.0, 2.0, 3.0, 4.0, 1.0),
+        (11.0, 0.25, 7.0, -40.0, 1.0), (-1.0, 2.0, 3.0, 4.0, 0.0),
     ]
     bad = tmp_path / "b.csv"
     bad.write_text("1,2,x,4,0\n")
@@ -94,9 +119,12 @@ def test_job_tables_append_and_read_by_job(spark, tickets, tmp_path):
     for job in ("1", "2"):
         write_table(labels.label_index(tickets, "group", job).drop("n"), target)
     index = saved.load_label_index(spark, target.path, "2")
-    assert {r["group"]: r["label"] for r in index.collect()}["打印问题"] == 0.0
+    assert {r["group"]: r["label"] for r in index.collect()}["骑行问题"] == 0.0
     assert index.count() == 4
     assert saved.load_job_table(spark, target.path, "1").schema["job_id"].dataType.simpleString() == "string"
+    write_table(labels.label_index(tickets, "group", "2").drop("n"), target)  # a second run replaces its rows
+    assert saved.load_label_index(spark, target.path, "2").count() == 4
+    assert saved.load_label_index(spark, target.path, "1").count() == 4
     with pytest.raises(ValueError):
         write_table(tickets, target)
 

@@ -24,16 +24,13 @@ from ticketmill.functions.tokens import let
 RUN = r"[\p{IsLatin}\p{M}0-9]"
 LETTER = r"[\p{L}\p{N}]"
 VISIBLE = r"[^\s\p{Z}]"
-MARK = "\u0001"
-# Characters that the plans use as marks; in texts they count as spaces.
-RESERVED = r"[\x{1}\x{2}\x{e000}-\x{f8ff}]"
 
 MODES = ("finest", "longest")
 
 
 def normalized(text: Column) -> Column:
-    """Lower case, '' for null, no reserved characters."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(RESERVED), F.lit(" "))
+    """Lower case, '' for null."""
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def single_class(keep_punctuation: bool) -> str:
@@ -79,14 +76,14 @@ def _finest_in_runs(text: Column, layers: list[str], word: str, run: str, single
     """For dictionaries of run characters only: no word reaches beyond its run or covers another character.
 
     One pass replaces each position where something starts by what starts there, longest first; lookaheads read
-    the overlapping words. A run that is itself a word is left to the words.
+    the overlapping words. A run that is itself a word is left to the words. No token has a blank, so blanks part them.
     """
     groups = [f"(?!(?<!{RUN}){word}(?!{RUN})){run}", *layers, single]
     starts = f"{word}|{run[:-1]}|{single}"
     pattern = "(?s)" + "".join(f"(?=({g})?)" for g in groups) + f".(?:(?!{starts}).)*+"
-    found = MARK.join(f"${n}" for n in range(1, len(groups) + 1)) + MARK
+    found = " ".join(f"${n}" for n in range(1, len(groups) + 1)) + " "
     listing = F.regexp_replace(text, F.lit(pattern), F.lit(found))
-    return F.regexp_extract_all(listing, F.lit(f"[^{MARK}]+"), F.lit(0))
+    return F.regexp_extract_all(listing, F.lit("[^ ]+"), F.lit(0))
 
 
 def _finest_anywhere(text: Column, layers: list[str], longest: int, alone: str) -> Column:
@@ -98,14 +95,25 @@ def _finest_anywhere(text: Column, layers: list[str], longest: int, alone: str)
     def reach(span: Column) -> Column:
         return F.greatest(F.lit(0), *[F.length(span[n]) for n in names])
 
+    def reached(ends: Column) -> Column:
+        """The furthest end of the words that start at a character or up to ``longest`` before it, in log steps."""
+
+        def doubled(step: int) -> Callable[[Column], Column]:
+            return lambda e: F.transform(e, lambda end, i: F.greatest(end, F.get(e, i - step)))
+
+        step = 1
+        while step < longest:
+            ends = let(ends, doubled(step))
+            step *= 2
+        return ends
+
     def emitted(spans: Column, lengths: Column) -> Column:
+        ends = reached(F.transform(lengths, lambda n, i: i + n))
+        return let(ends, lambda e: listed_at(spans, lengths, e))
+
+    def listed_at(spans: Column, lengths: Column, ends: Column) -> Column:
         def covered(i: Column) -> Column:
-            if longest < 2:
-                return F.lit(False)
-            return F.exists(
-                F.sequence(F.lit(1), F.lit(longest - 1)),
-                lambda back: (i >= back) & (F.get(lengths, i - back) > back),
-            )
+            return (i > 0) & (F.get(ends, i - 1) > i)
 
         def at(span: Column, i: Column) -> Column:
             own = span["alone"]
@@ -139,21 +147,27 @@ def around_protected(
     kept = sorted({*phrases, *rules} - {""})
     if not kept:
         return inner(text)
-    marked = F.regexp_replace(text, F.lit(f"({word_pattern(kept)})"), F.lit(f"{MARK}$1{MARK}"))
     whole = F.array
     if rules:
         table = F.create_map(
-            *[c for k in sorted(rules) for c in (F.lit(k), F.array(*[F.lit(p) for p in rules[k]]))]
+            *[
+                c
+                for k in sorted(rules)
+                for c in (F.lit(k), F.array(*[F.lit(p) for p in rules[k]]).cast("array<string>"))
+            ]
         )
         whole = lambda part: F.coalesce(F.element_at(table, part), F.array(part))
     return F.flatten(
-        F.transform(
-            F.split(marked, MARK),
-            lambda part, i: F.when(i % 2 == 1, whole(part)).otherwise(inner(part)),
-        )
+        F.transform(pieces(text, kept), lambda part: F.when(part.isin(kept), whole(part)).otherwise(inner(part)))
     )
 
 
+def pieces(text: Column, phrases: Iterable[str]) -> Column:
+    """The text cut into phrases, longest first, and the stretches between them; nothing is lost."""
+    phrase = word_pattern(phrases)
+    return F.regexp_extract_all(text, F.lit(f"(?s){phrase}|(?:(?!{phrase}).)++"), F.lit(0))
+
+
 def segment_tokens(
     text: Column,
     words: Iterable[str],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.functions.tokens import first_positions, inlined, joined
 from ticketmill.operators.numbering import first_seen_index, number_rows
-from ticketmill.session import BROADCAST_ROWS, cut_lineage, fits_broadcast, join_lookup
+from ticketmill.session import BROADCAST_ROWS, cut_lineage, join_lookup
 
 
 def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
@@ -17,30 +17,49 @@ def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
 
 
 def drop_singleton_classes(
-    df: DataFrame, group: str, id_col: str = "doc_id", max_rows: int = BROADCAST_ROWS
+    df: DataFrame, group: str, id_col: str | None = None, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Keep the rows whose class has at least two rows; rows without class go too.
 
-    The class table is computed once from the id and class columns. Small enough, it is broadcast and the wide rows
-    stay where they are. Otherwise the rows to drop, one per singleton class, are joined by their unique id: joining
-    by class would send a hot class to one task.
+    The class table is computed once from the class column. Small enough, it is broadcast and the wide rows stay
+    where they are. Otherwise rows and classes are joined by class, and a hot class is split by adaptive execution: it
+    meets one row. Ids play no part, so repeated and null ones change nothing.
     """
     known = df.where(F.col(group).isNotNull())
-    classes = cut_lineage(known.groupBy(group).agg(F.count("*").alias("n"), F.min(id_col).alias(id_col)))
-    kept = classes.where("n > 1").select(group)
-    if fits_broadcast(kept, max_rows):
-        return known.join(F.broadcast(kept), group, "left_semi")
-    return join_lookup(known, classes.where("n = 1").select(id_col), id_col, "left_anti", max_rows)
+    kept = cut_lineage(known.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group))
+    # An inner join on distinct keys; unlike a semi join, adaptive execution can split its left side.
+    return join_lookup(known, kept, group, "inner", max_rows).select(*df.columns)
+
+
+def dense_from(df: DataFrame, id_col: str) -> int | None:
+    """The smallest id if all ids are different and follow each other without a gap, else None. Reads the ids only."""
+    low, high, n, different = df.agg(F.min(id_col), F.max(id_col), F.count("*"), F.count_distinct(id_col)).first()
+    dense = n and isinstance(low, int) and high - low + 1 == n == different
+    return low if dense else None
 
 
 def modulo_split(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
     """``id_col, group, row_num, part``: every ``mod``-th row of the *unfiltered* order goes to 'test'.
 
-    Only the key columns are numbered; join the result to the wide table where it is needed.
+    Only the key columns are read.
+    """
+    return with_parts(df.select(id_col, group), id_col, group, mod)
+
+
+def with_parts(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
+    """Add ``row_num`` and ``part`` to the rows of classes with two rows or more, by the order of unique ids.
+
+    Ids without gaps, as :func:`read_numbered_tickets` gives, say the number themselves: no row moves. Otherwise the
+    ids alone are numbered, and the numbers are joined to the rows, broadcast when measured small.
     """
-    numbered = number_rows(df.select(id_col, group), [F.col(id_col)], "row_num")
+    low = dense_from(df, id_col)
+    if low is None:
+        numbers = number_rows(df.select(id_col), [F.col(id_col)], "row_num")
+        numbered = join_lookup(df, numbers, id_col, "inner")
+    else:
+        numbered = df.withColumn("row_num", (F.col(id_col) - low + 1).cast("long"))
     part = F.when(F.col("row_num") % mod == 0, "test").otherwise("train")
-    return drop_singleton_classes(numbered, group, id_col).withColumn("part", part)
+    return drop_singleton_classes(numbered, group).withColumn("part", part).select(*df.columns, "row_num", "part")
 
 
 def hash_bucket(key: Column, buckets: int) -> Column:
@@ -86,7 +105,7 @@ def corpus_profile(df: DataFrame, group: str, text: str, tokens: Column) -> Data
         return F.struct(F.lit(kind).alias("kind"), value.alias("value"), chars.cast("long").alias("chars"))
 
     own = F.array(
-        item("class", F.col(group), F.length(group) + F.length(text)),
+        item("class", F.col(group), F.coalesce(F.length(group), F.lit(0)) + F.coalesce(F.length(text), F.lit(0))),
         item("text", F.sha2(F.col("joined"), 256), F.length("joined")),
     )
     words = F.transform(F.array_distinct("tokens"), lambda w: item("word", w, F.length(w)))

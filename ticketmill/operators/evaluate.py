@@ -16,13 +16,19 @@ def accuracy(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), hit.alias("n_correct"), (hit / F.count("*")).alias("accuracy"))
 
 
+def _missed():
+    """A row without label or prediction is a miss, so that hits and misses add up to all rows."""
+    return ~F.coalesce(F.col("label") == F.col("prediction"), F.lit(False))
+
+
 def misclassified(df: DataFrame) -> DataFrame:
-    return df.where(F.col("label") != F.col("prediction"))
+    return df.where(_missed())
 
 
-def test_error(df: DataFrame) -> DataFrame:
+def test_error(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``n, n_wrong, test_error``."""
-    miss = F.count_if(F.col("label") != F.col("prediction"))
+    df = df.select(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+    miss = F.count_if(_missed())
     return df.agg(F.count("*").alias("n"), miss.alias("n_wrong"), (miss / F.count("*")).alias("test_error"))
 
 

@@ -7,17 +7,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPARSE = "v struct<type:int,size:int,indices:array<int>,values:array<double>>"
-
-
 def hashed_tf(df: DataFrame, tokens_col: str, num_features: int, out: str = "features") -> DataFrame:
     return HashingTF(inputCol=tokens_col, outputCol=out, numFeatures=num_features).transform(df)
 
 
 def sparse_entries(vector: str) -> Column:
     """``array<struct<bucket, tf>>`` of a sparse vector column, without leaving the JVM or going dense."""
-    parsed = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), SPARSE)["v"]
-    return F.arrays_zip(parsed["indices"].alias("bucket"), parsed["values"].alias("tf"))
+    plain = F.unwrap_udt(F.col(vector))
+    return F.arrays_zip(plain["indices"].alias("bucket"), plain["values"].alias("tf"))
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer, StringIndexerModel, Tokenizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.config import ForestParams
 from ticketmill.session import shared_dir, stored
 
-# A forest keeps statistics per class on the driver; more classes than this is a modelling error.
-MAX_CLASSES = 10_000
+SEED = 1234
 
 
 def forest(params: ForestParams, features: str = "features", label: str = "label") -> RandomForestClassifier:
@@ -34,10 +34,8 @@ def forest(params: ForestParams, features: str = "features", label: str = "label
 
 
 def class_names(index: DataFrame, num_classes: int | None = None) -> list[str]:
-    """Class names in label order, checked against the limit and the declared number."""
-    rows = index.orderBy("label").select("group").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    """Class names in label order, checked against the declared number. The model holds them all, one name a class."""
+    rows = index.orderBy("label").select("group").collect()
     if num_classes is not None and len(rows) > num_classes:
         raise ValueError(f"{len(rows)} classes in the data, {num_classes} declared")
     return [r["group"] for r in rows]
@@ -84,30 +82,68 @@ def text_pipeline(num_features: int = 1000, max_iter: int = 10, reg: float = 0.0
     return Pipeline(stages=[*text_stages(num_features), LogisticRegression(maxIter=max_iter, regParam=reg)])
 
 
-def fit_numeric_forest(train: DataFrame, label: str, num_trees: int = 5) -> PipelineModel:
-    """Forest over ``features`` with the label indexed first and the prediction decoded to ``predicted_label``."""
-    indexer = StringIndexer(inputCol=label, outputCol="indexed_label").fit(train)
-    decoder = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
-    classifier = RandomForestClassifier(labelCol="indexed_label", featuresCol="features", numTrees=num_trees)
-    return Pipeline(stages=[indexer, classifier, decoder]).fit(train)
+def numeric_stages(rows: DataFrame, label: str) -> tuple[StringIndexerModel, IndexToString]:
+    """Index the labels of the whole table, so that no part has an unknown one, and decode predictions."""
+    indexer = StringIndexer(inputCol=label, outputCol="indexed_label").fit(rows)
+    return indexer, IndexToString(inputCol="prediction", outputCol="predicted_label", labels=indexer.labels)
 
 
-def fit_small_forest(train: DataFrame) -> RandomForestClassificationModel:
-    """Three shallow trees over ``label, features``, as for LibSVM data."""
+def fit_numeric_forest(
+    train: DataFrame, label: str, id_col: str, whole: DataFrame | None = None, num_trees: int = 5, partitions: int = 8
+) -> PipelineModel:
+    """Forest over ``features`` with the label indexed first and the prediction decoded to ``predicted_label``.
+
+    Labels are indexed on ``whole``, the table before it was split. Placement and seed are fixed: the same rows
+    give the same trees.
+    """
+    indexer, decoder = numeric_stages(train if whole is None else whole, label)
+    classifier = RandomForestClassifier(
+        labelCol="indexed_label", featuresCol="features", numTrees=num_trees, seed=SEED
+    )
+    fitted = classifier.fit(indexer.transform(placed(train, id_col, partitions)))
+    return PipelineModel([indexer, fitted, decoder])
+
+
+def fit_small_forest(train: DataFrame, id_col: str, partitions: int = 8) -> RandomForestClassificationModel:
+    """Three shallow trees over ``label, features``, as for LibSVM data; the same rows give the same trees."""
     params = ForestParams(num_trees=3, max_depth=4, max_bins=32)
-    return forest(params).fit(train)
+    return forest(params).fit(placed(train, id_col, partitions).select("label", "features"))
+
 
+def _nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The node table of a saved forest."""
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
 
-def tree_report(model: RandomForestClassificationModel, spark) -> DataFrame:
-    """``tree, depth, n_nodes, weight``: one row per tree."""
-    rows = [
-        (i, t.depth, t.numNodes, float(w)) for i, (t, w) in enumerate(zip(model.trees, model.treeWeights))
-    ]
-    return spark.createDataFrame(rows, "tree int, depth int, n_nodes int, weight double")
 
+def _shape(nodes: pd.DataFrame) -> pd.DataFrame:
+    """Depth and size of one tree; a node's number is lower than its children's."""
+    nodes = nodes.sort_values("id")
+    depth = {0: 0}
+    for node, left, right in zip(nodes["id"], nodes["leftChild"], nodes["rightChild"]):
+        if left >= 0:
+            depth[left] = depth[right] = depth[node] + 1
+    return pd.DataFrame({"tree": nodes["tree"].iloc[:1], "depth": max(depth.values()), "n_nodes": len(nodes)})
 
-def feature_report(model: RandomForestClassificationModel, spark) -> DataFrame:
-    """``feature, importance`` of the features that some tree uses."""
-    used = model.featureImportances
-    rows = [(int(i), float(v)) for i, v in zip(used.indices, used.values)]
-    return spark.createDataFrame(rows, "feature int, importance double")
+
+def tree_report(spark: SparkSession, path: str) -> DataFrame:
+    """``tree, depth, n_nodes, weight``: one row per tree of a saved forest, from its node and tree tables."""
+    links = _nodes(spark, path).select("tree", "id", "leftChild", "rightChild")
+    shapes = links.groupBy("tree").applyInPandas(_shape, "tree int, depth int, n_nodes int")
+    trees = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "weight")
+    return shapes.join(trees.select("tree", "weight"), "tree")
+
+
+def feature_report(spark: SparkSession, path: str) -> DataFrame:
+    """``feature, importance`` of the features that some tree of a saved forest uses.
+
+    A split counts with its gain times its rows; the splits of a tree add up to one, and so do all importances.
+    """
+    rows = F.aggregate("impurityStats", F.lit(0.0), lambda total, n: total + n)
+    splits = _nodes(spark, path).where("leftChild >= 0")
+    by_tree = splits.groupBy("tree", F.col("split.featureIndex").alias("feature")).agg(
+        F.sum(F.col("gain") * rows).alias("weight")
+    )
+    totals = by_tree.groupBy("tree").agg(F.sum("weight").alias("all")).where("all > 0")
+    shares = by_tree.join(totals, "tree").groupBy("feature").agg(F.sum(F.col("weight") / F.col("all")).alias("share"))
+    n = totals.count()  # trees with a split
+    return shares.select("feature", (F.col("share") / n).alias("importance"))

@@ -7,13 +7,16 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.functions.segmentation import segment_tokens
-from ticketmill.functions.tokens import exploded, without_words
-from ticketmill.operators.spans import segment_by_join
+from ticketmill.functions.patterns import forks
+from ticketmill.functions.segmentation import MODES, segment_tokens
+from ticketmill.functions.tokens import without_words
+from ticketmill.operators.spans import HELD_ROWS, segment_by_join
 from ticketmill.session import by_key, cut_lineage, join_lookup
 
 # Words held inside one expression; longer lists are joined. The driver sees at most this many plus one.
 IN_ROW_WORDS = 50_000
+# Groups that a pattern may nest: the pattern's compiler and matcher go down by one call a group.
+IN_ROW_FORKS = 100
 
 
 def listed_words(words: DataFrame | Iterable[str], limit: int = IN_ROW_WORDS) -> list[str] | None:
@@ -35,12 +38,21 @@ def segment(
     rules: Mapping[str, list[str]] | None = None,
     keep_punctuation: bool = False,
     limit: int = IN_ROW_WORDS,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame:
-    """Add the token array ``out_col``. Small dictionaries run in the row, large ones as a span join."""
+    """Add the token array ``out_col``, the same on each of three plans.
+
+    Small dictionaries run as one expression, those measured within ``held_rows`` are held by the workers, and larger
+    ones are joined with the positions of the texts. A small list whose words are prefixes of each other many times over
+    takes the second plan.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     listed = listed_words(words, limit)
-    if listed is None:
+    if listed is None or forks(w.lower() for w in listed) > IN_ROW_FORKS:
+        table = words if isinstance(words, DataFrame) else df.sparkSession.createDataFrame([(w,) for w in listed], "word string")
         return segment_by_join(
-            df, id_col, text_col, out_col, words, mode, protected, rules, keep_punctuation
+            df, id_col, text_col, out_col, table, mode, protected, rules, keep_punctuation, held_rows
         )
     tokens = segment_tokens(F.col(text_col), listed, mode, protected, rules, keep_punctuation)
     return df.withColumn(out_col, tokens)
@@ -61,14 +73,20 @@ def remove_words(
     listed = listed_words(stop, limit)
     if listed is not None:
         return df.withColumn(tokens_col, without_words(F.col(tokens_col), listed))
-    single = exploded(by_key(df, id_col), [id_col], F.col(tokens_col), "word")
-    kept = (
-        join_lookup(single, cut_lineage(stop.select("word").distinct()), "word", "left_anti")
+    # The other columns travel with the first token of a row, so that nothing has to be joined back.
+    others = [c for c in df.columns if c not in (id_col, tokens_col)]
+    rest = F.struct(*[F.col(c) for c in others], F.lit(True).alias("_here"))
+    rows = by_key(df, id_col).select(id_col, rest.alias("_rest"), F.posexplode_outer(tokens_col).alias("pos", "word"))
+    single = rows.withColumn("_rest", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("_rest")))
+    listed_stop = cut_lineage(stop.select("word").distinct()).withColumn("_stop", F.lit(True))
+    kept = F.when(F.col("_stop").isNull() & F.col("pos").isNotNull(), F.struct("pos", "word"))
+    return (
+        join_lookup(single, listed_stop, "word", "left")
         .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "word")))["word"].alias(tokens_col))
+        .agg(F.sort_array(F.collect_list(kept))["word"].alias(tokens_col), F.first("_rest", ignorenulls=True).alias("_rest"))
+        .select(id_col, *[F.col("_rest")[c].alias(c) for c in others], tokens_col)
+        .select(*df.columns)
     )
-    empty = F.array().cast("array<string>")
-    return df.drop(tokens_col).join(kept, id_col, "left").withColumn(tokens_col, F.coalesce(tokens_col, empty))
 
 
 def stop_natures(dictionary: DataFrame, natures: Iterable[str] = ("w", "nr")) -> DataFrame:

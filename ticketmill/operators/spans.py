@@ -1,146 +1,207 @@
-"""Segmentation with dictionaries too large for one pattern: a join of text spans with the dictionary.
+"""Segmentation with dictionaries too large for one pattern: words held by the workers, or joined with text positions.
 
-Same results as :mod:`ticketmill.functions.segmentation`. The texts are hash-partitioned by document once; the
-spans of a document stay in its partition, so a broadcast dictionary adds no further shuffle. A dictionary
-beyond the counted broadcast bound is joined by key instead.
+Same results as :mod:`ticketmill.functions.segmentation`. A dictionary that was measured and found small enough goes to every
+worker, which looks words up while it walks through its texts; nothing is shuffled. Beyond that, places where a dictionary word can start are found in the scan:
+every position is looked up by its first characters in a small broadcast table, and only the lengths that can occur
+there are cut out and joined with the words, which are broadcast when measured small and joined by key otherwise. Hits travel as
+numbers; each text moves once, to meet its hits, and is put together in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.functions.segmentation import (
-    RUN,
-    alone_patterns,
-    around_protected,
-    at_each_position,
-    normalized,
-    single_class,
-)
-from ticketmill.functions.tokens import exploded, let
-from ticketmill.session import by_key, cut_lineage, join_lookup
-
-# Private-use characters that mark a word of length n in the text as chr(FIRST_MARK + n).
-FIRST_MARK, LAST_MARK = 0xE000, 0xF8FF
-ANY_MARK = "[\\x{e000}-\\x{f8ff}]"
-CUT = "\u0002"
+from ticketmill.functions.segmentation import RUN, at_each_position, normalized, pieces, single_class
+from ticketmill.functions.tokens import exploded
+from ticketmill.session import cut_lineage, fits_broadcast, join_lookup
+
+# A position is looked up by this many characters, or fewer if that would make too many entries to broadcast.
 START = 4
+START_ROWS = 1_000_000
+# Words of up to this many characters are cut out of the characters seen at a position, longer ones out of a block.
+HEAD = 16
+# Characters of a block, if no word is longer: cutting a word out of one is cheap.
+BLOCK = 1024
+# Dictionaries up to this size are held by every worker.
+HELD_ROWS = 500_000
+HELD_BYTES = 32 * 1024 * 1024
 
+OTHER, ALONE, IN_RUN = 0, 1, 2
 
-def _parts(df: DataFrame, id_col: str, text_col: str, protected, rules) -> DataFrame:
-    """One row per stretch of text: ``fixed`` tokens (protected phrases, rule parts) or a ``part`` to segment."""
-    phrases = [p.lower() for p in protected]
-    lower_rules = {k.lower(): parts for k, parts in rules.items()}
-    pieces = around_protected(
-        normalized(F.col(text_col)), phrases, lower_rules, lambda part: F.array(F.concat(F.lit(CUT), part))
-    )
-    open_part = F.col("piece").startswith(CUT)
-    texts = by_key(df.select(F.col(id_col).alias("id"), F.col(text_col)), "id")
-    return exploded(texts, ["id"], pieces, "piece").select(
-        "id",
-        F.col("pos").alias("part_no"),
-        F.when(open_part, F.expr("substring(piece, 2)")).alias("part"),
-        F.when(~open_part, F.col("piece")).alias("fixed"),
-    )
 
+def _start_table(words: DataFrame, longest_start: int) -> tuple[DataFrame, int]:
+    """``start, lengths`` and the size of ``start``: few enough rows to broadcast.
 
-def _hits(parts: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
-    """Dictionary words found in the parts: ``id, part_no, pos, len, word``.
-
-    A first join on the first ``START`` characters (the whole of shorter words) says which lengths can occur at a
-    position, so that only those are looked up.
+    With one character there are at most as many rows as code points, which bounds the table for any dictionary.
     """
-    starts = cut_lineage(
-        words.groupBy(F.substring("word", 1, START).alias("start")).agg(
-            F.collect_set(F.length("word")).alias("lengths")
+    size = longest_start
+    while True:
+        starts = cut_lineage(
+            words.groupBy(F.substring("word", 1, size).alias("start")).agg(
+                F.sort_array(F.collect_set(F.length("word"))).alias("lengths")
+            )
         )
-    )
-    windows = at_each_position(F.col("part"), f".{{1,{lengths[-1]}}}")
-    sizes = sorted({min(n, START) for n in lengths})
-    start = F.explode(F.array(*[F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in sizes]))
-    placed = exploded(parts, ["id", "part_no"], windows, "window").select("*", start.alias("start"))
-    found = (
-        join_lookup(placed, starts, "start", "inner")
-        .select("id", "part_no", "pos", "window", F.explode("lengths").alias("len"))
-        .where(F.length("window") >= F.col("len"))
-        .select("id", "part_no", "pos", "len", F.expr("substring(window, 1, len)").alias("word"))
-    )
-    return join_lookup(found, words, "word", "inner")
+        if size == 1 or starts.count() <= START_ROWS:
+            return starts, size
+        size = max(size // 2, 1)
 
 
-def _finest(parts: DataFrame, hits: DataFrame, keep_punctuation: bool) -> DataFrame:
-    alone = "|".join(alone_patterns(keep_punctuation))
-    others = (
-        exploded(parts, ["id", "part_no"], at_each_position(F.col("part"), alone), "word")
-        .where(F.col("word") != "")
-        .select("id", "part_no", "pos", F.length("word").alias("len"), "word", F.lit(1).alias("kind"))
-    )
-    fixed = parts.where(F.col("fixed").isNotNull()).select(
-        "id", "part_no", F.lit(0).alias("pos"), F.length("fixed").alias("len"), F.col("fixed").alias("word"),
-        F.lit(0).alias("kind"),
+def find_hits(df: DataFrame, id_col: str, text_col: str, words: DataFrame, lengths: list[int]) -> DataFrame:
+    """``id, pos, len``: dictionary words in the lower-cased texts; positions count code points from 0."""
+    longest = lengths[-1]
+    size, head = max(BLOCK, longest), min(HEAD, longest)
+    text = normalized(F.col(text_col))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size + longest}}})).{{1,{size}}}"), F.lit(1))
+    cut = exploded(df.select(F.col(id_col).alias("id"), F.col(text_col)), ["id"], blocks, "block").withColumnRenamed(
+        "pos", "block_no"
     )
-    spans = hits.select("id", "part_no", "pos", "len", "word", F.lit(0).alias("kind")).unionByName(others)
-    before = Window.partitionBy("id", "part_no").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(F.col("kind") == 0, F.col("pos") + F.col("len"))).over(before)
-    kept = (
-        spans.withColumn("reach", F.coalesce(reach, F.lit(0)))
-        .where((F.col("kind") == 0) | F.col("word").rlike(f"^{RUN}") | (F.col("reach") <= F.col("pos")))
-        .drop("reach")
-        .unionByName(fixed)
-    )
-    order = F.struct("part_no", "pos", (-F.col("len")).alias("shorter"), "word")
-    return kept.groupBy("id").agg(F.sort_array(F.collect_set(order)).alias("spans")).select(
-        "id", F.col("spans.word").alias("tokens")
+    heads = F.slice(at_each_position(F.col("block"), f".{{1,{head}}}"), 1, size)
+    place = (F.col("block_no") * size + F.col("pos")).alias("pos")
+
+    starts, width = _start_table(words.where(F.length("word") <= head), START)
+    sizes = sorted({min(n, width) for n in lengths if n <= head})
+    prefixes = F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in sizes])
+    found = (
+        exploded(cut, ["id", "block_no"], heads, "head")
+        .select("id", place, "head", F.explode(F.array_compact(prefixes)).alias("start"))
+        .join(F.broadcast(starts), "start")
+        .select("id", "pos", "head", F.explode("lengths").alias("len"))
+        .where(F.length("head") >= F.col("len"))
+        .select("id", "pos", "len", F.substring("head", F.lit(1), F.col("len")).alias("word"))
     )
+    if longest > head:
+        starts, width = _start_table(words.where(F.length("word") > head), head)
+        long_ones = (
+            exploded(cut, ["id", "block_no", "block"], heads, "head")
+            .where(F.length("head") == head)
+            .withColumn("start", F.substring("head", 1, width))
+            .join(F.broadcast(starts), "start")
+            .select("id", place, F.col("pos").alias("at"), "block", F.explode("lengths").alias("len"))
+            .select("id", "pos", "len", F.col("block").substr(F.col("at") + 1, F.col("len")).alias("word"))
+            .where(F.length("word") == F.col("len"))
+        )
+        found = found.unionByName(long_ones)
+    return join_lookup(found, words, "word", "left_semi").select("id", "pos", "len")
+
 
+_kinds: dict[tuple[str, bool], np.ndarray] = {}
 
-def _marked(part: Column, hits: Column) -> Column:
-    """The part with a length mark before each position where a dictionary word starts."""
 
-    def pieces(chars: Column) -> Column:
-        after = lambda h, k: F.coalesce(F.get(hits, k + 1)["pos"], F.size(chars))
-        head = F.slice(chars, F.lit(1), F.coalesce(F.get(hits, F.lit(0))["pos"], F.size(chars)))
-        marks = F.transform(
-            hits,
-            lambda h, k: F.concat(
-                F.array(F.col("marks")[h["len"]]), F.slice(chars, h["pos"] + 1, after(h, k) - h["pos"])
-            ),
+def character_kinds(df: DataFrame, keep_punctuation: bool) -> np.ndarray:
+    """By code point: part of a run, a token by itself, or neither, as the patterns of the in-row plan see it."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, keep_punctuation)
+    if key not in _kinds:
+        planes = [(("".join(chr(c) for c in range(p << 16, (p + 1) << 16) if not 0xD800 <= c < 0xE000)),) for p in range(17)]
+        found = (
+            spark.createDataFrame(planes, "text string")
+            .select(
+                F.array_join(F.regexp_extract_all("text", F.lit(f"{RUN}+"), F.lit(0)), "").alias("runs"),
+                F.array_join(F.regexp_extract_all("text", F.lit(single_class(keep_punctuation)), F.lit(0)), "").alias(
+                    "alone"
+                ),
+            )
+            .collect()
         )
-        return F.array_join(F.concat(head, F.flatten(marks)), "")
+        kinds = np.zeros(0x110000, np.uint8)
+        for kind, name in ((ALONE, "alone"), (IN_RUN, "runs")):
+            for row in found:
+                kinds[np.frombuffer(row[name].encode("utf-32-le"), np.uint32)] = kind
+        _kinds[key] = kinds
+    return _kinds[key]
 
-    return let(F.regexp_extract_all(part, F.lit("(?s)."), F.lit(0)), pieces)
 
+def _run_ends(kinds: np.ndarray) -> np.ndarray:
+    """For each place, the end of what a token without dictionary would be: the rest of the run, or one character."""
+    n = len(kinds)
+    ends = np.arange(1, n + 1)
+    last = np.append((kinds[1:] != IN_RUN) | (kinds[:-1] != IN_RUN), True)
+    stops = np.flatnonzero(last)
+    return np.where(kinds == IN_RUN, ends[stops[np.searchsorted(stops, np.arange(n))]], ends)
 
-def _longest(parts: DataFrame, hits: DataFrame, lengths: list[int], keep_punctuation: bool) -> DataFrame:
-    best = hits.groupBy("id", "part_no", "pos").agg(F.max("len").alias("len"))
-    # The part travels as one more row: a join of parts and hits would shuffle both by part.
-    per_part = (
-        parts.unionByName(best, allowMissingColumns=True)
-        .groupBy("id", "part_no")
-        .agg(
-            F.max("part").alias("part"),
-            F.max("fixed").alias("fixed"),
-            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "len")))).alias("hits"),
-        )
-    )
-    marks = F.array(*[F.lit(chr(FIRST_MARK + n)) for n in range(max(lengths) + 1)])
-    char = f"(?:{ANY_MARK}?[^\\x{{e000}}-\\x{{f8ff}}])"
-    word = "|".join(f"{chr(FIRST_MARK + n)}[^\\x{{e000}}-\\x{{f8ff}}]{char}{{{n - 1}}}" for n in lengths)
-    # A run goes on over marks inside it; a mark at its start would have been taken as a word.
-    run = f"{RUN}(?:{ANY_MARK}?{RUN})*"
-    alone = f"(?!{ANY_MARK}){single_class(keep_punctuation)}"
-    found = F.regexp_extract_all(_marked(F.col("part"), F.col("hits")), F.lit(f"{word}|{run}|{alone}"), F.lit(0))
-    unmarked = F.regexp_replace(F.array_join(found, CUT), F.lit(f"{ANY_MARK}+"), F.lit(""))
-    tokens = F.regexp_extract_all(unmarked, F.lit(f"[^{CUT}]+"), F.lit(0))
-    done = per_part.withColumn("marks", marks).select(
-        "id", "part_no", F.when(F.col("fixed").isNotNull(), F.array("fixed")).otherwise(tokens).alias("tokens")
-    )
-    return done.groupBy("id").agg(
-        F.flatten(F.sort_array(F.collect_list(F.struct("part_no", "tokens")))["tokens"]).alias("tokens")
-    )
+
+def longest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """Non-overlapping tokens (start, end) of one stretch: the longest hit, else the run, else the character."""
+    best = np.zeros(len(kinds), np.int64)
+    np.maximum.at(best, pos, length)
+    places = np.arange(len(kinds))
+    ends = np.where(best > 0, places + best, _run_ends(kinds)).tolist()
+    shown = ((best > 0) | (kinds != OTHER)).tolist()
+    out, i, n = [], 0, len(kinds)
+    while i < n:
+        if shown[i]:
+            out.append((i, ends[i]))
+        i = ends[i]
+    return out
+
+
+def finest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """All hits, whole runs and characters that no hit covers, by start, longest first."""
+    n = len(kinds)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, pos, 1)
+    np.add.at(change, pos + length, -1)
+    alone = np.flatnonzero((kinds == ALONE) & (np.cumsum(change[:-1]) == 0))
+    before = np.append(OTHER, kinds[:-1])
+    runs = np.flatnonzero((kinds == IN_RUN) & (before != IN_RUN))
+    starts = np.concatenate([pos, alone, runs])
+    ends = np.concatenate([pos + length, alone + 1, _run_ends(kinds)[runs] if n else runs])
+    spans = np.unique(np.stack([starts, -ends], axis=1), axis=0)
+    return [(a, -b) for a, b in spans.tolist()]
+
+
+class HeldWords:
+    """A dictionary by the first characters of its words, to look up all words at a place."""
+
+    def __init__(self, words: list[str]):
+        self.words = frozenset(words)
+        starts: dict[str, set[int]] = {}
+        for w in words:
+            starts.setdefault(w[:2], set()).add(len(w))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in starts.items()}
+        self.singles = frozenset(w for w in words if len(w) == 1)
+
+    def at(self, text: str, i: int) -> list[int]:
+        """Lengths of the words at a place, longest first."""
+        left = len(text) - i
+        found = [n for n in self.lengths.get(text[i : i + 2], ()) if 1 < n <= left and text[i : i + n] in self.words]
+        return [*found, 1] if text[i] in self.singles else found
+
+    def longest(self, text: str, i: int) -> int:
+        left = len(text) - i
+        for n in self.lengths.get(text[i : i + 2], ()):
+            if n <= left and text[i : i + n] in self.words:
+                return n
+        return 1 if text[i] in self.singles else 0
+
+
+def _held_longest(held: HeldWords, text: str, kinds: np.ndarray) -> list[str]:
+    ends, shown = _run_ends(kinds).tolist(), (kinds != OTHER).tolist()
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if size := held.longest(text, i):
+            out.append(text[i : i + size])
+            i += size
+        else:
+            if shown[i]:
+                out.append(text[i : ends[i]])
+            i = ends[i]
+    return out
+
+
+def _held_finest(held: HeldWords, text: str, kinds: np.ndarray) -> list[str]:
+    hits = [(i, n) for i in range(len(text)) for n in held.at(text, i)]
+    pos, length = (np.array([h[k] for h in hits], np.int64) for k in (0, 1))
+    return [text[a:b] for a, b in finest_spans(kinds, pos, length)]
+
+
+_held: dict[str, HeldWords] = {}
 
 
 def segment_by_join(
@@ -153,18 +214,72 @@ def segment_by_join(
     protected: Iterable[str] = (),
     rules: Mapping[str, list[str]] | None = None,
     keep_punctuation: bool = False,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame:
-    """Add the token array ``out_col``; ``id_col`` must identify the rows of ``df``."""
+    """Add the token array ``out_col``. Up to ``held_rows`` words are held by the workers, more are joined; then
+    ``id_col`` must identify the rows of ``df``."""
     listed = cut_lineage(words.select(F.lower("word").alias("word")).where(F.length("word") > 0).distinct())
     lengths = sorted(r[0] for r in listed.select(F.length("word")).distinct().collect())
-    if not lengths or lengths[-1] > LAST_MARK - FIRST_MARK:
-        raise ValueError(f"dictionary words must have 1..{LAST_MARK - FIRST_MARK} characters")
-    parts = _parts(df, id_col, text_col, protected, rules or {})
-    hits = _hits(parts, listed, lengths)
-    if mode == "finest":
-        tokens = _finest(parts, hits, keep_punctuation)
+    if not lengths:
+        raise ValueError("the dictionary holds no words")
+    phrases = {p.lower() for p in protected}
+    parts = {k.lower(): v for k, v in (rules or {}).items()}
+    fixed = sorted({*phrases, *parts} - {""})
+    table = character_kinds(df, keep_punctuation)
+    finest = mode == "finest"
+
+    text = normalized(F.col(text_col))
+    rows = df.drop(out_col).withColumn("_pieces", pieces(text, fixed) if fixed else F.array(text))
+    if fits_broadcast(listed, held_rows, HELD_BYTES):
+        shared = df.sparkSession.sparkContext.broadcast(listed.toArrow()["word"].to_pylist())
+        key = uuid.uuid4().hex
     else:
-        tokens = _longest(parts, hits, lengths, keep_punctuation)
-    tokens = tokens.withColumnsRenamed({"id": id_col, "tokens": out_col})
-    empty = F.array().cast("array<string>")
-    return df.join(tokens, id_col, "left").withColumn(out_col, F.coalesce(out_col, empty))
+        shared = None
+        hits = find_hits(df, id_col, text_col, listed, lengths)
+        per_text = hits.groupBy(F.col("id").alias("_hit_id")).agg(
+            F.collect_list("pos").alias("_hit_pos"), F.collect_list("len").alias("_hit_len")
+        )
+        rows = rows.join(per_text, F.col(id_col) == F.col("_hit_id"), "left").drop("_hit_id")
+
+    def tokens(stretches: list[str], segmented) -> list[str]:
+        out: list[str] = []
+        at = 0
+        for piece in stretches:
+            if piece in parts:
+                out += parts[piece]
+            elif piece in phrases:
+                out.append(piece)
+            else:
+                out += segmented(piece, table[np.frombuffer(piece.encode("utf-32-le"), np.uint32)], at)
+            at += len(piece)
+        return out
+
+    def run_held(batch: pa.RecordBatch) -> list[list[str]]:
+        if key not in _held:  # a worker holds one dictionary
+            _held.clear()
+            _held[key] = HeldWords(shared.value)
+        held, walk = _held[key], _held_finest if finest else _held_longest
+        return [tokens(x, lambda piece, kinds, at: walk(held, piece, kinds)) for x in batch["_pieces"].to_pylist()]
+
+    def run_joined(batch: pa.RecordBatch) -> list[list[str]]:
+        out = []
+        for stretches, pos, length in zip(*(batch[c].to_pylist() for c in ("_pieces", "_hit_pos", "_hit_len"))):
+            pos, length = np.array(pos or [], np.int64), np.array(length or [], np.int64)
+
+            def segmented(piece: str, kinds: np.ndarray, at: int, pos=pos, length=length) -> list[str]:
+                # Words that reach over the end of a stretch do not count.
+                inside = (pos >= at) & (pos + length <= at + len(piece))
+                spans = (finest_spans if finest else longest_spans)(kinds, pos[inside] - at, length[inside])
+                return [piece[a:b] for a, b in spans]
+
+            out.append(tokens(stretches, segmented))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = run_held(batch) if shared else run_joined(batch)
+            kept = batch.drop_columns([c for c in ("_pieces", "_hit_pos", "_hit_len") if c in batch.schema.names])
+            yield kept.append_column(out_col, pa.array(found, pa.list_(pa.string())))
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(out_col).schema.fields]
+    return rows.mapInArrow(run, ", ".join([*fields, f"`{out_col}` array<string>"]))

@@ -1,4 +1,4 @@
-"""What segmentation knows: dictionary, protected phrases, ambiguity rules, stop words."""
+"""What segmentation knows: dictionary, protected phrases, ambiguity rules, stop words, parts of speech to drop."""
 
 from __future__ import annotations
 
@@ -8,18 +8,34 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.operators.segment import listed_words
+from ticketmill.operators.segment import listed_words, stop_natures
 
-# Phrases and rules become part of one expression; they are site lists of a few hundred lines.
-MAX_PHRASES = 20_000
+# Parts of speech that preparation drops: punctuation and personal names.
+DROPPED_NATURES = ("w", "nr")
 
 
 @dataclass(frozen=True)
 class Lexicon:
+    """``words`` may be a table with a ``nature``; words of ``dropped`` natures are segmented and then left out."""
+
     words: DataFrame | Iterable[str] = ()
     stop: DataFrame | Iterable[str] = ()
     protected: tuple[str, ...] = ()
     rules: Mapping[str, list[str]] = field(default_factory=dict)
+    dropped: tuple[str, ...] = DROPPED_NATURES
+
+    def left_out(self) -> DataFrame | list[str]:
+        """Stop words, and the (lower-cased, as tokens are) words of dropped natures."""
+        if not isinstance(self.words, DataFrame) or "nature" not in self.words.columns:
+            return self.stop
+        named = stop_natures(self.words, self.dropped).select(F.lower("word").alias("word")).distinct()
+        if isinstance(self.stop, DataFrame):
+            return self.stop.select("word").unionByName(named).distinct()
+        few = listed_words(named)
+        if few is not None:
+            return sorted({*self.stop, *few})
+        stop = named.sparkSession.createDataFrame([(w,) for w in self.stop], "word string")
+        return stop.unionByName(named).distinct()
 
 
 def make_lexicon(
@@ -27,12 +43,14 @@ def make_lexicon(
     stop: DataFrame | Iterable[str] = (),
     protected: DataFrame | Iterable[str] = (),
     rules: DataFrame | None = None,
+    dropped: tuple[str, ...] = DROPPED_NATURES,
 ) -> Lexicon:
-    """Collect the phrase lists (checked against ``MAX_PHRASES``) and leave dictionary and stop words as tables."""
-    phrases = listed_words(protected, MAX_PHRASES)
-    rule_rows = [] if rules is None else rules.select("phrase", F.col("parts.word").alias("parts")).limit(
-        MAX_PHRASES + 1
-    ).collect()
-    if phrases is None or len(rule_rows) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} protected phrases or rules; put them in the dictionary")
-    return Lexicon(words, stop, tuple(phrases), {r["phrase"]: list(r["parts"]) for r in rule_rows})
+    """Collect phrases and rules, and leave dictionary and stop words as tables.
+
+    Phrases and rules are site lists that become part of one expression. A rule's parts of dropped natures are
+    left out of what the rule gives.
+    """
+    phrases = sorted({r[0] for r in protected.select("word").collect()} if isinstance(protected, DataFrame) else set(protected))
+    rule_rows = [] if rules is None else rules.select("phrase", "parts").collect()
+    parts = {r["phrase"]: [p["word"] for p in r["parts"] if p["nature"] not in dropped] for r in rule_rows}
+    return Lexicon(words, stop, tuple(phrases), parts, dropped)

@@ -10,13 +10,16 @@ def _list(values) -> str:
 
 
 def _longest_first(words) -> str:
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    escaped = {w: "".join(f"\\{c}" if c in ".|,*+?()[]" else c for c in w) for w in words}
+    return "|".join(escaped[w] for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
 RUN = r"[\p{Latin}\p{M}0-9]"
 LETTER = r"[\p{L}\p{N}]"
 TOKEN = f"{_longest_first(WORDS)}|{RUN}+|{LETTER}"
 MARK = "chr(1)"
+DROPPED = [w for w, nature in NATURES if nature in ("w", "nr")]
+BUCKET = "('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT % 10"
 
 TOKENS = r"SELECT doc_id, lang, source, text, regexp_extract_all(lower(text), '\S+') AS tokens FROM documents"
 
@@ -41,6 +44,7 @@ _RULE_PARTS = "CASE " + " ".join(f"WHEN p = '{k}' THEN [{_list(v)}]" for k, v in
 
 # Every dictionary word at every position, runs of Latin letters and digits, and uncovered letters.
 _LITERAL_WORDS = f"SELECT unnest([{_list(WORDS)}]) AS word"
+_LETTER_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}]+ [\p{L}]+')) AS word FROM benchmark"
 _TABLE_WORDS = f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{RUN}+')) AS word FROM benchmark"
 
 
@@ -53,8 +57,8 @@ def _spans(words: str) -> str:
     ahead AS (
         SELECT *, regexp_matches(c, '{RUN}') AS in_run,
                string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY pos
-                                       ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS win
-        FROM chars),
+                                       ROWS BETWEEN CURRENT ROW AND far FOLLOWING) AS win
+        FROM chars, (SELECT max(length(word)) - 1 AS far FROM words)),
     hits AS (
         SELECT doc_id, pos, length(word) AS len, word AS tok
         FROM ahead JOIN words ON win[1] = word[1] AND starts_with(win, word)),
@@ -77,6 +81,59 @@ def _all_matches(words: str) -> str:
     FROM documents LEFT JOIN (SELECT doc_id, pos, len, tok FROM spans) USING (doc_id) GROUP BY doc_id"""
 
 
+_TABLE_LONGEST = f"""
+            SELECT doc_id, regexp_extract_all(lower(text), p.pattern) AS tokens
+            FROM documents, (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) || '|{RUN}+|{LETTER}'
+                                    AS pattern FROM ({_TABLE_WORDS})) p"""
+
+_PREPARED = f"""
+            WITH {_spans(_LITERAL_WORDS)}
+            SELECT doc_id, any_value(lang) AS "group",
+                   coalesce(string_agg(tok, ' ' ORDER BY pos, -len), '') AS text, any_value(text) AS orgtext
+            FROM documents
+            LEFT JOIN (SELECT doc_id, pos, len, tok FROM spans WHERE tok NOT IN ({_list(STOP_WORDS)})) USING (doc_id)
+            GROUP BY doc_id"""
+
+# Labels by the order of the classes in the training part.
+_TRAINED = f"""
+    prepared AS ({_PREPARED}),
+    parted AS (SELECT *, {BUCKET.format(key="doc_id")} < 8 AS training FROM prepared),
+    labels_of AS (
+        SELECT "group", (row_number() OVER (ORDER BY count(*) DESC, "group") - 1)::DOUBLE AS label
+        FROM parted WHERE training AND "group" IS NOT NULL GROUP BY "group")"""
+
+# MurmurHash3 (32 bits, seed 42) of a word's UTF-8 bytes, step by step on lists of 4-byte blocks.
+_MASK = "4294967295::UBIGINT"
+
+
+def _mixed(blocks: str) -> str:
+    """Blocks times the first constant, rotated by 15 bits, times the second."""
+    step = f"list_transform({blocks}, lambda k: (k * 3432918353::UBIGINT) & {_MASK})"
+    step = f"list_transform({step}, lambda k: ((k << 15) | (k >> 17)) & {_MASK})"
+    return f"list_transform({step}, lambda k: (k * 461845907::UBIGINT) & {_MASK})"
+
+
+def _bytes(first: str, n: str) -> str:
+    """The number in ``n`` bytes of the hexadecimal string ``h`` from byte ``first`` on, lowest byte first."""
+    digits = " || ".join(f"CASE WHEN {n} > {i} THEN substr(h, 2 * ({first}) + {2 * i + 1}, 2) ELSE '' END" for i in (3, 2, 1, 0))
+    return f"('0x' || CASE WHEN {n} = 0 THEN '0' ELSE {digits} END)::UBIGINT"
+
+
+_BUCKETS = f"""
+    words AS (SELECT word, hex(encode(word)) AS h, (strlen(word))::BIGINT AS len FROM (SELECT DISTINCT word FROM tokens)),
+    bodies AS (
+        SELECT word, len, list_reduce(
+            list_concat([42::UBIGINT], {_mixed("list_transform(range(0, len // 4), lambda i: " + _bytes("4 * i", "4") + ")")}),
+            lambda a, k: ((((xor(a, k) << 13) | (xor(a, k) >> 19)) & {_MASK}) * 5 + 3864292196::UBIGINT) & {_MASK}) AS body,
+            {_mixed("[" + _bytes("len - len % 4", "(len % 4)") + "]")}[1] AS tail
+        FROM words),
+    f0 AS (SELECT word, xor(xor(body, tail), len::UBIGINT) AS x FROM bodies),
+    f1 AS (SELECT word, (xor(x, x >> 16) * 2246822507::UBIGINT) & {_MASK} AS x FROM f0),
+    f2 AS (SELECT word, (xor(x, x >> 13) * 3266489909::UBIGINT) & {_MASK} AS x FROM f1),
+    f3 AS (SELECT word, xor(x, x >> 16)::BIGINT AS x FROM f2),
+    hashed AS (
+        SELECT word, ((CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) % 6900 + 6900) % 6900 AS bucket FROM f3)"""
+
 _INDEX = """
     SELECT {column} AS "group", count(*) AS n,
            (row_number() OVER (ORDER BY count(*) DESC, {column}) - 1)::DOUBLE AS label
@@ -107,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "drop_by_nature": f"""
             SELECT doc_id, len(kept) AS n_tokens, coalesce(array_to_string(kept, ' '), '') AS text
             FROM (SELECT doc_id, list_filter(tokens, lambda t:
-                      t NOT IN ({_list(w for w, nature in NATURES if nature in ("w", "nr"))})
+                      t NOT IN ({_list(DROPPED)})
                       AND NOT regexp_full_match(t, '[\\p{{P}}\\p{{S}}]+')) AS kept
                   FROM ({TOKENS}))""",
         "segment_max_match": _joined(
@@ -117,17 +174,42 @@ def oracle_sql() -> dict[str, str]:
         "segment_ambiguity": _joined(_around([*PROTECTED, *RULES], _RULE_PARTS)),
         "segment_all_matches": _all_matches(_LITERAL_WORDS),
         "segment_all_matches_join": _all_matches(_TABLE_WORDS),
-        "segment_max_match_join": _joined(f"""
-            SELECT doc_id, regexp_extract_all(lower(text), p.pattern) AS tokens
-            FROM documents, (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) || '|{RUN}+|{LETTER}'
-                                    AS pattern FROM ({_TABLE_WORDS})) p"""),
-        "prepare_text": f"""
-            WITH {_spans(_LITERAL_WORDS)}
-            SELECT doc_id, any_value(lang) AS "group",
-                   coalesce(string_agg(tok, ' ' ORDER BY pos, -len), '') AS text, any_value(text) AS orgtext
-            FROM documents
-            LEFT JOIN (SELECT doc_id, pos, len, tok FROM spans WHERE tok NOT IN ({_list(STOP_WORDS)})) USING (doc_id)
-            GROUP BY doc_id""",
+        "segment_max_match_join": _joined(_TABLE_LONGEST),
+        "segment_max_match_shuffled": _joined(_TABLE_LONGEST),
+        "segment_all_matches_shuffled": _all_matches(_TABLE_WORDS),
+        "segment_all_matches_any": _all_matches(_LETTER_WORDS),
+        "prepare_text": _PREPARED,
+        "prepare_split": f"""
+            WITH numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS row_num FROM documents),
+            cut AS (
+                SELECT *, list_filter(
+                    regexp_extract_all(lower(text), '{_longest_first([*WORDS, *[w for w, _ in NATURES]])}|{RUN}+|{LETTER}'),
+                    lambda t: t NOT IN ({_list([*STOP_WORDS, *DROPPED])})) AS kept
+                FROM numbered
+                WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) > 1) AND text IS NOT NULL)
+            SELECT doc_id, source AS "group", coalesce(array_to_string(kept, ' '), '') AS text,
+                   CASE WHEN row_num % {MOD} = 0 THEN 'test' ELSE 'train' END AS part
+            FROM cut""",
+        "hashing_tf": f"""
+            WITH tokens AS (SELECT doc_id, unnest(tokens) AS word FROM ({TOKENS})), {_BUCKETS}
+            SELECT doc_id, bucket::INTEGER AS bucket, count(*)::DOUBLE AS tf
+            FROM tokens JOIN hashed USING (word) GROUP BY ALL""",
+        "evaluated_rows": f"""
+            WITH {_TRAINED}
+            SELECT "group", text, orgtext, label, '{JOB}' AS job_id FROM parted JOIN labels_of USING ("group")
+            WHERE NOT training""",
+        "score_job": f"""
+            WITH {_TRAINED}
+            SELECT '{JOB}' AS job_id, text, orgtext, label FROM parted JOIN labels_of USING ("group")""",
+        "stream_rows": f"SELECT doc_id, '{JOB}' AS job_id, text, orgtext FROM ({_PREPARED})",
+        "model_roundtrip": f"""
+            SELECT true AS same, count(*) AS n FROM documents WHERE {BUCKET.format(key="doc_id")} >= 8""",
+        "numeric_labels": f"""
+            WITH i AS (
+                SELECT name, (row_number() OVER (ORDER BY k DESC, name) - 1)::DOUBLE AS n
+                FROM (SELECT label::VARCHAR AS name, count(*) AS k FROM embeddings GROUP BY label))
+            SELECT vec_id, name AS label, n AS indexed_label FROM embeddings e JOIN i ON e.label::VARCHAR = i.name
+            WHERE {BUCKET.format(key="vec_id")} >= 8""",
         "label_index": f"""
             SELECT 'lang' AS field, '{JOB}' AS job_id, label, "group", n FROM ({_INDEX.format(column="lang")})
             UNION ALL

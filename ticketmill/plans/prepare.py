@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.config import PrepConfig
 from ticketmill.functions.tokens import joined
-from ticketmill.operators.corpus import modulo_split
+from ticketmill.operators.corpus import with_parts
 from ticketmill.operators.segment import remove_words, segment
 from ticketmill.plans.lexicon import Lexicon
 from ticketmill.session import stored
@@ -31,7 +31,7 @@ def prepare_text(
         lexicon.rules,
         config.keep_punctuation,
     )
-    kept = remove_words(tokens, "tokens", lexicon.stop, config.id_col)
+    kept = remove_words(tokens, "tokens", lexicon.left_out(), config.id_col)
     group = [F.col(config.group_col).alias("group")] if config.group_col in df.columns else []
     text = joined(F.col("tokens")).alias("text")
     return kept.select(config.id_col, *group, text, F.col(config.text_col).alias("orgtext"), *keep)
@@ -51,12 +51,16 @@ def dropped_rows(df: DataFrame, config: PrepConfig) -> DataFrame:
     )
 
 
-def prepare(df: DataFrame, lexicon: Lexicon, config: PrepConfig) -> tuple[DataFrame, DataFrame]:
-    """``(train, test)``. Rows are numbered before singleton classes go; dropped rows use up numbers.
+def prepared_split(df: DataFrame, lexicon: Lexicon, config: PrepConfig) -> DataFrame:
+    """``id, group, text, orgtext, part``. Rows are numbered before singleton classes go; dropped rows use up numbers.
 
-    The split is decided on the key columns alone; the texts are read once, segmented once and stored.
+    Numbers come with the ids and the class table is broadcast, so texts stay where they are read.
     """
-    parts = modulo_split(df, config.id_col, config.group_col, config.mod).select(config.id_col, "part")
-    kept = usable(df, config).join(parts, config.id_col)
-    table = stored(prepare_text(kept, lexicon, config, keep=("part",)), "prepared", "part")
+    parts = with_parts(df, config.id_col, config.group_col, config.mod)
+    return prepare_text(usable(parts, config), lexicon, config, keep=("part",))
+
+
+def prepare(df: DataFrame, lexicon: Lexicon, config: PrepConfig) -> tuple[DataFrame, DataFrame]:
+    """``(train, test)``: the split rows, segmented once and stored; inside :func:`session.scratch` the copy goes at the end."""
+    table = stored(prepared_split(df, lexicon, config), "prepared", "part")
     return table.where("part = 'train'").drop("part"), table.where("part = 'test'").drop("part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.config import ForestParams, PrepConfig, TrainConfig
+from ticketmill.config import ForestParams, PrepConfig, ScoreConfig, TrainConfig
 from ticketmill.functions.segmentation import RUN
 from ticketmill.functions.tokens import (
     exploded,
@@ -23,17 +24,18 @@ from ticketmill.operators.features import array_features, hashed_tf, sparse_entr
 from ticketmill.operators.segment import remove_words, segment, stop_natures
 from ticketmill.plans.fixed import JOB, MOD, NATURES, PROTECTED, RULES, STOP_WORDS, WORDS
 from ticketmill.plans.lexicon import Lexicon
-from ticketmill.plans.prepare import prepare_text
-from ticketmill.plans.score import scored_rows, scored_unlabelled
+from ticketmill.plans.prepare import prepare_text, prepared_split
+from ticketmill.plans.score import score, scored_rows, scored_unlabelled
 from ticketmill.plans.train import evaluated_predictions as evaluated
 from ticketmill.plans.train import train
-from ticketmill.session import shared_path, spread, stored
+from ticketmill.session import exists, is_folder, shared_dir, shared_path, spread, stored
 from ticketmill.sinks.tables import save_stage
-from ticketmill.sources.saved import load_pipeline_model
+from ticketmill.sources.saved import load_job_table, load_pipeline_model
 from ticketmill.streaming import windows
 from ticketmill.streaming.score import score_stream as stream_scores
 
 NUM_FEATURES = 1000
+# The small forest that the scoring queries use; ``forest_text_full`` trains the full-size one.
 FOREST = ForestParams(num_trees=20, max_depth=5, max_bins=32)
 
 
@@ -115,6 +117,28 @@ def segment_all_matches_join(spark, sf_dir):
     return counted(segment(texts(spark, sf_dir), "text", "tokens", table_words(spark, sf_dir), "finest", limit=0))
 
 
+def segment_max_match_shuffled(spark, sf_dir):
+    """The plan for dictionaries that are too large for a worker to hold."""
+    words = table_words(spark, sf_dir)
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", words, "longest", limit=0, held_rows=0))
+
+
+def segment_all_matches_shuffled(spark, sf_dir):
+    words = table_words(spark, sf_dir)
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", words, "finest", limit=0, held_rows=0))
+
+
+def letter_words(spark, sf_dir) -> DataFrame:
+    """A dictionary whose words cross the borders of runs: pairs of benchmark words with the blank between them."""
+    pairs = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+ [\p{L}]+"), F.lit(0))
+    return exploded(table(spark, sf_dir, "benchmark"), [], pairs, "word").select("word").distinct()
+
+
+def segment_all_matches_any(spark, sf_dir):
+    """All matches with a dictionary that is not made of runs only, as Chinese ones are."""
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", letter_words(spark, sf_dir), "finest"))
+
+
 def segment_protected(spark, sf_dir):
     return counted(segment(texts(spark, sf_dir), "text", "tokens", WORDS, "longest", protected=PROTECTED))
 
@@ -130,6 +154,14 @@ def prepared_texts(spark, sf_dir) -> DataFrame:
     return prepare_text(texts(spark, sf_dir, "lang"), lexicon, PrepConfig(group_col="lang", text_col="text"))
 
 
+def prepare_split(spark, sf_dir):
+    """The preparation job: segment, drop stop words and words of dropped natures, drop singleton classes, split."""
+    dictionary = spark.createDataFrame([(w, None) for w in WORDS] + NATURES, "word string, nature string")
+    config = PrepConfig(group_col="source", text_col="text", mode="longest", mod=MOD)
+    rows = prepared_split(texts(spark, sf_dir, "source"), Lexicon(dictionary, STOP_WORDS), config)
+    return rows.select("doc_id", "group", "text", "part")
+
+
 # Classes, splits, indices
 
 
@@ -216,52 +248,68 @@ def eval_per_class(spark, sf_dir):
 # Models
 
 
-# Results that several queries of one application share: (application, folder, name) -> value.
-_made: dict[tuple[str, str, str], object] = {}
-
-
-def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], object]):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
-        _made[key] = make(spark, sf_dir)
-    return _made[key]
+def model_path(spark, sf_dir, name: str) -> str:
+    """Where the model of a data folder is saved: the query that trains it puts it there, others load it."""
+    folder = hashlib.md5(f"{spark.sparkContext.applicationId} {sf_dir}".encode()).hexdigest()
+    return f"{shared_dir(spark)}/ticketmill/models/{folder}/{name}"
 
 
 def split_texts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Prepared documents, segmented once and split by the hash of their id."""
-
-    def make(spark, sf_dir):
-        return stored(corpus.hash_split(prepared_texts(spark, sf_dir), "doc_id", 0.8), "prepared", "part")
-
-    prepared = once(spark, sf_dir, "prepared", make)
-    return prepared.where("part = 'train'"), prepared.where("part = 'test'")
+    """Prepared documents, split by the hash of their id."""
+    prepared = corpus.hash_split(prepared_texts(spark, sf_dir), "doc_id", 0.8)
+    return prepared.where("part = 'train'").drop("bucket", "part"), prepared.where("part = 'test'").drop("bucket", "part")
 
 
-def train_forest(spark, sf_dir) -> tuple[str, DataFrame]:
-    """Run the train job; the path of its model and its accuracy table."""
+def train_forest(spark, sf_dir, name: str, params: ForestParams, num_features: int):
     config = TrainConfig(
         job_id=JOB,
-        model_dir=shared_path(spark, "models"),
+        model_dir=model_path(spark, sf_dir, name),
         output_dir=shared_path(spark, "tables"),
-        num_features=NUM_FEATURES,
+        num_features=num_features,
         fit_partitions=spark.sparkContext.defaultParallelism,
-        forest=FOREST,
+        forest=params,
     )
-    return config.model_path, train(*split_texts(spark, sf_dir), config).accuracy
+    result = train(*split_texts(spark, sf_dir), config)
+    return config, result
+
+
+def forest_text(spark, sf_dir):
+    """Train job on the documents; the accuracy table it writes. The other queries load the model it saves."""
+    return train_forest(spark, sf_dir, "forest", FOREST, NUM_FEATURES)[1].accuracy
+
+
+def forest_text_full(spark, sf_dir):
+    """The train job at full size: 200 trees of depth 30 with 70 bins over 6,900 features."""
+    return train_forest(spark, sf_dir, "forest_full", ForestParams(), 6900)[1].accuracy
+
+
+def trained_path(spark, sf_dir) -> str:
+    path = f"{model_path(spark, sf_dir, 'forest')}/job_id={JOB}"
+    if not exists(spark, path):
+        train_forest(spark, sf_dir, "forest", FOREST, NUM_FEATURES)
+    return path
 
 
 def trained_forest(spark, sf_dir) -> PipelineModel:
-    return load_pipeline_model(once(spark, sf_dir, "forest", train_forest)[0])
+    return load_pipeline_model(trained_path(spark, sf_dir))
 
 
-def forest_text(spark, sf_dir):
-    """Train job on the documents; the accuracy table it writes."""
-    return once(spark, sf_dir, "forest", train_forest)[1]
+def forest_folder(spark, sf_dir) -> str:
+    """The folder of the forest itself: the last stage of the saved pipeline."""
+    path = f"{trained_path(spark, sf_dir)}/stages"
+    last = len(trained_forest(spark, sf_dir).stages) - 1
+    stages = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-00000*").load(path)
+    places = stages.select(F.regexp_extract("path", r"/stages/([^/]+)/", 1).alias("stage")).distinct()
+    return f"{path}/" + places.where(F.col("stage").rlike(f"^0*{last}_")).first()["stage"]
 
 
 def evaluated_predictions(spark, sf_dir):
-    _, test_rows = split_texts(spark, sf_dir)
-    return evaluated(trained_forest(spark, sf_dir), test_rows, JOB)
+    return evaluated(trained_forest(spark, sf_dir), split_texts(spark, sf_dir)[1], JOB)
+
+
+def evaluated_rows(spark, sf_dir):
+    """The held-out rows as the train job evaluates them, but for the prediction."""
+    return evaluated_predictions(spark, sf_dir).drop("prediction")
 
 
 def score_batch(spark, sf_dir):
@@ -269,17 +317,34 @@ def score_batch(spark, sf_dir):
     return scored_rows(trained_forest(spark, sf_dir), rows, JOB, keep=("doc_id",))
 
 
+def score_job(spark, sf_dir):
+    """The score job run twice under one id: the table it leaves, but for the prediction."""
+    path = trained_path(spark, sf_dir)
+    out = shared_path(spark, "score")
+    for _ in range(2):
+        score(prepared_texts(spark, sf_dir), ScoreConfig(JOB, path, out))
+    return load_job_table(spark, f"{out}/scored", JOB).select("job_id", "text", "orgtext", "label")
+
+
+def read_stream(spark, sf_dir, name: str) -> DataFrame:
+    """A table of the folder as a file stream, whether it is one file or a folder of part files."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def score_stream(spark, sf_dir):
     """The documents as a file stream, segmented and scored in one pass."""
     documents = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
     few_splits = documents.rdd.getNumPartitions() < 2 * cores
-    rows = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     out = shared_path(spark, "stream")
     prep = PrepConfig(group_col="", text_col="text")
     query = stream_scores(
         trained_forest(spark, sf_dir),
-        rows.select("doc_id", "text"),
+        read_stream(spark, sf_dir, "documents").select("doc_id", "text"),
         JOB,
         f"{out}/scored",
         f"{out}/progress",
@@ -291,9 +356,14 @@ def score_stream(spark, sf_dir):
     return spark.read.parquet(f"{out}/scored")
 
 
+def stream_rows(spark, sf_dir):
+    """What the stream leaves, but for the prediction."""
+    return score_stream(spark, sf_dir).select("doc_id", "job_id", "text", "orgtext")
+
+
 def model_roundtrip(spark, sf_dir):
     """Rows that the trained and the saved-and-loaded model score alike, and those they do not."""
-    _, test_rows = split_texts(spark, sf_dir)
+    test_rows = split_texts(spark, sf_dir)[1]
     model = trained_forest(spark, sf_dir)
     path = shared_path(spark, "model")
     save_stage(model, path)
@@ -305,11 +375,11 @@ def model_roundtrip(spark, sf_dir):
 
 
 def model_report(spark, sf_dir):
-    return models.tree_report(trained_forest(spark, sf_dir).stages[-1], spark)
+    return models.tree_report(spark, forest_folder(spark, sf_dir))
 
 
 def feature_report(spark, sf_dir):
-    return models.feature_report(trained_forest(spark, sf_dir).stages[-1], spark)
+    return models.feature_report(spark, forest_folder(spark, sf_dir))
 
 
 def vectors(spark, sf_dir) -> DataFrame:
@@ -321,51 +391,76 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 def forest_numeric(spark, sf_dir):
     rows = stored(vectors(spark, sf_dir), "vectors")
-    model = models.fit_numeric_forest(rows.where("part = 'train'"), "name")
+    model = models.fit_numeric_forest(rows.where("part = 'train'"), "name", "vec_id", rows)
     return model.transform(rows.where("part = 'test'")).select(
-        "vec_id", F.col("name").alias("label"), "predicted_label", vector_to_array("probability").alias("probability")
+        "vec_id",
+        F.col("name").alias("label"),
+        "indexed_label",
+        "prediction",
+        "predicted_label",
+        vector_to_array("probability").alias("probability"),
     )
 
 
+def numeric_labels(spark, sf_dir):
+    """The held-out rows of the numeric forest with their labels indexed on the whole table."""
+    rows = vectors(spark, sf_dir)
+    indexer, _ = models.numeric_stages(rows, "name")
+    return indexer.transform(rows.where("part = 'test'")).select("vec_id", F.col("name").alias("label"), "indexed_label")
+
+
+def numeric_error(spark, sf_dir):
+    """Error of the numeric forest on its indexed label."""
+    return evaluate.test_error(forest_numeric(spark, sf_dir), "indexed_label")
+
+
 def forest_binary(spark, sf_dir):
     """Three shallow trees, 70/30 split, and their error on the held-out rows."""
     rows = table(spark, sf_dir, "embeddings").withColumn("label", (F.col("label") % 2).cast("double"))
     rows = corpus.hash_split(array_features(rows, "embedding").select("vec_id", "label", "features"), "vec_id", 0.7)
     rows = stored(rows, "binary")
-    model = models.fit_small_forest(rows.where("part = 'train'").select("label", "features"))
+    model = models.fit_small_forest(rows.where("part = 'train'"), "vec_id")
     return evaluate.test_error(model.transform(rows.where("part = 'test'")))
 
 
 def judged_texts(spark, sf_dir) -> DataFrame:
     quality = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return stored(texts(spark, sf_dir).join(quality, "doc_id"), "judged")
+    return texts(spark, sf_dir).join(quality, "doc_id")
 
 
 def fit_logistic(spark, sf_dir) -> PipelineModel:
-    rows = once(spark, sf_dir, "judged", judged_texts)
-    return models.text_pipeline(NUM_FEATURES).fit(rows.select("text", "label"))
+    """Fit on the labelled documents and save the pipeline where the scoring query looks for it."""
+    rows = stored(judged_texts(spark, sf_dir), "judged")
+    model = models.text_pipeline(NUM_FEATURES).fit(rows.select("text", "label"))
+    save_stage(model, model_path(spark, sf_dir, "logistic"))
+    return model
 
 
 def logreg_text(spark, sf_dir):
     """Logistic regression on the labelled documents, applied to all of them."""
-    rows = once(spark, sf_dir, "judged", judged_texts)
-    return once(spark, sf_dir, "logistic", fit_logistic).transform(rows).select(
+    model = fit_logistic(spark, sf_dir)
+    return model.transform(judged_texts(spark, sf_dir)).select(
         "doc_id", "label", vector_to_array("probability").alias("probability"), "prediction"
     )
 
 
 def score_unlabelled(spark, sf_dir):
+    path = model_path(spark, sf_dir, "logistic")
+    model = load_pipeline_model(path) if exists(spark, path) else fit_logistic(spark, sf_dir)
     turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-    return scored_unlabelled(once(spark, sf_dir, "logistic", fit_logistic), turns, ["conv_id", "turn"])
+    return scored_unlabelled(model, turns, ["conv_id", "turn"])
 
 
 # Streams
 
 
 def windowed_counts(spark, sf_dir):
-    """Hourly counts of the events read as a file stream; equal to the batch result."""
-    schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """Hourly counts of the events read as a file stream.
+
+    Equal to the batch result as long as no event comes a day or more after a later one in an earlier micro-batch: such
+    events are dropped, by the lateness given here.
+    """
+    rows = read_stream(spark, sf_dir, "events")
     counts = windows.windowed_counts(rows.select("ts", "event_type"), "ts", "event_type", "1 hour", "1 day")
     out = shared_path(spark, "windows")
     windows.write_updates(counts, f"{out}/updates", f"{out}/progress").awaitTermination()
@@ -387,9 +482,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "segment_all_matches": segment_all_matches,
         "segment_max_match_join": segment_max_match_join,
         "segment_all_matches_join": segment_all_matches_join,
+        "segment_max_match_shuffled": segment_max_match_shuffled,
+        "segment_all_matches_shuffled": segment_all_matches_shuffled,
+        "segment_all_matches_any": segment_all_matches_any,
         "segment_protected": segment_protected,
         "segment_ambiguity": segment_ambiguity,
         "prepare_text": prepared_texts,
+        "prepare_split": prepare_split,
         "label_index": label_index,
         "label_decode": label_decode,
         "class_profile": class_profile,
@@ -405,13 +504,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "eval_confusion": eval_confusion,
         "eval_per_class": eval_per_class,
         "forest_text": forest_text,
+        "forest_text_full": forest_text_full,
         "evaluated_predictions": evaluated_predictions,
+        "evaluated_rows": evaluated_rows,
         "score_batch": score_batch,
+        "score_job": score_job,
         "score_stream": score_stream,
+        "stream_rows": stream_rows,
         "model_roundtrip": model_roundtrip,
         "model_report": model_report,
         "feature_report": feature_report,
         "forest_numeric": forest_numeric,
+        "numeric_labels": numeric_labels,
+        "numeric_error": numeric_error,
         "forest_binary": forest_binary,
         "logreg_text": logreg_text,
         "score_unlabelled": score_unlabelled,

@@ -1,4 +1,4 @@
-"""Train job: label index, fit, save, evaluate, append the result tables."""
+"""Train job: label index, fit, save, evaluate, put the result tables."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ticketmill.config import TrainConfig
 from ticketmill.operators import evaluate
 from ticketmill.operators.labels import label_index
 from ticketmill.operators.models import class_names, fit_text, forest
-from ticketmill.session import stored
+from ticketmill.session import cut_lineage, scratch, stored
 from ticketmill.sinks.tables import ParquetTarget, save_stage, write_table
 
 
@@ -24,6 +24,9 @@ class TrainResult:
     accuracy: DataFrame
 
 
+# The columns of the result tables are those that readers of them expect.
+
+
 def evaluated_predictions(model: PipelineModel, test: DataFrame, job_id: str) -> DataFrame:
     """``group, text, orgtext, label, prediction, job_id``; classes unseen in training count as misses."""
     scored = model.transform(test.where(F.col("group").isNotNull()))
@@ -46,17 +49,20 @@ def train(
     """Fit on prepared ``group, text``, evaluate on held-out rows, save the model under its job id.
 
     ``target`` names where each result table goes. Predictions are stored once; the table written out and the
-    accuracy both read that.
+    accuracy both read that. Copies made on the way are gone when the job ends, and a job that runs again under its
+    id replaces its rows.
     """
-    index = label_index(train_rows, "group", config.job_id)
-    names = class_names(index, config.num_classes)
-    model = fit_text(
-        train_rows, forest(config.forest), names, config.num_features, id_col, config.fit_partitions
-    )
-    save_stage(model, config.model_path)
-    evaluated = stored(evaluated_predictions(model, test_rows, config.job_id), "evaluated")
-    accuracy = model_accuracy(evaluated, config.job_id)
-    write_table(index.drop("n"), target(config, "label_index"))
-    write_table(evaluated, target(config, "evaluated_predictions"))
-    write_table(accuracy, target(config, "model_accuracy"))
-    return TrainResult(model, index, evaluated, accuracy)
+    spark = train_rows.sparkSession
+    with scratch(spark):
+        index = label_index(train_rows, "group", config.job_id)
+        names = class_names(index, config.num_classes)
+        model = fit_text(
+            train_rows, forest(config.forest), names, config.num_features, id_col, config.fit_partitions
+        )
+        save_stage(model, config.model_path)
+        evaluated = stored(evaluated_predictions(model, test_rows, config.job_id), "evaluated")
+        accuracy = cut_lineage(model_accuracy(evaluated, config.job_id))
+        write_table(index.drop("n"), target(config, "label_index"))
+        write_table(evaluated, target(config, "evaluated_predictions"))
+        write_table(accuracy, target(config, "model_accuracy"))
+    return TrainResult(model, index, evaluated_predictions(model, test_rows, config.job_id), accuracy)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +51,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Like :func:`cut_lineage`, as a Parquet table: for wide rows that later steps read by column or partition."""
     path = shared_path(df.sparkSession, name)
+    if _open:
+        _open[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Copies that :func:`stored` makes inside the block are deleted when it ends; results must not depend on them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared storage, if it is there."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table's path is a folder of part files (else it is one file)."""
+    system, place = _file_system(spark, path)
+    return system.getFileStatus(place).isDirectory()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy row work enough tasks when a small input has fewer splits than two per core.
 
@@ -67,15 +107,18 @@ def spread(scan: DataFrame) -> DataFrame:
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition for row work that multiplies the data.
 
-    The number of partitions is given: adaptive execution would merge them by the size before that work.
+    The number of partitions is given, a multiple of the cores and of the session's setting: adaptive execution would
+    merge them by the size before that work.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    session = df.sparkSession
+    wanted = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    return df.repartition(wanted, key)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure ``df``, reading at most ``max_rows`` + 1 rows."""
+    """Measure ``df``: its rows and bytes, summed up in partial aggregates."""
     size = F.octet_length(F.to_json(F.struct("*")))
-    rows, used = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    rows, used = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return rows <= max_rows and used <= max_bytes
 
 

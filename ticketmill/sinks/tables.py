@@ -1,4 +1,4 @@
-"""Append job results to tables, as Parquet partitioned by job or over JDBC."""
+"""Put job results into tables, as Parquet partitioned by job or over JDBC."""
 
 from __future__ import annotations
 
@@ -24,14 +24,16 @@ class JdbcTarget:
 
 
 def write_table(df: DataFrame, target: ParquetTarget | JdbcTarget) -> None:
-    """Append ``df``, which carries ``job_id``."""
+    """Add the rows of ``df``, which carries ``job_id``. In a Parquet table they replace the rows of the same job, so a job
+    that runs again leaves each row once; JDBC tables are appended to, as Spark's writer cannot replace some rows."""
     if "job_id" not in df.columns:
         raise ValueError("result tables carry job_id")
     if isinstance(target, JdbcTarget):
         options = {**target.properties, "numPartitions": str(target.max_connections)}
         df.write.mode("append").jdbc(target.url, target.table, properties=options)
     else:
-        df.write.mode("append").partitionBy("job_id").parquet(target.path)
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("job_id").parquet(target.path)
 
 
 def save_stage(stage: MLWritable, path: str) -> None:

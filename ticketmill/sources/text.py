@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.operators.numbering import number_rows
+from ticketmill.operators.numbering import number_in_scan
 
 # Charsets that Spark reads without further settings.
 STANDARD_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
@@ -46,11 +46,9 @@ def read_numbered_tickets(
             F.coalesce("orgtext", F.lit("")).alias("orgtext"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
         )
     )
-    place = [F.col("_file"), F.col("_block"), F.col("_row")]
-    return number_rows(raw, place, "doc_id").select("doc_id", "group", "orgtext")
+    return number_in_scan(raw, ["_file", "_block"], "doc_id").select("doc_id", "group", "orgtext")
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", optional: bool = False) -> DataFrame:
@@ -75,23 +73,28 @@ def read_words(spark: SparkSession, path: str, encoding: str = "UTF-8", optional
     return lines.select(word).where(F.col("word") != "").distinct()
 
 
-def read_protected(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_protected(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", optional: bool = False
+) -> DataFrame:
     """``word, nature, priority``: phrases that segmentation keeps whole."""
-    return read_words(spark, path, encoding).withColumns({"nature": F.lit("n"), "priority": F.lit(1)})
+    return read_words(spark, path, encoding, optional).withColumns({"nature": F.lit("n"), "priority": F.lit(1)})
 
 
-def read_dictionary(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_dictionary(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", optional: bool = False
+) -> DataFrame:
     """``word, nature, priority`` from ``word [TAB nature]`` lines; the nature may be missing."""
     fields = F.split("word", "\t")
-    return read_words(spark, path, encoding).select(
+    return read_words(spark, path, encoding, optional).select(
         F.trim(fields[0]).alias("word"), F.trim(F.get(fields, F.lit(1))).alias("nature"), F.lit(0).alias("priority")
     )
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
+def read_rules(spark: SparkSession, path: str, encoding: str = "UTF-8", optional: bool = False) -> DataFrame:
     """``phrase, parts``: ambiguity rules, tab-separated, plain or as the cells of a saved HTML table.
 
-    A line is ``phrase TAB word TAB nature [TAB word TAB nature ...]``.
+    A line is ``phrase TAB word TAB nature [TAB word TAB nature ...]``. Of several rules for a phrase the one with
+    the fewest parts stays, then the one whose parts sort first: a choice that no order of files or tasks changes.
     """
     row = F.regexp_replace("value", r"^\s*<td[^>]*>|</td>\s*$", "")
     fields = F.transform(F.split(row, "\t"), lambda f: F.trim(f))
@@ -102,9 +105,10 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
         ),
     )
     return (
-        read_lines(spark, path)
+        read_lines(spark, path, encoding, optional)
         .select(fields.alias("fields"))
         .where(F.size("fields") >= 3)
         .select(F.col("fields")[0].alias("phrase"), pairs.alias("parts"))
-        .dropDuplicates(["phrase"])
+        .groupBy("phrase")
+        .agg(F.min(F.struct(F.size("parts").alias("n"), "parts"))["parts"].alias("parts"))
     )
