@@ -167,31 +167,88 @@ def _sort_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield sort()
 
 
-def _window_rows(batch: pa.RecordBatch) -> pa.Table:
-    """A row for each window of each content: its 128-bit digest and its place."""
-    a, c, index, first, second = [], [], [], [], []
-    for anchor, content_id, content in zip(*(batch[x].to_pylist() for x in ("a", "c", "content"))):
+_ENTRY = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("a", "<i8"), ("c", "<i8"), ("i", "<i4"), ("n", "<i4")])
+
+
+def _positions(entries: np.ndarray) -> pa.RecordBatch:
+    """Rows (a, c, at): the windows of each content among the entries."""
+    entries = entries[np.lexsort([entries["i"], entries["c"], entries["a"]])]
+    new = np.append(True, (entries["a"][1:] != entries["a"][:-1]) | (entries["c"][1:] != entries["c"][:-1])) if len(entries) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(entries)).astype(np.int32)), pa.array(np.ascontiguousarray(entries["i"])))
+    return pa.record_batch([np.ascontiguousarray(entries["a"][first]), np.ascontiguousarray(entries["c"][first]), at], ["a", "c", "at"])
+
+
+def _by_digest(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in the order of their digests, and where each digest begins."""
+    entries = entries[np.lexsort([entries["w2"], entries["w1"]])]
+    return entries, np.flatnonzero(np.append(True, (entries["w1"][1:] != entries["w1"][:-1]) | (entries["w2"][1:] != entries["w2"][:-1])))
+
+
+def _deal_windows(batch: pa.RecordBatch, buckets: int) -> pa.Table:
+    """The windows of a batch of contents, dealt out by their digest: one packed block for each bucket.
+
+    Windows that repeat inside the batch are known to be repeated at once (rows with ``at``); one entry of each digest
+    goes on, with how often it was there.
+    """
+    parts = []
+    for a, c, content in zip(*(batch[x].to_pylist() for x in ("a", "c", "content"))):
         n = len(content) - LENGTH + 1
-        digests = np.frombuffer(b"".join(hashlib.blake2b(content[i : i + LENGTH], digest_size=16).digest() for i in range(n)), np.int64)
-        a += [anchor] * n
-        c += [content_id] * n
-        index.append(np.arange(n, dtype=np.int32))
-        first.append(digests[::2])
-        second.append(digests[1::2])
-    return pa.table([pa.array(a, pa.int64()), pa.array(c, pa.int64()), np.concatenate(index), np.concatenate(first), np.concatenate(second)], ["a", "c", "i", "w1", "w2"])
+        own = np.zeros(n, _ENTRY)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(content[i : i + LENGTH], digest_size=16).digest() for i in range(n)), "<i8")
+        own["w1"], own["w2"], own["a"], own["c"], own["i"] = digests[::2], digests[1::2], a, c, np.arange(n)
+        parts.append(own)
+    entries, first = _by_digest(np.concatenate(parts))
+    times = np.diff(np.append(first, len(entries)))
+    known = _positions(entries[np.repeat(times > 1, times)])
+    sent = entries[first]
+    sent["n"] = times
+    bucket = (sent["w1"] % buckets).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sent, bucket = sent[order], bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    blocks = [x.tobytes() for x in np.split(sent, cut[1:])]
+    nulls = lambda n, kind: pa.nulls(n, kind)
+    dealt = pa.table([pa.array(bucket[cut].astype(np.int32)), pa.array(blocks, pa.binary()), nulls(len(blocks), pa.int64()), nulls(len(blocks), pa.int64()), nulls(len(blocks), pa.list_(pa.int32()))], ["bucket", "block", "a", "c", "at"])
+    n = known.num_rows
+    return pa.concat_tables([dealt, pa.table([nulls(n, pa.int32()), nulls(n, pa.binary()), known["a"], known["c"], known["at"]], dealt.column_names)])
+
+
+def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block), sorted by bucket: the windows whose digest has several entries."""
+    held: list[np.ndarray] = []
+    current = None
+
+    def repeated() -> pa.RecordBatch:
+        entries, first = _by_digest(np.concatenate(held))
+        several = np.diff(np.append(first, len(entries)))
+        return _positions(entries[np.repeat(several > 1, several) & (entries["n"] == 1)])
+
+    for batch in batches:
+        for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist()):
+            if bucket != current and held:
+                yield repeated()
+                held.clear()
+            current = bucket
+            held.append(np.frombuffer(block, _ENTRY))
+    if held:
+        yield repeated()
 
 
 def _split_groups(contents: DataFrame) -> DataFrame:
-    """The same result as :func:`_sort_contents` for anchors with very many contents: windows are counted by their digest."""
-    windows = store(map_batches(contents, _window_rows, "a long, c long, i int, w1 long, w2 long").distinct(), "windows")
-    place = F.struct("a", "c", "i")
-    repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("w1", "w2")
+    """The same result as :func:`_sort_contents` for anchors with very many contents: one more pass deals their windows
+    out to buckets by digest, so that no anchor is gathered in one task, and each bucket is sorted."""
+    buckets = 4 * int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = store(map_batches(contents, lambda batch: _deal_windows(batch, buckets), "bucket int, block binary, a long, c long, at array<int>"), "dealt")
+    blocks = dealt.filter("block IS NOT NULL").select("bucket", "block")
+    across = blocks.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "a long, c long, at array<int>")
+    known = dealt.filter("block IS NULL").select("a", "c", "at")
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
         covered = [cover(np.sort(np.array(x, np.int64))) for x in batch["at"].to_pylist()]
         return pa.record_batch([batch["a"], batch["c"], pa.array(covered, pa.list_(pa.int32()))], ["a", "c", "spans"])
 
-    found = windows.join(repeated, ["w1", "w2"]).groupBy("a", "c").agg(F.collect_list("i").alias("at"))
+    found = known.unionByName(across).groupBy("a", "c").agg(F.flatten(F.collect_list("at")).alias("at"))
     return map_batches(found, spans, "a long, c long, spans array<int>")
 
 
