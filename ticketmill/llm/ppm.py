@@ -28,8 +28,9 @@ EDGE = 0xFF
 CONTEXT_SHARE = 1 / 100_000
 #: Tokens with at least this share of all are looked up in a broadcast table (at most 1 / share of them), the rest in a join.
 HOT_SHARE = 1 / 2_000_000
-#: Distinct tokens and grams that a task counts before it sends what it has.
+#: Distinct tokens, and grams, that a task counts before it sends what it has.
 FLUSH = 400_000
+FLUSH_GRAMS = 2_000_000
 
 
 # -- the unigram baseline ---------------------------------------------------------------------------------------------
@@ -101,11 +102,23 @@ def count_grams(documents: DataFrame) -> DataFrame:
     """(gram, n): ORDER bytes of context and the byte (or edge) after them, over all places of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted grams and their counts
+
+        def merge() -> int:
+            """Bring what is held together; how many grams there are."""
+            if len(held) > 1:
+                both = np.concatenate([g for g, _ in held])
+                order = np.argsort(both, kind="stable")
+                both, n = both[order], np.concatenate([n for _, n in held])[order]
+                first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+                held[:] = [(both[first], np.add.reduceat(n, first))]
+            return sum(len(g) for g, _ in held)
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(grams), 100_000):
-                yield pa.record_batch([grams[i : i + 100_000].astype(np.int64), counts[i : i + 100_000]], ["gram", "n"])
+            for grams, counts in held:
+                for i in range(0, len(grams), 100_000):
+                    yield pa.record_batch([grams[i : i + 100_000].astype(np.int64), counts[i : i + 100_000]], ["gram", "n"])
+            held.clear()
 
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
@@ -117,15 +130,10 @@ def count_grams(documents: DataFrame) -> DataFrame:
                 np.add.at(inside, bounds[::2], 1)
                 np.add.at(inside, bounds[1::2], -1)
                 place = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-                found, n = np.unique(_grams(framed)[place], return_counts=True)
-                both = np.concatenate([grams, found])
-                order = np.argsort(both, kind="stable")
-                both, n = both[order], np.concatenate([counts, n])[order]
-                first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-                grams, counts = both[first], np.add.reduceat(n, first)
-                if len(grams) > FLUSH:
-                    yield from rows()
-                    grams, counts = grams[:0], counts[:0]
+                held.append(np.unique(_grams(framed)[place], return_counts=True))
+            if sum(len(g) for g, _ in held) > 2 * FLUSH_GRAMS and merge() > FLUSH_GRAMS:
+                yield from rows()
+        merge()
         yield from rows()
 
     return documents.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
