@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ticketmill.llm.rows import map_batches, prepare_session
+from ticketmill.llm.rows import Shared, extended, map_batches, prepare_session
 
 #: Encoded chunks of text that a worker remembers before it starts afresh, and the longest of them.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 300_000
 MEMO_LENGTH = 48
 #: Symbols that the transducer reads beyond its lookahead before it merges; characters of a text that are read at once.
 WINDOW = 512
@@ -301,9 +301,6 @@ class Decoder:
         return "" if self.joined else self.state.decode(b"", final=True)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` to every row, and ``ids`` (32-bit little-endian) if asked for.
 
@@ -311,15 +308,12 @@ def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) ->
     names are replaced; all others pass through.
     """
     prepare_session(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(load(path))  # its size is that of the tokenizer file
+    shared = Shared(documents.sparkSession, load(path), Encoder)  # its size is that of the tokenizer file
     documents = documents.drop("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tables = shared.value
-        if id(tables) not in _encoders:
-            _encoders.clear()
-            _encoders[id(tables)] = Encoder(tables)
-        encoder = _encoders[id(tables)]
+        encoder = shared.get()
+        tables = encoder.tables
         counts, digests, decoded, kept = [], [], [], []
         for text in batch["text"].to_pylist():
             n, ids_hash, text_hash, decoder, all_ids = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tables), []
@@ -337,5 +331,5 @@ def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) ->
         batch = batch.append_column("ids_sha256", pa.array(digests)).append_column("decoded_sha256", pa.array(decoded))
         return batch.append_column("ids", pa.array(kept, pa.binary())) if with_ids else batch
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields]
-    return map_batches(documents, run, ", ".join([*fields, "n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids binary"] * with_ids))
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return map_batches(documents, run, extended(documents, added), shared)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ticketmill.llm.rows import prepare_session, slabs
+from ticketmill.llm.rows import map_arrow, prepare_session, slabs
 from ticketmill.llm.shingles import random_words, shingle_hashes, word_hashes
 
 PERMUTATIONS = 128
@@ -127,4 +127,4 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
             pass
 
     kept = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _neighbours(documents).select("guest", "doc_id", "text").mapInArrow(run, kept)
+    return map_arrow(_neighbours(documents).select("guest", "doc_id", "text"), run, kept)

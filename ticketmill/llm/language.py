@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import map_batches, prepare_session, store
+from ticketmill.llm.rows import Shared, extended, map_batches, prepare_session, store
 
 #: Documents per language that the model is fitted on, about: a hash of doc_id picks them.
 SAMPLE_PER_LANGUAGE = 4000
@@ -27,7 +27,7 @@ WORD_SHARE = 1 / 400_000
 GRAM_SHARE = 1 / 100_000
 MAX_ORDER = 5
 #: Unknown words that a worker remembers before it starts afresh.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,7 +88,8 @@ def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) ->
                 for gram in grams(word, order):
                     counts[lang, order, gram] += n
         keys = list(counts)
-        return pa.record_batch([[k[0] for k in keys], pa.array([k[1] for k in keys], pa.int32()), [k[2] for k in keys], pa.array(counts.values(), pa.int64())], ["lang", "ord", "gram", "n"])
+        orders = pa.array([k[1] for k in keys], pa.int32())
+        return pa.record_batch([[k[0] for k in keys], orders, [k[2] for k in keys], pa.array(counts.values(), pa.int64())], ["lang", "ord", "gram", "n"])
 
     words = store(map_batches(sample, count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     shorter = map_batches(words, count_grams, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
@@ -159,9 +160,6 @@ def predict_text(scorer: Scorer, text: str | None) -> tuple[str, float]:
     return scorer.model.languages[best], float(1.0 / np.exp(sums - sums[best]).sum())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row, from its text alone.
 
@@ -169,21 +167,17 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     without letters are ``und`` with score 0. Columns of these two names are replaced; all others pass through.
     """
     prepare_session(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(documents.sparkSession, model, Scorer)
     documents = documents.drop("lang_pred", "score")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = _scorers.get(id(shared.value))
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[id(shared.value)] = Scorer(shared.value)
+        scorer = shared.get()
         found = [predict_text(scorer, text) for text in batch["text"].to_pylist()]
         for i, name in enumerate(("lang_pred", "score")):
             batch = batch.append_column(name, pa.array([f[i] for f in found], pa.string() if i == 0 else pa.float64()))
         return batch
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields]
-    return map_batches(documents, run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return map_batches(documents, run, extended(documents, "lang_pred string, score double"), shared)
 
 
 def is_rejected(lang_pred: Column, score: Column, least: float = 0.3) -> Column:

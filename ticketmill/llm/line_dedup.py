@@ -1,7 +1,8 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
-A line that several documents share proposes to align each later document with the first that has it. Pairs are aligned by patience diff on the lines, and common blocks with enough words are deleted from the later
-document. Earlier and later go by doc_id.
+A line that several documents share proposes to align each later document with the first that has it. Pairs are aligned by
+patience diff on the lines, and common blocks with enough words are deleted from the later document. Earlier and later go by
+doc_id.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import fresh, join_by_row, map_batches, prepare_session, store, text_hash
+from ticketmill.llm.rows import extended, fresh, join_by_row, map_batches, prepare_session, store, text_hash
 from ticketmill.operators.numbering import number_rows
 
 #: Words of the smallest block that is deleted.
@@ -136,9 +137,9 @@ def find_common_blocks(documents: DataFrame, min_words: int = MIN_WORDS) -> Data
 def drop_common_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row with its ``text`` less the deleted lines, and n_lines, n_removed (lines), earlier (ids, or an empty list).
 
-    Judged on the input: an earlier document counts with all its lines, deleted ones too. Blank lines inside a block go with it.
-    A null text has no lines and stays null; a text without line breaks is one line; repeated rows lose the same lines; null ids come last. Columns of
-    the three names are replaced.
+    Judged on the input: an earlier document counts with all its lines, deleted ones too. Blank lines inside a block go with
+    it. A null text has no lines and stays null; a text without line breaks is one line; repeated rows lose the same lines;
+    null ids come last. Columns of the three names are replaced.
     """
     kept = documents.drop("n_lines", "n_removed", "earlier")
     spans = fresh(kept, "blocks")
@@ -158,5 +159,4 @@ def drop_common_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
         return batch.drop_columns([spans])
 
     ordered = joined.select(*kept.columns, F.coalesce("earlier", F.array().cast("array<long>")).alias("earlier"), spans)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields if f.name != spans]
-    return map_batches(ordered, run, ", ".join([*fields, "n_lines long, n_removed long"]))
+    return map_batches(ordered, run, extended(ordered.drop(spans), "n_lines long, n_removed long"))

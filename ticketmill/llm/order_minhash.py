@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.llm.components import components
 from ticketmill.llm.fingerprints import CACHE_BYTES
-from ticketmill.llm.rows import fresh, join_by_row, map_batches, prepare_session, slabs, store, text_bytes, text_hash
+from ticketmill.llm.rows import fresh, join_by_row, map_arrow, map_batches, prepare_session, slabs, store, text_bytes, text_hash
 from ticketmill.llm.shingles import mix, random_words, shingle_hashes, word_hashes
 from ticketmill.session import join_lookup
 
@@ -167,7 +167,7 @@ def _read_texts(documents: DataFrame) -> DataFrame:
             rid += len(words)
 
     schema = "rid long, doc_id long, th long, digest binary, words binary, sketch array<long>"
-    return documents.select("doc_id", text_hash(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(documents.select("doc_id", text_hash(), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def _proposals(nodes: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import map_batches, prepare_session
+from ticketmill.llm.rows import Shared, extended, map_batches, prepare_session
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -328,7 +328,7 @@ def find(documents: DataFrame, field: Field) -> DataFrame:
     A null text counts as empty: no spans. Repeated rows get the same result each. Columns of these names are replaced.
     """
     prepare_session(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(field)  # a few hundred weights
+    shared = Shared(documents.sparkSession, field)  # a few hundred weights
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     documents = documents.drop(*names)
 
@@ -336,12 +336,12 @@ def find(documents: DataFrame, field: Field) -> DataFrame:
         found = []
         for text in batch["text"].to_pylist():
             base = base_spans(text) if text else []
-            spans = find_spans(shared.value, text, base) if text and _ANY.search(text) else base
+            spans = find_spans(shared.get(), text, base) if text and _ANY.search(text) else base
             counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
             found.append((*counts, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans)))
         for i, name in enumerate(names):
             batch = batch.append_column(name, pa.array([f[i] for f in found], pa.int64() if i < len(KINDS) else pa.string()))
         return batch
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields]
-    return map_batches(documents, run, ", ".join([*fields, *(f"{n} long" for n in names[:4]), "base_sha256 string, spans string"]))
+    added = ", ".join([*(f"{n} long" for n in names[:4]), "base_sha256 string, spans string"])
+    return map_batches(documents, run, extended(documents, added), shared)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import prepare_session, slabs, store, text_bytes
+from ticketmill.llm.rows import Shared, map_arrow, prepare_session, slabs, store, text_bytes
 
 ORDER = 6
 #: Stands before and after a text; no UTF-8 text has this byte.
@@ -65,7 +65,7 @@ def count_tokens(documents: DataFrame, held_out: Column) -> DataFrame:
                     yield from rows()
         yield from rows()
 
-    found = documents.select("text", held_out.alias("held_out")).mapInArrow(run, "token binary, c long, other long")
+    found = map_arrow(documents.select("text", held_out.alias("held_out")), run, "token binary, c long, other long")
     return found.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") + F.col("other")).alias("c_all"))
 
 
@@ -136,7 +136,7 @@ def count_grams(documents: DataFrame) -> DataFrame:
         merge()
         yield from rows()
 
-    return documents.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_arrow(documents.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -254,9 +254,6 @@ class Coder:
 
 # -- both together -------------------------------------------------------------------------------------------------------
 
-_coders: dict[int, Coder] = {}
-
-
 def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -272,16 +269,12 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     hot_rows = counted.filter(F.col("c_all") >= F.lit(n_all * HOT_SHARE)).select("token", "c").toArrow()
     hot = dict(zip(hot_rows["token"].to_pylist(), hot_rows["c"].to_pylist()))
     trie = build_trie(store(count_grams(documents.filter(~F.col("held_out"))), "grams"))
-    shared = spark.sparkContext.broadcast((hot, trie))
+    shared = Shared(spark, (hot, trie), lambda value: (value[0], Coder(value[1])))
     denominator = float(n + distinct + 1)
     log_denominator = math.log10(denominator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, trie = shared.value
-        if id(trie) not in _coders:
-            _coders.clear()
-            _coders[id(trie)] = Coder(trie)
-        coder, rid = _coders[id(trie)], TaskContext.get().partitionId() << 40
+        (hot, coder), rid = shared.get(), TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
             scores = coder.score(data, offsets)
@@ -312,7 +305,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
             yield pa.record_batch(arrays, ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "rare", "times"])
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<binary>, times array<int>"
-    scored = store(documents.mapInArrow(run, schema), "scored")
+    scored = store(map_arrow(documents, run, schema, shared), "scored")
     wanted = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("rid", F.col("t.rare").alias("token"), F.col("t.times").alias("k"))
     rest = (
         wanted.join(counted.select("token", "c"), "token")

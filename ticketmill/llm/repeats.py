@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import map_batches, prepare_session, slabs, store, text_bytes
+from ticketmill.llm.rows import map_arrow, map_batches, prepare_session, slabs, store, text_bytes
 from ticketmill.llm.shingles import mix
 
 LENGTH = 200
@@ -208,10 +208,11 @@ def _deal_windows(batch: pa.RecordBatch, buckets: int) -> pa.Table:
     sent, bucket = sent[order], bucket[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     blocks = [x.tobytes() for x in np.split(sent, cut[1:])]
-    nulls = lambda n, kind: pa.nulls(n, kind)
-    dealt = pa.table([pa.array(bucket[cut].astype(np.int32)), pa.array(blocks, pa.binary()), nulls(len(blocks), pa.int64()), nulls(len(blocks), pa.int64()), nulls(len(blocks), pa.list_(pa.int32()))], ["bucket", "block", "a", "c", "at"])
-    n = known.num_rows
-    return pa.concat_tables([dealt, pa.table([nulls(n, pa.int32()), nulls(n, pa.binary()), known["a"], known["c"], known["at"]], dealt.column_names)])
+    n, k = len(blocks), known.num_rows
+    columns = ["bucket", "block", "a", "c", "at"]
+    dealt = [pa.array(bucket[cut].astype(np.int32)), pa.array(blocks, pa.binary()), *(pa.nulls(n, known.schema.field(c).type) for c in columns[2:])]
+    found = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *(known[c] for c in columns[2:])]
+    return pa.concat_tables([pa.table(dealt, columns), pa.table(found, columns)])
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,7 @@ def _split_groups(contents: DataFrame) -> DataFrame:
     buckets = 4 * int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = store(map_batches(contents, lambda batch: _deal_windows(batch, buckets), "bucket int, block binary, a long, c long, at array<int>"), "dealt")
     blocks = dealt.filter("block IS NOT NULL").select("bucket", "block")
-    across = blocks.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "a long, c long, at array<int>")
+    across = map_arrow(blocks.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket"), _sort_buckets, "a long, c long, at array<int>")
     known = dealt.filter("block IS NULL").select("a", "c", "at")
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -318,7 +319,7 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     pieces = store(map_batches(texts.join(wanted, ["h1", "h2"]).select("text", "w"), cut, "a long, c long, content binary, many boolean"), "pieces")
     few = pieces.filter("NOT many").select("a", "c", "content")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_few = few.repartition(n, "a").sortWithinPartitions("a", "c").mapInArrow(_sort_contents, "a long, c long, spans array<int>")
+    sorted_few = map_arrow(few.repartition(n, "a").sortWithinPartitions("a", "c"), _sort_contents, "a long, c long, spans array<int>")
     spans = store(sorted_few.unionByName(_split_groups(pieces.filter("many").select("a", "c", "content"))), "spans")
 
     whole = F.array(F.lit(0), F.col("n") + (LENGTH - 1))

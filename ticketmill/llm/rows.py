@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -11,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ticketmill.session import shared_dir, stored
 
@@ -62,7 +67,50 @@ def join_by_row(documents: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return keyed.join(named, condition, how).drop(own, found_id, found_th)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+_held: dict[str, object] = {}
+
+
+class Shared:
+    """A value of bounded size on every worker, and what a worker makes of it, which stays for its later tasks.
+
+    A worker keeps one such thing at a time, and none while it works for operators that use none.
+    """
+
+    def __init__(self, spark: SparkSession, value: object, make: Callable[[object], object] = lambda value: value):
+        self.value, self.make, self.key = spark.sparkContext.broadcast(value), make, uuid.uuid4().hex
+
+    def get(self) -> object:
+        if self.key not in _held:
+            _held.clear()
+            _held[self.key] = self.make(self.value.value)
+        return _held[self.key]
+
+
+def tidy() -> None:
+    """Give memory that is free in this process back to the system: workers live on and share an executor's room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can do it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, shared: Shared | None = None) -> DataFrame:
+    """``mapInArrow`` that leaves nothing behind in the worker but what ``shared`` holds."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared is None:
+            _held.clear()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(task, schema)
+
+
+def map_batches(
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, shared: Shared | None = None
+) -> DataFrame:
     """``work`` on each Arrow batch; it may return nothing for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +125,12 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
             else:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema, shared)
+
+
+def extended(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` with further columns after its own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
