@@ -161,8 +161,21 @@ def test_repeats_and_order_count_in_sketches():
     assert (rows[0] == rows[2]).all() and (rows[0] != rows[1]).any()
 
 
-def test_classes_are_components_of_alike_texts(spark, corpus):
-    found = order_minhash.near_duplicates(frame(spark, corpus)).collect()
+def edit_alike(a, b):
+    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
+        return False
+    codes = {w: k for k, w in enumerate(set(a) | set(b))}
+    return order_minhash.edit_similarity(*(np.array([codes[w] for w in z], np.uint32) for z in (a, b))) >= 0.8
+
+
+def jaccard_alike(a, b):
+    x, y = ({tuple(z[i : i + 5]) for i in range(max(len(z) - 4, 1))} for z in (a, b))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+@pytest.mark.parametrize("operator, alike", [(order_minhash, edit_alike), (fingerprints, jaccard_alike)])
+def test_classes_are_components_of_alike_texts(spark, corpus, operator, alike):
+    found = operator.near_duplicates(frame(spark, corpus)).collect()
     assert len(found) == len(corpus)
     texts = [(i, words_of(t) or (t or "").encode()) for i, t in corpus]
     parent = list(range(len(texts)))
@@ -175,11 +188,7 @@ def test_classes_are_components_of_alike_texts(spark, corpus):
     for x in range(len(texts)):
         for y in range(x):
             a, b = texts[x][1], texts[y][1]
-            alike = a == b
-            if not alike and isinstance(a, list) and isinstance(b, list) and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)):
-                codes = {w: k for k, w in enumerate(set(a) | set(b))}
-                alike = order_minhash.edit_similarity(*(np.array([codes[w] for w in z], np.uint32) for z in (a, b))) >= 0.8
-            if alike:
+            if a == b or isinstance(a, list) and isinstance(b, list) and alike(a, b):
                 parent[root(x)] = root(y)
     groups = collections.defaultdict(list)
     for x, (i, _) in enumerate(texts):
@@ -191,11 +200,12 @@ def test_classes_are_components_of_alike_texts(spark, corpus):
             want[str(i), str(low), len(ids)] += 1
     assert collections.Counter((str(r.doc_id), str(r.class_id), r.class_size) for r in found) == want
     assert sum(r.stays for r in found) == len(groups)
-    kept = order_minhash.drop_near_duplicates(frame(spark, corpus))
-    assert kept.columns == ["doc_id", "text", "th", "stays"]
-    rows = kept.collect()
-    assert len(rows) == len(groups) and {r.stays for r in rows} == {"clash"}
-    assert order_minhash.near_duplicates(frame(spark, [])).count() == 0
+    assert operator.near_duplicates(frame(spark, [])).count() == 0
+    if operator is order_minhash:
+        kept = order_minhash.drop_near_duplicates(frame(spark, corpus))
+        assert kept.columns == ["doc_id", "text", "th", "stays"]
+        rows = kept.collect()
+        assert len(rows) == len(groups) and {r.stays for r in rows} == {"clash"}
 
 
 def test_components_of_chains_stars_and_loops(spark):

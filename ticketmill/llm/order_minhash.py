@@ -17,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.components import components
 from ticketmill.llm.fingerprints import CACHE_BYTES
-from ticketmill.llm.rows import fresh, join_by_row, map_arrow, map_batches, prepare_session, slabs, store, text_bytes, text_hash
+from ticketmill.llm.grouping import bucket_keys, classes
+from ticketmill.llm.rows import fresh, join_by_row, map_arrow, prepare_session, slabs, store, text_bytes, text_hash
 from ticketmill.llm.shingles import mix, random_words, shingle_hashes, word_hashes
 from ticketmill.session import join_lookup
 
@@ -170,78 +170,27 @@ def _read_texts(documents: DataFrame) -> DataFrame:
     return map_arrow(documents.select("doc_id", text_hash(), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
-def _proposals(nodes: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of a node and the first node of a bucket it is in, and in how many buckets.
-
-    A bucket is one sketch value, or two values of neighbouring sketches: where unlike texts share a passage, and with it a
-    bucket, those that are alike in more than that also meet in a bucket of two. No bucket is left out; a bucket of m
-    texts proposes m - 1 pairs.
-    """
-    keys = []
-    for i in range(SKETCHES):
-        following = F.get("sketch", F.lit((i + 1) % SKETCHES))
-        own = F.get("sketch", F.lit(i))
-        keys += [F.xxhash64(F.lit(i), own), F.xxhash64(F.lit(i), own, following)]
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    firsts = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a != last").select("key", "a")
-    return rows.join(firsts, "key").filter("a != node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
-
-
-def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the pairs (a, b) whose texts are alike."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        alike = [
-            edit_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity) >= similarity for x, y in zip(batch["wa"].to_pylist(), batch["wb"].to_pylist())
-        ]
-        kept = pa.array(alike, pa.bool_())
-        return pa.record_batch([batch["a"].filter(kept), batch["b"].filter(kept)], ["u", "v"])
-
-    with_b = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-    both = with_b.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-    return map_batches(both.select("a", "b", "wa", "wb"), run, "u long, v long")
-
-
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row per document row: doc_id, th, class_id (smallest doc_id of its class), class_size and stays (one row of each class).
 
     Texts with the same words are copies; links between different texts are verified, and classes are their connected
-    components. First every text meets the text with which it shares most buckets, then all proposals between classes that are still apart
-    are verified. A null text counts as empty; texts without words are alike only if equal. Among repeated rows one stays. Null ids
+    components. A null text counts as empty; texts without words are alike only if equal. Among repeated rows one stays. Null ids
     sort last, and the class of such rows alone is null. An empty table gives an empty result.
     """
     prepare_session(documents.sparkSession)
     read = store(_read_texts(documents), "sketches")
     copies = read.groupBy("digest").agg(F.min("rid").alias("node"))
     rows = store(read.select("rid", "doc_id", "th", "digest").join(copies, "digest").drop("digest"), "nodes")
-    nodes = read.join(copies.select(F.col("node").alias("rid")), "rid").withColumnRenamed("rid", "node")
-    pairs = store(_proposals(nodes.filter("length(words) > 0").select("node", "sketch")), "proposals")
-
-    # Only texts in some pair move from here on.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    words = store(join_lookup(read.select("rid", "words"), store(wanted, "wanted"), "rid", "inner").withColumnRenamed("rid", "node"), "words")
-    best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    links = store(_verify(best, words, similarity), "links")
-    label = components(links)
-
-    left, right = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-    apart = (
-        pairs.join(best, ["a", "b"], "left_anti")
-        .join(left, "a", "left")
-        .join(right, "b", "left")
-        .filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        .select("a", "b")
-    )
-    more = store(_verify(apart, words, similarity), "links")
-    label = components(links.unionByName(more))
-
-    labelled = rows.join(label, "node", "left").select("rid", "doc_id", "th", F.coalesce("label", "node").alias("label"))
-    # The smallest id first, nulls last; then the row's place.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid"))
-    classes = labelled.groupBy("label").agg(first.alias("first"), F.count("*").alias("class_size"))
-    return labelled.join(classes, "label").select(
-        "doc_id", "th", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("stays")
-    )
+    with_words = read.filter("length(words) > 0").select("rid", "sketch").join(copies.select(F.col("node").alias("rid")), "rid")
+    nodes = with_words.select(F.col("rid").alias("node"), bucket_keys("sketch", SKETCHES).alias("keys"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return join_lookup(read.select(F.col("rid").alias("node"), F.col("words").alias("body")), wanted, "node", "inner")
+
+    def alike(x: bytes, y: bytes) -> bool:
+        return edit_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity) >= similarity
+
+    return classes(rows, nodes, texts_of, alike)
 
 
 def drop_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
