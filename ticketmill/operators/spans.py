@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ticketmill.functions.segmentation import RUN, at_each_position, normalized, pieces, single_class
 from ticketmill.functions.tokens import exploded
@@ -281,5 +282,5 @@ def segment_by_join(
             kept = batch.drop_columns([c for c in ("_pieces", "_hit_pos", "_hit_len") if c in batch.schema.names])
             yield kept.append_column(out_col, pa.array(found, pa.list_(pa.string())))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(out_col).schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, f"`{out_col}` array<string>"]))
+    kept = df.drop(out_col).schema.fields
+    return rows.mapInArrow(run, StructType([*kept, StructField(out_col, ArrayType(StringType()))]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    Only a local session that names none (tests) gets a fresh temporary folder; on a cluster a missing
+    Only a local session that names none (tests) gets a fresh temporary folder, removed when Python ends; on a cluster a missing
     setting is an error, since a machine-local folder would be lost with its executor.
     """
     context = spark.sparkContext
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="ticketmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, folder)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def load_pipeline_model(path: str) -> PipelineModel:
@@ -22,9 +23,9 @@ def load_forest(path: str) -> RandomForestClassificationModel:
 
 def load_job_table(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     """The rows of one job; the table is partitioned by ``job_id``, so only its files are read."""
-    schema = spark.read.parquet(path).schema
-    fields = [f"`{f.name}` {'string' if f.name == 'job_id' else f.dataType.simpleString()}" for f in schema]
-    return spark.read.schema(", ".join(fields)).parquet(path).where(F.col("job_id") == job_id)
+    fields = spark.read.parquet(path).schema.fields
+    schema = StructType([StructField(f.name, StringType()) if f.name == "job_id" else f for f in fields])
+    return spark.read.schema(schema).parquet(path).where(F.col("job_id") == job_id)
 
 
 def load_label_index(spark: SparkSession, path: str, job_id: str) -> DataFrame:
