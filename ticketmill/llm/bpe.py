@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from ticketmill.llm.rows import Shared, extended, map_batches, prepare_session
 
 #: Encoded chunks of text that a worker remembers before it starts afresh, and the longest of them.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 400_000
 MEMO_LENGTH = 48
 #: Symbols that the transducer reads beyond its lookahead before it merges; characters of a text that are read at once.
 WINDOW = 512
@@ -147,21 +147,26 @@ def sufficient_lookahead(merges: dict[int, tuple[int, int]]) -> int:
     return longest
 
 
+_NO_MERGE = (1 << 62, -1)
+
+
 def merge(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
     """Apply the merge list to a short run of symbols: lowest rank first, leftmost among equals."""
     if len(symbols) > 48:
         return _merge_long(symbols, merges)
-    symbols = list(symbols)
-    get = merges.get
-    while len(symbols) > 1:
-        found, at = None, 0
-        for i in range(len(symbols) - 1):
-            m = get(symbols[i] << 32 | symbols[i + 1])
-            if m is not None and (found is None or m[0] < found[0]):
-                found, at = m, i
-        if found is None:
+    symbols, get = list(symbols), merges.get
+    pairs = [get(a << 32 | b, _NO_MERGE) for a, b in zip(symbols, symbols[1:])]
+    while pairs:
+        best = min(pairs)
+        if best is _NO_MERGE:
             break
-        symbols[at : at + 2] = [found[1]]
+        at = pairs.index(best)
+        symbols[at : at + 2] = [best[1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = get(symbols[at - 1] << 32 | symbols[at], _NO_MERGE)
+        if at < len(pairs):
+            pairs[at] = get(symbols[at] << 32 | symbols[at + 1], _NO_MERGE)
     return symbols
 
 
