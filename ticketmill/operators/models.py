@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.config import ForestParams
-from ticketmill.session import shared_dir, stored
+from ticketmill.session import shared_dir, ship_package, stored
 
 SEED = 1234
 
@@ -127,6 +127,7 @@ def _shape(nodes: pd.DataFrame) -> pd.DataFrame:
 
 def tree_report(spark: SparkSession, path: str) -> DataFrame:
     """``tree, depth, n_nodes, weight``: one row per tree of a saved forest, from its node and tree tables."""
+    ship_package(spark)
     links = _nodes(spark, path).select("tree", "id", "leftChild", "rightChild")
     shapes = links.groupBy("tree").applyInPandas(_shape, "tree int, depth int, n_nodes int")
     trees = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "weight")

@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ticketmill.functions.segmentation import RUN, at_each_position, normalized, pieces, single_class
 from ticketmill.functions.tokens import exploded
-from ticketmill.session import cut_lineage, fits_broadcast, join_lookup
+from ticketmill.session import cut_lineage, fits_broadcast, join_lookup, ship_package
 
 # A position is looked up by this many characters, or fewer if that would make too many entries to broadcast.
 START = 4
@@ -226,6 +226,7 @@ def segment_by_join(
     phrases = {p.lower() for p in protected}
     parts = {k.lower(): v for k, v in (rules or {}).items()}
     fixed = sorted({*phrases, *parts} - {""})
+    ship_package(df.sparkSession)
     table = character_kinds(df, keep_punctuation)
     finest = mode == "finest"
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -96,6 +98,23 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.getFileStatus(place).isDirectory()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on every Python worker, wherever the driver found it; once for an application."""
+    context = spark.sparkContext
+    if getattr(context, "_ticketmill_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ticketmill-code-"), "ticketmill_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._ticketmill_shipped = True
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy row work enough tasks when a small input has fewer splits than two per core.
 
