@@ -5,10 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ticketmill.session import shared_dir, stored
+from ticketmill.session import shared_dir, ship_package, stored
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small; work inside a batch goes by slabs of bytes.
 BATCH_ROWS = 1000
@@ -30,19 +27,7 @@ def prepare_session(spark: SparkSession) -> None:
     shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    context = spark.sparkContext
-    if getattr(context, "_ticketmill_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="ticketmill-code-"), "ticketmill_package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
-    context.addPyFile(archive)
-    context._ticketmill_shipped = True
+    ship_package(spark)
 
 
 def text_hash() -> Column:
