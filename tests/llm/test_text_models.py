@@ -14,6 +14,7 @@ from conftest import DATA
 from tokenizers import Tokenizer
 
 from ticketmill.llm import bpe, language, pii, ppm
+from ticketmill.llm import rows as rows_module
 from ticketmill.llm.queries import hash_remainder, op3_language, op9_pii
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -301,3 +302,17 @@ def test_scores_without_rows(spark):
     assert ppm.score_documents(table.limit(0), hash_remainder(7) == 2).count() == 0
     row = ppm.score_documents(table, hash_remainder(1) == 0).first()  # all held out
     assert (row.n_known, row.train_tokens) == (0, 0) and row.score == pytest.approx(-4 * math.log10(256))
+
+
+def test_held_tokens_are_bounded_by_bytes(spark, monkeypatch):
+    rows = [(i, "字" * 500 + str(i)) for i in range(200)] + [(300, "a b a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, ppm.score_documents(table, hash_remainder(7) == 2).collect()))
+    held = []
+    monkeypatch.setattr(ppm, "HOT_BYTES", 20_000)
+    monkeypatch.setattr(ppm, "Shared", lambda spark, value, *make: held.append(value) or rows_module.Shared(spark, value, *make))
+    found = sorted(map(tuple, ppm.score_documents(table, hash_remainder(7) == 2).collect()))
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in want])
+    hot = held[-1][0]
+    assert sum(len(t) for t in hot) <= 20_000

@@ -26,8 +26,12 @@ ORDER = 6
 EDGE = 0xFF
 #: A context is in the model if it makes up this share of all places: at most 1 / share contexts of an order are kept.
 CONTEXT_SHARE = 1 / 100_000
-#: Tokens with at least this share of all are looked up in a broadcast table (at most 1 / share of them), the rest in a join.
+#: Tokens with less than this share of all are never looked up in a broadcast table.
 HOT_SHARE = 1 / 2_000_000
+#: Bytes of the most frequent tokens that every worker holds; all others are joined.
+HOT_BYTES = 96 << 20
+#: Bytes that a token takes in the workers' table besides its own.
+TOKEN_BYTES = 150
 #: Distinct tokens, and grams, that a task counts before it sends what it has.
 FLUSH = 400_000
 FLUSH_GRAMS = 2_000_000
@@ -69,6 +73,21 @@ def count_tokens(documents: DataFrame, held_out: Column) -> DataFrame:
     return found.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") + F.col("other")).alias("c_all"))
 
 
+def hot_class(n: Column) -> Column:
+    """Class of a count: four for each power of two."""
+    return F.floor(4 * F.log2(n)).cast("int")
+
+
+def hot_from(sizes: DataFrame) -> int:
+    """The lowest class so that all (class, bytes) from there on take at most HOT_BYTES together."""
+    left, lowest = HOT_BYTES, 1 << 16
+    for k, used in sorted(sizes.groupBy("class").agg(F.sum("bytes")).collect(), reverse=True):
+        if used > left:
+            break
+        left, lowest = left - used, k
+    return lowest
+
+
 # -- the trie ----------------------------------------------------------------------------------------------------------
 
 
@@ -266,7 +285,9 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     counted = store(count_tokens(documents, F.col("held_out")), "token-counts")
     n, distinct, n_all = counted.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.sum("c_all")).first()
     n, distinct, n_all = n or 0, distinct or 0, n_all or 0
-    hot_rows = counted.filter(F.col("c_all") >= F.lit(n_all * HOT_SHARE)).select("token", "c").toArrow()
+    frequent = counted.filter(F.col("c_all") >= F.lit(n_all * HOT_SHARE)).withColumn("class", hot_class(F.col("c_all")))
+    lowest = hot_from(frequent.select("class", (F.octet_length("token") + TOKEN_BYTES).alias("bytes")))
+    hot_rows = frequent.filter(F.col("class") >= lowest).select("token", "c").toArrow()
     hot = dict(zip(hot_rows["token"].to_pylist(), hot_rows["c"].to_pylist()))
     trie = build_trie(store(count_grams(documents.filter(~F.col("held_out"))), "grams"))
     shared = Shared(spark, (hot, trie), lambda value: (value[0], Coder(value[1])))
