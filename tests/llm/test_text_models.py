@@ -304,6 +304,27 @@ def test_scores_without_rows(spark):
     assert (row.n_known, row.train_tokens) == (0, 0) and row.score == pytest.approx(-4 * math.log10(256))
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 16 * 300, 64 << 20])
+def test_rare_contexts_count_in_scores(spark, monkeypatch, hot_bytes):
+    """The scores are those of the whole model in one process, however large the corpus is beside a context, and whatever is held by the workers."""
+    monkeypatch.setattr(ppm, "HOT_BYTES", hot_bytes)
+    monkeypatch.setattr(ppm, "FLUSH_GRAMS", 3000)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["zug", "rare", "the", "é", "QX7"], k=rng.randrange(12)))) for i in range(60)]
+    rows += [(100, "a" * 150_000), (101, "once upon"), (None, None), (102, "")]  # contexts seen once are below one place in 100,000
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    rows += [(i, "once upon rare \x00 text") for i in range(200, 220)]
+    train = [(t or "").encode() for i, t in rows if not held(i)]
+    coder = ppm.Coder(small_trie(train, ppm.ORDER, monkeypatch)[0])
+    found = ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hash_remainder(7) == 2).collect()
+    texts = dict(rows)
+    assert len(found) == len(rows) and any(r.held_out for r in found)
+    for r in found:
+        raw = (texts[r.doc_id] or "").encode()
+        want = coder.score(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert r.score == pytest.approx(want, rel=1e-4), r.doc_id
+
+
 def test_held_tokens_are_bounded_by_bytes(spark, monkeypatch):
     rows = [(i, "字" * 500 + str(i)) for i in range(200)] + [(300, "a b a")]
     table = spark.createDataFrame(rows, "doc_id long, text string")

@@ -2,8 +2,9 @@
 
 The trie of byte contexts (up to six bytes) holds what followed each of them in the training texts. A symbol unseen in the longest
 context escapes to the next shorter one (escape method D), where symbols already ruled out are excluded; the last resort
-is a uniform choice. The counts are pretrained, so the distribution after each context of the model is worked out once, and a document's code
-length is a sum of table entries.
+is a uniform choice. The counts are pretrained, so the probability of each gram (a context and the byte after it) is worked out once, and a
+document's code length is a sum over its grams. Every context that was counted is in the model: it is a stored table, whose most frequent grams
+every worker holds, and to which the other grams of the documents are joined.
 """
 
 from __future__ import annotations
@@ -19,22 +20,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketmill.llm.rows import Shared, map_arrow, prepare_session, slabs, store, text_bytes
+from ticketmill.llm.rows import Shared, map_arrow, map_batches, prepare_session, slabs, store, text_bytes
+from ticketmill.llm.shingles import mix
 
 ORDER = 6
 #: Stands before and after a text; no UTF-8 text has this byte.
 EDGE = 0xFF
-#: A context is in the model if it makes up this share of all places: at most 1 / share contexts of an order are kept.
-CONTEXT_SHARE = 1 / 100_000
 #: Tokens with less than this share of all are never looked up in a broadcast table.
 HOT_SHARE = 1 / 2_000_000
-#: Bytes of the most frequent tokens that every worker holds; all others are joined.
+#: Bytes of the most frequent tokens, and of the most frequent grams, that every worker holds; all others are joined.
 HOT_BYTES = 96 << 20
-#: Bytes that a token takes in the workers' table besides its own.
-TOKEN_BYTES = 150
+#: Bytes that a token takes in the workers' table besides its own, and a gram in all.
+TOKEN_BYTES, GRAM_BYTES = 150, 12
+#: Bytes of texts whose places are listed at a time.
+PLACE_BYTES = 1 << 20
+#: Bytes of text for each part of the model, and grams of a part that travel in one row.
+PART_BYTES, ROW_GRAMS = 8 << 20, 2048
 #: Distinct tokens, and grams, that a task counts before it sends what it has.
 FLUSH = 400_000
-FLUSH_GRAMS = 2_000_000
+FLUSH_GRAMS = 1_000_000
 
 
 # -- the unigram baseline ---------------------------------------------------------------------------------------------
@@ -88,7 +92,7 @@ def hot_from(sizes: DataFrame) -> int:
     return lowest
 
 
-# -- the trie ----------------------------------------------------------------------------------------------------------
+# -- grams ---------------------------------------------------------------------------------------------------------------
 
 
 def _framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +107,15 @@ def _framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _grams(framed: np.ndarray) -> np.ndarray:
-    """The ORDER bytes before each place from ORDER on and the byte there, as one number; the byte there is the lowest."""
-    gram = np.zeros(len(framed) - ORDER, np.uint64)
-    for k in range(ORDER + 1):
-        gram <<= np.uint64(8)
-        gram |= framed[k : len(framed) - ORDER + k]
+    """The ORDER bytes before each place from ORDER on and the byte there, as one number.
+
+    The nearest byte of the context is the highest, so that contexts with a common suffix are neighbours; the byte at the place is the lowest.
+    """
+    n = len(framed) - ORDER
+    gram = np.zeros(n, np.int64)
+    for k in [*range(ORDER - 1, -1, -1), ORDER]:
+        gram <<= 8
+        gram |= framed[k : n + k]
     return gram
 
 
@@ -117,45 +125,359 @@ def _places(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([begin, begin + np.diff(offsets) + 1], axis=1).ravel()
 
 
-def count_grams(documents: DataFrame) -> DataFrame:
-    """(gram, n): ORDER bytes of context and the byte (or edge) after them, over all places of all texts."""
+def _inside(framed: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each place: the text whose symbol it is, or -1 between the symbols of two texts."""
+    begin, end = _places(starts, offsets).reshape(-1, 2).T
+    text = np.full(len(framed) - ORDER, -1, np.int32)
+    length = end - begin
+    index = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+    text[index] = np.repeat(np.arange(len(begin), dtype=np.int32), length)
+    return text
+
+
+#: Marks grams of held-out texts while they are counted; grams have 56 bits.
+OUT = np.int64(1 << 62)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers as planes of their first bytes, second bytes and so on: zeros come together, which shuffles and files compress."""
+    return np.ascontiguousarray(x.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.int64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw))
+
+
+#: Orders whose counts every worker holds: their number is bounded by the bytes' values, not by the texts.
+LOW_ORDERS = 3
+
+
+def _pieces(grams: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places in it) of sorted grams in pieces of at most ROW_GRAMS, in order; the LOW_ORDERS nearest bytes decide on the part."""
+    near = grams >> 8 * (ORDER + 1 - LOW_ORDERS)
+    part = (mix(near.view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    begins = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(begins.tolist(), np.append(begins[1:], len(part)).tolist()):
+        for i in range(a, b, ROW_GRAMS):
+            yield int(part[order[a]]), order[i : min(i + ROW_GRAMS, b)]
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of packed rows; columns of the schema after those of the rows are null."""
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        arrays = [pa.array(x, f.type) for x, f in zip(zip(*held), schema)]
+        return pa.record_batch([*arrays, *(pa.nulls(len(held), f.type) for f in list(schema)[len(arrays) :])], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == 200:
+            yield batch()
+            held.clear()
+    if held:
+        yield batch()
+
+
+def count_grams(documents: DataFrame, parts: int) -> DataFrame:
+    """Packed (part, grams, n, held_out): counts over all places of all texts; a gram may be in several rows of its part."""
+    schema = pa.schema([("part", pa.int64()), ("grams", pa.binary()), ("n", pa.binary()), ("held_out", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted grams and their counts
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted grams, the highest bit says if held out, and their counts
 
         def merge() -> int:
             """Bring what is held together; how many grams there are."""
             if len(held) > 1:
-                both = np.concatenate([g for g, _ in held])
-                order = np.argsort(both, kind="stable")
-                both, n = both[order], np.concatenate([n for _, n in held])[order]
-                first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-                held[:] = [(both[first], np.add.reduceat(n, first))]
+                held[:] = [_summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))]
             return sum(len(g) for g, _ in held)
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for grams, counts in held:
-                for i in range(0, len(grams), 100_000):
-                    yield pa.record_batch([grams[i : i + 100_000].astype(np.int64), counts[i : i + 100_000]], ["gram", "n"])
+        def rows() -> Iterator[tuple]:
+            for keys, counts in held:
+                cut = int(np.searchsorted(keys, OUT))
+                for out, some, n in ((False, keys[:cut], counts[:cut]), (True, keys[cut:] ^ OUT, counts[cut:])):
+                    for part, at in _pieces(some, parts):
+                        yield part, pack_sorted(some[at]), pack(n[at]), out
             held.clear()
 
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
-            for i, j in slabs(np.diff(offsets)):
+            out = np.where(np.array(batch["held_out"].to_pylist(), bool), OUT, np.int64(0))
+            for i, j in slabs(np.diff(offsets), PLACE_BYTES):
                 own = offsets[i : j + 1] - offsets[i]
                 framed, starts = _framed(data[offsets[i] : offsets[j]], own)
-                inside = np.zeros(len(framed) - ORDER + 1, np.int8)
-                bounds = _places(starts, own)
-                np.add.at(inside, bounds[::2], 1)
-                np.add.at(inside, bounds[1::2], -1)
-                place = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-                held.append(np.unique(_grams(framed)[place], return_counts=True))
+                text = _inside(framed, starts, own)
+                place = text >= 0
+                held.append(np.unique(_grams(framed)[place] | out[i:j][text[place]], return_counts=True))
             if sum(len(g) for g, _ in held) > 2 * FLUSH_GRAMS and merge() > FLUSH_GRAMS:
-                yield from rows()
+                yield from _batches(rows(), schema)
         merge()
-        yield from rows()
+        yield from _batches(rows(), schema)
+
+    return map_arrow(documents.select("text", "held_out"), run, "part long, grams binary, n binary, held_out boolean")
+
+
+class Counts:
+    """What followed each context of one order: the grams of that order (context, then symbol), sorted, and their counts.
+
+    ``exclude`` has, for each context, the shorter order's count of the symbols seen here, which are excluded there.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, shorter: Counts | None):
+        self.grams, self.n = _summed(grams, n)
+        of = self.grams >> 8
+        begins = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        self.contexts, self.kinds = of[begins], np.diff(np.append(begins, len(of)))
+        self.total = np.add.reduceat(self.n, begins) if len(of) else begins
+        self.exclude = np.zeros_like(self.total)
+        if shorter is not None and len(of):
+            self.exclude = np.add.reduceat(shorter.count(self.grams >> 16 << 8 | self.grams & 255), begins)
+
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.n[at], 0)
+
+    def after(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Total, kinds and ``exclude`` of each context; zeros for one that was not seen."""
+        if not len(self.contexts):
+            return (np.zeros(len(contexts), np.int64),) * 3
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        seen = self.contexts[at] == contexts
+        return tuple(np.where(seen, x[at], 0) for x in (self.total, self.kinds, self.exclude))
+
+
+def _of_order(grams: np.ndarray, k: int) -> np.ndarray:
+    """The grams with the ``k`` nearest bytes of their context only."""
+    return grams >> 8 * (ORDER + 1 - k) << 8 | grams & 255
+
+
+def gram_logs(grams: np.ndarray, n: np.ndarray, low: list[Counts]) -> np.ndarray:
+    """log10 of the probability of each gram's symbol after its context.
+
+    ``grams`` are sorted and distinct, with all grams whose contexts have the len(low) nearest bytes in common; ``n`` are the counts in
+    training texts, which may be 0; ``low`` are the counts of the orders from 0. A symbol that followed a context also followed its suffixes,
+    so what is excluded in an order is what was seen in the next longer one.
+    """
+    seen, tables = n > 0, list(low)
+    for k in range(len(low), ORDER + 1):
+        tables.append(Counts(_of_order(grams[seen], k), n[seen], tables[-1]))
+    value = np.zeros(len(grams))
+    total, kinds, _ = tables[ORDER].after(grams[seen] >> 8)
+    value[seen] = np.log10((n[seen] - np.where(kinds < 256, 0.5, 0.0)) / total)
+    rest = grams[~seen]
+    out, left, done = np.ones(len(rest)), np.ones(len(rest)), np.zeros(len(rest), bool)
+    excluded, ruled_out = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+    for k in range(ORDER, -1, -1):
+        own = _of_order(rest, k)
+        total, kinds, longer = tables[k].after(own >> 8)
+        # Method D: each symbol seen gives half a count to the escape, unless no symbol is left to escape to.
+        given, open_counts = np.where(kinds < 256, 0.5, 0.0), total - excluded
+        share = left / np.where(open_counts > 0, open_counts, 1)
+        count = tables[k].count(own)
+        hit = ~done & (count > 0)
+        out[hit] = ((count - given) * share)[hit]
+        done |= hit
+        left = np.where(open_counts > 0, given * (kinds - ruled_out) * share, left)
+        excluded, ruled_out = longer, kinds
+    out[~done] = (left / np.maximum(256 - ruled_out, 1))[~done]
+    value[~seen] = np.log10(out)
+    return value
+
+
+def low_counts(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the longest low order and their counts in training texts; there are at most 2 to the power of 8 * LOW_ORDERS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for own, n in zip(batch["grams"].to_pylist(), batch["n"].to_pylist()):
+                held.append(_summed(_of_order(unpack_sorted(own), LOW_ORDERS - 1), unpack(n)))
+            held[:] = [_summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))]
+        for grams, n in held:
+            yield pa.record_batch([pa.array(grams), pa.array(n)], ["gram", "n"])
+
+    rows = map_arrow(counted.filter("NOT held_out").select("grams", "n"), run, "gram long, n long")
+    found = rows.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return found["gram"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
 
-    return map_arrow(documents.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def model_table(counted: DataFrame) -> DataFrame:
+    """Every gram of all texts, the log10 of its probability and its counts in all texts: packed (part, grams, logs, times)."""
+
+    def make(arrays: tuple[np.ndarray, np.ndarray]) -> list[Counts]:
+        low: list[Counts] = []
+        for k in range(LOW_ORDERS):
+            low.append(Counts(arrays[0] >> 8 * (LOW_ORDERS - k) << 8 | arrays[0] & 255, arrays[1], low[-1] if low else None))
+        return low
+
+    shared = Shared(counted.sparkSession, low_counts(counted), make)
+    schema = pa.schema([("part", pa.int64()), ("grams", pa.binary()), ("logs", pa.binary()), ("times", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        low, part, held, size = shared.get(), None, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The grams held, and their counts in training texts and in all."""
+            grams, train, n = (np.concatenate(x) for x in zip(*held))
+            return (*_summed(grams, train), _summed(grams, n)[1])
+
+        def finished() -> Iterator[tuple]:
+            if held:
+                grams, train, n = merged()
+                logs = gram_logs(grams, train, low).astype(np.float32)
+                for i in range(0, len(grams), ROW_GRAMS):
+                    some = slice(i, i + ROW_GRAMS)
+                    yield part, pack_sorted(grams[some]), logs[some].tobytes(), pack(n[some])
+
+        for batch in batches:
+            for p, own, times, out in zip(*(batch[c].to_pylist() for c in ("part", "grams", "n", "held_out"))):
+                if p != part:
+                    yield from finished()
+                    part, held, size = p, [], 0
+                grams, n = unpack_sorted(own), unpack(times)
+                held.append((grams, np.zeros_like(n) if out else n, n))
+                size += len(grams)
+                if size > 2 * FLUSH_GRAMS:
+                    held[:] = [merged()]
+                    # The next merge is due when as much has come again.
+                    size = min(len(held[0][0]), FLUSH_GRAMS)
+        yield from finished()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), schema)
+
+    return map_arrow(counted.repartition("part").sortWithinPartitions("part"), run, "part long, grams binary, logs binary, times binary", shared)
+
+
+def hot_grams(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams, sorted, and their logs, as far as HOT_BYTES go."""
+
+    def sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.concatenate([unpack(x) for x in batch["times"].to_pylist()])
+        of, count = np.unique(np.floor(4 * np.log2(n)).astype(np.int32), return_counts=True)
+        return pa.record_batch([pa.array(of, pa.int32()), pa.array(count * GRAM_BYTES, pa.int64())], ["class", "bytes"])
+
+    lowest = hot_from(map_batches(model.select("times"), sizes, "class int, bytes long"))
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams, logs = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for own, values, times in zip(*(batch[c].to_pylist() for c in ("grams", "logs", "times"))):
+            kept = np.floor(4 * np.log2(unpack(times))) >= lowest
+            if kept.any():
+                grams.append(unpack_sorted(own)[kept])
+                logs.append(np.frombuffer(values, np.float32)[kept])
+        return pa.record_batch([pa.array(np.concatenate(grams)), pa.array(np.concatenate(logs))], ["gram", "log"])
+
+    found = map_batches(model.select("grams", "logs", "times"), pick, "gram long, log float").toArrow()
+    grams, logs = found["gram"].to_numpy().astype(np.int64, copy=False), found["log"].to_numpy().astype(np.float32, copy=False)
+    order = np.argsort(grams)
+    return grams[order], logs[order]
+
+
+def look_up(wanted: DataFrame, model: DataFrame) -> DataFrame:
+    """``wanted`` with its packed rows (part from 0 on, base, grams, docs) replaced by (base, sums): the logs of a part's grams summed up for
+    each of the rows from ``base`` on. Rows with a negative part pass. A part's model comes before what is looked up in it, a piece at a time.
+    """
+    out_schema = wanted.drop("part", "grams", "docs").schema.add("sums", "binary")
+    columns = wanted.columns
+    both = model.select("part", "grams", "logs").unionByName(wanted, allowMissingColumns=True).withColumn("is_wanted", F.col("logs").isNull())
+    dealt = both.repartition("part").sortWithinPartitions("part", "is_wanted", "base")
+    passed = [c for c in columns if c not in ("part", "grams", "docs")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, grams, logs, base, sums, done = None, [], None, None, None, np.zeros(0), []
+
+        def flush() -> pa.RecordBatch:
+            bases, values = zip(*done)
+            done.clear()
+            arrays = [pa.array(bases, f.type) if f.name == "base" else pa.nulls(len(bases), f.type) for f in (batch.schema.field(c) for c in passed)]
+            return pa.record_batch([*arrays, pa.array(values, pa.binary())], [*passed, "sums"])
+
+        def close() -> None:
+            if base is not None:
+                done.append((base, sums.tobytes()))
+
+        for batch in batches:
+            own_part = batch["part"].to_numpy()
+            through = pa.array(own_part < 0)
+            if own_part[0] < 0:
+                some = batch.filter(through)
+                yield pa.record_batch([*(some[c] for c in passed), pa.nulls(some.num_rows, pa.binary())], [*passed, "sums"])
+            packed = batch.filter(pa.array(own_part >= 0))
+            for p, is_wanted, at, own, values, docs in zip(*(packed[c].to_pylist() for c in ("part", "is_wanted", "base", "grams", "logs", "docs"))):
+                if p != part:
+                    close()
+                    part, held, grams, base = p, [], None, None
+                if not is_wanted:
+                    held.append((unpack_sorted(own), np.frombuffer(values, np.float32)))
+                    continue
+                if grams is None:
+                    held.sort(key=lambda piece: piece[0][0])
+                    grams, logs = (np.concatenate(x) for x in zip(*held))
+                    held = []
+                if at != base:
+                    close()
+                    base, sums = at, np.zeros(0)
+                place = np.searchsorted(grams, unpack_sorted(own))
+                some = np.bincount(unpack(docs), logs[place])
+                if len(some) > len(sums):
+                    sums = np.append(sums, np.zeros(len(some) - len(sums)))
+                sums[: len(some)] += some
+            if len(done) > 200:
+                yield flush()
+        close()
+        if done:
+            yield flush()
+
+    return map_arrow(dealt, run, out_schema)
+
+
+def add_sums(rows: DataFrame) -> DataFrame:
+    """(rid, score) from (base, sums)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, sums = None, np.zeros(0)
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if base is not None:
+                yield pa.record_batch([pa.array(np.arange(base, base + len(sums))), pa.array(sums)], ["rid", "score"])
+
+        for batch in batches:
+            for at, blob in zip(batch["base"].to_pylist(), batch["sums"].to_pylist()):
+                if at != base:
+                    yield from finished()
+                    base, sums = at, np.zeros(0)
+                some = np.frombuffer(blob, np.float64)
+                if len(some) > len(sums):
+                    sums = np.append(sums, np.zeros(len(some) - len(sums)))
+                sums[: len(some)] += some
+        yield from finished()
+
+    return map_arrow(rows.repartition("base").sortWithinPartitions("base"), run, "rid long, score double")
+
+
+# -- the model in one process: the definition that the stored one is tested against ----------------------------------------
 
 
 @dataclass
@@ -176,26 +498,6 @@ class Trie:
         return out
 
 
-def build_trie(grams: DataFrame) -> Trie:
-    """Gather the model's contexts from the counts of all grams; its size is bounded by the context share."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    trie = Trie([], [], [], [])
-    for order in range(ORDER + 1):
-        mask = (1 << 8 * order) - 1
-        rows = grams.select(F.shiftright("gram", 8).bitwiseAND(F.lit(mask)).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        by_symbol = rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        frequent = rows.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= F.lit(total * CONTEXT_SHARE)).select("context")
-        found = by_symbol.join(F.broadcast(frequent), "context").toArrow()  # both within 1 / share contexts
-        of, symbol, n = (found[c].to_numpy() for c in ("context", "symbol", "n"))
-        by = np.lexsort([symbol, of])
-        listed, begins = np.unique(of[by], return_index=True)
-        trie.contexts.append(listed.astype(np.int64))
-        trie.begins.append(np.append(begins, len(of)))
-        trie.symbols.append(symbol[by].astype(np.uint8))
-        trie.counts.append(n[by])
-    return trie
-
-
 def distributions(chain: list[np.ndarray]) -> np.ndarray:
     """Probabilities of the 256 symbols, row by row, from counts in the longest context down to the empty one."""
     shape = chain[0].shape
@@ -289,18 +591,33 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     lowest = hot_from(frequent.select("class", (F.octet_length("token") + TOKEN_BYTES).alias("bytes")))
     hot_rows = frequent.filter(F.col("class") >= lowest).select("token", "c").toArrow()
     hot = dict(zip(hot_rows["token"].to_pylist(), hot_rows["c"].to_pylist()))
-    trie = build_trie(store(count_grams(documents.filter(~F.col("held_out"))), "grams"))
-    shared = Shared(spark, (hot, trie), lambda value: (value[0], Coder(value[1])))
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(16, -(-n_bytes // PART_BYTES))
+    model = store(model_table(store(count_grams(documents, parts), "grams")), "model")
+    shared = Shared(spark, (hot, *hot_grams(model)))
     denominator = float(n + distinct + 1)
     log_denominator = math.log10(denominator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, coder), rid = shared.get(), TaskContext.get().partitionId() << 40
+        (hot, hot_keys, hot_logs), rid = shared.get(), TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
-            scores = coder.score(data, offsets)
+            scores = np.zeros(batch.num_rows)
+            for i, j in slabs(np.diff(offsets), PLACE_BYTES):
+                own = offsets[i : j + 1] - offsets[i]
+                framed, starts = _framed(data[offsets[i] : offsets[j]], own)
+                text = _inside(framed, starts, own)
+                place = text >= 0
+                keys, text = _grams(framed)[place], text[place]
+                order = np.argsort(keys)
+                keys, text = keys[order], text[order]
+                at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+                known = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
+                scores[i:j] = np.bincount(text[known], hot_logs[at[known]], minlength=j - i)
+                keys, text = keys[~known], text[~known]
+                yield from _batches(((p, rid + i, pack_sorted(keys[x]), pack(text[x])) for p, x in _pieces(keys, parts)), arrow)
             raw = data.tobytes()
-            n_tokens, n_known, base, rare, times = [], [], [], [], []
+            n_tokens, n_known, base, rare, rare_times = [], [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 words = tokens_of(raw[a:b])
                 words.append(b"")
@@ -318,24 +635,35 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
                 n_known.append(known)
                 base.append(total)
                 rare.append(own_rare)
-                times.append(own_times)
+                rare_times.append(own_times)
             ids = np.arange(rid, rid + batch.num_rows)
             rid += batch.num_rows
-            arrays = [pa.array(ids), batch["doc_id"], batch["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)]
-            arrays += [pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.record_batch(arrays, ["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "rare", "times"])
-
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<binary>, times array<int>"
-    scored = store(map_arrow(documents, run, schema, shared), "scored")
-    wanted = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("rid", F.col("t.rare").alias("token"), F.col("t.times").alias("k"))
+            nulls = [pa.nulls(batch.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            arrays = [pa.array(-1 - ids % parts), *nulls, pa.array(ids), batch["doc_id"], batch["held_out"]]
+            arrays += [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)]
+            arrays += [pa.array(rare, pa.list_(pa.binary())), pa.array(rare_times, pa.list_(pa.int32()))]
+            yield pa.record_batch(arrays, schema=arrow)
+
+    # Packed rows of the grams that are to be looked up, and rows of documents.
+    packed = [("part", pa.int64()), ("base", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary())]
+    of_documents = [("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("hot_known", pa.int64())]
+    of_documents += [("hot_base", pa.float64()), ("hot_score", pa.float64()), ("rare", pa.list_(pa.binary())), ("rare_times", pa.list_(pa.int32()))]
+    arrow = pa.schema(packed + of_documents)
+    schema = "part long, base long, grams binary, docs binary, rid long, doc_id long, held_out boolean, n_tokens long, hot_known long"
+    schema += ", hot_base double, hot_score double, rare array<binary>, rare_times array<int>"
+    mixed = store(look_up(map_arrow(documents, run, schema, shared), model), "scored")
+    scored = mixed.filter("sums IS NULL").drop("base", "sums")
+    by_gram = add_sums(mixed.filter("sums IS NOT NULL").select("base", "sums")).withColumnRenamed("rid", "_rid")
+    wanted = scored.select("rid", F.explode(F.arrays_zip("rare", "rare_times")).alias("t")).select("rid", F.col("t.rare").alias("token"), F.col("t.rare_times").alias("k"))
     rest = (
         wanted.join(counted.select("token", "c"), "token")
         .groupBy("rid")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(denominator))).alias("base"))
     )
     return (
-        scored.drop("rare", "times")
+        scored.drop("rare", "rare_times")
         .join(rest, "rid", "left")
+        .join(by_gram, F.col("rid") == F.col("_rid"), "left")
         .select(
             "doc_id",
             "held_out",
@@ -343,6 +671,6 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
             (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("hot_score") + F.coalesce("score", F.lit(0.0))).alias("score"),
         )
     )
