@@ -266,6 +266,34 @@ def test_common_lines_go_from_later_documents(spark, corpus):
     assert line_dedup.drop_common_lines(frame(spark, [])).count() == 0
 
 
+def common_runs(a, b, words):
+    """Lines of b in some run of at least ten words that a has, by looking at all runs of all lengths."""
+    gone = set()
+    for i in range(len(b)):
+        for j in range(i + 1, len(b) + 1):
+            if sum(words[i:j]) >= 10 and any(a[k : k + j - i] == b[i:j] for k in range(len(a))):
+                gone |= set(range(i, j))
+    return gone
+
+
+def test_repeated_and_moved_passages_are_common():
+    passage = ["p", "q", "r"]
+    for a, b in (
+        (["u", *passage, "v"], ["s", *passage, "t", *passage, "w"]),
+        (["u", *passage, "v", *passage, "x"], ["s", *passage, "w"]),
+        (["u", *passage, "v", "x", "y", "z"], ["x", "y", "z", "s", *passage]),
+    ):
+        blocks = line_dedup.common_blocks(a, b, [4] * len(b), 10)
+        assert {k for low, high in blocks for k in range(low, high)} == common_runs(a, b, [4] * len(b)) != set()
+    rng = random.Random(4)
+    words = {k: rng.randrange(1, 12) for k in range(6)} | {None: 0}
+    for _ in range(2000):
+        a, b = (rng.choices([*range(6), None], k=rng.randrange(14)) for _ in range(2))
+        counts = [words[x] for x in b]
+        got = {k for low, high in line_dedup.common_blocks(a, b, counts, 10) for k in range(low, high)}
+        assert got == common_runs(a, b, counts), (a, b)
+
+
 # Repeated bytes
 
 

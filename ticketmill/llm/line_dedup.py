@@ -78,8 +78,71 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+_PRIME, _BASE, _BLANK = (1 << 61) - 1, 1_000_003_000_017, 977
+
+
+def short_runs(lines: list, words: list, min_words: int) -> list[tuple[int, int]]:
+    """Places (start, end) of the shortest runs with ``min_words`` words, one from each line on and one up to each line.
+
+    A line whose words are None is in no run. The runs inside a longer run cover all its lines.
+    """
+    found, start, total = set(), 0, 0
+    for end, n in enumerate(words):
+        if n is None:
+            start, total = end + 1, 0
+            continue
+        total += n
+        while start <= end and total >= min_words:  # from each line on
+            found.add((start, end + 1))
+            total, start = total - words[start], start + 1
+    end, total = len(words) - 1, 0
+    for start in range(len(words) - 1, -1, -1):
+        n = words[start]
+        if n is None:
+            end, total = start - 1, 0
+            continue
+        total += n
+        while end >= start and total >= min_words:  # up to each line
+            found.add((start, end + 1))
+            total, end = total - words[end], end - 1
+    return sorted(found)
+
+
+def run_keys(lines: list, runs: list[tuple[int, int]]) -> list[int]:
+    """64-bit hashes of runs of lines; that of a single line is the line itself."""
+    total, powers = [0], [1]
+    for x in lines:
+        total.append((total[-1] * _BASE + (_BLANK if x is None else hash(x) + 1)) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    return [lines[i] if j == i + 1 and lines[i] is not None else (total[j] - total[i] * powers[j - i]) % _PRIME for i, j in runs]
+
+
+def left_over(a: list, b: list, b_words: list[int], gone: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Places (start, end) in ``b`` of further runs of at least ``min_words`` words that ``a`` has, in whatever order and however often.
+
+    An alignment has each line once, and none that cross: a passage that one side repeats, or has elsewhere, is not in it.
+    """
+    covered = {j for low, high in gone for j in range(low, high)}
+    if len(covered) == len(b):
+        return []
+    known = dict(zip(b, b_words))
+    there = set(run_keys(a, short_runs(a, [known.get(x) for x in a], min_words)))
+    if not there:
+        return []
+    runs = short_runs(b, b_words, min_words)
+    out: list[tuple[int, int]] = []
+    for (low, high), key in zip(runs, run_keys(b, runs)):
+        if key in there and not (low in covered and high - 1 in covered and covered.issuperset(range(low, high))):
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
+            else:
+                out.append((low, high))
+    return out
+
+
 def common_blocks(a: list, b: list, b_words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Places (start, end) in ``b`` of aligned runs of lines with at least ``min_words`` words."""
+    """Places (start, end) in ``b`` of runs of lines with at least ``min_words`` words that ``a`` has: the aligned ones, then
+    those that the alignment leaves out."""
     blocks, start, last = [], 0, (-2, -2)
     matched = align(a, b)
     for k, pair in enumerate([*matched, (-2, -2)]):
@@ -89,7 +152,7 @@ def common_blocks(a: list, b: list, b_words: list[int], min_words: int = MIN_WOR
                 blocks.append((low, high))
             start = k
         last = pair
-    return blocks
+    return blocks + left_over(a, b, b_words, blocks, min_words)
 
 
 def _lines(text: Column) -> Column:
