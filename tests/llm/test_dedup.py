@@ -276,6 +276,23 @@ def common_runs(a, b, words):
     return gone
 
 
+def test_every_shared_block_goes(spark):
+    """What goes is all that is in some run of ten words of any earlier document."""
+    x, y, z = "one two three four five six", "seven eight nine ten eleven twelve", "thirteen fourteen fifteen sixteen"
+    rows = [(1, x + "\nalone"), (2, y + "\nother"), (3, f"{x}\n{y}"), (4, f"head\n{x}\n{y}\ntail"), (5, f"{y}\n\n{z}"), (6, f"{z}\n{y}\n\n{z}\nend"), (7, f"{x}\n{z}")]
+    rng = random.Random(6)
+    pool = [x, y, z, "short", "a b", "", "c d e f"]
+    rows += [(10 + k, "\n".join([f"own {k}"] + rng.choices(pool, k=rng.randrange(1, 9)))) for k in range(40)]
+    found = {r.doc_id: r for r in line_dedup.drop_common_lines(frame(spark, rows)).collect()}
+    lines = {i: [v or None for v in t.split("\n")] for i, t in rows}
+    for i, text in rows:
+        own = lines[i]
+        gone = set().union(*(common_runs(lines[k], own, [len(v.split()) if v else 0 for v in own]) for k in lines if k < i))
+        assert found[i].n_removed == len(gone), i
+        assert found[i].text == "\n".join(v for k, v in enumerate(text.split("\n")) if k not in gone), i
+    assert found[4].text == "head\ntail"
+
+
 def test_repeated_and_moved_passages_are_common():
     passage = ["p", "q", "r"]
     for a, b in (

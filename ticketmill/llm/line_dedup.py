@@ -1,8 +1,8 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
-A line that several documents share proposes to align each later document with the first that has it. Pairs are aligned by
-patience diff on the lines, and common blocks with enough words are deleted from the later document. Earlier and later go by
-doc_id.
+A line, or a short run of lines with enough words, that several documents share proposes to align each later document with the
+first that has it. Pairs are aligned by patience diff on the lines, and common blocks with enough words are deleted from the later
+document. Every such block has a short run, and so a proposing key, of its own. Earlier and later go by doc_id.
 """
 
 from __future__ import annotations
@@ -175,7 +175,13 @@ def find_common_blocks(documents: DataFrame, min_words: int = MIN_WORDS) -> Data
     docs = store(number_rows(texts.select("doc_id", "th"), [F.asc_nulls_last("doc_id"), F.col("th")], "n"), "numbers")
     texts = store(texts.join(docs.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["th"] == F.col("_th"))).drop("_id", "_th"), "documents")
 
-    rows = texts.select("n", F.explode(F.array_distinct("lines")).alias("line")).filter("line IS NOT NULL")
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for own, words in zip(batch["lines"].to_pylist(), batch["words"].to_pylist()):
+            found.append(list({x for x in own if x is not None}.union(run_keys(own, short_runs(own, words, min_words)))))
+        return pa.record_batch([batch["n"], pa.array(found, pa.list_(pa.int64()))], ["n", "keys"])
+
+    rows = store(map_batches(texts.select("n", "lines", "words"), keys, "n long, keys array<long>"), "keys").select("n", F.explode("keys").alias("line"))
     firsts = rows.groupBy("line").agg(F.min("n").alias("first"), F.max("n").alias("last")).filter("first != last").select("line", "first")
     pairs = store(rows.join(firsts, "line").filter("first != n").select("first", "n").distinct(), "pairs")
 
