@@ -10,7 +10,7 @@ import pytest
 from conftest import DATA
 
 import corpus_pipeline
-from ticketmill.llm import fingerprints, line_dedup, order_minhash, repeats, shingles
+from ticketmill.llm import fingerprints, grouping, line_dedup, order_minhash, repeats, shingles
 from ticketmill.llm.components import components
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -208,6 +208,16 @@ def test_classes_are_components_of_alike_texts(spark, corpus, operator, alike):
         assert len(rows) == len(groups) and {r.stays for r in rows} == {"clash"}
 
 
+def test_texts_of_a_bucket_meet_each_other(spark):
+    """Like texts are found where the first text of their only bucket is like none of them, or like one of them."""
+    bodies = {0: b"first", 1: b"x", 2: b"other", 3: b"xy", 4: b"xyz", 5: b"far", 6: b"x" * 90, 7: b"firs"}
+    rows = spark.createDataFrame([(i, i, 0, i) for i in bodies], "rid long, doc_id long, th long, node long")
+    nodes = spark.createDataFrame([(i, len(b), [1] if i < 7 else [1, 2]) for i, b in bodies.items()], "node long, size int, keys array<long>")
+    texts = spark.createDataFrame(list(bodies.items()), "node long, body binary")
+    found = grouping.classes(rows, nodes, lambda wanted: texts, lambda a, b: a.startswith(b) and len(a) <= len(b) + 1 or b.startswith(a) and len(b) <= len(a) + 1)
+    assert {r.doc_id: r.class_id for r in found.collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 6, 7: 0}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 301), (301, 300), (302, 301)]
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()

@@ -104,7 +104,7 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     copies = read.groupBy("digest").agg(F.min("rid").alias("node"))
     rows = store(read.select("rid", "doc_id", "th", "digest").join(copies, "digest").drop("digest"), "nodes")
     first = read.filter("n_words > 0").join(copies.select(F.col("node").alias("rid")), "rid")
-    nodes = first.select(F.col("rid").alias("node"), bucket_keys("bands", BANDS).alias("keys"))
+    nodes = first.select(F.col("rid").alias("node"), F.lit(1).alias("size"), bucket_keys("bands", BANDS).alias("keys"))
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = []

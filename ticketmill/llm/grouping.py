@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketmill.llm.components import components
@@ -50,15 +50,47 @@ def verify(pairs: DataFrame, texts: DataFrame, alike: Callable[[bytes, bytes], b
     return map_batches(both.select("a", "b", "xa", "xb"), run, "u long, v long")
 
 
+def label_of(links: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
+    """``ends`` with the class so far of the node in each of the columns, as ``l`` and the column's name."""
+    label = components(links)
+    for c in columns:
+        own = label.select(F.col("node").alias(c), F.col("label").alias("_l"))
+        ends = ends.join(own, c, "left").withColumn(f"l{c}", F.coalesce("_l", c)).drop("_l")
+    return ends
+
+
+def remaining_links(nodes: DataFrame, done: DataFrame, links: DataFrame, texts: DataFrame, alike: Callable[[bytes, bytes], bool], least_ratio: float) -> DataFrame:
+    """``links`` and those between any two texts of a bucket that are not in one class yet and not among the pairs ``done``.
+
+    A round compares twice as many texts of each bucket as the one before with all that come after them; classes that have
+    grown together meanwhile are not compared any more. Buckets of which all texts are in one class cost nothing.
+    """
+    exploded = nodes.select("node", "size", F.explode("keys").alias("key"))
+    labelled = label_of(links, exploded, "node")
+    mixed = labelled.groupBy("key").agg(F.min("lnode").alias("low"), F.max("lnode").alias("high")).filter("low != high").select("key")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    buckets = store(labelled.join(mixed, "key").drop("lnode").withColumn("rank", rank), "buckets")
+    largest, start = buckets.agg(F.max("rank")).first()[0] or 0, 1
+    while start < largest:
+        current = label_of(links, buckets, "node")
+        firsts = current.filter(F.col("rank").between(start, 2 * start - 1)).select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "lnode", "size", "rank")))
+        both = current.join(firsts, "key").filter("rank > a_rank AND lnode != a_lnode").filter(F.least("size", "a_size") >= F.lit(least_ratio) * F.greatest("size", "a_size"))
+        pairs = both.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        pairs = store(pairs, "pairs")
+        links = links.unionByName(store(verify(pairs, texts, alike), "links"))
+        done, start = done.unionByName(pairs), 2 * start
+    return links
+
+
 def classes(
-    rows: DataFrame, nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool]
+    rows: DataFrame, nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool], least_ratio: float = 0.0
 ) -> DataFrame:
     """doc_id, th, class_id (smallest doc_id of its class), class_size and stays (one row of each class).
 
-    ``rows``: (rid, doc_id, th, node), a row per document; rows of one node are copies. ``nodes``: (node, keys) of the texts
-    that have buckets. ``texts_of`` gives (node, body) for a table of wanted nodes: only texts in some pair are fetched. First
+    ``rows``: (rid, doc_id, th, node), a row per document; rows of one node are copies. ``nodes``: (node, size, keys) of the texts
+    that have buckets; texts whose sizes are in a smaller ratio than ``least_ratio`` are never alike. ``texts_of`` gives (node, body) for a table of wanted nodes: only texts in some pair are fetched. First
     every text meets the text with which it shares most buckets, then all proposals between classes that are still
-    apart are verified.
+    apart are verified, and at last all other pairs of a bucket between such classes.
     """
     pairs = store(proposals(nodes), "proposals")
     wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
@@ -75,8 +107,10 @@ def classes(
         .filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
         .select("a", "b")
     )
+    apart = store(apart, "apart")
     more = store(verify(apart, texts, alike), "links")
-    label = components(links.unionByName(more))
+    done = best.select("a", "b").unionByName(apart)
+    label = components(remaining_links(nodes, done, links.unionByName(more), texts, alike, least_ratio))
 
     labelled = rows.join(label, "node", "left").select("rid", "doc_id", "th", F.coalesce("label", "node").alias("label"))
     # The smallest id first, nulls last; then the row's place.

@@ -181,8 +181,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     read = store(_read_texts(documents), "sketches")
     copies = read.groupBy("digest").agg(F.min("rid").alias("node"))
     rows = store(read.select("rid", "doc_id", "th", "digest").join(copies, "digest").drop("digest"), "nodes")
-    with_words = read.filter("length(words) > 0").select("rid", "sketch").join(copies.select(F.col("node").alias("rid")), "rid")
-    nodes = with_words.select(F.col("rid").alias("node"), bucket_keys("sketch", SKETCHES).alias("keys"))
+    with_words = read.filter("length(words) > 0").select("rid", "sketch", F.length("words").alias("size")).join(copies.select(F.col("node").alias("rid")), "rid")
+    nodes = with_words.select(F.col("rid").alias("node"), "size", bucket_keys("sketch", SKETCHES).alias("keys"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         return join_lookup(read.select(F.col("rid").alias("node"), F.col("words").alias("body")), wanted, "node", "inner")
@@ -190,7 +190,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     def alike(x: bytes, y: bytes) -> bool:
         return edit_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity) >= similarity
 
-    return classes(rows, nodes, texts_of, alike)
+    return classes(rows, nodes, texts_of, alike, similarity)
 
 
 def drop_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
