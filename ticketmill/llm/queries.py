@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.llm import bpe, fingerprints, language, line_dedup, order_minhash, pii, ppm, repeats
+from ticketmill.llm import alignment, bpe, fingerprints, language, line_dedup, merkle, order_minhash, packing, pii, ppm, repeats
 from ticketmill.llm.decontaminate import find_contamination, is_contaminated
 from ticketmill.llm.url_filter import match_rules
 
@@ -86,6 +86,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.link_weights(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang", "place")
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -131,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op10_url_filter": OP10_SQL, "op13_manifest": merkle.manifest_sql()}
