@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,13 @@ from tokenizers import Tokenizer
 
 from ticketmill.llm.bpe import byte_alphabet
 from ticketmill.llm.rows import Shared, map_arrow, map_batches, prepare_session, store, text_bytes
+from ticketmill.llm.shingles import mix
 
 #: Window alignments that a worker remembers before it starts afresh, and the most tokens of a side of such a window.
-MEMO_WINDOWS = 300_000
+MEMO_WINDOWS = 200_000
 MEMO_TOKENS = 24
 #: Characters of texts that are tokenized at once; longer texts go in parts that end where neither side has a token.
-SLAB_CHARS = 1 << 20
+SLAB_CHARS = 1 << 19
 #: Id pairs whose counts every worker holds (12 bytes each): the most frequent ones. All others are joined.
 HELD_PAIRS = 1_500_000
 #: Pairs of ids that a task gathers before it adds them up, and sums that it holds before it hands them on.
@@ -53,6 +56,7 @@ class Aligner(dict):
 
     def __init__(self, files: tuple[bytes, bytes]):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = json.loads(files[0])
         self.library = Tokenizer.from_buffer(files[0])
         self.library.encode_special_tokens = True
@@ -71,6 +75,10 @@ class Aligner(dict):
         wide = max(len(self.first), len(self.second)) > 1 << 16
         self.code, self.shift = (np.dtype("<u8"), 32) if wide else (np.dtype("<u4"), 16)
         self.sizes = tuple(np.array([len(x) for x in side], np.int64) for side in (self.first, self.second))
+        # Ids in decimal, with zero bytes before them.
+        numbers = [str(i).encode() for i in range(max(len(self.first), len(self.second)))]
+        self.width = np.array([len(x) for x in numbers], np.int64)
+        self.digits = np.frombuffer(b"".join(x.rjust(len(numbers[-1]), b"\0") for x in numbers), np.uint8).reshape(len(numbers), -1)
         self.spaced = tuple(np.array([x[:1] == b" " for x in side]) for side in (self.first, self.second))
         # Tokens of the second side that hold a space after something else would reach over a gap.
         self.cuttable = not any(b" " in x.lstrip(b" ") for x in self.second)
@@ -79,21 +87,30 @@ class Aligner(dict):
     def _piece(piece: str, is_byte: bool) -> bytes:
         return bytes([int(piece[3:5], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
-    def __missing__(self, window: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        a, b = (np.frombuffer(x, "<u4") for x in window)
+    def align_windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """The alignments of windows that follow each other: ids of both sides, and where each window begins in them. Both sides of a
+        window have the same bytes."""
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        codes = (a[at_a].astype(self.code) << self.code.type(self.shift)) | b[at_b].astype(self.code)
-        a, b, groups, i, j = a.tolist(), b.tolist(), [], 0, 0
-        for x, y in zip(at_a.tolist(), at_b.tolist()):
-            groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
-            i, j = x + 1, y + 1
-        out = ";".join(groups).encode(), codes.tobytes()
-        if len(window[0]) <= 4 * MEMO_TOKENS >= len(window[1]):
-            if len(self) >= MEMO_WINDOWS:
-                self.clear()
-            self[window] = out
-        return out
+        marked = np.zeros(int(ends_a[-1]) + 1, bool)
+        marked[ends_b] = True
+        last_a = marked[ends_a]  # tokens that end where one of the other side does: the last ones of their groups
+        marked[:] = False
+        marked[ends_a] = True
+        last_b = marked[ends_b]
+        codes = (a[last_a].astype(self.code) << self.code.type(self.shift)) | b[last_b].astype(self.code)
+        # The text of the groups: a group's ids of the first side, then those of the second, each with what follows it.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        before_a, before_b = (np.append(0, np.flatnonzero(x) + 1) for x in (last_a, last_b))
+        order_a, order_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b + 1]
+        ids, after = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[order_a], ids[order_b] = a, b
+        after[order_a[last_a]], after[order_b[last_b]] = ord("|"), ord(";")
+        shown = np.concatenate([self.digits[ids], after[:, None]], axis=1)
+        text = shown[shown != 0].tobytes()
+        starts = np.append(0, np.cumsum(self.width[ids] + 1))[np.append(at_a + at_b, len(ids))].tolist()
+        links = np.append(np.append(0, np.cumsum(last_a))[at_a] * self.code.itemsize, len(codes) * self.code.itemsize).tolist()
+        packed = codes.tobytes()
+        return [(text[i : j - 1], packed[k:m]) for i, j, k, m in zip(starts, starts[1:], links, links[1:])]
 
     def parts(self, text: str) -> list[str]:
         """The text, in parts that are tokenized by themselves (each with a space before it)."""
@@ -153,7 +170,7 @@ class Aligner(dict):
 
     def _windows(self, first: list[list[int]], second: list[list[int]]) -> list[list[tuple[bytes, bytes]]]:
         """The alignments of the windows of each text, in order. Both sides of a text have the same bytes."""
-        a, b = (np.fromiter((i for ids in side for i in ids), "<u4", sum(map(len, side))) for side in (first, second))
+        a, b = (np.array(list(chain.from_iterable(side)), np.int64) for side in (first, second))
         sizes_a, sizes_b = self.sizes[0][a], self.sizes[1][b]
         starts_a, starts_b = np.cumsum(sizes_a) - sizes_a, np.cumsum(sizes_b) - sizes_b
         spaced = np.zeros(int(sizes_a.sum()), bool)
@@ -161,12 +178,50 @@ class Aligner(dict):
         at_b = np.flatnonzero(self.spaced[1][b] & spaced[starts_b])  # a text begins with a space, so that its start is an anchor
         at_a = np.searchsorted(starts_a, starts_b[at_b])
         texts = np.searchsorted(at_b, np.cumsum([0, *map(len, second)])).tolist()
-        bytes_a, bytes_b = a.tobytes(), b.tobytes()
-        cut_a, cut_b = (4 * np.append(at_a, len(a))).tolist(), (4 * np.append(at_b, len(b))).tolist()
-        found = [self[bytes_a[i:j], bytes_b[k:m]] for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        chosen, which = _equal_windows(a, b, at_a, at_b)
+        end_a, end_b = np.append(at_a[1:], len(a))[chosen], np.append(at_b[1:], len(b))[chosen]
+        at_a, at_b = at_a[chosen], at_b[chosen]
+        bytes_a, bytes_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        cuts = zip((4 * at_a).tolist(), (4 * end_a).tolist(), (4 * at_b).tolist(), (4 * end_b).tolist())
+        keys = [(bytes_a[i:j], bytes_b[k:m]) for i, j, k, m in cuts]
+        different = list(map(self.get, keys))
+        new = np.array([k for k, x in enumerate(different) if x is None], np.int64)
+        if len(new):
+            n_a, n_b = (end_a - at_a)[new], (end_b - at_b)[new]
+            begin_a, begin_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            own_a = a[np.arange(n_a.sum()) + np.repeat(at_a[new] - begin_a, n_a)]
+            own_b = b[np.arange(n_b.sum()) + np.repeat(at_b[new] - begin_b, n_b)]
+            if len(self) + len(new) > MEMO_WINDOWS:
+                self.clear()
+            short = ((n_a <= MEMO_TOKENS) & (n_b <= MEMO_TOKENS)).tolist()
+            for k, x, keep in zip(new.tolist(), self.align_windows(own_a, own_b, begin_a, begin_b), short):
+                different[k] = x
+                if keep:
+                    self[keys[k]] = x
+        found = [different[k] for k in which.tolist()]
         return [found[i:j] for i, j in zip(texts, texts[1:])]
 
 
+def _equal_windows(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, which begin at these places, that differ: one of each kind, and the kind of every window.
+
+    They are told apart by hashes of their ids, and those of one hash are compared id by id."""
+    kinds, same = np.zeros(len(at_a), np.uint64), []
+    for ids, at in ((a, at_a), (b, at_b)):
+        sizes = np.diff(np.append(at, len(ids)))
+        place = np.arange(len(ids)) - np.repeat(at, sizes)
+        own = np.add.reduceat(mix(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32))), at)
+        kinds = mix(kinds * np.uint64(0x9E3779B97F4A7C15) + own + sizes.astype(np.uint64))
+        same.append((ids, at, sizes))
+    _, first_of, which = np.unique(kinds, return_index=True, return_inverse=True)
+    chosen = first_of[which]
+    for ids, at, sizes in same:
+        if (sizes != sizes[chosen]).any() or (ids != ids[np.arange(len(ids)) + np.repeat(at[chosen] - at, sizes)]).any():
+            every = np.arange(len(at_a))  # two kinds with one hash: look at each by itself
+            return every, every
+    return first_of, which
+
+
 def _has_long_run(text: str) -> bool:
     if len(text) <= _LONG_RUN:
         return False

@@ -73,7 +73,14 @@ class Tables:
 def load(path: str) -> Tables:
     """Read a word-level BPE file of the ``tokenizers`` library (lower-casing, word-end suffix)."""
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        tables = parse(json.load(f), path)
+    tables.lookahead = sufficient_lookahead(tables.merges)
+    tables.window = tables.lookahead + WINDOW
+    return tables
+
+
+def parse(spec: dict, path: str = "this") -> Tables:
+    """The tables of such a file, without its lookahead."""
     model, suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
     kinds = [n["type"] for n in spec["normalizer"]["normalizers"]], [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"]]
     if model["type"] != "BPE" or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or not suffix:
@@ -88,10 +95,7 @@ def load(path: str) -> Tables:
         merges.setdefault(ids[left] << 32 | ids[right], (rank, ids[left + right]))
     alphabet = byte_alphabet()
     pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-    tables = Tables(tokens, merges, [ids[c] for c in alphabet], [ids[c + suffix] for c in alphabet], special, pattern, _older(pattern), suffix)
-    tables.lookahead = sufficient_lookahead(merges)
-    tables.window = tables.lookahead + WINDOW
-    return tables
+    return Tables(tokens, merges, [ids[c] for c in alphabet], [ids[c + suffix] for c in alphabet], special, pattern, _older(pattern), suffix)
 
 
 def _older(pattern: str) -> str:

@@ -10,6 +10,9 @@ length, which come from counts by task: no piece is sorted, and no group is gath
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,12 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ticketmill.llm.bpe import _ODD, _SPACE, BLOCK_CHARS
+from ticketmill.llm.bpe import _ODD, _SPACE, BLOCK_CHARS, Tables, byte_alphabet, merge, parse
 from ticketmill.llm.rows import Shared, extended, map_arrow, map_batches, prepare_session, store
 from ticketmill.session import join_lookup
 
@@ -30,39 +34,90 @@ CAPACITY = 2048
 #: Ends every document.
 END_ID = 0
 #: Chunks of text between white space that a worker remembers before it starts afresh, and the longest of them.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 400_000
 MEMO_LENGTH = 48
 #: Characters of texts whose unknown chunks are encoded at once.
-SLAB_CHARS = 1 << 21
+SLAB_CHARS = 1 << 20
+
+
+# Fixed value: how the word-level file parts lower-case text of these characters.
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN_CHUNK = re.compile(f"(?!.*<\\|)[!-~À-ÖØ-öø-ÿ]{{1,{MEMO_LENGTH}}}")
+#: Stands for the end of a word; no plain chunk has it.
+_END = "\x7f"
+
+
+def ranked_words(tables: Tables) -> tuple[tiktoken.Encoding, np.ndarray, np.ndarray] | None:
+    """The merge list as ranks of byte strings, in which a word ends with a byte of its own; ids by rank; ranks that end a word.
+
+    Ranks merge any two neighbours whose bytes make a token, the list only its own pairs. They agree if every token comes
+    from one pair, and the list makes every token out of its own bytes: a pair that is not listed then never stands side by side. Else None.
+    """
+    if len({new for _, new in tables.merges.values()}) < len(tables.merges):
+        return None
+    byte = {c: b for b, c in enumerate(byte_alphabet())}
+    n = len(tables.inner)
+    special = set(tables.special.values())
+    ids = {b: tables.inner[b] for b in range(n)} | {n + b: tables.last[b] for b in range(n)}
+    ranks = {bytes([b]): b for b in range(n)} | {bytes([b]) + _END.encode(): n + b for b in range(n) if chr(b) != _END}
+    texts = {i: (bytes(byte[c] for c in t.removesuffix(tables.suffix)), t.endswith(tables.suffix)) for i, t in enumerate(tables.tokens) if t and i not in special}
+    for rank, new in tables.merges.values():
+        data, ends = texts[new]
+        symbols = [tables.inner[b] for b in data[:-1]] + [(tables.last if ends else tables.inner)[data[-1]]]
+        if merge(symbols, tables.merges) != [new]:
+            return None
+        ranks[data + _END.encode() * ends] = 2 * n + rank
+        ids[2 * n + rank] = new
+    table, last = np.zeros(max(ids) + 1, "<u4"), np.zeros(max(ids) + 1, bool)
+    for rank, i in ids.items():
+        table[rank] = i
+        last[rank] = n <= rank < 2 * n or texts[i][1]
+    return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}), table, last
 
 
 class ChunkIds(dict):
     """Ids of chunks of text between white space, as little-endian 32-bit integers.
 
-    The file's tokens never reach over white space, so a text's ids are those of its chunks. Chunks are encoded by the tokenizers library
-    once, many at a time; short ones are remembered.
+    The file's tokens never reach over white space, so a text's ids are those of its chunks. Unknown chunks are encoded many at a time:
+    short plain ones by ranks, as far as those are proven to give the same, all others by the tokenizers library. Short ones are remembered.
     """
 
     def __init__(self, file: bytes):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ranked = ranked_words(parse(json.loads(file)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        new = list(set().union(*lists).difference(self))
+        new = set().union(*lists).difference(self)
         if len(self) + len(new) > MEMO_CHUNKS:
             self.clear()
-            new = list(set().union(*lists))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update(zip(new, [array("I", x.ids).tobytes() for x in found]))
+            new = set().union(*lists)
+        plain = list(filter(_PLAIN_CHUNK.fullmatch, new)) if self.ranked else []
+        others = list(new.difference(plain))
+        if plain:
+            self._learn(plain)
+        for at in range(0, len(others), 1000):
+            some = others[at : at + 1000]
+            self.update(zip(some, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
         out = [b"".join(map(self.__getitem__, x)) for x in lists]
-        for chunk in new:
+        for chunk in others:
             if len(chunk) > MEMO_LENGTH:
                 del self[chunk]
         return out
 
+    def _learn(self, chunks: list[str]) -> None:
+        encoding, ids, last = self.ranked
+        words = [_PLAIN_WORDS.findall(c.lower()) for c in chunks]
+        found = np.array(encoding.encode_ordinary(_END.join(w for x in words for w in x) + _END), np.int64)
+        ends = np.flatnonzero(last[found]) + 1
+        cuts = np.append(0, ends[np.cumsum([len(x) for x in words]) - 1] * 4).tolist()
+        data = ids[found].tobytes()
+        self.update(zip(chunks, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+
 
 def blocks(text: str) -> Iterator[str]:
     """A long text in blocks that end with white space."""
