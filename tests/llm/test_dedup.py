@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from conftest import DATA
 
 import corpus_pipeline
 from ticketmill.llm import fingerprints, grouping, line_dedup, order_minhash, repeats, shingles
-from ticketmill.llm.components import components
+from ticketmill.llm.components import components, contract
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, th int, stays string"
@@ -208,16 +209,66 @@ def test_classes_are_components_of_alike_texts(spark, corpus, operator, alike):
         assert len(rows) == len(groups) and {r.stays for r in rows} == {"clash"}
 
 
-def test_texts_of_a_bucket_meet_each_other(spark):
+ANYTHING = grouping.Bound(lambda body: np.zeros(1, np.uint64), lambda longer: np.full(longer.shape, 1 << 40))
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_texts_of_a_bucket_meet_each_other(spark, monkeypatch, block):
     """Like texts are found where the first text of their only bucket is like none of them, or like one of them."""
+    monkeypatch.setattr(grouping, "BLOCK", block)
     bodies = {0: b"first", 1: b"x", 2: b"other", 3: b"xy", 4: b"xyz", 5: b"far", 6: b"x" * 90, 7: b"firs"}
     rows = spark.createDataFrame([(i, i, 0, i) for i in bodies], "rid long, doc_id long, th long, node long")
-    nodes = spark.createDataFrame([(i, len(b), [1] if i < 7 else [1, 2]) for i, b in bodies.items()], "node long, size int, keys array<long>")
-    texts = spark.createDataFrame(list(bodies.items()), "node long, body binary")
-    found = grouping.classes(rows, nodes, lambda wanted: texts, lambda a, b: a.startswith(b) and len(a) <= len(b) + 1 or b.startswith(a) and len(b) <= len(a) + 1)
+    nodes = spark.createDataFrame([(i, [1] if i < 7 else [1, 2]) for i in bodies], "node long, keys array<long>")
+    texts = spark.createDataFrame([(i, len(b), b) for i, b in bodies.items()], "node long, size long, body binary")
+    found = grouping.classes(rows, nodes, lambda wanted: texts, lambda a, b: a.startswith(b) and len(a) <= len(b) + 1 or b.startswith(a) and len(b) <= len(a) + 1, ANYTHING)
     assert {r.doc_id: r.class_id for r in found.collect()} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 6, 7: 0}
 
 
+def test_bitmaps_never_rule_out_alike_texts():
+    """Of random pairs of all likenesses, those that are alike pass the bound; most unlike ones with a common passage do not."""
+    rng = random.Random(12)
+    bound = order_minhash.distance_bound(0.8)
+    kept = 0
+    for k in range(300):
+        n = rng.choice([1, 2, 7, 60, 200, 700])
+        a = [rng.randrange(50 if k % 3 else 5000) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(int(0.4 * n) + 2)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.choice([0, 1])] = [rng.randrange(5000)] * rng.choice([0, 1]) or [b[at]]
+        x, y = np.array(a, "<u4"), np.array(b, "<u4")
+        rows = [(1, 1, len(a), order_minhash.pair_bits(x).tobytes()), (2, 2, len(b), order_minhash.pair_bits(y).tobytes())]
+        pairs = grouping.compare_cell(rows, None, bound)
+        assert pairs == grouping.compare_cell(rows[:1], rows[1:], bound)
+        if order_minhash.edit_similarity(x, y) >= 0.8:
+            assert pairs == [(1, 2)]
+    passage = [rng.randrange(5000) for _ in range(60)]
+    texts = [[rng.randrange(5000) for _ in range(140)] + passage for _ in range(40)]
+    rows = [(i, i, 200, order_minhash.pair_bits(np.array(t, "<u4")).tobytes()) for i, t in enumerate(texts)]
+    kept = len(grouping.compare_cell(rows, None, bound))
+    assert kept < 0.05 * 40 * 39 / 2
+    assert grouping.missing_bits(np.array([[5, 1]], np.uint64), np.array([[4, 0], [7, 1]], np.uint64)).tolist() == [[2, 1]]
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Pairs with an edit similarity of 0.80 to 0.85, changed at random places: nine of ten are found at the least."""
+    rng = random.Random(13)
+    rows, planted = [], {}
+    for s in (0.80, 0.82, 0.85):
+        for _ in range(150):
+            n = rng.choice([100, 200, 300])
+            a = [f"v{rng.randrange(20_000)}" for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), round((1 - s) * n)):
+                b[at] = f"u{rng.randrange(20_000)}"
+            planted.setdefault(s, []).append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    classes = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
+    for s, pairs in planted.items():
+        assert sum(classes[a] == classes[b] for a, b in pairs) >= 0.9 * len(pairs), s
+    assert len(set(classes.values())) >= len(rows) // 2
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 301), (301, 300), (302, 301)]
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()
@@ -226,6 +277,16 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_contracted_classes_are_those_of_all_links(spark):
+    rng = random.Random(14)
+    first, second = ([(rng.randrange(60), rng.randrange(60)) for _ in range(25)] for _ in range(2))
+    links = [spark.createDataFrame(x, "u long, v long") for x in (first, second)]
+    got = {r.node: r.label for r in contract(components(links[0]), links[1]).collect()}
+    want = {r.node: r.label for r in components(links[0].union(links[1])).collect()}
+    assert got == want
+    assert {r.node: r.label for r in contract(components(links[0]), links[1].limit(0)).collect()} == {r.node: r.label for r in components(links[0]).collect()}
+
+
 # Lines
 
 
@@ -303,6 +364,14 @@ def test_every_shared_block_goes(spark):
     assert found[4].text == "head\ntail"
 
 
+def test_many_blank_lines_take_no_long():
+    a, b = ["p", "q", *[None] * 100_000, "r", "s"], ["s", *[None] * 100_000, "p", "q", "r"]
+    words = [4 if x else 0 for x in b]
+    start = time.perf_counter()
+    line_dedup.common_blocks(a, b, words, 10)
+    assert time.perf_counter() - start < 10
+
+
 def test_repeated_and_moved_passages_are_common():
     passage = ["p", "q", "r"]
     for a, b in (

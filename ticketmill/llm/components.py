@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.llm.rows import store
+from ticketmill.session import scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,14 +28,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges may repeat and point either way; loops are ignored; no edges give no rows. The rounds grow with the logarithm of the
     largest component. Minima combine before the shuffle, and a hub's edges meet one row of the other side, so that
-    adaptive execution can split them.
+    adaptive execution can split them. Copies of the rounds are deleted.
     """
-    current = store(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        digest = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if digest == state or not digest[0]:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = digest
-        large = store(_large_star(current).distinct(), "edges")
-        current = store(_small_star(large).distinct(), "edges")
+    with scratch(edges.sparkSession):
+        current = store(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        state = None
+        while True:
+            digest = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if digest == state or not digest[0]:
+                return store(current.select(F.col("u").alias("node"), F.col("v").alias("label")), "labels", outer=True)
+            state = digest
+            large = store(_large_star(current).distinct(), "edges")
+            current = store(_small_star(large).distinct(), "edges")
+
+
+def contract(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, label) with further ``links`` (u, v): only the classes so far are nodes of the graph that is worked on."""
+    own = label.select(F.col("node").alias("n"), F.col("label").alias("l"))
+    ends = links.join(own, F.col("u") == F.col("n"), "left").withColumn("u", F.coalesce("l", "u")).drop("n", "l")
+    ends = ends.join(own, F.col("v") == F.col("n"), "left").withColumn("v", F.coalesce("l", "v")).drop("n", "l")
+    joined = components(ends)
+    lower = joined.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    moved = label.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return store(moved.unionByName(joined), "labels")

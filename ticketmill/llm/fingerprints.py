@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ticketmill.llm.grouping import bucket_keys, classes
+from ticketmill.llm.grouping import Bound, bucket_keys, classes
 from ticketmill.llm.rows import map_arrow, map_batches, prepare_session, slabs, store, text_hash
 from ticketmill.llm.shingles import mix, random_words, shingle_hashes, word_hashes
 
@@ -92,6 +92,21 @@ def jaccard(x: bytes, y: bytes) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
+def shingle_bits(body: bytes) -> np.ndarray:
+    """A bitmap of a set of shingles, of four to eight bits a shingle."""
+    values = np.frombuffer(body, "<u8")
+    width = 1 << max((len(values) * 4 - 1).bit_length(), 6)
+    out = np.zeros(width // 64, np.uint64)
+    place = values & np.uint64(width - 1)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def jaccard_bound(similarity: float) -> Bound:
+    """Sets of Jaccard similarity s lack at most (1 - s) / s of the smaller one's size, and their sizes are in a ratio of s or more."""
+    return Bound(shingle_bits, lambda longer: ((1 - similarity) / similarity * longer + 1e-9).astype(np.int64), similarity)
+
+
 def near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """A row per document row: doc_id, th, class_id (smallest doc_id of its class), class_size and stays (one row of each class).
 
@@ -104,7 +119,7 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     copies = read.groupBy("digest").agg(F.min("rid").alias("node"))
     rows = store(read.select("rid", "doc_id", "th", "digest").join(copies, "digest").drop("digest"), "nodes")
     first = read.filter("n_words > 0").join(copies.select(F.col("node").alias("rid")), "rid")
-    nodes = first.select(F.col("rid").alias("node"), F.lit(1).alias("size"), bucket_keys("bands", BANDS).alias("keys"))
+    nodes = first.select(F.col("rid").alias("node"), bucket_keys("bands", BANDS).alias("keys"))
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = []
@@ -112,16 +127,16 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
             data = np.frombuffer((text or "").encode(), np.uint8)
             words, offsets = word_hashes(data, np.array([0, len(data)]))
             sets.append(np.unique(shingle_hashes(words, offsets)[0]).astype("<u8").tobytes())
-        return pa.record_batch([batch["node"], pa.array(sets, pa.binary())], ["node", "body"])
+        return pa.record_batch([batch["node"], pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "size", "body"])
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         names = wanted.join(rows.select("rid", "doc_id", "th").withColumnRenamed("rid", "node"), "node")
         named = documents.select("doc_id", "text", text_hash())
         # Rows equal in id and text are one node; its set is fetched once.
         found = named.join(names.withColumnsRenamed({"doc_id": "w_id", "th": "w_th"}), named["doc_id"].eqNullSafe(F.col("w_id")) & (named["th"] == F.col("w_th")))
-        return map_batches(found.select("node", "text"), shingled, "node long, body binary").dropDuplicates(["node"])
+        return map_batches(found.select("node", "text"), shingled, "node long, size long, body binary").dropDuplicates(["node"])
 
-    return classes(rows, nodes, texts_of, lambda x, y: jaccard(x, y) >= similarity)
+    return classes(rows, nodes, texts_of, lambda x, y: jaccard(x, y) >= similarity, jaccard_bound(similarity))
 
 
 def _neighbours(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ document. Every such block has a short run, and so a proposing key, of its own.
 from __future__ import annotations
 
 import bisect
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.llm.rows import extended, fresh, join_by_row, map_batches, prepare_session, store, text_hash
 from ticketmill.operators.numbering import number_rows
+from ticketmill.session import scratch
 
 #: Words of the smallest block that is deleted.
 MIN_WORDS = 10
@@ -122,8 +124,11 @@ def left_over(a: list, b: list, b_words: list[int], gone: list[tuple[int, int]],
 
     An alignment has each line once, and none that cross: a passage that one side repeats, or has elsewhere, is not in it.
     """
-    covered = {j for low, high in gone for j in range(low, high)}
-    if len(covered) == len(b):
+    covered = bytearray(len(b))
+    for low, high in gone:
+        covered[low:high] = b"\1" * (high - low)
+    before = [0, *accumulate(covered)]  # covered lines before each
+    if before[-1] == len(b):
         return []
     known = dict(zip(b, b_words))
     there = set(run_keys(a, short_runs(a, [known.get(x) for x in a], min_words)))
@@ -132,7 +137,7 @@ def left_over(a: list, b: list, b_words: list[int], gone: list[tuple[int, int]],
     runs = short_runs(b, b_words, min_words)
     out: list[tuple[int, int]] = []
     for (low, high), key in zip(runs, run_keys(b, runs)):
-        if key in there and not (low in covered and high - 1 in covered and covered.issuperset(range(low, high))):
+        if key in there and before[high] - before[low] < high - low:
             if out and low <= out[-1][1]:
                 out[-1] = (out[-1][0], max(high, out[-1][1]))
             else:
@@ -212,7 +217,8 @@ def drop_common_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     """
     kept = documents.drop("n_lines", "n_removed", "earlier")
     spans = fresh(kept, "blocks")
-    found = store(find_common_blocks(documents, min_words), "removed").withColumnRenamed("blocks", spans)
+    with scratch(documents.sparkSession):
+        found = store(find_common_blocks(documents, min_words), "removed", outer=True).withColumnRenamed("blocks", spans)
     joined = join_by_row(kept, found, "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -148,6 +148,7 @@ def slabs(sizes: np.ndarray, limit: int = SLAB_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a step's result to the shared folder: it is computed once, and a lost executor loses none of it."""
-    return stored(df, f"llm-{name}", *partition_by)
+def store(df: DataFrame, name: str, *partition_by: str, outer: bool = False) -> DataFrame:
+    """Write a step's result to the shared folder: it is computed once, and a lost executor loses none of it. Inside ``session.scratch`` the copy
+    goes at the end of the block, or, if ``outer``, of the one around it."""
+    return stored(df, f"llm-{name}", *partition_by, outer=outer)
