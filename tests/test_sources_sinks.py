@@ -12,7 +12,7 @@ from ticketmill.sources import numeric, saved, text
 
 
 def ticket_file(path, encoding):
-    lines = ["GROUP,TEXT,,,"] + [f"{g},{t},,," for g, t in TICKETS] + ["只有标签"]
+    lines = ["CLASS,ENTRY"] + [f"{g},{t}" for g, t in TICKETS] + ["交班"]
     path.write_bytes("\n".join(lines).encode(encoding))
     return str(path)
 
@@ -21,45 +21,29 @@ def ticket_file(path, encoding):
 def test_tickets_in_both_charsets(spark, tmp_path, encoding):
     path = ticket_file(tmp_path / "t.csv", encoding)
     rows = [(r["group"], r["orgtext"]) for r in text.read_tickets(spark, path, encoding).collect()]
-    assert rows == [*TICKETS, ("只有标签", "")]
+    assert rows == [*TICKETS, ("交班", "")]
 
 
 def test_header_is_not_a_class_unless_asked(spark, tmp_path):
     path = ticket_file(tmp_path / "t.csv", "UTF-8")
-    assert text.read_tickets(spark, path).where("group = 'GROUP'").count() == 0
-    assert text.read_tickets(spark, path, header=False).where("group = 'GROUP'").count() == 1
+    assert text.read_tickets(spark, path).where("group = 'CLASS'").count() == 0
+    assert text.read_tickets(spark, path, header=False).where("group = 'CLASS'").count() == 1
 
 
 def test_file_order_numbers(spark, tmp_path):
     path = ticket_file(tmp_path / "t.csv", "UTF-8")
     rows = text.read_numbered_tickets(spark, path, header=False).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in rows] == list(range(1, len(TICKETS) + 3))
-    assert [r["group"] for r in rows][:2] == ["GROUP", TICKETS[0][0]]
-
-
-def test_file_order_numbers_over_many_splits(spark, tmp_path):
-    for k in range(3):
-        (tmp_path / f"{k}.csv").write_text("\n".join(f"c,{k} {i:04d} {'x' * (k * 7)}" for i in range(2000)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
-    try:
-        numbered = text.read_numbered_tickets(spark, str(tmp_path), header=False)
-        rows = numbered.orderBy("doc_id").collect()
-        plan = numbered._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [r["doc_id"] for r in rows] == list(range(1, 6001))
-    assert [r["orgtext"][:6] for r in rows] == [f"{k} {i:04d}" for k in range(3) for i in range(2000)]
-    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    assert [r["group"] for r in rows][:2] == ["CLASS", TICKETS[0][0]]
 
 
 def test_word_lists(spark, tmp_path):
     utf8 = tmp_path / "w.txt"
-    utf8.write_bytes("\ufeff？\r\n、\r\n啊\r\n\r\n啊\r\n 末 ".encode())
-    assert sorted(r[0] for r in text.read_words(spark, str(utf8)).collect()) == sorted(["？", "、", "啊", "末"])
+    utf8.write_bytes("\ufeff吧\r\n…\r\n\r\n 很 \r\n吧\r\nvery".encode())
+    assert sorted(r[0] for r in text.read_words(spark, str(utf8)).collect()) == sorted(["吧", "…", "很", "very"])
     gbk = tmp_path / "g.txt"
-    gbk.write_bytes('轮毂\r\n"油,壶\r\n'.encode("GBK"))
-    assert sorted(r[0] for r in text.read_words(spark, str(gbk), "GBK").collect()) == sorted(["轮毂", '"油,壶'])
+    gbk.write_bytes('育苗盘\n遮阳,网"\n'.encode("GBK"))
+    assert sorted(r[0] for r in text.read_words(spark, str(gbk), "GBK").collect()) == sorted(["育苗盘", '遮阳,网"'])
     protected = text.read_protected(spark, str(utf8)).first()
     assert (protected["nature"], protected["priority"]) == ("n", 1)
 
@@ -71,31 +55,29 @@ def test_missing_files(spark, tmp_path):
     assert text.read_words(spark, missing, optional=True).count() == 0
 
 
-def test_dictionary_and_rules(spark, tmp_path):
-    plain = tmp_path / "d.txt"
-    plain.write_text("骑行具\tn\n林七\tnr\n更换\n", encoding="utf-8")
-    natures = {r["word"]: r["nature"] for r in text.read_dictionary(spark, str(plain)).collect()}
-    assert natures == {"骑行具": "n", "林七": "nr", "更换": None}
-    page = tmp_path / "a.dic"
-    page.write_text(
-        '<tr>\n  <td id="L1" class="num"></td>\n'
-        '        <td id="LC1" class="line">红车铃\t红\ta\t车铃\tn</td>\n</tr>\n周七来\t周七\tnr\t来\tv \n<p>none</p>\n'
-        "周七来\t周\tq\t七\tm\t来\tv\n",
-        encoding="utf-8",
-    )
-    rows = text.read_rules(spark, str(page)).collect()
-    rules = {r["phrase"]: [(p["word"], p["nature"]) for p in r["parts"]] for r in rows}
-    # Of two rules for a phrase, the one with fewer parts.
-    assert rules == {"红车铃": [("红", "a"), ("车铃", "n")], "周七来": [("周七", "nr"), ("来", "v")]}
-    lexicon = make_lexicon(rules=text.read_rules(spark, str(page)))
-    # A part that is a person's name is dropped.
-    assert lexicon.rules == {"红车铃": ["红", "车铃"], "周七来": ["来"]}
-    gbk = tmp_path / "g.dic"
-    gbk.write_bytes("红车铃\t红\ta\t车铃\tn\n".encode("GBK"))
-    assert text.read_rules(spark, str(gbk), "GBK").first()["phrase"] == "红车铃"
-    missing = str(tmp_path / "none.dic")
+def test_dictionaries(spark, tmp_path):
+    listed = tmp_path / "d.txt"
+    listed.write_text("棚膜\n老曹\tnr\n浇透\tv\n", encoding="utf-8")
+    natures = {r["word"]: r["nature"] for r in text.read_dictionary(spark, str(listed)).collect()}
+    assert natures == {"棚膜": None, "老曹": "nr", "浇透": "v"}
+
+
+def test_rules_from_tables_and_pages(spark, tmp_path):
+    """A rule a line, as plain columns or in the cells of a saved page; lines with fewer than three columns are none."""
+    plain = tmp_path / "r.tsv"
+    plain.write_text("喷雾量\t喷雾\tn\t量\tn\nnote\nonly\ttwo\n", encoding="utf-8")
+    assert [(r["phrase"], [tuple(p) for p in r["parts"]]) for r in text.read_rules(spark, str(plain)).collect()] == [("喷雾量", [("喷雾", "n"), ("量", "n")])]
+    page = tmp_path / "r.html"
+    cells = ["老曹浇花\t老曹\tnr\t浇\tv\t花\tn", "老曹浇花\t老曹浇\tv\t花\tn", "温差大\t温差\tn\t大\ta"]
+    page.write_text("<table>\n" + "\n".join(f'<tr><th>{k}</th>\n<td class="c">{c}</td></tr>' if k == 9 else f'  <td class="c">{c}</td>' for k, c in enumerate(cells)) + "\n</table>", encoding="utf-8")
+    rules = {r["phrase"]: [p["word"] for p in r["parts"]] for r in text.read_rules(spark, str(page)).collect()}
+    assert rules == {"老曹浇花": ["老曹浇", "花"], "温差大": ["温差", "大"]}  # the rule with fewer parts
+    lexicon = make_lexicon(rules=text.read_rules(spark, str(page)), dropped=("a", "nr"))
+    assert {r["phrase"]: r["parts"] for r in lexicon.rules.collect()} == {"老曹浇花": ["老曹浇", "花"], "温差大": ["温差"]}
+    page.write_bytes("温差大\t温差\tn\t大\ta\n".encode("GBK"))
+    assert text.read_rules(spark, str(page), "GBK").first()["phrase"] == "温差大"
     for reader in (text.read_rules, text.read_dictionary, text.read_protected):
-        assert reader(spark, missing, optional=True).count() == 0
+        assert reader(spark, str(tmp_path / "none"), optional=True).count() == 0
 
 
 def test_numeric_files(spark, tmp_path):
@@ -119,7 +101,7 @@ def test_job_tables_append_and_read_by_job(spark, tickets, tmp_path):
     for job in ("1", "2"):
         write_table(labels.label_index(tickets, "group", job).drop("n"), target)
     index = saved.load_label_index(spark, target.path, "2")
-    assert {r["group"]: r["label"] for r in index.collect()}["骑行问题"] == 0.0
+    assert {r["group"]: r["label"] for r in index.collect()}["浇水"] == 0.0
     assert index.count() == 4
     assert saved.load_job_table(spark, target.path, "1").schema["job_id"].dataType.simpleString() == "string"
     write_table(labels.label_index(tickets, "group", "2").drop("n"), target)  # a second run replaces its rows

@@ -36,23 +36,6 @@ def number_rows(df: DataFrame, order: list[Column], out: str, start: int = 1) ->
     )
 
 
-def number_in_scan(df: DataFrame, split: list[str], out: str, start: int = 1) -> DataFrame:
-    """Add ``out``: the position of each row of a file scan in the order of its splits, without moving any row.
-
-    ``split`` names the columns (file, block) that say which split a row is from; rows of a split follow each other in one
-    partition, in file order. A first pass counts the rows of each split; the table of offsets has one row per split.
-    """
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    splits = cut_lineage(placed.groupBy(*split).agg(F.count("*").alias("_rows"), F.min("_place").alias("_first")))
-    offsets = splits.select(*split, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    return (
-        placed.join(F.broadcast(cut_lineage(offsets)), split)
-        .withColumn(out, (F.col("_offset") + F.col("_place") - F.col("_first") + F.lit(start)).cast("long"))
-        .drop("_place", "_first", "_offset")
-    )
-
-
 def first_seen_index(df: DataFrame, key: str, row: str, pos: str | None = None, out: str = "idx") -> DataFrame:
     """0-based index of the distinct values of ``key`` by first occurrence: by ``row``, then ``pos`` within it.
 

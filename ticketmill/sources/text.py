@@ -6,12 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketmill.operators.numbering import number_in_scan
+from ticketmill.sources.records import read_records
 
 # Charsets that Spark reads without further settings.
 STANDARD_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}
 
-TICKET_SCHEMA = "group string, orgtext string"
+TICKET_COLUMNS = ["group", "orgtext"]
 
 
 def _allow_charset(spark: SparkSession, encoding: str) -> None:
@@ -24,31 +24,16 @@ def read_tickets(
     spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True
 ) -> DataFrame:
     """``group, orgtext`` from the first two CSV fields; missing fields become ''."""
-    _allow_charset(spark, encoding)
-    raw = spark.read.schema(TICKET_SCHEMA).option("encoding", encoding).option("header", header).csv(path)
-    return raw.select(
-        F.coalesce("group", F.lit("")).alias("group"), F.coalesce("orgtext", F.lit("")).alias("orgtext")
-    )
+    return read_numbered_tickets(spark, path, encoding, header).drop("doc_id")
 
 
 def read_numbered_tickets(
     spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True
 ) -> DataFrame:
-    """:func:`read_tickets` with ``doc_id``, the 1-based position in file order."""
+    """:func:`read_tickets` with ``doc_id``, the 1-based position in path and file order. Quoted fields may hold line breaks; files
+    are read in parallel splits all the same (see :mod:`ticketmill.sources.records`)."""
     _allow_charset(spark, encoding)
-    raw = (
-        spark.read.schema(TICKET_SCHEMA)
-        .option("encoding", encoding)
-        .option("header", header)
-        .csv(path)
-        .select(
-            F.coalesce("group", F.lit("")).alias("group"),
-            F.coalesce("orgtext", F.lit("")).alias("orgtext"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-        )
-    )
-    return number_in_scan(raw, ["_file", "_block"], "doc_id").select("doc_id", "group", "orgtext")
+    return read_records(spark, path, TICKET_COLUMNS, encoding, header)
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", optional: bool = False) -> DataFrame:
