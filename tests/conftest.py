@@ -28,21 +28,22 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-# Invented tickets of a bicycle workshop: label and text.
+# Log entries of an imagined greenhouse: class and text. One class stands alone.
 TICKETS = [
-    ("骑行问题", "骑行具不能骑行，刹车调整不上"),
-    ("骑行问题", "骑行具更换后异响"),
-    ("骑行问题", "bk1020 骑行具子旧了"),
-    ("链条问题", "链条 转不起来"),
-    ("链条问题", "不能链条，更换也不行"),
-    ("刹车问题", "刹车调整不上更换bk1020"),
-    ("灯光问题", "灯光闪烁"),
-    ("链条问题", "链条具生锈"),
-    ("骑行问题", "骑行速度慢"),
-    ("刹车问题", "刹车订购寻不到"),
+    ("浇水", "三号棚滴灌停了半天"),
+    ("虫害", "番茄叶背有白粉虱，一天比一天多"),
+    ("浇水", "Pump7 压力低"),
+    ("采收", "草莓今早只装了六箱"),
+    ("虫害", "黄瓜藤上爬满蚜虫"),
+    ("浇水", "滴灌管接头漏水，换过两回照样漏"),
+    ("温控", "夜里棚温掉到四度"),
+    ("浇水", "水肥机不出水"),
+    ("采收", "番茄熟得太快人手不够"),
+    ("虫害", "北侧防虫网破了一个洞"),
+    ("采收", "草莓箱少贴了标签"),
 ]
 
-WORDS = ["调整", "刹车", "刹车调整", "更换", "调整不上", "骑行", "骑行具", "具子", "链条", "不能", "灯光", "闪烁"]
+WORDS = ["滴灌", "滴灌管", "管接头", "番茄", "草莓", "箱", "白粉虱", "蚜虫", "虫网", "防虫网", "漏水", "出水", "不出水", "棚温", "标签"]
 
 
 @pytest.fixture(scope="session")

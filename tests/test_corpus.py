@@ -44,9 +44,21 @@ def test_numbers_with_and_without_gaps_in_the_ids(spark):
         assert [r["part"] == "test" for r in split] == [n % 4 == 0 for n in range(1, 31)]
 
 
+def test_parts_of_repeated_null_and_missing_ids(spark):
+    """Every row is numbered once, whatever its id; the rows of dense ids get the same numbers on either way."""
+    ids = [4, None, 4, 9, 1, None, 9, 30, 4]
+    df = spark.createDataFrame([(i, "g", f"t{k}") for k, i in enumerate(ids)], "doc_id long, group string, t string").repartition(3)
+    rows = corpus.with_parts(df, "doc_id", "group", 4).collect()
+    assert sorted(r["t"] for r in rows) == [f"t{k}" for k in range(9)]
+    by_number = sorted(rows, key=lambda r: r["row_num"])
+    assert [r["row_num"] for r in by_number] == list(range(1, 10))
+    assert [r["doc_id"] for r in by_number] == [1, 4, 4, 4, 9, 9, 30, None, None]
+    assert [r["part"] == "test" for r in by_number] == [n % 4 == 0 for n in range(1, 10)]
+
+
 def test_dropped_rows_use_up_numbers(spark, tickets):
     rows = corpus.modulo_split(tickets, "doc_id", "group", 5).orderBy("doc_id").collect()
-    assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 5, 6, 8, 9, 10]
+    assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11]
     assert [r["doc_id"] for r in rows if r["part"] == "test"] == [5, 10]
 
 
@@ -112,24 +124,26 @@ def test_vocabulary_and_documents_by_first_occurrence(spark):
 
 def test_prepare_splits_kept_rows_once(spark, tickets):
     config = PrepConfig(mod=5, mode="longest")
-    lexicon = make_lexicon(WORDS, ["不"], ["调整不上"])
+    lexicon = make_lexicon(WORDS, ["了"], ["管接头"])
     for df in (tickets, tickets.repartition(6)):
         train, test = prepare(df, lexicon, config)
-        assert sorted(r["doc_id"] for r in train.collect()) == [1, 2, 3, 4, 6, 8, 9]
+        assert sorted(r["doc_id"] for r in train.collect()) == [1, 2, 3, 4, 6, 8, 9, 11]
         assert sorted(r["doc_id"] for r in test.collect()) == [5, 10]
         assert train.columns == ["doc_id", "group", "text", "orgtext"]
-        assert train.where("doc_id = 6").first()["text"] == "刹车 调整不上 更换 bk1020"
-        assert not any("不" in r["text"].split(" ") for r in train.union(test).collect())
+        assert train.where("doc_id = 6").first()["text"] == "滴灌 管接头 漏水 换 过 两 回 照 样 漏"
+        assert not any("了" in r["text"].split(" ") for r in train.union(test).collect())
 
 
 def test_prepare_drops_words_by_nature(spark, tickets):
-    dictionary = spark.createDataFrame([(w, "nr" if w == "链条" else None) for w in WORDS] + [("，", "w")], "word string, nature string")
+    natures = {"番茄": "nr", "箱": "q"}
+    dictionary = spark.createDataFrame([("，", "w"), *((w, natures.get(w)) for w in WORDS)], "word string, nature string")
     config = PrepConfig(mod=100, mode="longest", keep_punctuation=True)
-    rules = spark.createDataFrame([("骑行具", [("骑行", "v"), ("具", "nr")])], "phrase string, parts array<struct<word:string,nature:string>>")
-    for stop in (["不"], spark.createDataFrame([("不",)], "word string")):
+    rules = spark.createDataFrame([("草莓箱", [("草莓", "n"), ("箱", "nr")]), ("黄瓜藤", [("黄瓜", None)])], "phrase string, parts array<struct<word:string,nature:string>>")
+    for stop in (["了"], spark.createDataFrame([("了",)], "word string")):
         train, _ = prepare(tickets, make_lexicon(dictionary, stop, rules=rules), config)
-        words = {w for r in train.collect() for w in r["text"].split(" ")}
-        assert not words & {"链条", "，", "不", "骑行具"} and {"骑行", "刹车调整"} <= words
+        texts = {r["doc_id"]: r["text"].split(" ") for r in train.collect()}
+        assert texts[11] == ["草莓", "少", "贴", "标签"] and texts[5][:2] == ["黄瓜", "上"] and texts[4][-1] == "箱"
+        assert not {w for t in texts.values() for w in t} & {"番茄", "，", "了", "草莓箱"}
 
 
 def test_prepare_counts_unusable_rows(spark):
@@ -147,8 +161,8 @@ def test_prepare_counts_unusable_rows(spark):
 def test_profile_counts(spark, tickets):
     result = profile(tickets, Lexicon(WORDS), PrepConfig(mode="longest"))
     counts = {r["kind"]: r for r in result["counts"].collect()}
-    assert (counts["class"]["n_distinct"], counts["class"]["n_repeated"], counts["class"]["n_rows"]) == (4, 3, 10)
+    assert (counts["class"]["n_distinct"], counts["class"]["n_repeated"], counts["class"]["n_rows"]) == (4, 3, 11)
     assert counts["class"]["n_chars"] == sum(len(g) + len(t) for g, t in TICKETS)
     assert counts["word"]["n_distinct"] == result["vocabulary"].count()
-    assert counts["text"]["n_distinct"] == result["documents"].count() == 10
-    assert {r["group"] for r in result["classes"].collect()} == {"骑行问题", "链条问题", "刹车问题"}
+    assert counts["text"]["n_distinct"] == result["documents"].count() == 11
+    assert {r["group"] for r in result["classes"].collect()} == {"浇水", "虫害", "采收"}

@@ -24,7 +24,7 @@ from ticketmill.sources import saved
 from ticketmill.streaming.score import score_stream
 from ticketmill.streaming.windows import latest, windowed_counts, write_updates
 
-LEXICON = Lexicon(WORDS, ["不"])
+LEXICON = Lexicon(WORDS, ["了"])
 SMALL = ForestParams(num_trees=5, max_depth=4, max_bins=16, impurity="entropy")
 
 

@@ -1,24 +1,31 @@
 """Segmentation against goldens, brute force and its own second plan."""
 
+import math
 import os
 import random
 import re
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ticketmill.functions.patterns import forks, prefix_layers, word_pattern
 from ticketmill.functions.segmentation import in_run
+from ticketmill.functions.tries import Bloom, Trie, code_points, lined_up, probable, word_hashes
 from ticketmill.operators.segment import remove_words, segment, stop_natures
+from ticketmill.operators.spans import learn_scores
 
-GOLDEN_WORDS = ["调整", "刹车", "刹车调整", "更换", "调整不上"]
-TEXT = "刹车调整不上更换bk1020"
+# Words that overlap each other in one text of a greenhouse log.
+GOLDEN_WORDS = ["滴灌", "滴灌管", "管接头", "头", "漏水", "水泵", "泵7号"]
+TEXT = "查滴灌管接头漏水泵7号"
 
 
 # The plans: one expression, words held by the workers, words joined with positions.
 PLANS = [{"limit": 1000}, {"limit": 0}, {"limit": 0, "held_rows": 0}]
+# Phrases in the expression, held, and joined.
+PHRASE_PLANS = [{}, {"phrase_limit": 0}, {"limit": 0, "phrase_limit": 0, "held_rows": 0}]
 
 
 def one(spark, text, words, mode, **options):
@@ -63,23 +70,21 @@ def brute_longest(text, words, keep=False):
 @pytest.mark.parametrize("plan", PLANS)
 def test_goldens(spark, plan):
     words = word_table(spark, GOLDEN_WORDS)
-    assert one(spark, TEXT, words, "longest", **plan) == ["刹车调整", "不", "上", "更换", "bk1020"]
-    assert one(spark, TEXT, words, "longest", **plan, protected=["调整不上"]) == [
-        "刹车", "调整不上", "更换", "bk1020",
-    ]
+    assert one(spark, TEXT, words, "longest", **plan) == ["查", "滴灌管", "接", "头", "漏水", "泵7号"]
+    assert one(spark, TEXT, words, "longest", **plan, protected=["接头漏"]) == ["查", "滴灌管", "接头漏", "水泵", "7", "号"]
     assert one(spark, TEXT, words, "finest", **plan) == [
-        "刹车调整", "刹车", "调整不上", "调整", "更换", "bk1020",
+        "查", "滴灌管", "滴灌", "管接头", "头", "漏水", "水泵", "泵7号", "7",
     ]
 
 
-@pytest.mark.parametrize("alphabet", ["调整刹车骑行具上bké3 。x", "bké3x 。"])
+@pytest.mark.parametrize("alphabet", ["滴灌管接头漏uqé5 。z", "uqé5z 。"])
 @pytest.mark.parametrize("keep", [False, True])
 def test_random_texts_match_brute_force(spark, alphabet, keep):
     rng = random.Random(7)
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     letters = alphabet.replace(" ", "")
     words = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 2, 3, 4]))) for _ in range(30)})
-    if "调" not in alphabet:
+    if "滴" not in alphabet:
         words = [w for w in words if all(map(in_run, w))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").repartition(3).cache()
     for mode, brute in (("finest", brute_finest), ("longest", brute_longest)):
@@ -93,12 +98,13 @@ def test_random_texts_match_brute_force(spark, alphabet, keep):
 
 
 @pytest.mark.parametrize("mode", ["finest", "longest"])
-@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("plan", PLANS + PHRASE_PLANS[1:])
 def test_rules_replace_phrases(spark, mode, plan):
-    words = word_table(spark, ["车铃", "新车"])
-    tokens = one(spark, "红车铃买新车铃", words, mode, **plan, rules={"新车铃": ["新", "车铃"], "x": []}, protected=["买"])
-    assert tokens == ["红", "车铃", "买", "新", "车铃"]
-    assert one(spark, "车铃x车铃", words, mode, **plan, rules={"x": []}) == ["车铃", "车铃"]
+    words = word_table(spark, ["苗", "育苗盘"])
+    rules = {"春育苗": ["春", "育苗"], "QQ": []}
+    assert one(spark, "春育苗盘qq苗", words, mode, **plan, rules=rules, protected=["盘"]) == ["春", "育苗", "盘", "苗"]
+    finest = ["育苗盘", "苗"] if mode == "finest" else ["育苗盘"]
+    assert one(spark, "育苗盘Qq春", words, mode, **plan, rules=rules) == [*finest, "春"]
 
 
 def test_longest_tokens_give_back_the_text(spark, tickets):
@@ -108,33 +114,32 @@ def test_longest_tokens_give_back_the_text(spark, tickets):
 
 
 def test_null_empty_and_control_text(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "a\u0001b"), (4, "𠀀调整")], "doc_id long, t string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a\u0001b"), (4, "𠀀漏水")], "doc_id long, t string")
     for mode in ("finest", "longest"):
         for plan in PLANS:
-            words = word_table(spark, ["调整", "ab"])
+            words = word_table(spark, ["漏水", "ab"])
             rows = segment(df, "t", "tokens", words, mode, protected=["zz"], **plan).orderBy("doc_id").collect()
-            assert [r["tokens"] for r in rows] == [[], [], ["a", "b"], ["𠀀", "调整"]]
+            assert [r["tokens"] for r in rows] == [[], [], ["a", "b"], ["𠀀", "漏水"]]
 
 
 @pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("mode", ["finest", "longest"])
 def test_case_and_private_characters(spark, mode, plan):
     """Characters for private use and control characters are text like any other."""
-    words = word_table(spark, ["BK骑行", "调整", "骑\ue123行", "\ue005", "\u0001\u0002"])
-    text = "bk骑行\ue005调整\u0002Bk骑行 ON骑\ue123行\u0001\u0002"
-    tokens = one(spark, text, words, mode, **plan, protected=["On"], keep_punctuation=True)
-    word = ["bk骑行", "bk"] if mode == "finest" else ["bk骑行"]
-    assert tokens == [*word, "\ue005", "调整", "\u0002", *word, "on", "骑\ue123行", "\u0001\u0002"]
-    assert one(spark, text, words, mode, **plan)[:2] == word[:2] if mode == "finest" else True
+    words = word_table(spark, ["\ue0aa", "棚\ue0ab膜", "QR码", "\u0003\u0004"])
+    text = "\u0003\u0004 棚\ue0ab膜 qr码\ue0aaIn\u0004"
+    tokens = one(spark, text, words, mode, **plan, protected=["iN"], keep_punctuation=True)
+    code = ["qr码", "qr"] if mode == "finest" else ["qr码"]
+    assert tokens == ["\u0003\u0004", "棚\ue0ab膜", *code, "\ue0aa", "in", "\u0004"]
 
 
 @pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("mode", ["finest", "longest"])
 def test_long_words_and_long_texts(spark, mode, plan):
     rng = random.Random(5)
-    long_word = "".join(rng.choice("调整刹车ab") for _ in range(10_000))
-    words = [long_word, long_word[:40], "刹车"]
-    text = "调" + long_word + " " + long_word[:60] + "整整"
+    long_word = "".join(rng.choice("滴灌苗xy") for _ in range(10_000))
+    words = [long_word, long_word[:40], "滴灌"]
+    text = "灌" + long_word + " " + long_word[:60] + "苗苗"
     assert one(spark, text, word_table(spark, words), mode, keep_punctuation=True, **plan) == (
         brute_finest if mode == "finest" else brute_longest
     )(text, words, True)
@@ -154,8 +159,8 @@ spark = (
     SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
     .config("spark.checkpoint.dir", sys.argv[2]).config("spark.sql.shuffle.partitions", "2").getOrCreate()
 )
-df = spark.createDataFrame([(1, "k" * 1_000_000), (2, "kb" * 500 + "刹车" * 500)], "doc_id long, t string")
-words = spark.createDataFrame([("刹车",), ("kq",), ("x",)], "word string")
+df = spark.createDataFrame([(1, "k" * 1_000_000), (2, "kb" * 500 + "漏水" * 500)], "doc_id long, t string")
+words = spark.createDataFrame([("漏水",), ("kq",), ("x",)], "word string")
 for plan in ({"limit": 100}, {"limit": 0}, {"limit": 0, "held_rows": 0}):
     for mode in ("longest", "finest"):
         rows = segment(df, "t", "tokens", words, mode, protected=["zz"], **plan).select("doc_id", F.size("tokens").alias("n")).collect()
@@ -184,21 +189,23 @@ def test_pattern_prefers_the_longest_word():
 
 @pytest.mark.parametrize("limit", [100, 0])
 def test_stop_words_keep_order_repeats_and_case(spark, limit):
-    df = spark.createDataFrame([(1, ["b", "a", "b", "A", "c"]), (2, ["a"]), (3, [])], "doc_id long, t array<string>")
-    stop = word_table(spark, ["a", "c", "a"])
-    rows = remove_words(df.withColumn("kept", F.col("doc_id") + 1), "t", stop, limit=limit).orderBy("doc_id").collect()
-    assert [r["t"] for r in rows] == [["b", "b", "A"], [], []]
-    assert [r["kept"] for r in rows] == [2, 3, 4] and rows[0].__fields__ == ["doc_id", "t", "kept"]
+    """Rows stay rows, whatever their ids; the same on either plan."""
+    rows = [(7, ["z", "y", "Z", "z", "x"]), (7, ["y", "w"]), (None, ["x", None, "y"]), (None, []), (2, None), (2, ["w", "w"])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, t array<string>, k int").repartition(3)
+    stop = word_table(spark, ["z", "x", "z", None])
+    found = remove_words(df, "t", stop, limit=limit).orderBy("k").collect()
+    assert [r["t"] for r in found] == [["y", "Z"], ["y", "w"], ["y"], [], None, ["w", "w"]]
+    assert [r["doc_id"] for r in found] == [i for i, _ in rows] and found[0].__fields__ == ["doc_id", "t", "k"]
 
 
 def test_natures_to_drop(spark):
-    dictionary = spark.createDataFrame([("，", "w"), ("林七", "nr"), ("骑行", "n")], "word string, nature string")
-    assert sorted(r[0] for r in stop_natures(dictionary).collect()) == sorted(["，", "林七"])
+    dictionary = spark.createDataFrame([("老曹", "nr"), ("浇透", "v"), ("；", "w")], "word string, nature string")
+    assert sorted(r[0] for r in stop_natures(dictionary).collect()) == sorted(["；", "老曹"])
 
 
 def test_in_row_plan_has_no_shuffle(spark, tickets):
     segmented = segment(tickets, "orgtext", "tokens", GOLDEN_WORDS, "finest")
-    plan = remove_words(segmented, "tokens", ["不"])._jdf.queryExecution().executedPlan().toString()
+    plan = remove_words(segmented, "tokens", ["了"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
@@ -211,7 +218,130 @@ def test_split_tokens_do_not_depend_on_partitions(spark, tickets):
 
 def test_hot_word_texts(spark):
     """One text of a single repeated word: linear work, exact result."""
-    df = spark.createDataFrame([(1, "调整" * 30_000)], "doc_id long, t string")
+    df = spark.createDataFrame([(1, "浇灌" * 30_000)], "doc_id long, t string")
     for mode in ("finest", "longest"):
-        size = segment(df, "t", "tokens", ["调整", "整调"], mode).select(F.size("tokens")).first()[0]
+        size = segment(df, "t", "tokens", ["浇灌", "灌浇"], mode).select(F.size("tokens")).first()[0]
         assert size == (59_999 if mode == "finest" else 30_000)
+
+
+@pytest.mark.parametrize("mode", ["finest", "longest", "likeliest"])
+def test_rows_of_any_ids_on_every_plan(spark, mode):
+    """Repeated ids, null ids and gaps: each row has the tokens of its own text, the same on every plan."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("滴灌管接头漏水k 4", k=rng.randrange(30))) for _ in range(40)] + ["滴灌管", "滴灌管", None]
+    rows = [(rng.choice([None, 5, 5, 80, k]), t, k) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, t string, k int").repartition(4)
+    words, phrases = word_table(spark, GOLDEN_WORDS), word_table(spark, ["头漏", "4"])
+    rules = spark.createDataFrame([("灌管", ["灌", "管"])], "phrase string, parts array<string>")
+    want = None
+    for plan in [*PLANS, *PHRASE_PLANS]:
+        found = segment(df, "t", "tokens", words, mode, protected=phrases, rules=rules, **plan).orderBy("k").collect()
+        assert [(r["doc_id"], r["t"], r["k"]) for r in found] == rows
+        tokens = [r["tokens"] for r in found]
+        want = want or tokens
+        assert tokens == want, plan
+    assert {"头漏", "灌"} <= {w for t in want for w in t}
+
+
+def test_large_phrase_lists(spark):
+    """A hundred thousand phrases and rules, as a table; against the phrases' own definition."""
+    rng = random.Random(3)
+    phrases = sorted({"".join(rng.choices("abcdefgh", k=rng.randrange(3, 9))) for _ in range(100_000)})
+    rules = {p: [p[:1], p[1:]] for p in phrases[::3]}
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    rule_table = spark.createDataFrame(list(rules.items()), "phrase string, parts array<string>")
+    listed, longest = set(phrases), max(map(len, phrases))
+
+    def brute(text):
+        out, i, run = [], 0, ""
+        while i < len(text):
+            n = next((n for n in range(longest, 0, -1) if text[i : i + n] in listed), 0)
+            if run and (n or text[i] == " "):
+                out, run = [*out, run], ""
+            if n:
+                out += rules.get(text[i : i + n], [text[i : i + n]])
+            elif text[i] != " ":
+                run += text[i]
+            i += n or 1
+        return out + [run] * bool(run)
+
+    for held in (1 << 20, 0):
+        found = segment(df, "t", "tokens", ["zzz"], "longest", protected=word_table(spark, phrases), rules=rule_table, held_rows=held).orderBy("k")
+        assert [r["tokens"] for r in found.collect()] == [brute(t) for t in texts]
+
+
+def test_trie_finds_all_phrases():
+    rng = random.Random(4)
+    for letters in ("ab", "abcd𠀀é"):
+        phrases = sorted({"".join(rng.choices(letters, k=rng.randrange(1, 6))) for _ in range(40)})
+        texts = ["".join(rng.choices(letters + "x", k=rng.randrange(40))) for _ in range(30)]
+        codes, starts = lined_up(texts)
+        place, length, number = Trie(phrases).find(codes)
+        got = sorted(zip(place.tolist(), length.tolist(), [phrases[k] for k in number]))
+        want = [(int(starts[k]) + i, len(p), p) for k, t in enumerate(texts) for p in phrases for i in range(len(t)) if t.startswith(p, i)]
+        assert got == sorted(want)
+    assert Trie([]).find(code_points("abc"))[0].size == 0
+
+
+@pytest.mark.parametrize("head", [2, 24])
+def test_filter_lets_every_word_through(head):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefghij", k=rng.randrange(1, 9))) for _ in range(3000)})
+    n = Bloom.size(2 * len(words), 1 << 20)
+    blocks = np.zeros(n, np.uint64)
+    np.bitwise_or.at(blocks, *Bloom.places(word_hashes(words + [w[:head] for w in words if len(w) > head]), n))
+    bloom, lengths = Bloom(blocks), sorted({len(w) for w in words})
+    texts = ["".join(rng.choices("abcdefghij", k=rng.randrange(200))) for _ in range(30)]
+    codes, starts = lined_up(texts)
+    found = {(int(p), size) for at, size in probable(codes, bloom, lengths, head) for p in at}
+    listed = set(words)
+    true = {(int(starts[k]) + i, size) for k, t in enumerate(texts) for i in range(len(t)) for size in lengths if t[i : i + size] in listed and i + size <= len(t)}
+    assert true <= found
+    others = ["".join(rng.choices("klmnopqrst", k=8)) for _ in range(20_000)]
+    assert bloom.has(word_hashes(others)).mean() < 0.02
+    assert bloom.has(word_hashes(words)).all()
+
+
+def all_paths(text, kinds, scores, unknown):
+    """Every way through the lattice: (sum, tokens)."""
+    if not text:
+        return [(0, [])]
+    out = []
+    for word, score in scores.items():
+        if text.startswith(word):
+            out += [(score + s, [(word, "word"), *rest]) for s, rest in all_paths(text[len(word) :], kinds, scores, unknown)]
+    cost = 0 if kinds(text[0]) == "other" else unknown
+    return out + [(cost + s, [(text[0], kinds(text[0])), *rest]) for s, rest in all_paths(text[1:], kinds, scores, unknown)]
+
+
+def test_likeliest_path_is_the_best_of_all(spark):
+    rng = random.Random(6)
+    words = ["ab", "abc", "bcd", "cd", "水泵", "泵 a", "d"]
+    texts = ["".join(rng.choices("abcd水泵 ", k=rng.randrange(1, 11))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2)
+    counts = {w: sum(t.startswith(w, i) for t in texts for i in range(len(t))) for w in words}
+    whole = sum(counts.values()) + len(words) + 1
+    scores, unknown = {w: round(math.log((n + 1) / whole) * 1e6) for w, n in counts.items()}, round(math.log(1 / whole) * 1e6)
+
+    def kinds(c):
+        return "run" if in_run(c) else "alone" if c.isalnum() else "other"
+
+    def joined(path):
+        out = []
+        for token, kind in path:
+            if kind == "run" and out and out[-1][1] == "run":
+                out[-1] = (out[-1][0] + token, "run")
+            else:
+                out.append((token, kind))
+        return [t for t, kind in out if kind != "other"]
+
+    for held in (1000, 0):
+        table, found_unknown = learn_scores(df, "t", word_table(spark, words), held)
+        assert {r["word"]: (r["n"], r["score"]) for r in table.collect()} == {w: (counts[w], scores[w]) for w in words} and found_unknown == unknown
+        for row in segment(df, "t", "tokens", words, "likeliest", held_rows=held).collect():
+            paths = all_paths(row["t"], kinds, scores, unknown)
+            best = max(s for s, _ in paths)
+            # Of equal paths the one with a word, then the longer word, from the left.
+            path = max((p for s, p in paths if s == best), key=lambda p: [(kind == "word", len(t) if kind == "word" else 0) for t, kind in p])
+            assert row["tokens"] == joined(path), row["t"]

@@ -1,6 +1,6 @@
 """Dictionary segmentation of whole texts as column expressions: no shuffle, no Python per row.
 
-Two modes share one alphabet. A *run* is a maximal stretch of Latin letters and digits; every other letter
+Two modes share one alphabet (a third, ``likeliest``, is in :mod:`ticketmill.operators.spans`). A *run* is a maximal stretch of Latin letters and digits; every other letter
 or digit can stand alone.
 
 * ``longest``: non-overlapping tokens, the longest dictionary word first at each position.
@@ -25,7 +25,7 @@ RUN = r"[\p{IsLatin}\p{M}0-9]"
 LETTER = r"[\p{L}\p{N}]"
 VISIBLE = r"[^\s\p{Z}]"
 
-MODES = ("finest", "longest")
+MODES = ("finest", "longest", "likeliest")
 
 
 def normalized(text: Column) -> Column:
@@ -177,8 +177,8 @@ def segment_tokens(
     keep_punctuation: bool = False,
 ) -> Column:
     """Token array of the lower-cased ``text``; null text gives no tokens. Words match without regard to case."""
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
+    if mode not in MODES[:2]:
+        raise ValueError(f"mode must be one of {MODES[:2]}")
     split = finest_tokens if mode == "finest" else longest_tokens
     listed = sorted({w.lower() for w in words})
     return around_protected(

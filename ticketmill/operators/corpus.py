@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketmill.functions.tokens import first_positions, inlined, joined
 from ticketmill.operators.numbering import first_seen_index, number_rows
-from ticketmill.session import BROADCAST_ROWS, cut_lineage, join_lookup
+from ticketmill.session import BROADCAST_ROWS, cut_lineage, join_lookup, numbered_rows
 
 
 def class_frequency(df: DataFrame, group: str, min_rows: int = 1) -> DataFrame:
@@ -47,15 +47,18 @@ def modulo_split(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
 
 
 def with_parts(df: DataFrame, id_col: str, group: str, mod: int) -> DataFrame:
-    """Add ``row_num`` and ``part`` to the rows of classes with two rows or more, by the order of unique ids.
+    """Add ``row_num`` and ``part`` to the rows of classes with two rows or more, by the order of the ids; null ids come last, and
+    rows of one id follow each other.
 
-    Ids without gaps, as :func:`read_numbered_tickets` gives, say the number themselves: no row moves. Otherwise the
-    ids alone are numbered, and the numbers are joined to the rows, broadcast when measured small.
+    Ids without gaps, as :func:`read_numbered_tickets` gives, say the number themselves: no row moves. Otherwise ids and row
+    numbers of our own are numbered, and joined to the rows, broadcast when measured small.
     """
     low = dense_from(df, id_col)
     if low is None:
-        numbers = number_rows(df.select(id_col), [F.col(id_col)], "row_num")
-        numbered = join_lookup(df, numbers, id_col, "inner")
+        rows = numbered_rows(df, "_row")
+        order = [F.col(id_col).asc_nulls_last(), F.col("_row")]
+        numbers = number_rows(rows.select(id_col, "_row"), order, "row_num").select("_row", "row_num")
+        numbered = join_lookup(rows, numbers, "_row", "inner")
     else:
         numbered = df.withColumn("row_num", (F.col(id_col) - low + 1).cast("long"))
     part = F.when(F.col("row_num") % mod == 0, "test").otherwise("train")

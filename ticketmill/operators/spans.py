@@ -1,16 +1,16 @@
-"""Segmentation with dictionaries too large for one pattern: words held by the workers, or joined with text positions.
+"""Segmentation with dictionaries and phrase lists too large for one pattern: held by the workers as tries, or joined with the texts.
 
-Same results as :mod:`ticketmill.functions.segmentation`. A dictionary that was measured and found small enough goes to every
-worker, which looks words up while it walks through its texts; nothing is shuffled. Beyond that, places where a dictionary word can start are found in the scan:
-every position is looked up by its first characters in a small broadcast table, and only the lengths that can occur
-there are cut out and joined with the words, which are broadcast when measured small and joined by key otherwise. Hits travel as
-numbers; each text moves once, to meet its hits, and is put together in Arrow batches.
+Same results as :mod:`ticketmill.functions.segmentation`, for words and for phrases alike. A list that was measured and found small
+enough goes to every worker as a trie; nothing is shuffled. Beyond that, a Bloom filter of the list, built by partial aggregation, goes
+to the workers instead: only stretches of text that are probably in the list leave them, to be joined with it. What is found
+comes back to its text by a row number of our own, so that ids play no part, repeated and null ones included; each text moves once.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,77 +18,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ticketmill.functions.segmentation import RUN, at_each_position, normalized, pieces, single_class
-from ticketmill.functions.tokens import exploded
-from ticketmill.session import cut_lineage, fits_broadcast, join_lookup, ship_package
-
-# A position is looked up by this many characters, or fewer if that would make too many entries to broadcast.
-START = 4
-START_ROWS = 1_000_000
-# Words of up to this many characters are cut out of the characters seen at a position, longer ones out of a block.
-HEAD = 16
-# Characters of a block, if no word is longer: cutting a word out of one is cheap.
-BLOCK = 1024
-# Dictionaries up to this size are held by every worker.
-HELD_ROWS = 500_000
-HELD_BYTES = 32 * 1024 * 1024
+from ticketmill.functions.segmentation import RUN, normalized, single_class
+from ticketmill.functions.tries import Bloom, Trie, code_points, leftmost_longest, lined_up, probable, word_hashes
+from ticketmill.session import by_key, cut_lineage, fits_broadcast, join_lookup, numbered_rows, ship_package
+
+# Lists up to this size are held by every worker.
+HELD_ROWS = 1_000_000
+HELD_BYTES = 48 * 1024 * 1024
+# The filter of a larger list: at most so many bytes, whatever the list's size; a fuller filter lets more stretches through.
+BLOOM_BYTES = 32 * 1024 * 1024
+# Longer words are looked for only where their first characters are found.
+HEAD = 24
+# Characters of texts that are worked on together.
+SLAB_CHARS = 1 << 19
 
 OTHER, ALONE, IN_RUN = 0, 1, 2
 
 
-def _start_table(words: DataFrame, longest_start: int) -> tuple[DataFrame, int]:
-    """``start, lengths`` and the size of ``start``: few enough rows to broadcast.
+def slabs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``SLAB_CHARS`` characters."""
+    start, total = 0, 0
+    for i, text in enumerate(texts):
+        if total and total + len(text) > SLAB_CHARS:
+            yield start, i
+            start, total = i, 0
+        total += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def bloom_filter(words: DataFrame, rows: int, head: int = HEAD, most_bytes: int = BLOOM_BYTES) -> Bloom:
+    """The filter of the column ``word`` of ``rows`` words: every task sets the bits of its words, and the parts are put together
+    as bitmaps of 4 KB."""
+    n = max(Bloom.size(2 * rows, most_bytes), 512)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = np.zeros(n, np.uint64)
+        for batch in batches:
+            listed = batch["word"].to_pylist()
+            block, bits = Bloom.places(word_hashes(listed + [w[:head] for w in listed if len(w) > head]), n)
+            np.bitwise_or.at(blocks, block, bits)
+        parts = blocks.reshape(-1, 512)
+        full = np.flatnonzero(parts.any(axis=1))
+        yield pa.record_batch([pa.array(full), pa.array([parts[k].tobytes() for k in full], pa.binary())], ["part", "bits"])
 
-    With one character there are at most as many rows as code points, which bounds the table for any dictionary.
+    parts = words.select("word").mapInArrow(run, "part long, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+    blocks = np.zeros((n // 512, 512), np.uint64)
+    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist()):
+        blocks[part] = np.frombuffer(bits, np.uint64)
+    return Bloom(blocks.ravel())
+
+
+def find_hits(rows: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
+    """``_row, pos, len, word`` and the other columns of ``words``: the listed words in the lower-cased texts of ``rows`` (_row, text).
+
+    ``words``: different, not empty, lower-cased; read several times. Positions count code points from 0.
     """
-    size = longest_start
-    while True:
-        starts = cut_lineage(
-            words.groupBy(F.substring("word", 1, size).alias("start")).agg(
-                F.sort_array(F.collect_set(F.length("word"))).alias("lengths")
-            )
-        )
-        if size == 1 or starts.count() <= START_ROWS:
-            return starts, size
-        size = max(size // 2, 1)
-
-
-def find_hits(df: DataFrame, id_col: str, text_col: str, words: DataFrame, lengths: list[int]) -> DataFrame:
-    """``id, pos, len``: dictionary words in the lower-cased texts; positions count code points from 0."""
-    longest = lengths[-1]
-    size, head = max(BLOCK, longest), min(HEAD, longest)
-    text = normalized(F.col(text_col))
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size + longest}}})).{{1,{size}}}"), F.lit(1))
-    cut = exploded(df.select(F.col(id_col).alias("id"), F.col(text_col)), ["id"], blocks, "block").withColumnRenamed(
-        "pos", "block_no"
-    )
-    heads = F.slice(at_each_position(F.col("block"), f".{{1,{head}}}"), 1, size)
-    place = (F.col("block_no") * size + F.col("pos")).alias("pos")
-
-    starts, width = _start_table(words.where(F.length("word") <= head), START)
-    sizes = sorted({min(n, width) for n in lengths if n <= head})
-    prefixes = F.array(*[F.when(F.length("head") >= n, F.substring("head", 1, n)) for n in sizes])
-    found = (
-        exploded(cut, ["id", "block_no"], heads, "head")
-        .select("id", place, "head", F.explode(F.array_compact(prefixes)).alias("start"))
-        .join(F.broadcast(starts), "start")
-        .select("id", "pos", "head", F.explode("lengths").alias("len"))
-        .where(F.length("head") >= F.col("len"))
-        .select("id", "pos", "len", F.substring("head", F.lit(1), F.col("len")).alias("word"))
-    )
-    if longest > head:
-        starts, width = _start_table(words.where(F.length("word") > head), head)
-        long_ones = (
-            exploded(cut, ["id", "block_no", "block"], heads, "head")
-            .where(F.length("head") == head)
-            .withColumn("start", F.substring("head", 1, width))
-            .join(F.broadcast(starts), "start")
-            .select("id", place, F.col("pos").alias("at"), "block", F.explode("lengths").alias("len"))
-            .select("id", "pos", "len", F.col("block").substr(F.col("at") + 1, F.col("len")).alias("word"))
-            .where(F.length("word") == F.col("len"))
-        )
-        found = found.unionByName(long_ones)
-    return join_lookup(found, words, "word", "left_semi").select("id", "pos", "len")
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
+    shared = rows.sparkSession.sparkContext.broadcast(bloom_filter(words, words.count()).blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom(shared.value)
+        for batch in batches:
+            texts, keys = batch["text"].to_pylist(), batch["_row"].to_numpy()
+            for i, j in slabs(texts):
+                codes, starts = lined_up(texts[i:j])
+                for at, n in probable(codes, bloom, lengths, HEAD):
+                    of = np.searchsorted(starts, at, "right") - 1
+                    pos = at - starts[of]
+                    found = [texts[i + t][p : p + n] for t, p in zip(of.tolist(), pos.tolist())]
+                    yield pa.record_batch([pa.array(keys[i + of]), pa.array(pos), pa.array(np.full(len(pos), n)), pa.array(found, pa.string())], ["_row", "pos", "len", "word"])
+
+    text = rows.select("_row", normalized(F.col(text_col)).alias("text"))
+    return join_lookup(text.mapInArrow(run, "_row long, pos long, len long, word string"), words, "word", "inner")
 
 
 _kinds: dict[tuple[str, bool], np.ndarray] = {}
@@ -157,131 +159,219 @@ def finest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> list
     return [(a, -b) for a, b in spans.tolist()]
 
 
-class HeldWords:
-    """A dictionary by the first characters of its words, to look up all words at a place."""
+def likeliest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray, score: np.ndarray, unknown: int) -> list[tuple[int, int]]:
+    """The tokens of the path with the highest sum of scores through the lattice of hits (by place, then length).
 
-    def __init__(self, words: list[str]):
-        self.words = frozenset(words)
-        starts: dict[str, set[int]] = {}
-        for w in words:
-            starts.setdefault(w[:2], set()).add(len(w))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in starts.items()}
-        self.singles = frozenset(w for w in words if len(w) == 1)
+    A character outside the path's words costs ``unknown``, or nothing if it is neither part of a run nor a token; neighbours of one run
+    are one token. Of equal paths, from the left, the one with a word, then with the longer word, is taken.
+    """
+    n = len(kinds)
+    cost = np.where(kinds == OTHER, 0, unknown).tolist()
+    best, size = [0] * (n + 1), [0] * n
+    at, sizes, scores = pos.tolist(), length.tolist(), score.tolist()
+    k = len(at) - 1
+    for i in range(n - 1, -1, -1):
+        top, chosen = None, 0
+        while k >= 0 and at[k] == i:
+            total = scores[k] + best[i + sizes[k]]
+            if top is None or total > top or total == top and sizes[k] > chosen:
+                top, chosen = total, sizes[k]
+            k -= 1
+        alone = cost[i] + best[i + 1]
+        if top is not None and top >= alone:
+            best[i], size[i] = top, chosen
+        else:
+            best[i] = alone
+    out, i, kind = [], 0, kinds.tolist()
+    while i < n:
+        if size[i]:
+            out.append((i, i + size[i]))
+            i += size[i]
+            continue
+        end = i + 1
+        while kind[i] == IN_RUN and end < n and not size[end] and kind[end] == IN_RUN:
+            end += 1
+        if kind[i] != OTHER:
+            out.append((i, end))
+        i = end
+    return out
 
-    def at(self, text: str, i: int) -> list[int]:
-        """Lengths of the words at a place, longest first."""
-        left = len(text) - i
-        found = [n for n in self.lengths.get(text[i : i + 2], ()) if 1 < n <= left and text[i : i + n] in self.words]
-        return [*found, 1] if text[i] in self.singles else found
 
-    def longest(self, text: str, i: int) -> int:
-        left = len(text) - i
-        for n in self.lengths.get(text[i : i + 2], ()):
-            if n <= left and text[i : i + n] in self.words:
-                return n
-        return 1 if text[i] in self.singles else 0
+_tries: dict[str, Trie] = {}
 
 
-def _held_longest(held: HeldWords, text: str, kinds: np.ndarray) -> list[str]:
-    ends, shown = _run_ends(kinds).tolist(), (kinds != OTHER).tolist()
-    out, i, n = [], 0, len(text)
-    while i < n:
-        if size := held.longest(text, i):
-            out.append(text[i : i + size])
-            i += size
-        else:
-            if shown[i]:
-                out.append(text[i : ends[i]])
-            i = ends[i]
-    return out
+@dataclass
+class Held:
+    """A list that every worker holds, with a value for each phrase."""
+
+    shared: object
+    key: str
+
+    def get(self) -> tuple[Trie, list | None]:
+        if self.key not in _tries:
+            if len(_tries) > 3:  # a worker holds the lists of one job
+                _tries.clear()
+            _tries[self.key] = self.shared.value
+        return _tries[self.key]
 
 
-def _held_finest(held: HeldWords, text: str, kinds: np.ndarray) -> list[str]:
-    hits = [(i, n) for i in range(len(text)) for n in held.at(text, i)]
-    pos, length = (np.array([h[k] for h in hits], np.int64) for k in (0, 1))
-    return [text[a:b] for a, b in finest_spans(kinds, pos, length)]
+def hold(listed: DataFrame, value: str | None, held_rows: int) -> Held | None:
+    """The words of ``listed`` (and a column of values) on every worker, if measured small enough, else None."""
+    if not fits_broadcast(listed, held_rows, HELD_BYTES):
+        return None
+    table = listed.toArrow()
+    values = table[value].to_pylist() if value else None
+    return Held(listed.sparkSession.sparkContext.broadcast((Trie(table["word"].to_pylist()), values)), uuid.uuid4().hex)
 
 
-_held: dict[str, HeldWords] = {}
+Hits = list[tuple[np.ndarray, np.ndarray, list]]
+
+
+def held_hits(held: Held, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: places, lengths and numbers of the held words in it, by place, then length."""
+    trie, _ = held.get()
+    for i, j in slabs(texts):
+        codes, starts = lined_up(texts[i:j])
+        place, length, number = trie.find(codes)
+        cuts = np.searchsorted(place, starts)
+        for k in range(j - i):
+            own = slice(cuts[k], cuts[k + 1])
+            yield place[own] - starts[k], length[own], number[own]
+
+
+def listed_words(words: DataFrame, *values: str) -> DataFrame:
+    """Different lower-cased words, stored; of the values of one word the smallest."""
+    rows = words.select(F.lower("word").alias("word"), *values).where(F.length("word") > 0)
+    rows = rows.groupBy("word").agg(*[F.min(v).alias(v) for v in values]) if values else rows.distinct()
+    return cut_lineage(rows)
 
 
 def segment_by_join(
     df: DataFrame,
-    id_col: str,
     text_col: str,
     out_col: str,
     words: DataFrame,
     mode: str,
-    protected: Iterable[str] = (),
-    rules: Mapping[str, list[str]] | None = None,
+    phrases: DataFrame | None = None,
     keep_punctuation: bool = False,
     held_rows: int = HELD_ROWS,
+    unknown: int = 0,
 ) -> DataFrame:
-    """Add the token array ``out_col``. Up to ``held_rows`` words are held by the workers, more are joined; then
-    ``id_col`` must identify the rows of ``df``."""
-    listed = cut_lineage(words.select(F.lower("word").alias("word")).where(F.length("word") > 0).distinct())
-    lengths = sorted(r[0] for r in listed.select(F.length("word")).distinct().collect())
-    if not lengths:
+    """Add the token array ``out_col``. ``words``: (word), with ``score`` for the likeliest path; ``phrases``: (word, parts), where parts
+    of null keep the phrase whole. Lists of up to ``held_rows`` are held by the workers, larger ones are joined."""
+    spark = df.sparkSession
+    ship_package(spark)
+    likeliest = mode == "likeliest"
+    listed = listed_words(words, *["score"] * likeliest)
+    if listed.isEmpty():
         raise ValueError("the dictionary holds no words")
-    phrases = {p.lower() for p in protected}
-    parts = {k.lower(): v for k, v in (rules or {}).items()}
-    fixed = sorted({*phrases, *parts} - {""})
-    ship_package(df.sparkSession)
+    fixed = None if phrases is None else listed_words(phrases, "parts")
+    if fixed is not None and fixed.isEmpty():
+        fixed = None
     table = character_kinds(df, keep_punctuation)
-    finest = mode == "finest"
-
-    text = normalized(F.col(text_col))
-    rows = df.drop(out_col).withColumn("_pieces", pieces(text, fixed) if fixed else F.array(text))
-    if fits_broadcast(listed, held_rows, HELD_BYTES):
-        shared = df.sparkSession.sparkContext.broadcast(listed.toArrow()["word"].to_pylist())
-        key = uuid.uuid4().hex
-    else:
-        shared = None
-        hits = find_hits(df, id_col, text_col, listed, lengths)
-        per_text = hits.groupBy(F.col("id").alias("_hit_id")).agg(
-            F.collect_list("pos").alias("_hit_pos"), F.collect_list("len").alias("_hit_len")
-        )
-        rows = rows.join(per_text, F.col(id_col) == F.col("_hit_id"), "left").drop("_hit_id")
-
-    def tokens(stretches: list[str], segmented) -> list[str]:
-        out: list[str] = []
-        at = 0
-        for piece in stretches:
-            if piece in parts:
-                out += parts[piece]
-            elif piece in phrases:
-                out.append(piece)
-            else:
-                out += segmented(piece, table[np.frombuffer(piece.encode("utf-32-le"), np.uint32)], at)
-            at += len(piece)
-        return out
-
-    def run_held(batch: pa.RecordBatch) -> list[list[str]]:
-        if key not in _held:  # a worker holds one dictionary
-            _held.clear()
-            _held[key] = HeldWords(shared.value)
-        held, walk = _held[key], _held_finest if finest else _held_longest
-        return [tokens(x, lambda piece, kinds, at: walk(held, piece, kinds)) for x in batch["_pieces"].to_pylist()]
-
-    def run_joined(batch: pa.RecordBatch) -> list[list[str]]:
-        out = []
-        for stretches, pos, length in zip(*(batch[c].to_pylist() for c in ("_pieces", "_hit_pos", "_hit_len"))):
-            pos, length = np.array(pos or [], np.int64), np.array(length or [], np.int64)
-
-            def segmented(piece: str, kinds: np.ndarray, at: int, pos=pos, length=length) -> list[str]:
-                # Words that reach over the end of a stretch do not count.
-                inside = (pos >= at) & (pos + length <= at + len(piece))
-                spans = (finest_spans if finest else longest_spans)(kinds, pos[inside] - at, length[inside])
-                return [piece[a:b] for a, b in spans]
-
-            out.append(tokens(stretches, segmented))
+    held_words = hold(listed, "score" if likeliest else None, held_rows)
+    held_phrases = hold(fixed, "parts", held_rows) if fixed is not None else None
+
+    any_phrases = fixed is not None
+    rows = df.drop(out_col)
+    own = rows.schema.fields
+    joined: list[str] = []
+    if not held_words or fixed is not None and not held_phrases:
+        rows = numbered_rows(rows, "_row")
+        base = rows
+        for name, held, listing, value in (("_words", held_words, listed, "score" if likeliest else None), ("_phrases", held_phrases, fixed, "parts")):
+            if listing is None or held:
+                continue
+            hit = F.struct("pos", "len", *[value] * bool(value))
+            per_text = find_hits(base, text_col, listing).groupBy(F.col("_row").alias("_hit_row")).agg(F.sort_array(F.collect_list(hit)).alias(name))
+            rows = rows.join(per_text, F.col("_row") == F.col("_hit_row"), "left").drop("_hit_row")
+            joined.append(name)
+        rows = rows.drop("_row")
+    rows = rows.withColumn("_text", normalized(F.col(text_col)))
+
+    def from_rows(batch: pa.RecordBatch, name: str, value: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+        for hits in batch[name].to_pylist():
+            hits = hits or []
+            yield np.array([h["pos"] for h in hits], np.int64), np.array([h["len"] for h in hits], np.int64), [h[value] for h in hits] if value else []
+
+    def word_hits(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not held_words:
+            for pos, length, scores in from_rows(batch, "_words", "score" if likeliest else None):
+                yield pos, length, np.array(scores, np.int64) if likeliest else length
+            return
+        scores = np.array(held_words.get()[1], np.int64) if likeliest else None
+        for pos, length, number in held_hits(held_words, texts):
+            yield pos, length, scores[number] if likeliest else number
+
+    def phrase_hits(batch: pa.RecordBatch, texts: list[str]) -> Iterator[list[tuple[int, int, list | None]]]:
+        if not any_phrases:
+            for _ in texts:
+                yield []
+            return
+        if held_phrases:
+            parts = held_phrases.get()[1]
+            found = ((pos, length, number.tolist()) for pos, length, number in held_hits(held_phrases, texts))
+        else:
+            parts, found = None, from_rows(batch, "_phrases", "parts")
+        for pos, length, values in found:
+            taken = leftmost_longest(pos, length).tolist()
+            yield [(int(pos[k]), int(pos[k] + length[k]), parts[values[k]] if parts else values[k]) for k in taken]
+
+    def walk(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
+        if likeliest:
+            return likeliest_spans(kinds, pos, length, score, unknown)
+        return (finest_spans if mode == "finest" else longest_spans)(kinds, pos, length)
+
+    def tokens(text: str, hits: tuple[np.ndarray, np.ndarray, np.ndarray], whole: list[tuple[int, int, list | None]]) -> list[str]:
+        kinds, (pos, length, score), out, at = table[code_points(text)], hits, [], 0
+        for start, end, parts in [*whole, (len(text), len(text), [])]:
+            if at < start:
+                spans = walk(kinds, pos, length, score)
+                if whole:  # words that reach into a phrase do not count
+                    inside = (pos >= at) & (pos + length <= start)
+                    spans = walk(kinds[at:start], pos[inside] - at, length[inside], score[inside])
+                out += [text[at + a : at + b] for a, b in spans]
+            out += [text[start:end]] if parts is None else parts
+            at = end
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = run_held(batch) if shared else run_joined(batch)
-            kept = batch.drop_columns([c for c in ("_pieces", "_hit_pos", "_hit_len") if c in batch.schema.names])
-            yield kept.append_column(out_col, pa.array(found, pa.list_(pa.string())))
+            texts = batch["_text"].to_pylist()
+            found = [tokens(*x) for x in zip(texts, word_hits(batch, texts), phrase_hits(batch, texts))]
+            yield batch.drop_columns(["_text", *joined]).append_column(out_col, pa.array(found, pa.list_(pa.string())))
+
+    return rows.mapInArrow(run, StructType([*own, StructField(out_col, ArrayType(StringType()))]))
+
 
-    kept = df.drop(out_col).schema.fields
-    return rows.mapInArrow(run, StructType([*kept, StructField(out_col, ArrayType(StringType()))]))
+def learn_scores(df: DataFrame, text_col: str, words: DataFrame, held_rows: int = HELD_ROWS) -> tuple[DataFrame, int]:
+    """``word, n, score`` and the score of an unknown character: how often each word stands anywhere in the texts, and the logarithm of its share
+    (with one added to each count), in millionths, so that sums are exact."""
+    spark = df.sparkSession
+    ship_package(spark)
+    listed = listed_words(words)
+    held = hold(listed, None, held_rows)
+    if held:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(0, np.int64)
+            for batch in batches:
+                for _, _, number in held_hits(held, batch["text"].to_pylist()):
+                    counts = np.bincount(number, minlength=len(total))
+                    counts[: len(total)] += total
+                    total = counts
+            seen = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["number", "n"])
+
+        partial = df.select(normalized(F.col(text_col)).alias("text")).mapInArrow(run, "number long, n long")
+        order = listed.toArrow()["word"].to_pylist()  # as held: at most held_rows
+        names = spark.createDataFrame([(k, w) for k, w in enumerate(order)], "number long, word string")
+        counted = partial.groupBy("number").agg(F.sum("n").alias("n")).join(names, "number").select("word", "n")
+    else:
+        counted = find_hits(numbered_rows(df.select(text_col), "_row"), text_col, listed).groupBy("word").agg(F.count("*").alias("n"))
+    counts = cut_lineage(listed.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    size, total = counts.agg(F.count("*"), F.sum("n")).first()
+    whole = (total or 0) + size + 1
+    score = lambda n: F.round(F.log((n + 1) / F.lit(float(whole))) * 1e6).cast("long")
+    unknown = spark.range(1).select(score(F.lit(0))).first()[0]
+    return counts.withColumn("score", score(F.col("n"))), unknown

@@ -20,8 +20,8 @@ class Lexicon:
 
     words: DataFrame | Iterable[str] = ()
     stop: DataFrame | Iterable[str] = ()
-    protected: tuple[str, ...] = ()
-    rules: Mapping[str, list[str]] = field(default_factory=dict)
+    protected: DataFrame | tuple[str, ...] = ()
+    rules: DataFrame | Mapping[str, list[str]] = field(default_factory=dict)
     dropped: tuple[str, ...] = DROPPED_NATURES
 
     def left_out(self) -> DataFrame | list[str]:
@@ -45,12 +45,13 @@ def make_lexicon(
     rules: DataFrame | None = None,
     dropped: tuple[str, ...] = DROPPED_NATURES,
 ) -> Lexicon:
-    """Collect phrases and rules, and leave dictionary and stop words as tables.
+    """Leave what is given as a table a table: dictionary, stop words, phrases (word) and rules (phrase, parts of word and nature).
 
-    Phrases and rules are site lists that become part of one expression. A rule's parts of dropped natures are
-    left out of what the rule gives.
+    A rule's parts of dropped natures are left out of what the rule gives.
     """
-    phrases = sorted({r[0] for r in protected.select("word").collect()} if isinstance(protected, DataFrame) else set(protected))
-    rule_rows = [] if rules is None else rules.select("phrase", "parts").collect()
-    parts = {r["phrase"]: [p["word"] for p in r["parts"] if p["nature"] not in dropped] for r in rule_rows}
-    return Lexicon(words, stop, tuple(phrases), parts, dropped)
+    phrases = protected.select("word").distinct() if isinstance(protected, DataFrame) else tuple(sorted(set(protected)))
+    parts: DataFrame | dict = {}
+    if rules is not None:
+        kept = F.filter("parts", lambda p: p["nature"].isNull() | ~p["nature"].isin(list(dropped)))
+        parts = rules.select("phrase", F.transform(kept, lambda p: p["word"]).alias("parts"))
+    return Lexicon(words, stop, phrases, parts, dropped)

@@ -26,12 +26,11 @@ def prepare_text(
         "tokens",
         lexicon.words,
         config.mode,
-        config.id_col,
         lexicon.protected,
         lexicon.rules,
         config.keep_punctuation,
     )
-    kept = remove_words(tokens, "tokens", lexicon.left_out(), config.id_col)
+    kept = remove_words(tokens, "tokens", lexicon.left_out())
     group = [F.col(config.group_col).alias("group")] if config.group_col in df.columns else []
     text = joined(F.col("tokens")).alias("text")
     return kept.select(config.id_col, *group, text, F.col(config.text_col).alias("orgtext"), *keep)

@@ -15,7 +15,7 @@ from ticketmill.session import stored
 def profile(df: DataFrame, lexicon: Lexicon, config: PrepConfig = PrepConfig()) -> dict[str, DataFrame]:
     """Counts, repeated classes, vocabulary and distinct-text index of a corpus, segmented once."""
     tokens = segment(
-        df, config.text_col, "tokens", lexicon.words, config.mode, config.id_col, lexicon.protected, lexicon.rules,
+        df, config.text_col, "tokens", lexicon.words, config.mode, lexicon.protected, lexicon.rules,
         config.keep_punctuation,
     )
     table = stored(tokens.select(config.id_col, config.group_col, config.text_col, "tokens"), "segmented")

@@ -53,11 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Like :func:`cut_lineage`, as a Parquet table: for wide rows that later steps read by column or partition."""
+def stored(df: DataFrame, name: str, *partition_by: str, outer: bool = False) -> DataFrame:
+    """Like :func:`cut_lineage`, as a Parquet table: for wide rows that later steps read by column or partition.
+
+    ``outer``: the copy is a result of the :func:`scratch` block it is made in, and goes with the block around that, if any.
+    """
     path = shared_path(df.sparkSession, name)
-    if _open:
-        _open[-1].append(path)
+    if len(_open) > outer:
+        _open[-1 - outer].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -115,6 +118,11 @@ def ship_package(spark: SparkSession) -> None:
     context._ticketmill_shipped = True
 
 
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own for each row, whatever its columns hold; stored, so that the numbers stand still."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy row work enough tasks when a small input has fewer splits than two per core.
 
