@@ -36,12 +36,12 @@ def number_rows(df: DataFrame, order: list[Column], out: str, start: int = 1) ->
     )
 
 
-def first_seen_index(df: DataFrame, key: str, row: str, pos: str | None = None, out: str = "idx") -> DataFrame:
-    """0-based index of the distinct values of ``key`` by first occurrence: by ``row``, then ``pos`` within it.
+def first_seen_index(df: DataFrame, key: str, row: str, pos: str | None = None, out: str = "idx", start: int = 0) -> DataFrame:
+    """Index, from ``start``, of the distinct values of ``key`` by first occurrence: by ``row``, then ``pos`` within it.
 
     ``df`` holds a key at most once per row. Occurrences are combined before the shuffle, so a hot key costs no
     more than others; plain longs (no struct) keep the aggregation hashed instead of sorted.
     """
     within = [F.min_by(pos, row).alias(pos)] if pos else []
     first = df.groupBy(key).agg(F.min(row).alias(row), *within)
-    return number_rows(first, [F.col(row), *([F.col(pos)] if pos else [])], out, start=0)
+    return number_rows(first, [F.col(row), *([F.col(pos)] if pos else [])], out, start)

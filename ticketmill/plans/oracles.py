@@ -86,6 +86,48 @@ _TABLE_LONGEST = f"""
             FROM documents, (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) || '|{RUN}+|{LETTER}'
                                     AS pattern FROM ({_TABLE_WORDS})) p"""
 
+_PHRASES_KEPT = f"""
+            SELECT doc_id, flatten(list_transform(
+                string_split(regexp_replace(replace(lower(text), {MARK}, ' '), p.pattern, {MARK} || '\\1' || {MARK}, 'g'), {MARK}),
+                lambda part, i: CASE WHEN i % 2 = 0 THEN [part] ELSE regexp_extract_all(part, '{TOKEN}') END)) AS tokens
+            FROM documents, (SELECT '(' || string_agg(word, '|' ORDER BY length(word) DESC, word) || ')' AS pattern
+                             FROM ({_LETTER_WORDS})) p"""
+
+# The likeliest path: words stand inside runs, so that each different run is looked at once, from its end; then its tokens from its start.
+_BEST_PATH = f"""
+    WITH RECURSIVE words AS ({_TABLE_WORDS}),
+    pieces AS (
+        SELECT doc_id, unnest(list) AS run, generate_subscripts(list, 1) AS k
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '{RUN}+|{LETTER}') AS list FROM documents)),
+    runs AS (SELECT run, count(*) AS times FROM pieces GROUP BY run),
+    places AS (SELECT run, times, unnest(range(0, length(run))) AS i FROM runs),
+    hits AS (
+        SELECT run, times, i, len, word
+        FROM (SELECT *, substr(run, i + 1, len) AS cut FROM places, (SELECT DISTINCT length(word) AS len FROM words)
+              WHERE i + len <= length(run)) JOIN words ON cut = word),
+    counts AS (SELECT word, coalesce(sum(times), 0) AS n FROM words LEFT JOIN hits USING (word) GROUP BY word),
+    whole AS (SELECT (sum(n) + count(*) + 1)::DOUBLE AS z FROM counts),
+    edges AS (
+        SELECT run, i, len, true AS is_word, round(ln((n + 1) / z) * 1e6)::BIGINT AS s FROM hits JOIN counts USING (word), whole
+        UNION ALL SELECT run, i, 1, false, round(ln(1 / z) * 1e6)::BIGINT FROM places, whole),
+    dp AS (
+        SELECT run, length(run) AS i, [0::BIGINT] AS best, []::BIGINT[] AS size FROM runs
+        UNION ALL
+        SELECT run, i, list_prepend(top.total, best), list_prepend(CASE WHEN top.is_word THEN top.len ELSE 0 END, size)
+        FROM (SELECT d.run, d.i - 1 AS i, d.best, d.size, max({{'total': e.s + d.best[e.len], 'is_word': e.is_word, 'len': e.len}}) AS top
+              FROM dp d JOIN edges e ON e.run = d.run AND e.i = d.i - 1 GROUP BY d.run, d.i, d.best, d.size)),
+    walk AS (
+        SELECT run, 0::BIGINT AS i, '' AS open, []::VARCHAR[] AS done, size FROM dp WHERE i = 0
+        UNION ALL
+        SELECT run, i + greatest(size[i + 1], 1), CASE WHEN size[i + 1] = 0 THEN open || substr(run, i + 1, 1) ELSE '' END,
+               CASE WHEN size[i + 1] = 0 THEN done
+                    ELSE list_append(CASE WHEN open <> '' THEN list_append(done, open) ELSE done END, substr(run, i + 1, size[i + 1])) END, size
+        FROM walk WHERE i < length(run)),
+    cut AS (SELECT run, CASE WHEN open <> '' THEN list_append(done, open) ELSE done END AS tokens FROM walk WHERE i = length(run)),
+    listed AS (SELECT doc_id, flatten(list(tokens ORDER BY k)) AS tokens FROM pieces JOIN cut USING (run) GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(tokens), 0) AS n_tokens, coalesce(array_to_string(tokens, ' '), '') AS text
+    FROM documents LEFT JOIN listed USING (doc_id)"""
+
 _PREPARED = f"""
             WITH {_spans(_LITERAL_WORDS)}
             SELECT doc_id, any_value(lang) AS "group",
@@ -172,6 +214,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "segment_protected": _joined(_around(PROTECTED, "[p]")),
         "segment_ambiguity": _joined(_around([*PROTECTED, *RULES], _RULE_PARTS)),
+        "segment_phrase_table": _joined(_PHRASES_KEPT),
+        "segment_best_path": _BEST_PATH,
         "segment_all_matches": _all_matches(_LITERAL_WORDS),
         "segment_all_matches_join": _all_matches(_TABLE_WORDS),
         "segment_max_match_join": _joined(_TABLE_LONGEST),
@@ -194,6 +238,13 @@ def oracle_sql() -> dict[str, str]:
             WITH tokens AS (SELECT doc_id, unnest(tokens) AS word FROM ({TOKENS})), {_BUCKETS}
             SELECT doc_id, bucket::INTEGER AS bucket, count(*)::DOUBLE AS tf
             FROM tokens JOIN hashed USING (word) GROUP BY ALL""",
+        "feature_words": f"""
+            WITH tokens AS (SELECT doc_id, unnest(tokens) AS word FROM ({TOKENS})), {_BUCKETS},
+            n AS (SELECT bucket::INTEGER AS feature, word, count(*) AS n FROM tokens JOIN hashed USING (word) GROUP BY ALL),
+            ranked AS (
+                SELECT *, n / sum(n) OVER (PARTITION BY feature) AS share,
+                       row_number() OVER (PARTITION BY feature ORDER BY n DESC, word)::INTEGER AS place FROM n)
+            SELECT feature, place, word, n, share FROM ranked WHERE place <= 3""",
         "evaluated_rows": f"""
             WITH {_TRAINED}
             SELECT "group", text, orgtext, label, '{JOB}' AS job_id FROM parted JOIN labels_of USING ("group")
@@ -231,6 +282,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT kind, count(*) AS n_distinct, count(*) FILTER (n > 1) AS n_repeated, sum(n)::BIGINT AS n_rows,
                    sum(chars)::BIGINT AS n_chars
             FROM per_value GROUP BY kind""",
+        "corpus_profile_sketched": f"""
+            WITH t AS ({TOKENS}),
+            items AS (
+                SELECT 'class' AS kind, source AS value, length(source) + length(text) AS chars FROM t
+                UNION ALL
+                SELECT 'text', array_to_string(tokens, ' '), length(coalesce(array_to_string(tokens, ' '), ''))
+                FROM t
+                UNION ALL
+                SELECT 'word', word, length(word) FROM (SELECT unnest(list_distinct(tokens)) AS word FROM t)),
+            per_value AS (SELECT kind, value, count(*) AS n, sum(chars) AS chars FROM items GROUP BY ALL)
+            SELECT kind, sum(n)::BIGINT AS n_rows, sum(chars)::BIGINT AS n_chars, true AS is_close
+            FROM per_value GROUP BY kind""",
+        "quoted_records": """
+            SELECT row_number() OVER (ORDER BY doc_id) AS row_num, coalesce(lang, '') AS "group", coalesce(text, '') AS orgtext
+            FROM documents""",
         "drop_singleton_classes": """
             SELECT doc_id, n_chars FROM documents
             WHERE n_chars IN (SELECT n_chars FROM documents GROUP BY n_chars HAVING count(*) > 1)""",
@@ -247,6 +313,10 @@ def oracle_sql() -> dict[str, str]:
             WITH w AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM ({TOKENS})),
             f AS (SELECT word, min((doc_id, pos)) AS place FROM w GROUP BY word)
             SELECT word, row_number() OVER (ORDER BY place) - 1 AS idx FROM f""",
+        "vocab_index_grown": f"""
+            WITH w AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM ({TOKENS})),
+            f AS (SELECT word, min((doc_id, pos)) AS place FROM w GROUP BY word)
+            SELECT word, row_number() OVER (ORDER BY place) - 1 AS idx FROM f""",
         "distinct_doc_index": f"""
             WITH f AS (SELECT min(doc_id) AS doc_id FROM ({TOKENS}) GROUP BY tokens)
             SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM f""",
@@ -272,6 +342,9 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n_actual > 0 THEN n_correct / n_actual ELSE 0.0 END::DOUBLE AS recall,
                    2 * n_correct / (n_actual + n_predicted) AS f1
             FROM s""",
+        "closed_windows": """
+            SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL
+            HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
         "windowed_counts": """
             SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""",
     }

@@ -20,7 +20,7 @@ from ticketmill.functions.tokens import (
     whitespace_tokens,
 )
 from ticketmill.operators import corpus, evaluate, labels, models
-from ticketmill.operators.features import array_features, hashed_tf, sparse_entries
+from ticketmill.operators.features import array_features, bucket_words, hashed_tf, named_features, sparse_entries
 from ticketmill.operators.segment import remove_words, segment, stop_natures
 from ticketmill.plans.fixed import JOB, MOD, NATURES, PROTECTED, RULES, STOP_WORDS, WORDS
 from ticketmill.plans.lexicon import Lexicon
@@ -31,6 +31,7 @@ from ticketmill.plans.train import train
 from ticketmill.session import exists, is_folder, shared_dir, shared_path, spread, stored
 from ticketmill.sinks.tables import save_stage
 from ticketmill.sources.saved import load_job_table, load_pipeline_model
+from ticketmill.sources.text import read_numbered_tickets
 from ticketmill.streaming import windows
 from ticketmill.streaming.score import score_stream as stream_scores
 
@@ -139,6 +140,17 @@ def segment_all_matches_any(spark, sf_dir):
     return counted(segment(texts(spark, sf_dir), "text", "tokens", letter_words(spark, sf_dir), "finest"))
 
 
+def segment_best_path(spark, sf_dir):
+    """The likeliest path through the lattice of dictionary words, whose frequencies are learned from the same texts."""
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", table_words(spark, sf_dir), "likeliest"))
+
+
+def segment_phrase_table(spark, sf_dir):
+    """Protected phrases that grow with the data, as a table: pairs of neighbouring words of the benchmark passages."""
+    phrases = letter_words(spark, sf_dir)
+    return counted(segment(texts(spark, sf_dir), "text", "tokens", WORDS, "longest", protected=phrases, phrase_limit=0))
+
+
 def segment_protected(spark, sf_dir):
     return counted(segment(texts(spark, sf_dir), "text", "tokens", WORDS, "longest", protected=PROTECTED))
 
@@ -162,6 +174,18 @@ def prepare_split(spark, sf_dir):
     return rows.select("doc_id", "group", "text", "part")
 
 
+# Records
+
+
+def quoted_records(spark, sf_dir):
+    """The documents as quoted text files, texts with their line breaks, and read again in parallel splits."""
+    path = shared_path(spark, "records")
+    ordered = table(spark, sf_dir, "documents").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select("lang", "text")
+    plain = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered.write.options(**plain).csv(path)
+    return read_numbered_tickets(spark, path, header=False).withColumnRenamed("doc_id", "row_num")
+
+
 # Classes, splits, indices
 
 
@@ -190,6 +214,15 @@ def corpus_profile(spark, sf_dir):
     return corpus.corpus_profile(rows, "source", "text", whitespace_tokens(F.col("text")))
 
 
+def corpus_profile_sketched(spark, sf_dir):
+    """The profile from sketches of three parts, and whether its estimates are close to the exact counts."""
+    rows, words = texts(spark, sf_dir, "source"), whitespace_tokens(F.col("text"))
+    sketches = stored(corpus.profile_sketches(rows, "source", "text", words, F.pmod("doc_id", F.lit(3))), "sketches")
+    exact = corpus.corpus_profile(rows, "source", "text", words).select("kind", F.col("n_distinct").alias("exact"))
+    off = F.abs(F.col("n_distinct") - F.col("exact")) / F.col("exact")
+    return corpus.merged_profile(sketches).join(exact, "kind").select("kind", "n_rows", "n_chars", (off <= 0.04).alias("is_close"))
+
+
 def drop_singleton_classes(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return corpus.drop_singleton_classes(rows, "n_chars").select("doc_id", "n_chars")
@@ -209,6 +242,17 @@ def vocab_index(spark, sf_dir):
     return corpus.vocab_index(tokenized(spark, sf_dir), "doc_id", F.col("tokens"))
 
 
+def vocab_index_grown(spark, sf_dir):
+    """The vocabulary, grown by the documents in three batches."""
+    rows = stored(tokenized(spark, sf_dir).select("doc_id", "tokens"), "tokens")
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    path = shared_path(spark, "vocabulary")
+    for k in range(3):
+        from_id, to_id = (low + (high + 1 - low) * i // 3 for i in (k, k + 1))
+        grown = corpus.grow_vocabulary(path, rows.where(F.col("doc_id").between(from_id, to_id - 1)), "doc_id", F.col("tokens"))
+    return grown.select("word", "idx")
+
+
 def distinct_doc_index(spark, sf_dir):
     return corpus.distinct_doc_index(tokenized(spark, sf_dir), "doc_id", F.col("tokens"))
 
@@ -389,6 +433,18 @@ def vectors(spark, sf_dir) -> DataFrame:
     return corpus.hash_split(rows, "vec_id", 0.8)
 
 
+def feature_words(spark, sf_dir):
+    """The three most frequent words of each hashed feature, with their shares of it."""
+    return bucket_words(tokenized(spark, sf_dir), F.col("tokens"), 6900)
+
+
+def named_feature_report(spark, sf_dir):
+    """The importances of the forest's features, by the words that fall into them."""
+    report = models.feature_report(spark, forest_folder(spark, sf_dir))
+    words = bucket_words(prepared_texts(spark, sf_dir), F.split(F.lower("text"), r"\s"), NUM_FEATURES)
+    return named_features(report, words)
+
+
 def forest_numeric(spark, sf_dir):
     rows = stored(vectors(spark, sf_dir), "vectors")
     model = models.fit_numeric_forest(rows.where("part = 'train'"), "name", "vec_id", rows)
@@ -469,6 +525,16 @@ def windowed_counts(spark, sf_dir):
     return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def closed_windows(spark, sf_dir):
+    """Hourly counts of the windows that the watermark has passed, each written once."""
+    out = shared_path(spark, "closed")
+    rows = read_stream(spark, sf_dir, "events").select("ts", "event_type")
+    for query in windows.write_closed(rows, "ts", "event_type", "1 hour", "1 day", out, f"{out}/progress"):
+        query.awaitTermination()
+    counts = spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{out}/closed")
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "tokenize": tokenize,
@@ -485,18 +551,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "segment_max_match_shuffled": segment_max_match_shuffled,
         "segment_all_matches_shuffled": segment_all_matches_shuffled,
         "segment_all_matches_any": segment_all_matches_any,
+        "segment_best_path": segment_best_path,
+        "segment_phrase_table": segment_phrase_table,
         "segment_protected": segment_protected,
         "segment_ambiguity": segment_ambiguity,
         "prepare_text": prepared_texts,
         "prepare_split": prepare_split,
+        "quoted_records": quoted_records,
         "label_index": label_index,
         "label_decode": label_decode,
         "class_profile": class_profile,
         "corpus_profile": corpus_profile,
+        "corpus_profile_sketched": corpus_profile_sketched,
         "drop_singleton_classes": drop_singleton_classes,
         "modulo_split": modulo_split,
         "hash_split": hash_split,
         "vocab_index": vocab_index,
+        "vocab_index_grown": vocab_index_grown,
         "distinct_doc_index": distinct_doc_index,
         "eval_accuracy": eval_accuracy,
         "test_error": test_error,
@@ -514,6 +585,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_roundtrip": model_roundtrip,
         "model_report": model_report,
         "feature_report": feature_report,
+        "feature_words": feature_words,
+        "named_feature_report": named_feature_report,
         "forest_numeric": forest_numeric,
         "numeric_labels": numeric_labels,
         "numeric_error": numeric_error,
@@ -521,4 +594,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "logreg_text": logreg_text,
         "score_unlabelled": score_unlabelled,
         "windowed_counts": windowed_counts,
+        "closed_windows": closed_windows,
     }

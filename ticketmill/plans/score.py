@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketmill.config import ScoreConfig
-from ticketmill.sinks.tables import ParquetTarget, write_table
+from ticketmill.sinks.jobs import JobTables
+from ticketmill.sinks.tables import write_table
 from ticketmill.sources.saved import load_pipeline_model
 
 
@@ -29,7 +30,12 @@ def scored_unlabelled(model: PipelineModel, rows: DataFrame, id_cols: list[str])
 
 
 def score(rows: DataFrame, config: ScoreConfig, target=None) -> DataFrame:
-    """Append the scored rows of prepared ``text, orgtext`` to the table; one narrow stage."""
+    """Put the scored rows of prepared ``text, orgtext`` as the job's table ``scored``, or into ``target``; one narrow stage."""
     scored = scored_rows(load_pipeline_model(config.model_path), rows, config.job_id)
-    write_table(scored, target or ParquetTarget(f"{config.output_dir}/scored"))
+    if target:
+        write_table(scored, target)
+    else:
+        job = JobTables(rows.sparkSession, config.output_dir, config.job_id)
+        job.put(scored, "scored")
+        job.commit()
     return scored

@@ -13,7 +13,8 @@ from ticketmill.operators import evaluate
 from ticketmill.operators.labels import label_index
 from ticketmill.operators.models import class_names, fit_text, forest
 from ticketmill.session import cut_lineage, scratch, stored
-from ticketmill.sinks.tables import ParquetTarget, save_stage, write_table
+from ticketmill.sinks.jobs import JobTables
+from ticketmill.sinks.tables import save_stage, write_table
 
 
 @dataclass(frozen=True)
@@ -43,14 +44,15 @@ def train(
     train_rows: DataFrame,
     test_rows: DataFrame,
     config: TrainConfig,
-    target=lambda config, table: ParquetTarget(f"{config.output_dir}/{table}"),
+    target=None,
     id_col: str = "doc_id",
 ) -> TrainResult:
     """Fit on prepared ``group, text``, evaluate on held-out rows, save the model under its job id.
 
-    ``target`` names where each result table goes. Predictions are stored once; the table written out and the
-    accuracy both read that. Copies made on the way are gone when the job ends, and a job that runs again under its
-    id replaces its rows.
+    All result tables are committed together, after the model has been saved: read them with ``load_job_table``. ``target`` may instead name
+    for each table where else it goes (JDBC); then they are written one after the other. Predictions are stored once; the table
+    written out and the accuracy both read that. Copies made on the way are gone when the job ends, and a job that runs again under
+    its id replaces its rows.
     """
     spark = train_rows.sparkSession
     with scratch(spark):
@@ -62,7 +64,13 @@ def train(
         save_stage(model, config.model_path)
         evaluated = stored(evaluated_predictions(model, test_rows, config.job_id), "evaluated")
         accuracy = cut_lineage(model_accuracy(evaluated, config.job_id))
-        write_table(index.drop("n"), target(config, "label_index"))
-        write_table(evaluated, target(config, "evaluated_predictions"))
-        write_table(accuracy, target(config, "model_accuracy"))
+        tables = {"label_index": index.drop("n"), "evaluated_predictions": evaluated, "model_accuracy": accuracy}
+        if target:
+            for name, table in tables.items():
+                write_table(table, target(config, name))
+        else:
+            job = JobTables(spark, config.output_dir, config.job_id)
+            for name, table in tables.items():
+                job.put(table, name)
+            job.commit()
     return TrainResult(model, index, evaluated_predictions(model, test_rows, config.job_id), accuracy)

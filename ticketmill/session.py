@@ -14,6 +14,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketmill.operators.skew import join_split
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 # A side of a join is broadcast only after it was measured and found within both bounds.
@@ -95,6 +97,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared storage, or None if it is not there."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in one step: readers see what was there before, or all of it."""
+    system, place = _file_system(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = system.create(aside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    kinds = spark._sc._gateway.new_array(options, 1)
+    kinds[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(aside, place, kinds)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether a table's path is a folder of part files (else it is one file)."""
     system, place = _file_system(spark, path)
@@ -155,9 +183,10 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table, broadcasting it only when its measured size is within bounds.
 
-    Beyond them it stays a plain equi-join, where adaptive execution splits skewed keys. The lookup is read once
-    more for the measurement, so a computed one should be stored first.
+    Beyond them it is an equi-join in which keys that many rows share are split. The lookup is read once
+    more for the measurement, so a computed one should be stored first, and so should ``df`` if it is large.
     """
     if fits_broadcast(lookup, max_rows):
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, on, how)
+        return df.join(F.broadcast(lookup), on, how)
+    ship_package(df.sparkSession)
+    return join_split(df, lookup, on, how)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ticketmill.sinks.jobs import load_committed
+
 
 def load_pipeline_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
@@ -22,7 +24,12 @@ def load_forest(path: str) -> RandomForestClassificationModel:
 
 
 def load_job_table(spark: SparkSession, path: str, job_id: str) -> DataFrame:
-    """The rows of one job; the table is partitioned by ``job_id``, so only its files are read."""
+    """The rows of one job: those it committed (:mod:`ticketmill.sinks.jobs`), or those in a table that is partitioned by ``job_id``, of which
+    only its files are read."""
+    folder, _, table = path.rstrip("/").rpartition("/")
+    committed = load_committed(spark, folder, table, job_id)
+    if committed is not None:
+        return committed
     fields = spark.read.parquet(path).schema.fields
     schema = StructType([StructField(f.name, StringType()) if f.name == "job_id" else f for f in fields])
     return spark.read.schema(schema).parquet(path).where(F.col("job_id") == job_id)
