@@ -343,8 +343,8 @@ def oracle_sql() -> dict[str, str]:
                    2 * n_correct / (n_actual + n_predicted) AS f1
             FROM s""",
         "closed_windows": """
-            SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL
-            HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+            SELECT * FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL)
+            WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
         "windowed_counts": """
             SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""",
     }
