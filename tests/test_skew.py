@@ -43,7 +43,7 @@ def tables(spark):
 def test_same_rows_as_a_plain_join(tables, how):
     df, other = tables
     assert sorted(map(str, join_split(df, other, "k", how, parts=8).collect())) == sorted(map(str, df.join(other, "k", how).collect()))
-    assert sorted(map(str, join_lookup(df, other, "k", how, max_rows=0).collect())) == sorted(map(str, df.join(other, "k", how).collect()))
+    assert sorted(map(str, join_lookup(df, other, "k", how, max_rows=0, split=True).collect())) == sorted(map(str, df.join(other, "k", how).collect()))
     assert join_split(df.limit(0), other, "k", how, parts=8).count() == 0
 
 

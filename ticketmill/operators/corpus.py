@@ -28,7 +28,7 @@ def drop_singleton_classes(
     known = df.where(F.col(group).isNotNull())
     kept = cut_lineage(known.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group))
     # An inner join on distinct keys; unlike a semi join, adaptive execution can split its left side.
-    return join_lookup(known, kept, group, "inner", max_rows).select(*df.columns)
+    return join_lookup(known, kept, group, "inner", max_rows, split=True).select(*df.columns)
 
 
 def dense_from(df: DataFrame, id_col: str) -> int | None:

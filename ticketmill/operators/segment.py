@@ -120,7 +120,7 @@ def remove_words(
     listed_stop = cut_lineage(stop.select("word").where(F.col("word").isNotNull()).distinct()).withColumn("_stop", F.lit(True))
     kept = F.when(F.col("_stop").isNull() & F.col("word").isNotNull(), F.struct("_pos", "word"))
     put_together = (
-        join_lookup(single, listed_stop, "word", "left")
+        join_lookup(single, listed_stop, "word", "left", split=True)
         .groupBy("_row")
         .agg(F.sort_array(F.collect_list(kept))["word"].alias("_kept"), F.first("_rest", ignorenulls=True).alias("_rest"))
     )

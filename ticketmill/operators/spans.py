@@ -90,7 +90,7 @@ def find_hits(rows: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(keys[i + of]), pa.array(pos), pa.array(np.full(len(pos), n)), pa.array(found, pa.string())], ["_row", "pos", "len", "word"])
 
     text = rows.select("_row", normalized(F.col(text_col)).alias("text"))
-    return join_lookup(text.mapInArrow(run, "_row long, pos long, len long, word string"), words, "word", "inner")
+    return join_lookup(text.mapInArrow(run, "_row long, pos long, len long, word string"), words, "word", "inner", split=True)
 
 
 _kinds: dict[tuple[str, bool], np.ndarray] = {}

@@ -180,13 +180,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return rows <= max_rows and used <= max_bytes
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS, split: bool = False) -> DataFrame:
     """Join a lookup table, broadcasting it only when its measured size is within bounds.
 
-    Beyond them it is an equi-join in which keys that many rows share are split. The lookup is read once
-    more for the measurement, so a computed one should be stored first, and so should ``df`` if it is large.
+    Beyond them it is an equi-join, in which adaptive execution splits large partitions, or, with ``split``, one that finds the keys that many
+    rows of ``df`` share and splits those (it reads ``df`` once more, with Python workers). The lookup is read once more for the
+    measurement, so a computed one should be stored first.
     """
     if fits_broadcast(lookup, max_rows):
         return df.join(F.broadcast(lookup), on, how)
+    if not split:
+        return df.join(lookup, on, how)
     ship_package(df.sparkSession)
     return join_split(df, lookup, on, how)
