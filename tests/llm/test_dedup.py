@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 
 import corpus_pipeline
-from ticketmill.llm import fingerprints, grouping, line_dedup, order_minhash, repeats, shingles
+from ticketmill.llm import fingerprints, grouping, language, line_dedup, order_minhash, repeats, shingles
 from ticketmill.llm.components import components, contract
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -472,3 +472,11 @@ def test_stages_take_odd_tables(spark):
     languages, lines, copies, clean = (stage(spark, docs, DATA) for _, stage in corpus_pipeline.STAGES[:-1])
     assert (languages.count(), lines.count(), copies.count(), clean.count()) == (2, 4, 2, 4)
     assert {r.score for r in languages.collect()} == {"s"}
+    encode = corpus_pipeline.STAGES[-1][1]
+    tokens = encode(spark, docs, DATA)
+    assert tokens.columns == [*(c for c in docs.columns if c != "ids"), "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert sorted(r.n_tokens for r in tokens.collect()) == [0, 0, 3, 3] and encode(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_rejection_follows_the_number_of_languages():
+    assert [round(language.least_score(n), 2) for n in (0, 1, 2, 4, 12)] == [0, 0, 0.6, 0.3, 0.1]

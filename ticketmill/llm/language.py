@@ -180,6 +180,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return map_batches(documents, run, extended(documents, "lang_pred string, score double"), shared)
 
 
-def is_rejected(lang_pred: Column, score: Column, least: float = 0.3) -> Column:
+def least_score(n_languages: int) -> float:
+    """The confidence below which no language stands out: a fifth above that of a guess among all of them. One language always does."""
+    return 1.2 / n_languages if n_languages > 1 else 0.0
+
+
+def is_rejected(lang_pred: Column, score: Column, least: float) -> Column:
     """No language, or none that stands out: a single unknown word may still have one."""
     return (lang_pred == UNDETERMINED) | (score < least)

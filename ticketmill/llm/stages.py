@@ -19,11 +19,12 @@ def _aside(documents: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]
 
 
 def identify_language(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the documents' own languages; documents without a language go, and those for which none stands out."""
+    """Learn from the documents' own languages; documents without a language go, and those for which none stands out among
+    as many as were learned. Without any learned language all go."""
     columns = documents.columns
     model = language.fit(documents)
     renamed, back = _aside(documents, "lang_pred", "score")
-    predicted = language.predict(renamed, model).filter(~language.is_rejected(F.col("lang_pred"), F.col("score")))
+    predicted = language.predict(renamed, model).filter(~language.is_rejected(F.col("lang_pred"), F.col("score"), language.least_score(len(model.languages))))
     return predicted.drop("lang_pred", "score").withColumnsRenamed(back).select(*columns)
 
 
@@ -49,7 +50,11 @@ def drop_contaminated(spark: SparkSession, documents: DataFrame, sf_dir: str) ->
 
 
 def encode(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the token ids (``ids``, little-endian 32-bit integers), their number and digests."""
+    """Add the token ids (``ids``, little-endian 32-bit integers), their number (``n_tokens``) and digests (``ids_sha256``, ``decoded_sha256``).
+
+    It is the last stage, whose columns readers look for by these names: columns of the documents that are called so are replaced. A null text
+    has no tokens; repeated rows get theirs each.
+    """
     return bpe.encode_documents(documents, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
