@@ -212,7 +212,7 @@ def test_classes_are_components_of_alike_texts(spark, corpus, operator, alike):
 ANYTHING = grouping.Bound(lambda body: np.zeros(1, np.uint64), lambda longer: np.full(longer.shape, 1 << 40))
 
 
-@pytest.mark.parametrize("block", [256, 2])
+@pytest.mark.parametrize("block", [1024, 2])
 def test_texts_of_a_bucket_meet_each_other(spark, monkeypatch, block):
     """Like texts are found where the first text of their only bucket is like none of them, or like one of them."""
     monkeypatch.setattr(grouping, "BLOCK", block)

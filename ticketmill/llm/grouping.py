@@ -20,7 +20,7 @@ from ticketmill.llm.rows import map_arrow, map_batches, store
 from ticketmill.session import by_key, scratch
 
 #: Texts of a bucket that are compared with each other in one go; larger buckets are dealt out in such blocks.
-BLOCK = 256
+BLOCK = 1024
 #: Bytes of the tables that are made at once.
 TABLE_BYTES = 16 << 20
 

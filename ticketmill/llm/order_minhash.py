@@ -172,8 +172,8 @@ def _read_texts(documents: DataFrame) -> DataFrame:
 
 
 def pair_bits(words: np.ndarray) -> np.ndarray:
-    """A bitmap of a text's pairs of neighbouring words, of four to eight bits a word."""
-    width = 1 << max((len(words) * 4 - 1).bit_length(), 6)
+    """A bitmap of a text's pairs of neighbouring words, of four to eight bits a word, and of 16 KB at most."""
+    width = 1 << min(max((len(words) * 4 - 1).bit_length(), 6), 17)
     pairs = mix((words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(width - 1)
     out = np.zeros(width // 64, np.uint64)
     np.bitwise_or.at(out, (pairs >> np.uint64(6)).astype(np.int64), np.uint64(1) << (pairs & np.uint64(63)))
