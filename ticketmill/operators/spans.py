@@ -323,14 +323,19 @@ def segment_by_join(
         return (finest_spans if mode == "finest" else longest_spans)(kinds, pos, length)
 
     def tokens(text: str, hits: tuple[np.ndarray, np.ndarray, np.ndarray], whole: list[tuple[int, int, list | None]]) -> list[str]:
-        kinds, (pos, length, score), out, at = table[code_points(text)], hits, [], 0
-        for start, end, parts in [*whole, (len(text), len(text), [])]:
+        kinds, (pos, length, score) = table[code_points(text)], hits
+        if not whole:
+            return [text[a:b] for a, b in walk(kinds, pos, length, score)]
+        # The stretches between the phrases, each by itself: words that reach into a phrase do not count.
+        out, at = [], 0
+        first = np.searchsorted(pos, [end for _, end, _ in whole]).tolist()
+        last = np.searchsorted(pos, [start for start, _, _ in whole]).tolist()
+        for (start, end, parts), i, j in zip([*whole, (len(text), len(text), [])], [0, *first], [*last, len(pos)]):
             if at < start:
-                spans = walk(kinds, pos, length, score)
-                if whole:  # words that reach into a phrase do not count
-                    inside = (pos >= at) & (pos + length <= start)
-                    spans = walk(kinds[at:start], pos[inside] - at, length[inside], score[inside])
-                out += [text[at + a : at + b] for a, b in spans]
+                inside = slice(i, j)
+                if i < j and pos[j - 1] + length[i:j].max() > start:
+                    inside = i + np.flatnonzero(pos[i:j] + length[i:j] <= start)
+                out += [text[at + a : at + b] for a, b in walk(kinds[at:start], pos[inside] - at, length[inside], score[inside])]
             out += [text[start:end]] if parts is None else parts
             at = end
         return out
