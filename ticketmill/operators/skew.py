@@ -64,8 +64,11 @@ def join_split(df: DataFrame, other: DataFrame, on: str | list[str], how: str =
     a task that runs again deals them alike) to ``SALTS`` salts for each of the key's shares, and the rows of ``other`` with that key are
     given to each. All other keys join as they are. ``df`` is read once more for the sketch. Nulls join nothing and stay as they are.
     """
+    from ticketmill.session import ship_package  # which uses this module
+
     on = [on] if isinstance(on, str) else list(on)
     session = df.sparkSession
+    ship_package(session)
     parts = parts or int(session.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64(*on)
     whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in on))

@@ -191,5 +191,4 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str, max_rows: int =
         return df.join(F.broadcast(lookup), on, how)
     if not split:
         return df.join(lookup, on, how)
-    ship_package(df.sparkSession)
     return join_split(df, lookup, on, how)
