@@ -48,6 +48,12 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(firsts, "key").select("key", "node", "first")
 
 
+def most_shared(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the proposals (a, b, n) of each text b the one with most buckets, then the smallest a."""
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best"))
+    return best.select((-F.col("best.a")).alias("a"), "b")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
     """(u, v): the pairs (a, b) whose texts (node, body) are alike."""
 
@@ -162,20 +168,19 @@ def classes(rows: DataFrame, nodes: DataFrame, texts_of: Callable[[DataFrame], D
 
     ``rows``: (rid, doc_id, th, node), a row per document; rows of one node are copies. ``nodes``: (node, keys) of the texts
     that have buckets. ``texts_of`` gives (node, size, body) for a table of wanted nodes: only texts that share a bucket are fetched. First
-    every text meets the text with which it shares most buckets, then all proposals between classes that are still
-    apart are verified, and at last all other pairs of a bucket between such classes that may be alike. Copies are deleted but the result.
+    every text meets the text with which it shares most buckets, then that of another class with which it does, and at last all other
+    pairs of a bucket between different classes that may be alike are verified. Copies are deleted but the result.
     """
     with scratch(rows.sparkSession):
         buckets = store(shared_buckets(nodes), "buckets")
         proposals = buckets.filter("first != node").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
         pairs = store(proposals, "proposals")
         texts = store(texts_of(store(buckets.select("node").distinct(), "wanted")), "texts")
-        best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-        best = store(best, "best")
+        best = store(most_shared(pairs), "best")
         label = components(verify(best, texts, alike))
 
-        apart = label_of(label, pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "b").filter("la != lb").select("a", "b")
-        apart = store(apart, "apart")
+        apart = label_of(label, pairs.join(best, ["a", "b"], "left_anti").select("a", "b", "n"), "a", "b").filter("la != lb")
+        apart = store(most_shared(apart), "apart")
         label = contract(label, verify(apart, texts, alike))
 
         close = close_pairs(buckets, label, texts, bound).join(best, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti")
