@@ -15,7 +15,7 @@ from ticketmill.functions.patterns import forks, prefix_layers, word_pattern
 from ticketmill.functions.segmentation import in_run
 from ticketmill.functions.tries import Bloom, Trie, code_points, lined_up, probable, word_hashes
 from ticketmill.operators.segment import remove_words, segment, stop_natures
-from ticketmill.operators.spans import learn_scores
+from ticketmill.operators.spans import learn_scores, probable_words
 
 # Words that overlap each other in one text of a greenhouse log.
 GOLDEN_WORDS = ["滴灌", "滴灌管", "管接头", "头", "漏水", "水泵", "泵7号"]
@@ -345,3 +345,44 @@ def test_likeliest_path_is_the_best_of_all(spark):
             # Of equal paths the one with a word, then the longer word, from the left.
             path = max((p for s, p in paths if s == best), key=lambda p: [(kind == "word", len(t) if kind == "word" else 0) for t, kind in p])
             assert row["tokens"] == joined(path), row["t"]
+
+
+WORKER_MEMORY = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from ticketmill.operators.segment import segment
+spark = (
+    SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+    .config("spark.checkpoint.dir", sys.argv[2]).config("spark.sql.shuffle.partitions", "1").getOrCreate()
+)
+df = spark.range(1500, numPartitions=1).select("id", F.expr("repeat('abcd ', 300)").alias("t"))
+words = spark.createDataFrame([(w,) for w in ("ab", "a", "b", "c", "bc", "cd", "d")], "word string")
+n = segment(df, "t", "tokens", words, "finest", limit=0, held_rows=int(sys.argv[3])).agg(F.sum(F.size("tokens"))).first()[0]
+assert n == 1500 * 300 * 8, n
+
+def peak(batches):
+    for _ in batches:
+        pass
+    yield pa.record_batch([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], ["kb"])
+
+print("peak", spark.range(1, numPartitions=1).mapInArrow(peak, "kb long").first()[0])
+"""
+
+
+@pytest.mark.parametrize("held", [1000, 0])
+def test_workers_hold_the_tokens_of_a_slab_only(tmp_path, held):
+    """Millions of tokens in one batch of rows."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", WORKER_MEMORY, root, str(tmp_path), str(held)], capture_output=True, text=True, timeout=600)
+    assert "peak" in done.stdout, done.stderr[-2000:]
+    assert int(done.stdout.split("peak ")[1]) < 350_000, done.stdout
+
+
+def test_a_word_leaves_its_block_once(spark):
+    """However often a word stands in neighbouring texts, one row of it is joined with the list."""
+    texts = spark.range(200, numPartitions=1).select((F.col("id") % 2).alias("_block"), F.lit("滴灌管 " * 50).alias("t")).orderBy("_block").coalesce(1)
+    found = probable_words(texts, "t", word_table(spark, ["滴灌", "滴灌管"])).where("word in ('滴灌', '滴灌管')").collect()
+    assert sorted((r["_block"], r["word"], r["n"]) for r in found) == [(b, w, 5000) for b in (0, 1) for w in ("滴灌", "滴灌管")]

@@ -2,25 +2,29 @@
 
 Same results as :mod:`ticketmill.functions.segmentation`, for words and for phrases alike. A list that was measured and found small
 enough goes to every worker as a trie; nothing is shuffled. Beyond that, a Bloom filter of the list, built by partial aggregation, goes
-to the workers instead: only stretches of text that are probably in the list leave them, to be joined with it. What is found
-comes back to its text by a row number of our own, so that ids play no part, repeated and null ones included; each text moves once.
+to the workers instead. Texts are dealt into blocks of about a million characters: only the different stretches of a block that are
+probably in the list leave the workers, to be joined with it. What is in the list comes back to its block, whose texts each move once and are
+segmented with a trie of the block's own words. Ids play no part, repeated and null ones included.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ticketmill.functions.segmentation import RUN, normalized, single_class
 from ticketmill.functions.tries import Bloom, Trie, code_points, leftmost_longest, lined_up, probable, word_hashes
-from ticketmill.session import by_key, cut_lineage, fits_broadcast, join_lookup, numbered_rows, ship_package
+from ticketmill.session import by_key, cut_lineage, fits_broadcast, join_lookup, ship_package, stored
 
 # Lists up to this size are held by every worker.
 HELD_ROWS = 1_000_000
@@ -29,22 +33,24 @@ HELD_BYTES = 48 * 1024 * 1024
 BLOOM_BYTES = 32 * 1024 * 1024
 # Longer words are looked for only where their first characters are found.
 HEAD = 24
-# Characters of texts that are worked on together.
-SLAB_CHARS = 1 << 19
+# Bytes of texts that are worked on together: a worker holds the hits and tokens of so much text only.
+SLAB_BYTES = 1 << 18
+# Bytes of the texts that look up their words together when the list is joined.
+BLOCK_BYTES = 1 << 20
 
 OTHER, ALONE, IN_RUN = 0, 1, 2
 
 
-def slabs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``SLAB_CHARS`` characters."""
+def slabs(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``SLAB_BYTES`` bytes."""
     start, total = 0, 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > SLAB_CHARS:
+    for i, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if total and total + size > SLAB_BYTES:
             yield start, i
             start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        total += size
+    if start < len(column):
+        yield start, len(column)
 
 
 def bloom_filter(words: DataFrame, rows: int, head: int = HEAD, most_bytes: int = BLOOM_BYTES) -> Bloom:
@@ -69,28 +75,57 @@ def bloom_filter(words: DataFrame, rows: int, head: int = HEAD, most_bytes: int
     return Bloom(blocks.ravel())
 
 
-def find_hits(rows: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
-    """``_row, pos, len, word`` and the other columns of ``words``: the listed words in the lower-cased texts of ``rows`` (_row, text).
+def in_blocks(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the number ``_block`` of neighbouring rows whose texts have about ``BLOCK_BYTES`` together; stored, so that the numbers stand still."""
 
-    ``words``: different, not empty, lower-cased; read several times. Positions count code points from 0.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            blocks = []
+            for size in pc.fill_null(pc.binary_length(batch[text_col]), 0).to_pylist():
+                if total and total + size > BLOCK_BYTES:
+                    block, total = block + 1, 0
+                total += size
+                blocks.append(block)
+            yield batch.append_column("_block", pa.array(blocks, pa.int64()))
+
+    return stored(df.mapInArrow(run, StructType([*df.schema.fields, StructField("_block", LongType())])), "rows")
+
+
+def probable_words(rows: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
+    """``_block, word, n``: stretches of the lower-cased texts of ``rows`` (_block, text) that are probably in ``words``, and how often each stands
+    in a part of the block; all listed words that are there are among them.
+
+    ``words``: different, not empty, lower-cased; read several times.
     """
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
     shared = rows.sparkSession.sparkContext.broadcast(bloom_filter(words, words.count()).blocks)
 
+    def emitted(block: int, found: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([block] * len(found), pa.int64()), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["_block", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(shared.value)
+        bloom, block, found, size = Bloom(shared.value), None, Counter(), 0
         for batch in batches:
-            texts, keys = batch["text"].to_pylist(), batch["_row"].to_numpy()
-            for i, j in slabs(texts):
-                codes, starts = lined_up(texts[i:j])
-                for at, n in probable(codes, bloom, lengths, HEAD):
-                    of = np.searchsorted(starts, at, "right") - 1
-                    pos = at - starts[of]
-                    found = [texts[i + t][p : p + n] for t, p in zip(of.tolist(), pos.tolist())]
-                    yield pa.record_batch([pa.array(keys[i + of]), pa.array(pos), pa.array(np.full(len(pos), n)), pa.array(found, pa.string())], ["_row", "pos", "len", "word"])
-
-    text = rows.select("_row", normalized(F.col(text_col)).alias("text"))
-    return join_lookup(text.mapInArrow(run, "_row long, pos long, len long, word string"), words, "word", "inner", split=True)
+            blocks = batch["_block"].to_pylist()
+            for i, j in slabs(batch["text"]):
+                texts = batch["text"].slice(i, j - i).to_pylist()
+                cuts = [k for k in range(i, j) if k == i or blocks[k] != blocks[k - 1]]
+                for begin, end in zip(cuts, [*cuts[1:], j]):
+                    if found and (blocks[begin] != block or size > BLOCK_BYTES):
+                        yield emitted(block, found)
+                        found, size = Counter(), 0
+                    block, own = blocks[begin], texts[begin - i : end - i]
+                    codes, _ = lined_up(own)
+                    line = "\0".join(own)  # places as in the codes
+                    size += len(line)
+                    for at, n in probable(codes, bloom, lengths, HEAD):
+                        found.update([line[p : p + n] for p in at.tolist()])
+        if found:
+            yield emitted(block, found)
+
+    text = rows.select("_block", normalized(F.col(text_col)).alias("text"))
+    return text.mapInArrow(run, "_block long, word string, n long")
 
 
 _kinds: dict[tuple[str, bool], np.ndarray] = {}
@@ -224,19 +259,17 @@ def hold(listed: DataFrame, value: str | None, held_rows: int) -> Held | None:
     return Held(listed.sparkSession.sparkContext.broadcast((Trie(table["word"].to_pylist()), values)), uuid.uuid4().hex)
 
 
-Hits = list[tuple[np.ndarray, np.ndarray, list]]
+Hits = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def held_hits(held: Held, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: places, lengths and numbers of the held words in it, by place, then length."""
-    trie, _ = held.get()
-    for i, j in slabs(texts):
-        codes, starts = lined_up(texts[i:j])
-        place, length, number = trie.find(codes)
-        cuts = np.searchsorted(place, starts)
-        for k in range(j - i):
-            own = slice(cuts[k], cuts[k + 1])
-            yield place[own] - starts[k], length[own], number[own]
+def trie_hits(trie: Trie, texts: list[str]) -> Hits:
+    """For each text of a slab: places, lengths and numbers of the words in it, by place, then length."""
+    codes, starts = lined_up(texts)
+    place, length, number = trie.find(codes)
+    cuts = np.searchsorted(place, starts)
+    for k in range(len(texts)):
+        own = slice(cuts[k], cuts[k + 1])
+        yield place[own] - starts[k], length[own], number[own]
 
 
 def listed_words(words: DataFrame, *values: str) -> DataFrame:
@@ -274,48 +307,7 @@ def segment_by_join(
 
     any_phrases = fixed is not None
     rows = df.drop(out_col)
-    own = rows.schema.fields
-    joined: list[str] = []
-    if not held_words or fixed is not None and not held_phrases:
-        rows = numbered_rows(rows, "_row")
-        base = rows
-        for name, held, listing, value in (("_words", held_words, listed, "score" if likeliest else None), ("_phrases", held_phrases, fixed, "parts")):
-            if listing is None or held:
-                continue
-            hit = F.struct("pos", "len", *[value] * bool(value))
-            per_text = find_hits(base, text_col, listing).groupBy(F.col("_row").alias("_hit_row")).agg(F.sort_array(F.collect_list(hit)).alias(name))
-            rows = rows.join(per_text, F.col("_row") == F.col("_hit_row"), "left").drop("_hit_row")
-            joined.append(name)
-        rows = rows.drop("_row")
-    rows = rows.withColumn("_text", normalized(F.col(text_col)))
-
-    def from_rows(batch: pa.RecordBatch, name: str, value: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-        for hits in batch[name].to_pylist():
-            hits = hits or []
-            yield np.array([h["pos"] for h in hits], np.int64), np.array([h["len"] for h in hits], np.int64), [h[value] for h in hits] if value else []
-
-    def word_hits(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if not held_words:
-            for pos, length, scores in from_rows(batch, "_words", "score" if likeliest else None):
-                yield pos, length, np.array(scores, np.int64) if likeliest else length
-            return
-        scores = np.array(held_words.get()[1], np.int64) if likeliest else None
-        for pos, length, number in held_hits(held_words, texts):
-            yield pos, length, scores[number] if likeliest else number
-
-    def phrase_hits(batch: pa.RecordBatch, texts: list[str]) -> Iterator[list[tuple[int, int, list | None]]]:
-        if not any_phrases:
-            for _ in texts:
-                yield []
-            return
-        if held_phrases:
-            parts = held_phrases.get()[1]
-            found = ((pos, length, number.tolist()) for pos, length, number in held_hits(held_phrases, texts))
-        else:
-            parts, found = None, from_rows(batch, "_phrases", "parts")
-        for pos, length, values in found:
-            taken = leftmost_longest(pos, length).tolist()
-            yield [(int(pos[k]), int(pos[k] + length[k]), parts[values[k]] if parts else values[k]) for k in taken]
+    schema = StructType([*rows.schema.fields, StructField(out_col, ArrayType(StringType()))])
 
     def walk(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
         if likeliest:
@@ -340,13 +332,51 @@ def segment_by_join(
             at = end
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["_text"].to_pylist()
-            found = [tokens(*x) for x in zip(texts, word_hits(batch, texts), phrase_hits(batch, texts))]
-            yield batch.drop_columns(["_text", *joined]).append_column(out_col, pa.array(found, pa.list_(pa.string())))
+    def segmented(batch: pa.RecordBatch | pa.Table, words_of: tuple[Trie, list | None], phrases_of: tuple[Trie, list | None]) -> Iterator:
+        """``batch`` in slabs, with the tokens: a worker never holds those of all its rows."""
+        scores = np.array(words_of[1], np.int64) if likeliest else None
+        for i, j in slabs(batch["_text"]):
+            texts = batch["_text"].slice(i, j - i).to_pylist()
+            found = []
+            whole = trie_hits(phrases_of[0], texts) if any_phrases else ((None, None, None) for _ in texts)
+            for text, (pos, length, number), (at, size, which) in zip(texts, trie_hits(words_of[0], texts), whole):
+                taken = leftmost_longest(at, size).tolist() if any_phrases else []
+                kept = [(int(at[k]), int(at[k] + size[k]), phrases_of[1][which[k]]) for k in taken]
+                found.append(tokens(text, (pos, length, scores[number] if likeliest else number), kept))
+            yield batch.slice(i, j - i).drop_columns(["_text"]).append_column(out_col, pa.array(found, pa.list_(pa.string())))
+
+    if held_words and (held_phrases or not any_phrases):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from segmented(batch, held_words.get(), held_phrases.get() if held_phrases else (None, None))
+
+        return rows.withColumn("_text", normalized(F.col(text_col))).mapInArrow(run, schema)
+
+    rows = in_blocks(rows, text_col)
+    there = []
+    for kind, held, listing in (("words", held_words, listed), ("phrases", held_phrases, fixed)):
+        if listing is not None and not held:
+            found = stored(probable_words(rows, text_col, listing).select("_block", "word"), "found")
+            own = [F.col(c) if c in listing.columns else F.lit(None).cast(t).alias(c) for c, t in (("score", "long"), ("parts", "array<string>"))]
+            there.append(join_lookup(found, listing, "word", "inner", split=True).select("_block", F.lit(kind).alias("kind"), "word", *own))
+    in_list = there[0] if len(there) == 1 else there[0].unionByName(there[1])
+
+    def of_block(found: pa.Table, kind: str, value: str | None) -> tuple[Trie, list | None]:
+        own = found.filter(pc.equal(found["kind"], kind))
+        words = dict(zip(own["word"].to_pylist(), own[value].to_pylist() if value else [None] * len(own)))
+        return Trie(list(words)), list(words.values())
+
+    def run_block(batch: pa.Table, found: pa.Table) -> pa.Table:
+        words_of = held_words.get() if held_words else of_block(found, "words", "score" if likeliest else None)
+        phrases_of = (None, None)
+        if any_phrases:
+            phrases_of = held_phrases.get() if held_phrases else of_block(found, "phrases", "parts")
+        done = segmented(batch.drop_columns(["_block"]), words_of, phrases_of)
+        return pa.concat_tables(done)
 
-    return rows.mapInArrow(run, StructType([*own, StructField(out_col, ArrayType(StringType()))]))
+    texts = by_key(rows, "_block").withColumn("_text", normalized(F.col(text_col)))
+    return texts.groupBy("_block").cogroup(in_list.groupBy("_block")).applyInArrow(run_block, schema)
 
 
 def learn_scores(df: DataFrame, text_col: str, words: DataFrame, held_rows: int = HELD_ROWS) -> tuple[DataFrame, int]:
@@ -361,8 +391,9 @@ def learn_scores(df: DataFrame, text_col: str, words: DataFrame, held_rows: int
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(0, np.int64)
             for batch in batches:
-                for _, _, number in held_hits(held, batch["text"].to_pylist()):
-                    counts = np.bincount(number, minlength=len(total))
+                for i, j in slabs(batch["text"]):
+                    codes, _ = lined_up(batch["text"].slice(i, j - i).to_pylist())
+                    counts = np.bincount(held.get()[0].find(codes)[2], minlength=len(total))
                     counts[: len(total)] += total
                     total = counts
             seen = np.flatnonzero(total)
@@ -373,7 +404,8 @@ def learn_scores(df: DataFrame, text_col: str, words: DataFrame, held_rows: int
         names = spark.createDataFrame([(k, w) for k, w in enumerate(order)], "number long, word string")
         counted = partial.groupBy("number").agg(F.sum("n").alias("n")).join(names, "number").select("word", "n")
     else:
-        counted = find_hits(numbered_rows(df.select(text_col), "_row"), text_col, listed).groupBy("word").agg(F.count("*").alias("n"))
+        found = probable_words(df.select(F.lit(0).cast("long").alias("_block"), text_col), text_col, listed)
+        counted = found.groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut_lineage(listed.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
     size, total = counts.agg(F.count("*"), F.sum("n")).first()
     whole = (total or 0) + size + 1
