@@ -347,6 +347,16 @@ def test_likeliest_path_is_the_best_of_all(spark):
             assert row["tokens"] == joined(path), row["t"]
 
 
+def test_many_words_outside_runs_are_held_by_the_workers(spark, tickets):
+    """For all matches the one expression tries every place against every layer of such a list; same tokens as by definition."""
+    words = GOLDEN_WORDS + [chr(0x4E00 + k) + " x" for k in range(200)]
+    found = segment(tickets, "orgtext", "tokens", words, "finest")
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r["tokens"] == brute_finest(r["orgtext"], words) for r in found.collect())
+    for mode, listed in (("longest", words), ("finest", [f"w{k}" for k in range(200)])):
+        assert "MapInArrow" not in segment(tickets, "orgtext", "tokens", listed, mode)._jdf.queryExecution().executedPlan().toString()
+
+
 WORKER_MEMORY = """
 import resource, sys
 sys.path.insert(0, sys.argv[1])

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.functions.patterns import forks
-from ticketmill.functions.segmentation import MODES, segment_tokens
+from ticketmill.functions.segmentation import MODES, in_run, segment_tokens
 from ticketmill.functions.tokens import without_words
 from ticketmill.operators.spans import HELD_ROWS, learn_scores, segment_by_join
 from ticketmill.session import by_key, cut_lineage, join_lookup, numbered_rows
 
 # Words held inside one expression; longer lists are joined. The driver sees at most this many plus one.
 IN_ROW_WORDS = 50_000
+# The same for all matches of words that do not consist of run characters only: each place of a text is tried against every layer of the list.
+IN_ROW_ANYWHERE = 100
 # Protected phrases and rules held inside one expression.
 IN_ROW_PHRASES = 1_000
 # Groups that a pattern may nest: the pattern's compiler and matcher go down by one call a group.
@@ -71,7 +73,7 @@ def segment(
 
     Small dictionaries run as one expression, those measured within ``held_rows`` are held by the workers, and larger
     ones are joined with the stretches of text that probably are words. A small list whose words are prefixes of each other
-    many times over takes the second plan. Phrase lists go the same ways. ``protected`` is a list or a table (word), ``rules`` a
+    many times over takes the second plan, as does one of more than ``IN_ROW_ANYWHERE`` words for all matches, if not all are of run characters. Phrase lists go the same ways. ``protected`` is a list or a table (word), ``rules`` a
     mapping or a table (phrase, parts). The mode ``likeliest`` learns how frequent words are from the texts first, and has
     no one-expression plan.
     """
@@ -84,7 +86,8 @@ def segment(
     if few is not None and len(few[0]) + len(few[1]) > phrase_limit:
         few = None
     listed = listed_words(words, limit)
-    if few is not None and listed is not None and mode != "likeliest" and forks(w.lower() for w in listed) <= IN_ROW_FORKS:
+    slow = mode == "finest" and listed is not None and len(listed) > IN_ROW_ANYWHERE and not all(in_run(c) for w in listed for c in w.lower())
+    if few is not None and listed is not None and mode != "likeliest" and not slow and forks(w.lower() for w in listed) <= IN_ROW_FORKS:
         return df.withColumn(out_col, segment_tokens(F.col(text_col), listed, mode, *few, keep_punctuation))
     if not isinstance(words, DataFrame):
         words = spark.createDataFrame([(w,) for w in listed or words], "word string")
