@@ -250,6 +250,26 @@ def test_bitmaps_never_rule_out_alike_texts():
     assert grouping.missing_bits(np.array([[5, 1]], np.uint64), np.array([[4, 0], [7, 1]], np.uint64)).tolist() == [[2, 1]]
 
 
+def test_words_part_texts_just_below_the_threshold():
+    """Copies of one text with other words at random places: the finer bitmaps rule out most pairs below the threshold, and none above."""
+    rng = random.Random(14)
+    bound = order_minhash.distance_bound(0.8)
+    text = [rng.randrange(5000) for _ in range(700)] + [7] * 50
+    texts = []
+    for k in range(60):
+        copy = list(text)
+        for at in rng.sample(range(750), 75 if k < 6 else 93):
+            copy[at] = rng.randrange(5000, 50_000)
+        texts.append(np.array(copy[: 750 - k % 3], "<u4"))
+    rows = [(i, i, len(t), order_minhash.pair_bits(t).tobytes(), order_minhash.word_bits(t).tobytes()) for i, t in enumerate(texts)]
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    alike = {(i, j) for i, j in pairs if order_minhash.edit_similarity(texts[i], texts[j]) >= 0.8}
+    kept = grouping.compare_cell(rows, None, bound)
+    assert alike and alike <= set(kept) and len(kept) < 0.5 * len(pairs)
+    assert set(kept) <= set(grouping.compare_cell([r[:4] for r in rows], None, bound))
+    assert sorted(kept) == sorted({*grouping.compare_cell(rows[:20], None, bound), *grouping.compare_cell(rows[20:], None, bound), *grouping.compare_cell(rows[:20], rows[20:], bound)})
+
+
 def test_pairs_at_the_threshold_are_found(spark):
     """Pairs with an edit similarity of 0.80 to 0.85, changed at random places: nine of ten are found at the least."""
     rng = random.Random(13)

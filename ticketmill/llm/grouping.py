@@ -29,11 +29,12 @@ TABLE_BYTES = 16 << 20
 class Bound:
     """What can be said of two texts without aligning them. ``bits_of``: a bitmap of a text's features, of a power of two of bits that
     grows with the text; ``most_missing``: how many features of either text the other may lack, by the longer's size, if they are alike;
-    ``least_ratio``: of their sizes."""
+    ``least_ratio``: of their sizes. ``finer``: a second bound, whose bitmaps are wider than these by one factor; it is tried on the pairs that pass."""
 
     bits_of: Callable[[bytes], np.ndarray]
     most_missing: Callable[[np.ndarray], np.ndarray]
     least_ratio: float = 0.0
+    finer: Bound | None = None
 
 
 def bucket_keys(values: str, n: int) -> Column:
@@ -85,8 +86,20 @@ def folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, width), axis=1)
 
 
+def missing_in_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """:func:`missing_bits` of the pairs of the bitmaps ``a[i]`` and ``b[j]`` only."""
+    own, other = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
+    most, step = np.maximum(own[i], other[j]), max(TABLE_BYTES // max(a.itemsize * a.shape[1], 1), 1)
+    for k in range(0, len(i), step):
+        most[k : k + step] -= np.bitwise_count(a[i[k : k + step]] & b[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return most
+
+
 def compare_cell(left: list[tuple], right: list[tuple] | None, bound: Bound) -> list[tuple[int, int]]:
-    """Pairs of nodes of rows (node, label, size, bits) of different classes that may be alike: of left and right, or within left."""
+    """Pairs of nodes of rows (node, label, size, bits) of different classes that may be alike: of left and right, or within left.
+
+    Rows may have the bitmaps of the finer bound as a fifth field.
+    """
     out = []
     sides = [left, left if right is None else right]
     by_width: list[dict[int, list[tuple]]] = [{}, {}]
@@ -94,11 +107,11 @@ def compare_cell(left: list[tuple], right: list[tuple] | None, bound: Bound) ->
         for r in rows:
             found.setdefault(len(r[3]), []).append(r)
     tables = [
-        {w: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.stack([np.frombuffer(r[3], "<u8") for r in rows])) for w, rows in found.items()}
+        {w: (*(np.array([r[c] for r in rows]) for c in range(3)), *(np.stack([np.frombuffer(r[c], "<u8") for r in rows]) for c in range(3, len(rows[0])))) for w, rows in found.items()}
         for found in by_width
     ]
-    for w, (node, label, size, bits) in tables[0].items():
-        for v, (other_node, other_label, other_size, other_bits) in tables[1].items():
+    for w, (node, label, size, bits, *finer) in tables[0].items():
+        for v, (other_node, other_label, other_size, other_bits, *other_finer) in tables[1].items():
             longer = np.maximum(size[:, None], other_size[None])
             open_ = (label[:, None] != other_label[None]) & (np.minimum(size[:, None], other_size[None]) >= bound.least_ratio * longer)
             if right is None:
@@ -108,6 +121,10 @@ def compare_cell(left: list[tuple], right: list[tuple] | None, bound: Bound) ->
             width = min(w, v) // 8
             open_ &= missing_bits(folded(bits, width), folded(other_bits, width)) <= bound.most_missing(longer)
             i, j = np.nonzero(open_)
+            if bound.finer is not None and finer:
+                width = min(finer[0].shape[1], other_finer[0].shape[1])
+                close = missing_in_pairs(folded(finer[0], width), folded(other_finer[0], width), i, j) <= bound.finer.most_missing(np.maximum(size[i], other_size[j]))
+                i, j = i[close], j[close]
             out += list(zip(np.minimum(node[i], other_node[j]).tolist(), np.maximum(node[i], other_node[j]).tolist()))
     return out
 
@@ -118,6 +135,8 @@ def close_pairs(buckets: DataFrame, label: DataFrame, texts: DataFrame, bound: B
     Buckets of one class cost nothing. A bucket of m texts is dealt out in blocks of about ``BLOCK`` texts, and every two blocks meet in a
     cell of their own, so that no task holds a whole bucket.
     """
+    bounds = [bound] if bound.finer is None else [bound, bound.finer]
+    columns = ["bits", "finer"][: len(bounds)]
     labelled = label_of(label, buckets.select("key", "node"), "node")
     mixed = labelled.groupBy("key").agg(F.min("lnode").alias("low"), F.max("lnode").alias("high"), F.count("*").alias("m")).filter("low != high")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -126,9 +145,11 @@ def close_pairs(buckets: DataFrame, label: DataFrame, texts: DataFrame, bound: B
 
     def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
         bodies = batch["body"].to_pylist()
-        return pa.record_batch([batch["node"], batch["size"], pa.array([bound.bits_of(x).tobytes() for x in bodies], pa.binary())], ["node", "size", "bits"])
+        tables = [pa.array([b.bits_of(x).tobytes() for x in bodies], pa.binary()) for b in bounds]
+        return pa.record_batch([batch["node"], batch["size"], *tables], ["node", "size", *columns])
 
-    bitmaps = store(map_batches(texts.join(wanted, "node").select("node", "size", "body"), bits, "node long, size long, bits binary"), "bitmaps")
+    schema = ", ".join(["node long, size long", *(f"{c} binary" for c in columns)])
+    bitmaps = store(map_batches(texts.join(wanted, "node").select("node", "size", "body"), bits, schema), "bitmaps")
     block = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("key", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "node", F.col("lnode").alias("label"))
@@ -143,7 +164,7 @@ def close_pairs(buckets: DataFrame, label: DataFrame, texts: DataFrame, bound: B
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*sorted(set(found)))], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "c1", "c2", "block", "node", "label", "size", "bits"))):
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "c1", "c2", "block", "node", "label", "size", *columns))):
                 if row[:3] != current:
                     if current:
                         yield from out()
@@ -154,7 +175,7 @@ def close_pairs(buckets: DataFrame, label: DataFrame, texts: DataFrame, bound: B
 
     placed = cells.withColumn("cell", F.xxhash64("key", "c1", "c2"))
     placed = by_key(placed, "cell").drop("cell").sortWithinPartitions("key", "c1", "c2")
-    return map_arrow(placed.select("key", "c1", "c2", "block", "node", "label", "size", "bits"), run, "a long, b long").distinct()
+    return map_arrow(placed.select("key", "c1", "c2", "block", "node", "label", "size", *columns), run, "a long, b long").distinct()
 
 
 def classes(rows: DataFrame, nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool], bound: Bound) -> DataFrame:

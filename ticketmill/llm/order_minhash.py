@@ -171,19 +171,34 @@ def _read_texts(documents: DataFrame) -> DataFrame:
     return map_arrow(documents.select("doc_id", text_hash(), F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
-def pair_bits(words: np.ndarray) -> np.ndarray:
-    """A bitmap of a text's pairs of neighbouring words, of four to eight bits a word, and of 16 KB at most."""
-    width = 1 << min(max((len(words) * 4 - 1).bit_length(), 6), 17)
-    pairs = mix((words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(width - 1)
+def _bitmap(hashes: np.ndarray, width: int) -> np.ndarray:
+    places = hashes & np.uint64(width - 1)
     out = np.zeros(width // 64, np.uint64)
-    np.bitwise_or.at(out, (pairs >> np.uint64(6)).astype(np.int64), np.uint64(1) << (pairs & np.uint64(63)))
+    np.bitwise_or.at(out, (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63)))
     return out
 
 
+def _pair_width(n_words: int) -> int:
+    return 1 << min(max((n_words * 4 - 1).bit_length(), 6), 17)
+
+
+def pair_bits(words: np.ndarray) -> np.ndarray:
+    """A bitmap of a text's pairs of neighbouring words, of four to eight bits a word, and of 16 KB at most."""
+    pairs = mix((words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+    return _bitmap(pairs, _pair_width(len(words)))
+
+
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """A bitmap of a text's words, each with how many times it stood there before, twice as wide as that of the pairs."""
+    return _bitmap(label_occurrences(words.astype(np.uint64), np.array([0, len(words)])), 2 * _pair_width(len(words)))
+
+
 def distance_bound(similarity: float) -> Bound:
-    """An edit changes two pairs of neighbours at most: of texts at a distance d either lacks at most 2 d of the other's."""
-    allowed = lambda longer: 2 * ((1 - similarity) * longer + 1e-9).astype(np.int64)
-    return Bound(lambda body: pair_bits(np.frombuffer(body, "<u4")), allowed, similarity)
+    """An edit changes two pairs of neighbours at most, and one word: of texts at a distance d either lacks at most 2 d of the other's pairs, and
+    d of its words. Where words were changed at random places, the words part texts just below the threshold that the pairs do not."""
+    allowed = lambda longer: ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    words = Bound(lambda body: word_bits(np.frombuffer(body, "<u4")), allowed)
+    return Bound(lambda body: pair_bits(np.frombuffer(body, "<u4")), lambda longer: 2 * allowed(longer), similarity, words)
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
