@@ -337,3 +337,28 @@ def test_held_tokens_are_bounded_by_bytes(spark, monkeypatch):
     assert np.allclose([r[5:] for r in found], [r[5:] for r in want])
     hot = held[-1][0]
     assert sum(len(t) for t in hot) <= 20_000
+
+
+def test_grams_are_sorted_with_their_texts_and_looked_up_once():
+    """256 texts, empty and equal ones among them: places, texts and logs are those of a plain walk."""
+    rng = random.Random(15)
+    texts = [bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(256)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    keys, of = ppm.sorted_grams(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    edge = bytes([ppm.EDGE])
+    want = []
+    for t, text in enumerate(texts):
+        framed = edge * ppm.ORDER + text + edge
+        for i in range(len(text) + 1):
+            want.append((int.from_bytes(framed[i : i + ppm.ORDER][::-1] + framed[i + ppm.ORDER : i + ppm.ORDER + 1], "big"), t))
+    assert list(zip(keys.tolist(), of.tolist())) == sorted(want)
+    hot = np.unique(keys)[::3]
+    logs = -np.arange(1, len(hot) + 1, dtype=np.float32)
+    known, found = ppm.known_logs(keys, hot, logs)
+    table = dict(zip(hot.tolist(), logs.tolist()))
+    assert known.tolist() == [k in table for k in keys.tolist()] and found.tolist() == [table.get(k, 0) for k in keys.tolist()]
+    for no_keys, no_hot in ((keys[:0], hot), (keys, hot[:0])):
+        known, found = ppm.known_logs(no_keys, no_hot, logs[: len(no_hot)])
+        assert len(known) == len(found) == len(no_keys) and not known.any() and not found.any()
+    summed = ppm._summed(np.array([5, 7, 5, 6]), np.array([1, 2, 3, 4]), np.array([0, 1, 1, 0]))
+    assert [x.tolist() for x in summed] == [[5, 6, 7], [4, 4, 2], [1, 0, 1]]

@@ -139,14 +139,15 @@ def _inside(framed: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.n
 OUT = np.int64(1 << 62)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sum of each one's counts."""
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, and the sum of each one's counts, of one kind or several."""
     if not len(keys):
-        return keys, n
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
+        return keys, *counts
+    # What comes here are sorted runs end to end, which the stable sort merges.
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(n, first)
+    return keys[first], *(np.add.reduceat(n[order], first) for n in counts)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -339,8 +340,7 @@ def model_table(counted: DataFrame) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """The grams held, and their counts in training texts and in all."""
-            grams, train, n = (np.concatenate(x) for x in zip(*held))
-            return (*_summed(grams, train), _summed(grams, n)[1])
+            return _summed(*(np.concatenate(x) for x in zip(*held)))
 
         def finished() -> Iterator[tuple]:
             if held:
@@ -395,6 +395,27 @@ def hot_grams(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], logs[order]
 
 
+def sorted_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams at all places of at most 256 texts, sorted, and the text of each. Both are sorted as one number: a gram has 56 bits."""
+    framed, starts = _framed(data, offsets)
+    text = _inside(framed, starts, offsets)
+    place = text >= 0
+    both = _grams(framed)[place].view(np.uint64) << np.uint64(8) | text[place].astype(np.uint64)
+    both.sort()
+    return (both >> np.uint64(8)).view(np.int64), (both & np.uint64(255)).astype(np.int32)
+
+
+def known_logs(keys: np.ndarray, hot_keys: np.ndarray, hot_logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted keys: whether it is one of the hot ones, and its log, else 0. Equal keys are looked up once."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    if not len(hot_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    distinct, times = keys[first], np.diff(np.append(first, len(keys)))
+    at = np.minimum(np.searchsorted(hot_keys, distinct), len(hot_keys) - 1)
+    known = hot_keys[at] == distinct
+    return np.repeat(known, times), np.repeat(np.where(known, hot_logs[at], np.float32(0)), times)
+
+
 def look_up(wanted: DataFrame, model: DataFrame) -> DataFrame:
     """``wanted`` with its packed rows (part from 0 on, base, grams, docs) replaced by (base, sums): the logs of a part's grams summed up for
     each of the rows from ``base`` on. Rows with a negative part pass. A part's model comes before what is looked up in it, a piece at a time.
@@ -590,7 +611,7 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
     frequent = counted.filter(F.col("c_all") >= F.lit(n_all * HOT_SHARE)).withColumn("class", hot_class(F.col("c_all")))
     lowest = hot_from(frequent.select("class", (F.octet_length("token") + TOKEN_BYTES).alias("bytes")))
     hot_rows = frequent.filter(F.col("class") >= lowest).select("token", "c").toArrow()
-    hot = dict(zip(hot_rows["token"].to_pylist(), hot_rows["c"].to_pylist()))
+    hot = dict(zip(hot_rows["token"].to_pylist(), (math.log10(c + 1) for c in hot_rows["c"].to_pylist())))  # 0: in held-out documents only
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-n_bytes // PART_BYTES))
     model = store(model_table(store(count_grams(documents, parts), "grams")), "model")
@@ -603,17 +624,11 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
             scores = np.zeros(batch.num_rows)
-            for i, j in slabs(np.diff(offsets), PLACE_BYTES):
-                own = offsets[i : j + 1] - offsets[i]
-                framed, starts = _framed(data[offsets[i] : offsets[j]], own)
-                text = _inside(framed, starts, own)
-                place = text >= 0
-                keys, text = _grams(framed)[place], text[place]
-                order = np.argsort(keys)
-                keys, text = keys[order], text[order]
-                at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
-                known = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
-                scores[i:j] = np.bincount(text[known], hot_logs[at[known]], minlength=j - i)
+            several = ((a, min(a + 256, j)) for i, j in slabs(np.diff(offsets), PLACE_BYTES) for a in range(i, j, 256))
+            for i, j in several:
+                keys, text = sorted_grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                known, logs = known_logs(keys, hot_keys, hot_logs)
+                scores[i:j] = np.bincount(text, logs, minlength=j - i)
                 keys, text = keys[~known], text[~known]
                 yield from _batches(((p, rid + i, pack_sorted(keys[x]), pack(text[x])) for p, x in _pieces(keys, parts)), arrow)
             raw = data.tobytes()
@@ -624,13 +639,13 @@ def score_documents(documents: DataFrame, held_out: Column) -> DataFrame:
                 found = Counter(words)
                 known, total, own_rare, own_times = 0, 0.0, [], []
                 for token, k in found.items():
-                    c = hot.get(token)
-                    if c is None:
+                    log = hot.get(token)
+                    if log is None:
                         own_rare.append(token)
                         own_times.append(k)
                     else:
-                        known += k if c else 0
-                        total += k * (math.log10(c + 1) - log_denominator)
+                        known += k if log else 0
+                        total += k * (log - log_denominator)
                 n_tokens.append(len(words))
                 n_known.append(known)
                 base.append(total)
