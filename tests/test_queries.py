@@ -6,8 +6,11 @@ import os
 import duckdb
 import pytest
 from conftest import DATA
+from pyspark.ml import PipelineModel
 
 import __spark_entry__ as entry_points
+from ticketmill.config import ForestParams
+from ticketmill.operators import models
 from ticketmill.plans import queries
 
 TABLES = ["documents", "labels", "embeddings", "events", "conversations", "benchmark", "pages"]
@@ -89,6 +92,23 @@ def test_saved_model_scores_alike(spark):
     assert [r["same"] for r in QUERIES["model_roundtrip"](spark, DATA).collect()] == [True]
 
 
+def test_roundtrip_trains_and_both_models_go_the_whole_way(spark, monkeypatch):
+    """Every call fits, even with a saved model at hand; the loaded pipeline starts from the text, as the trained one does."""
+    rows = [(i, ["red bell and light", "old rim", "light pump spoke", "saddle post"][i % 4], "abcd"[i % 4], "s", 9) for i in range(80)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(queries, "table", lambda spark, folder, name: documents)
+    monkeypatch.setattr(queries, "FOREST", ForestParams(num_trees=3, max_depth=3))
+    fits, scored = [], []
+    fit, transform = models.fit_text, PipelineModel.transform
+    monkeypatch.setattr("ticketmill.plans.train.fit_text", lambda *a, **b: (fits.append(a), fit(*a, **b))[1])
+    monkeypatch.setattr(PipelineModel, "transform", lambda self, df: (scored.append((self.uid, df.columns)), transform(self, df))[1])
+    for _ in range(2):
+        result = QUERIES["model_roundtrip"](spark, "/small").collect()
+    assert len(fits) == 2 and [r["same"] for r in result] == [True]
+    trained, loaded = scored[-2:]
+    assert "text" in loaded[1] and "features" not in loaded[1] and loaded[0] == trained[0]
+
+
 def test_hashed_totals_are_token_counts(spark):
     buckets = QUERIES["hashing_tf"](spark, DATA).groupBy("doc_id").sum("tf").collect()
     totals = {r["doc_id"]: r["total"] for r in QUERIES["tf_total"](spark, DATA).collect()}

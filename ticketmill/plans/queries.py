@@ -406,15 +406,17 @@ def stream_rows(spark, sf_dir):
 
 
 def model_roundtrip(spark, sf_dir):
-    """Rows that the trained and the saved-and-loaded model score alike, and those they do not."""
-    test_rows = split_texts(spark, sf_dir)[1]
-    model = trained_forest(spark, sf_dir)
+    """Train, save, load: rows that the trained and the saved-and-loaded model score alike, and those they do not.
+
+    Both models go their whole way from the text, one after the other in a row.
+    """
+    model = train_forest(spark, sf_dir, "forest", FOREST, NUM_FEATURES)[1].model
     path = shared_path(spark, "model")
     save_stage(model, path)
     again = load_pipeline_model(path)
-    rows = test_rows.select("doc_id", "text")
-    first = model.transform(rows).select("doc_id", "words", "features", F.col("prediction").alias("saved"))
-    second = again.stages[-1].transform(first).select("doc_id", "saved", F.col("prediction").alias("loaded"))
+    rows = split_texts(spark, sf_dir)[1].select("doc_id", "text")
+    first = model.transform(rows).select("doc_id", "text", F.col("prediction").alias("saved"))
+    second = again.transform(first).select("doc_id", "saved", F.col("prediction").alias("loaded"))
     return second.groupBy((F.col("saved") == F.col("loaded")).alias("same")).agg(F.count("*").alias("n"))
 
 
