@@ -109,6 +109,14 @@ def test_roundtrip_trains_and_both_models_go_the_whole_way(spark, monkeypatch):
     assert "text" in loaded[1] and "features" not in loaded[1] and loaded[0] == trained[0]
 
 
+def test_the_text_forest_has_full_size(spark):
+    """200 trees of depth 30 with 70 bins over 6,900 features, in ``forest_text`` and the queries that load its model."""
+    forest = queries.trained_forest(spark, DATA).stages[-1]
+    assert (forest.getNumTrees, forest.getMaxDepth(), forest.getMaxBins(), forest.numFeatures) == (200, 30, 70, 6900)
+    words = QUERIES["named_feature_report"](spark, DATA)
+    assert words.where("words is null").count() == 0 and words.agg({"feature": "max"}).first()[0] > 1000
+
+
 def test_hashed_totals_are_token_counts(spark):
     buckets = QUERIES["hashing_tf"](spark, DATA).groupBy("doc_id").sum("tf").collect()
     totals = {r["doc_id"]: r["total"] for r in QUERIES["tf_total"](spark, DATA).collect()}
