@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketmill.config import ForestParams
+from ticketmill.operators.forests import DENSE_BYTES, grow
 from ticketmill.session import shared_dir, ship_package, stored
 
 SEED = 1234
@@ -60,19 +61,27 @@ def fit_text(
     num_features: int,
     id_col: str | None = None,
     partitions: int | None = None,
+    dense_bytes: int = DENSE_BYTES,
 ) -> PipelineModel:
     """Fit a text classifier on ``group, text``.
 
-    Hashing happens once: the sparse vectors are stored and every pass of the fit reads those instead of text.
+    Hashing happens once: the sparse vectors are stored and every pass of the fit reads those instead of text. MLlib's forest bins all
+    features of a row; beyond ``dense_bytes`` of such bins the forest is grown from the sparse vectors (:mod:`ticketmill.operators.forests`).
     The returned pipeline scores tables with or without ``group``; unknown classes get an extra label.
     """
     shared_dir(train.sparkSession)
     tokenizer, hashing = text_stages(num_features)
     indexer = StringIndexerModel.from_labels(names, "group", "label", handleInvalid="error")
-    vectors = PipelineModel([tokenizer, hashing, indexer]).transform(train.where(F.col("group").isNotNull()))
+    train = train.where(F.col("group").isNotNull())
+    vectors = PipelineModel([tokenizer, hashing, indexer]).transform(train)
     if partitions:
         vectors = placed(vectors.select(id_col, "features", "label"), id_col, partitions)
-    fitted = classifier.fit(stored(vectors.select("features", "label"), "vectors"))
+    rows = train.count() if isinstance(classifier, RandomForestClassifier) else 0
+    if 4 * rows * num_features > dense_bytes:
+        numbered = stored(vectors.select(F.monotonically_increasing_id().alias("row"), "features", "label"), "vectors")
+        fitted = grow(numbered, classifier, num_features, len(names), rows)
+    else:
+        fitted = classifier.fit(stored(vectors.select("features", "label"), "vectors"))
     indexer.setHandleInvalid("keep")
     return PipelineModel([tokenizer, hashing, indexer, fitted])
 
