@@ -6,14 +6,17 @@ import random
 import re
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ticketmill.functions import tries
 from ticketmill.functions.patterns import forks, prefix_layers, word_pattern
 from ticketmill.functions.segmentation import in_run
 from ticketmill.functions.tries import Bloom, Trie, code_points, lined_up, probable, word_hashes
+from ticketmill.operators import spans
 from ticketmill.operators.segment import remove_words, segment, stop_natures
 from ticketmill.operators.spans import learn_scores, probable_words
 
@@ -396,3 +399,37 @@ def test_a_word_leaves_its_block_once(spark):
     texts = spark.range(200, numPartitions=1).select((F.col("id") % 2).alias("_block"), F.lit("滴灌管 " * 50).alias("t")).orderBy("_block").coalesce(1)
     found = probable_words(texts, "t", word_table(spark, ["滴灌", "滴灌管"])).where("word in ('滴灌', '滴灌管')").collect()
     assert sorted((r["_block"], r["word"], r["n"]) for r in found) == [(b, w, 5000) for b in (0, 1) for w in ("滴灌", "滴灌管")]
+
+
+def test_all_matches_of_a_slab_are_found_at_once(monkeypatch):
+    """The texts of a slab share their steps: no token reaches over a text's end, and stretches of one length are put together first."""
+    listed = ["ab", "abc", "b", "bé", "é", "\U00020000", "c\U00020000", "longerthanthehead"]
+    texts = ["abcbé", "", "c\U00020000ab", "xlongerthanthehead longerthan", "é", "\0ab \0", "a", "b" * 40]
+    kinds = np.zeros(0x110000, np.uint8)
+    for char in {*"".join(texts)} - {" ", "\0"}:
+        kinds[ord(char)] = spans.IN_RUN if char < "က" else spans.ALONE
+
+    def brute(text):
+        hits = [(i, i + len(w)) for w in listed for i in range(len(text)) if text.startswith(w, i)]
+        runs = [m.span() for m in re.finditer("[a-zé]+", text)]
+        alone = [(i, i + 1) for i, char in enumerate(text) if char == "\U00020000" and not any(a <= i < b for a, b in hits)]
+        return [text[a:b] for a, b in sorted({*hits, *runs, *alone}, key=lambda s: (s[0], -s[1]))]
+
+    calls = []
+    work = spans.finest_spans
+    monkeypatch.setattr(spans, "finest_spans", lambda *a: (calls.append(a), work(*a))[1])
+    assert spans.finest_tokens(texts, tries.Trie(listed), kinds).to_pylist() == [brute(t) for t in texts]
+    assert len(calls) == 1 and spans.finest_tokens([], tries.Trie(listed), kinds).to_pylist() == []
+    codes, _ = tries.lined_up(texts)
+    line = "\0".join(texts) + "\0"
+    words = sorted(listed, key=len)
+    bloom = tries.Bloom(np.full(512, 2**64 - 1, np.uint64))  # lets everything through
+    for n in (1, 2, 5, 30):
+        (at, _), *_ = tries.probable(codes, bloom, [n], 40)
+        want = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+        assert tries.Stretches(codes).counted(at, n) == want
+    blocks = np.zeros(512, np.uint64)
+    place, bits = tries.Bloom.places(tries.word_hashes(words + ["longer"]), 512)
+    np.bitwise_or.at(blocks, place, bits)
+    found = {line[p : p + n] for at, n in tries.probable(codes, tries.Bloom(blocks), sorted({len(w) for w in words}), 6) for p in at}
+    assert {w for w in words if any(w in t for t in texts)} <= found

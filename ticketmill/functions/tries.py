@@ -6,6 +6,7 @@ have a match, the filter hashes all stretches of one length with a few operation
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,18 @@ GAP = 0x1FFFFF
 _CHAR_BITS = 21
 #: Places that are looked at together.
 SLAB = 1 << 18
+#: Places whose hashes are looked up together: they stay in the processor's cache.
+STRETCH = 1 << 14
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def code_string(codes: np.ndarray) -> str:
+    return codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def lined_up(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts with a gap after each, and where each text begins (one more than texts)."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -62,14 +69,14 @@ class Trie:
     def nbytes(self) -> int:
         return self.edges.nbytes + self.phrase.nbytes + self.root.nbytes
 
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, lengths and numbers of all phrases, by place, then length."""
-        found = [self._find(codes, at, min(at + SLAB, len(codes))) for at in range(0, len(codes), SLAB)]
+    def find(self, codes: np.ndarray, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, lengths and numbers of all phrases, by place, then length, or in any order."""
+        found = [self._find(codes, at, min(at + SLAB, len(codes)), ordered) for at in range(0, len(codes), SLAB)]
         if not found:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _find(self, codes: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _find(self, codes: np.ndarray, begin: int, end: int, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node = self.root[np.minimum(codes[begin:end], len(self.root) - 1)]
         at = np.flatnonzero(node)
         node, at, depth, out = node[at].astype(np.int64), at + begin, 1, []
@@ -87,7 +94,9 @@ class Trie:
         if not out:
             return (np.zeros(0, np.int64),) * 3
         place, length, number = (np.concatenate(x).astype(np.int64) for x in zip(*out))
-        order = np.lexsort([length, place])
+        if not ordered:
+            return place, length, number
+        order = np.argsort(place, kind="stable")  # lengths come in their order
         return place[order], length[order], number[order]
 
 
@@ -104,6 +113,30 @@ def leftmost_longest(place: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+class Stretches:
+    """The different stretches among many of one length: short ones as numbers, by the places of their characters in the text's own alphabet."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.alphabet, self.letters = np.unique(codes, return_inverse=True)
+        self.width = max(len(self.alphabet) - 1, 1).bit_length()
+
+    def counted(self, at: np.ndarray, n: int) -> dict[str, int]:
+        """The stretches of ``n`` characters at the places, and how often each is there."""
+        if n * self.width > 63:
+            own = [code_string(self.codes[p : p + n]) for p in at.tolist()]
+            return Counter(own)
+        key = np.zeros(len(at), np.int64)
+        for k in range(n):
+            key = key << self.width | self.letters.take(at + k)
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else at
+        times = np.diff(np.append(first, len(key)))
+        shifts = self.width * np.arange(n - 1, -1, -1)
+        text = code_string(self.alphabet[key[first][:, None] >> shifts & (1 << self.width) - 1])
+        return dict(zip((text[k : k + n] for k in range(0, len(text), n)), times.tolist()))
+
+
 # Hashes of stretches of text.
 
 _MASK = (1 << 64) - 1
@@ -140,6 +173,12 @@ class Hashed:
         return _spread(whole + np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+    def stretch(self, begin: int, end: int, length: int) -> np.ndarray:
+        """The hashes of one length at the places from ``begin`` to ``end``."""
+        whole = (self.total[begin + length : end + length] - self.total[begin:end]) * self.back[begin:end]
+        return _spread(whole + np.uint64(length * 0xD6E8FEB86659FD93 & _MASK))
+
+
 class Bloom:
     """A blocked Bloom filter: a hash sets four bits of one 64-bit block."""
 
@@ -163,6 +202,12 @@ class Bloom:
         block, bits = self.places(hashes, len(self.blocks))
         return self.blocks[block] & bits == bits
 
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are in it; most others are told by their first bit."""
+        block = self.blocks.take((hashes >> np.uint64(24) & np.uint64(len(self.blocks) - 1)).view(np.int64))
+        at = np.flatnonzero(block & np.uint64(1) << (hashes & np.uint64(63)) != 0)
+        return at[self.has(hashes.take(at))]
+
 
 def word_hashes(words: list[str]) -> np.ndarray:
     codes, starts = lined_up(words)
@@ -178,8 +223,9 @@ def probable(codes: np.ndarray, bloom: Bloom, lengths: list[int], head: int) ->
     room = ends - np.arange(len(codes))
     short = [n for n in lengths if n <= head]
     for n in short:
-        at = np.flatnonzero(room >= n)
-        yield at[bloom.has(hashed.at(at, n))], n
+        at = [begin + bloom.among(hashed.stretch(begin, min(begin + STRETCH, len(codes) - n + 1), n)) for begin in range(0, len(codes) - n + 1, STRETCH)]
+        at = np.concatenate([np.zeros(0, np.int64), *at])
+        yield at[room.take(at) >= n], n
     if len(short) < len(lengths):
         begins = np.flatnonzero(room > head)
         begins = begins[bloom.has(hashed.at(begins, head))]

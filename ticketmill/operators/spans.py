@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ticketmill.functions.segmentation import RUN, normalized, single_class
-from ticketmill.functions.tries import Bloom, Trie, code_points, leftmost_longest, lined_up, probable, word_hashes
+from ticketmill.functions.tries import GAP, Bloom, Stretches, Trie, code_points, leftmost_longest, lined_up, probable, word_hashes
 from ticketmill.session import by_key, cut_lineage, fits_broadcast, join_lookup, ship_package, stored
 
 # Lists up to this size are held by every worker.
@@ -32,13 +32,15 @@ HELD_BYTES = 48 * 1024 * 1024
 # The filter of a larger list: at most so many bytes, whatever the list's size; a fuller filter lets more stretches through.
 BLOOM_BYTES = 32 * 1024 * 1024
 # Longer words are looked for only where their first characters are found.
-HEAD = 24
+HEAD = 6
 # Bytes of texts that are worked on together: a worker holds the hits and tokens of so much text only.
 SLAB_BYTES = 1 << 18
 # Bytes of the texts that look up their words together when the list is joined.
 BLOCK_BYTES = 1 << 20
 
 OTHER, ALONE, IN_RUN = 0, 1, 2
+#: Spans as one number: the start above, and below it the end, from this number down.
+LAST = (1 << 32) - 1
 
 
 def slabs(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int]]:
@@ -117,10 +119,10 @@ def probable_words(rows: DataFrame, text_col: str, words: DataFrame) -> DataFram
                         found, size = Counter(), 0
                     block, own = blocks[begin], texts[begin - i : end - i]
                     codes, _ = lined_up(own)
-                    line = "\0".join(own)  # places as in the codes
-                    size += len(line)
+                    size += len(codes)
+                    stretches = Stretches(codes)
                     for at, n in probable(codes, bloom, lengths, HEAD):
-                        found.update([line[p : p + n] for p in at.tolist()])
+                        found.update(stretches.counted(at, n))
         if found:
             yield emitted(block, found)
 
@@ -159,9 +161,9 @@ def _run_ends(kinds: np.ndarray) -> np.ndarray:
     """For each place, the end of what a token without dictionary would be: the rest of the run, or one character."""
     n = len(kinds)
     ends = np.arange(1, n + 1)
-    last = np.append((kinds[1:] != IN_RUN) | (kinds[:-1] != IN_RUN), True)
+    last = np.append((kinds[1:] != IN_RUN) | (kinds[:-1] != IN_RUN), True)[:n]
     stops = np.flatnonzero(last)
-    return np.where(kinds == IN_RUN, ends[stops[np.searchsorted(stops, np.arange(n))]], ends)
+    return np.where(kinds == IN_RUN, ends[stops[np.cumsum(last) - last]], ends)
 
 
 def longest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
@@ -179,19 +181,32 @@ def longest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> lis
     return out
 
 
-def finest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
-    """All hits, whole runs and characters that no hit covers, by start, longest first."""
+def finest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all hits, whole runs and characters that no hit covers, by start, longest first."""
     n = len(kinds)
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, pos, 1)
-    np.add.at(change, pos + length, -1)
+    change = np.bincount(pos, minlength=n + 1) - np.bincount(pos + length, minlength=n + 1)
     alone = np.flatnonzero((kinds == ALONE) & (np.cumsum(change[:-1]) == 0))
-    before = np.append(OTHER, kinds[:-1])
-    runs = np.flatnonzero((kinds == IN_RUN) & (before != IN_RUN))
-    starts = np.concatenate([pos, alone, runs])
-    ends = np.concatenate([pos + length, alone + 1, _run_ends(kinds)[runs] if n else runs])
-    spans = np.unique(np.stack([starts, -ends], axis=1), axis=0)
-    return [(a, -b) for a, b in spans.tolist()]
+    run = kinds == IN_RUN
+    # One after the other, runs begin and end.
+    edges = np.flatnonzero(np.diff(run, prepend=False, append=False))
+    starts = np.concatenate([pos, alone, edges[::2]])
+    ends = np.concatenate([pos + length, alone + 1, edges[1::2]])
+    spans = np.sort(starts << 32 | LAST - ends)
+    spans = spans[np.append(True, spans[1:] != spans[:-1])] if len(spans) else spans
+    return spans >> 32, LAST - (spans & LAST)
+
+
+def cut_out(text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """Stretches of a text, given by characters, as one array; ``codes`` are its code points, and others than characters stand for one byte."""
+    data, at = np.frombuffer(text.encode(), np.uint8), None
+    if len(data) != len(codes):
+        size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        size[codes == GAP] = 1
+        at = np.append(0, np.cumsum(size))
+        starts, ends = at[starts], at[ends]
+    offsets = np.append(0, np.cumsum(ends - starts))
+    index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.take(index))).cast(pa.string())
 
 
 def likeliest_spans(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray, score: np.ndarray, unknown: int) -> list[tuple[int, int]]:
@@ -272,6 +287,17 @@ def trie_hits(trie: Trie, texts: list[str]) -> Hits:
         yield place[own] - starts[k], length[own], number[own]
 
 
+def finest_tokens(texts: list[str], trie: Trie, table: np.ndarray) -> pa.ListArray:
+    """The tokens of all matches for each text of a slab, all texts at once: nothing reaches over the gaps between them."""
+    codes, starts = lined_up(texts)
+    gaps = codes == GAP
+    kinds = table[np.where(gaps, 0, codes)]
+    kinds[gaps] = OTHER
+    begins, ends = finest_spans(kinds, *trie.find(codes, ordered=False)[:2])
+    cuts = np.searchsorted(begins, starts).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), cut_out("\0".join(texts) + "\0", codes, begins, ends))
+
+
 def listed_words(words: DataFrame, *values: str) -> DataFrame:
     """Different lower-cased words, stored; of the values of one word the smallest."""
     rows = words.select(F.lower("word").alias("word"), *values).where(F.length("word") > 0)
@@ -312,7 +338,9 @@ def segment_by_join(
     def walk(kinds: np.ndarray, pos: np.ndarray, length: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
         if likeliest:
             return likeliest_spans(kinds, pos, length, score, unknown)
-        return (finest_spans if mode == "finest" else longest_spans)(kinds, pos, length)
+        if mode == "finest":
+            return list(zip(*(x.tolist() for x in finest_spans(kinds, pos, length))))
+        return longest_spans(kinds, pos, length)
 
     def tokens(text: str, hits: tuple[np.ndarray, np.ndarray, np.ndarray], whole: list[tuple[int, int, list | None]]) -> list[str]:
         kinds, (pos, length, score) = table[code_points(text)], hits
@@ -337,6 +365,10 @@ def segment_by_join(
         scores = np.array(words_of[1], np.int64) if likeliest else None
         for i, j in slabs(batch["_text"]):
             texts = batch["_text"].slice(i, j - i).to_pylist()
+            if mode == "finest" and not any_phrases:
+                done = finest_tokens(texts, words_of[0], table)
+                yield batch.slice(i, j - i).drop_columns(["_text"]).append_column(out_col, done)
+                continue
             found = []
             whole = trie_hits(phrases_of[0], texts) if any_phrases else ((None, None, None) for _ in texts)
             for text, (pos, length, number), (at, size, which) in zip(texts, trie_hits(words_of[0], texts), whole):
