@@ -2,11 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.linalg import SparseVector
 
-from ticketmill.config import ForestParams
+from ticketmill.config import ForestParams, ScoreConfig
 from ticketmill.operators import forests, models
+from ticketmill.plans.score import score, scored_rows
 from ticketmill.sinks.tables import save_stage
+from ticketmill.sources.saved import load_job_table
 
 FEATURES, CLASSES = 40, 3
 
@@ -95,6 +98,28 @@ def test_large_tables_grow_from_sparse_vectors_and_score_as_mllib_does(spark):
     assert max(t.depth for t in one.trees) == max(t.depth for t in other.trees) == 12
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 40])
+def test_the_score_job_votes_in_blocks_as_the_model_does(spark, tmp_path, monkeypatch, dense):
+    rng = np.random.default_rng(11)
+    words = lambda: " ".join(f"w{w}" for w in rng.zipf(1.4, int(rng.integers(0, 60))) % 70)
+    rows = [(i, "abc"[i % 3], words(), "x") for i in range(300)] + [(900, None, "", "x"), (900, "new", "w1 w2", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, group string, text string, orgtext string")
+    classifier = models.forest(ForestParams(num_trees=25, max_depth=10))
+    model = models.fit_text(df.where("group in ('a', 'b', 'c')"), classifier, ["a", "b", "c"], 50, "doc_id", 2, dense)
+    path = f"{tmp_path}/model"
+    save_stage(model, path)
+    monkeypatch.setattr(forests, "BLOCK_ROWS", 7)
+    transformed = []
+    monkeypatch.setattr(RandomForestClassificationModel, "transform", lambda self, df: transformed.append(df))
+    score(df, ScoreConfig("1", path, f"{tmp_path}/out"))
+    monkeypatch.undo()
+    assert not transformed  # MLlib goes down the trees row by row
+    got = load_job_table(spark, f"{tmp_path}/out/scored", "1")
+    want = scored_rows(model, df, "1")
+    plain = lambda t: sorted(str(r) for r in t.select("job_id", "text", "orgtext", "label", "prediction").collect())
+    assert plain(got) == plain(want) and len({r["prediction"] for r in got.collect()}) == 3
+
+
 def test_rows_are_drawn_and_features_are_chosen_at_random():
     drawn = forests.draws(np.arange(4000), 50, 1234)
     assert drawn.mean() == pytest.approx(1, abs=0.02) and (drawn == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
